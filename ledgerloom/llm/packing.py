@@ -25,8 +25,8 @@ from .common import Scratch, batch_of, table, texts
 BYTE_LEVEL_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-RANK_ROWS = 20_000
-"""About so many pieces share a (length, bucket) group while ranks are dealt."""
+RANK_ROWS = 1_000
+"""As many pieces as there are buckets times this; about so few share a (length, bucket) group while ranks are dealt."""
 
 _encoders: dict[str, object] = {}
 

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from .language import op9_language
+from .media import op2_media_columns
 from .packing import op10_best_fit_packing
+from .quality import op5_quality_classifier
 from .token_counts import op6_token_counts
+from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_media_columns": op2_media_columns,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_token_counts": op6_token_counts,
+    "op9_language": op9_language,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
