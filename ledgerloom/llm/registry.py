@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from .decontamination import SQL as op8_sql
+from .decontamination import op8_decontamination
+from .jaccard import op4_ngram_jaccard
 from .language import op9_language
 from .media import op2_media_columns
 from .packing import op10_best_fit_packing
@@ -12,10 +15,14 @@ from .toxicity import op1_toxicity
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_media_columns": op2_media_columns,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_token_counts": op6_token_counts,
+    "op8_decontamination": op8_decontamination,
     "op9_language": op9_language,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_decontamination": op8_sql,
+}
