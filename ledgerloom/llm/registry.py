@@ -9,6 +9,7 @@ from .language import op9_language
 from .media import op2_media_columns
 from .packing import op10_best_fit_packing
 from .quality import op5_quality_classifier
+from .repeats import op7_suffix_dedup
 from .token_counts import op6_token_counts
 from .toxicity import op1_toxicity
 
@@ -18,11 +19,13 @@ QUERIES = {
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_token_counts": op6_token_counts,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_language": op9_language,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_decontamination": op8_sql,
 }
