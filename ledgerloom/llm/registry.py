@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .context_mixing import op3_lm_scoring
 from .decontamination import SQL as op8_sql
 from .decontamination import op8_decontamination
 from .jaccard import op4_ngram_jaccard
@@ -16,6 +17,7 @@ from .toxicity import op1_toxicity
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_media_columns": op2_media_columns,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_token_counts": op6_token_counts,
