@@ -271,7 +271,8 @@ def repeated_spans(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """The rows of docs (all columns), with n_bytes, n_removed, n_spans, spans (start, end in bytes) and kept (the bytes left).
+    """The rows of docs (all columns), with n_bytes, n_removed, n_spans, spans (start, end in bytes), kept (the bytes
+    left) and kept_text (the same without bytes of characters that a cut has split).
 
     Null and empty texts and texts under SPAN bytes lose nothing. Matches never cross rows; repeated rows
     and rows with equal or null ids count as different rows, so their texts go if they are long enough.
@@ -306,11 +307,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                     runs.append([{"start": s, "end": e} for s, e in merged])
                     kept.append(b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)))
                 out = {c: b.column(b.schema.get_field_index(c)) for c in ("text", *names)}
-                yield batch_of(**out, n_bytes=pa.array(n, pa.int64()), n_removed=pa.array(gone, pa.int64()), n_spans=pa.array([len(r) for r in runs], pa.int64()), spans=pa.array(runs, pair), kept=pa.array(kept, pa.binary()))
+                yield batch_of(**out, n_bytes=pa.array(n, pa.int64()), n_removed=pa.array(gone, pa.int64()), n_spans=pa.array([len(r) for r in runs], pa.int64()), spans=pa.array(runs, pair), kept=pa.array(kept, pa.binary()), kept_text=pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()))
 
     rest = f", rest {rows.schema['rest'].dataType.simpleString()}" if taken else ""
-    out = rows.join(own, "u", "left").select("text", *names, "marks").mapInArrow(cut, f"text string{rest}, n_bytes long, n_removed long, n_spans long, spans array<struct<start:int,end:int>>, kept binary")
-    return out.select(*[F.col(f"rest.`{c}`") if c != "text" else F.col("text") for c in docs.columns], "n_bytes", "n_removed", "n_spans", "spans", "kept")
+    out = rows.join(own, "u", "left").select("text", *names, "marks").mapInArrow(cut, f"text string{rest}, n_bytes long, n_removed long, n_spans long, spans array<struct<start:int,end:int>>, kept binary, kept_text string")
+    return out.select(*[F.col(f"rest.`{c}`") if c != "text" else F.col("text") for c in docs.columns], "n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_text")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
