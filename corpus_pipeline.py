@@ -47,18 +47,13 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the stretches that repeat; bytes of characters that a cut has split go too, n_chars is counted anew."""
     cut = without_repeats(docs)
-    text = F.when(F.col("n_removed") > 0, _readable(F.col("kept"))).otherwise(F.col("text"))
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     out = cut.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
-def _readable(data):
-    """UTF-8 without what doesn't decode."""
-    return F.regexp_replace(F.decode(F.encode(F.decode(data, "utf-8"), "utf-8"), "utf-8"), "�", "")
-
-
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap with no benchmark item."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
