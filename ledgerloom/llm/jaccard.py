@@ -35,7 +35,7 @@ PERCENT = 80
 SHARD = 1500
 """Sets to a search shard."""
 PIVOT_ROUNDS = 3
-LEAST_LEFT = 100_000
+LEAST_LEFT = 1_000_000
 """Another pivot round is worth its jobs while so many postings are unsettled."""
 MU = 0.01
 """DivideSkip's weight of a probe against a merge step."""
@@ -119,6 +119,15 @@ class Lists:
         return found[count >= total].astype(np.int64)
 
 
+def _rows(row: np.ndarray, many: int) -> np.ndarray:
+    """Row numbers in two bytes where a chunk has few rows, else in four."""
+    return row.astype(np.uint16 if many < 1 << 16 else np.uint32)
+
+
+def _unrows(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint16 if len(data) == 2 * n else np.uint32).astype(np.uint32)
+
+
 def _wide(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return low.astype(np.int64) | (high.astype(np.int64) << 32)
 
@@ -150,6 +159,7 @@ def set_tables(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
             there, begin = np.unique(bucket, return_index=True)
             end = np.append(begin[1:], len(h))
             low, high = h.astype(np.uint32), ((h >> np.uint64(32)) & np.uint64(255)).astype(np.uint8)
+            row = _rows(row, len(size))
             yield batch_of(
                 g=np.append(there, buckets + block % buckets),
                 block=np.full(len(there) + 1, block),
@@ -162,29 +172,36 @@ def set_tables(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
         part = part.combine_chunks()
         g = part.column("g")[0].as_py()
         if g >= buckets:
-            return pa.table({"block": part.column("block"), "key": part.column("low"), "row": pa.nulls(part.num_rows, pa.binary()), "df": pa.nulls(part.num_rows, pa.binary())})
-        low = [np.frombuffer(x, np.uint32) for x in part.column("low").to_pylist()]
-        key = _wide(np.concatenate(low), np.concatenate([np.frombuffer(x, np.uint8) for x in part.column("high").to_pylist()]))
-        row = np.concatenate([np.frombuffer(x, np.uint32) for x in part.column("row").to_pylist()])
-        src = np.repeat(np.arange(len(low), dtype=np.int32), [len(x) for x in low])
+            none = pa.nulls(part.num_rows, pa.binary())
+            return pa.table({"g": part.column("g"), "block": part.column("block"), "low": part.column("low"), "high": none, "row": none, "df": none})
+        lows = [np.frombuffer(x, np.uint32) for x in part.column("low").to_pylist()]
+        low, high = np.concatenate(lows), np.concatenate([np.frombuffer(x, np.uint8) for x in part.column("high").to_pylist()])
+        rows = part.column("row").to_pylist()
+        short = [len(r) == 2 * len(x) for r, x in zip(rows, lows, strict=True)]
+        row = np.concatenate([_unrows(r, len(x)) for r, x in zip(rows, lows, strict=True)])
+        src = np.repeat(np.arange(len(lows), dtype=np.int32), [len(x) for x in lows])
+        key = _wide(low, high)
         order = np.argsort(key, kind="stable")
         key = key[order]
         new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         df = np.diff(np.append(new, len(key)))
         df = np.repeat(df, df)
-        some = np.flatnonzero(df > 1)
-        key, df, src, row = key[some], df[some], src[order[some]], row[order[some]]
+        some = order[df > 1]
+        df, src = df[df > 1], src[some]
         order = np.argsort(src, kind="stable")
-        key, df, src, row = key[order] + (np.int64(g) << 40), np.minimum(df[order], 2**31 - 1).astype(np.int32), src[order], row[order]
+        some, df, src = some[order], np.minimum(df[order], 65535).astype(np.uint16), src[order]
+        low, high, row = low[some], high[some], row[some]
         there, begin = np.unique(src, return_index=True)
         end = np.append(begin[1:], len(src))
         cut = lambda a: pa.array([a[x:y].tobytes() for x, y in zip(begin, end, strict=True)], pa.binary())
-        return pa.table({"block": part.column("block").combine_chunks().take(pa.array(there)), "key": cut(key), "row": cut(row), "df": cut(df)})
+        back = pa.array([row[x:y].astype(np.uint16 if short[i] else np.uint32).tobytes() for i, x, y in zip(there.tolist(), begin, end, strict=True)], pa.binary())
+        return pa.table({"g": np.full(len(there), g), "block": part.column("block").combine_chunks().take(pa.array(there)), "low": cut(low), "high": cut(high), "row": back, "df": cut(df)})
 
     def select(part: pa.Table) -> pa.Table:
-        metas = {m for m, r in zip(part.column("key").to_pylist(), part.column("row").to_pylist(), strict=True) if r is None}
-        every = [(m, r, d) for m, r, d in zip(*(part.column(c).to_pylist() for c in ("key", "row", "df")), strict=True) if r is not None]
-        copies = sum(r is None for r in part.column("row").to_pylist())
+        listed = [part.column(c).to_pylist() for c in ("g", "low", "high", "row", "df")]
+        metas = {low for low, row in zip(listed[1], listed[3], strict=True) if row is None}
+        copies = sum(row is None for row in listed[3])
+        every = [x for x in zip(*listed, strict=True) if x[3] is not None]
         out: dict[str, list] = {c: [] for c in ("doc_id", "node", "n", "live", "prefix")}
         node, size = [], np.zeros(0, np.int64)
         for m in metas:
@@ -198,9 +215,9 @@ def set_tables(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
         out["live"] += nothing
         out["prefix"] += nothing
         if every:
-            key = np.concatenate([np.frombuffer(x[0], np.int64) for x in every])
-            row = np.concatenate([np.frombuffer(x[1], np.uint32) for x in every])
-            df = np.concatenate([np.frombuffer(x[2], np.int32) for x in every])
+            key = np.concatenate([_wide(np.frombuffer(x[1], np.uint32), np.frombuffer(x[2], np.uint8)) + (np.int64(x[0]) << 40) for x in every])
+            row = np.concatenate([_unrows(x[3], len(x[1]) // 4) for x in every])
+            df = np.concatenate([np.frombuffer(x[4], np.uint16) for x in every])
             order = np.lexsort((key, df, row))
             key, row = key[order], row[order]
             if copies > 1:
@@ -221,28 +238,40 @@ def set_tables(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sent = rows.mapInArrow(spread, "g long, block long, low binary, high binary, row binary")
-    back = sent.groupBy("g").applyInArrow(live, "block long, key binary, row binary, df binary")
+    back = sent.groupBy("g").applyInArrow(live, "g long, block long, low binary, high binary, row binary, df binary")
     return back.groupBy("block").applyInArrow(select, "doc_id long, node binary, n long, live array<long>, prefix array<long>")
 
 
 def search(index: DataFrame, queries: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) found by the queries of a shard among the sets indexed in it; both have shard, node, n, live."""
+    """Links (a, b) found by the queries of a shard among the sets indexed in it; both have shard, node, n, live, comp.
+
+    Of the links in a shard those that join two components so far unjoined are given, so there are fewer than components.
+    """
 
     def run(part: pa.Table) -> pa.Table:
         asks = part.column("asks").to_numpy(zero_copy_only=False)
         left, right = part.filter(pa.array(~asks)), part.filter(pa.array(asks))
         a, b = [], []
+        up: dict[bytes, bytes] = {}
+
+        def root(x: bytes) -> bytes:
+            while (y := up.get(x, x)) != x:
+                up[x] = up.get(y, y)
+                x = y
+            return x
+
         if left.num_rows and right.num_rows:
-            nodes, sizes = left.column("node").to_pylist(), left.column("n").to_numpy()
+            nodes, sizes, comps = left.column("node").to_pylist(), left.column("n").to_numpy(), left.column("comp").to_pylist()
             lists = Lists([x.values.to_numpy() for x in left.column("live")], sizes)
-            for node, n, keys in zip(right.column("node").to_pylist(), right.column("n").to_pylist(), right.column("live"), strict=True):
+            for node, n, comp, keys in zip(right.column("node").to_pylist(), right.column("n").to_pylist(), right.column("comp").to_pylist(), right.column("live"), strict=True):
                 for i in lists.search(keys.values.to_numpy(), n, percent).tolist():
-                    if nodes[i] != node:
+                    if (x := root(comp)) != (y := root(comps[i])):
+                        up[x] = y
                         a.append(node)
                         b.append(nodes[i])
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    cols = ("shard", "node", "n", "live")
+    cols = ("shard", "node", "n", "live", "comp")
     both = index.select(*cols, F.lit(False).alias("asks")).union(queries.select(*cols, F.lit(True).alias("asks")))
     return both.groupBy("shard").applyInArrow(run, "a binary, b binary")
 
@@ -257,7 +286,7 @@ def links_between_sets(sets: DataFrame, scratch: Scratch, percent: int = PERCENT
     shards = max(1, math.ceil(lists.count() / SHARD))
     known = postings.select("node").distinct().select("node", F.col("node").alias("comp"))
     open_ = postings.join(known, "node")
-    links = None
+    links, left = None, postings.count()
     for turn in range(PIVOT_ROUNDS):
         order = F.struct(F.xxhash64("node", F.lit(turn)).alias("o") if turn else F.col("node").alias("o"), F.col("node").alias("node"), F.col("comp"), F.col("n"))
         pivots = open_.groupBy("key").agg(F.min(order).alias("p")).select("key", F.col("p.node").alias("pivot"), F.col("p.comp").alias("pcomp"), F.col("p.n").alias("pn"))
@@ -269,16 +298,15 @@ def links_between_sets(sets: DataFrame, scratch: Scratch, percent: int = PERCENT
         shard = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("pivot"), F.lit(shards))).otherwise(F.xxhash64("pivot", "part").bitwiseOR(F.lit(-(1 << 63))))
         index = parts.select("node", shard.alias("shard")).distinct().join(lists, "node")
         asked = parts.select(F.col("pivot").alias("node"), shard.alias("shard")).distinct().join(lists, "node")
-        found = search(index, asked, percent)
+        found = search(index.withColumn("comp", F.col("node")), asked.withColumn("comp", F.col("node")), percent)
         links = scratch.keep(found if links is None else links.union(found))
         labels = connected_components(links, scratch)
         open_ = unsettled(postings, labels, scratch)
-        left = open_.count()
-        if left < LEAST_LEFT:
+        before, left = left, open_.count()
+        if left < LEAST_LEFT or left * 2 > before:
             break
     if left:
-        rest = search(*full_shards(open_, lists, percent), percent)
-        links = scratch.keep(links.union(rest))
+        links = scratch.keep(links.union(search(*full_shards(open_, lists), percent)))
         labels = connected_components(links, scratch)
     return labels
 
@@ -290,22 +318,26 @@ def unsettled(postings: DataFrame, labels: DataFrame, scratch: Scratch) -> DataF
     return scratch.keep(here.join(mixed, "key"))
 
 
-def full_shards(open_: DataFrame, lists: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Index and queries of the exact search between components that share prefix keys."""
-    members = open_.select("node", "comp").distinct()
-    counts = members.groupBy("comp").agg(F.count("*").alias("c"))
-    total = members.count()
-    shards = max(1, math.ceil(total / SHARD))
-    # A small component lies whole in one shard with others; a large one is cut.
-    placed = members.join(counts, "comp").withColumn("parts", F.ceil(F.col("c") / SHARD)).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    shard = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("comp"), F.lit(shards))).otherwise(F.xxhash64("comp", "part").bitwiseOR(F.lit(-(1 << 63))))
-    index = placed.select("node", shard.alias("shard")).join(lists, "node")
-    by_key = open_.join(counts, "comp").select("key", "node", "n", "comp", "c")
-    of_key = open_.groupBy("key", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most")).join(counts, "comp").select("key", F.col("comp").alias("other"), F.col("c").alias("oc"), "least", "most")
-    asks = by_key.join(of_key, "key").where((F.struct("c", "comp") < F.struct("oc", "other")) & (F.col("n") * percent <= F.col("most") * 100) & (F.col("n") * 100 >= F.col("least") * percent)).select("node", "other").distinct()
-    homes = placed.select(F.col("comp").alias("other"), shard.alias("shard")).distinct()
-    queries = asks.join(homes, "other").select("node", "shard").distinct().join(lists, "node")
-    return index, queries
+def full_shards(open_: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Index and queries of the exact search between components that share prefix keys.
+
+    Components lie in shards by their smallest open key, so that those with common keys are mostly together; one of
+    more than SHARD sets has shards of its own. A shard of several components is searched by its own sets. Between
+    two shards that share a key the sets of one query the other: those of common shards the shards of large
+    components, otherwise the lower number the higher. Which shards a key touches is a short list, whatever its sets.
+    """
+    members = open_.groupBy("node", "comp").agg(F.min("key").alias("key"))
+    counts = members.groupBy("comp").agg(F.count("*").alias("c"), F.min("key").alias("home"))
+    shards = max(1, math.ceil(members.count() / SHARD))
+    parts = F.ceil(F.col("c") / SHARD)
+    own = F.xxhash64("comp", F.pmod(F.xxhash64("node"), parts)).bitwiseOR(F.lit(-(1 << 63)))
+    placed = members.join(counts, "comp").select("node", "comp", F.when(parts == 1, F.pmod(F.xxhash64("home"), F.lit(shards))).otherwise(own).alias("shard"))
+    at = open_.select("key", "node").join(placed, "node")
+    touched = at.groupBy("key", "shard").agg(F.min("comp").alias("other")).withColumnRenamed("shard", "to")
+    # A shard with a negative number holds a part of one component.
+    go = F.when((F.col("to") < 0) & (F.col("shard") < 0), (F.col("shard") < F.col("to")) & (F.col("comp") != F.col("other"))).when(F.col("to") < 0, True).when(F.col("shard") < 0, False).otherwise(F.col("shard") <= F.col("to"))
+    asks = at.join(touched, "key").where(go).select("node", "comp", F.col("to").alias("shard")).distinct()
+    return placed.select("node", "shard", "comp").join(lists, "node"), asks.join(lists, "node")
 
 
 def jaccard_groups(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
