@@ -45,10 +45,12 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the stretches that repeat; bytes of characters that a cut has split go too, n_chars is counted anew."""
-    cut = without_repeats(docs)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    out = cut.withColumn("text", text)
+    """Texts without the stretches that repeat; bytes of characters that a cut has split go too, n_chars is counted anew.
+
+    A null text stays null.
+    """
+    cut = without_repeats(docs.withColumn("_null", F.col("text").isNull()))
+    out = cut.withColumn("text", F.when(~F.col("_null"), F.col("kept_text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
