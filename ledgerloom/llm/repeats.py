@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch_of, chunks, prefix_hashes, span_hashes, table, utf8
+from .common import CHUNK_BYTES, Scratch, batch_of, prefix_hashes, span_hashes, table, utf8
 
 SPAN = 200
 K = 32
@@ -74,41 +74,73 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return row[new], place[new] - base, start[new] - base, start[last] - base, h[place[new]].view(np.int64)
 
 
+def packed_rows(docs: DataFrame, rest: list[str]) -> DataFrame:
+    """u (a number of its own), n (bytes), z (the text, compressed by row: it is shuffled twice), rest (other columns)."""
+    import zstandard
+
+    names = ["rest"] if rest else []
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            data, at = utf8(b.column(1))
+            raw = data.tobytes()
+            z = [press(raw[x:y]) if y > x else None for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield batch_of(u=b.column(0), n=np.diff(at), z=pa.array(z, pa.binary()), **{c: b.column(2) for c in names})
+
+    inputs = docs.select(F.monotonically_increasing_id().alias("u"), F.col("text").cast("string").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")] if rest else []))
+    return inputs.mapInArrow(pack, "u long, n long, z binary" + (f", rest {inputs.schema['rest'].dataType.simpleString()}" if rest else ""))
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, bytes, np.ndarray]]:
+    """Slices of whole rows with about `limit` bytes of text each, the texts end to end, and their offsets."""
+    import zstandard
+
+    expand = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        z = batch.column(batch.schema.get_field_index("z"))
+        at = np.concatenate(([0], np.cumsum(batch.column(batch.schema.get_field_index("n")).to_numpy())))
+        start = 0
+        while start < batch.num_rows:
+            end = min(max(start + 1, int(np.searchsorted(at, at[start] + limit, side="right")) - 1), batch.num_rows)
+            yield batch.slice(start, end - start), b"".join(expand(x) for x in z.slice(start, end - start).to_pylist() if x is not None), at[start : end + 1] - at[start]
+            start = end
+
+
 def find_anchors(rows: DataFrame) -> DataFrame:
-    """u, p, s, e, k: anchors of every row (u, text)."""
+    """u, p, s, e, k: anchors of every row (u, n, z)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, at in chunks(batches, "text", 2 << 20):
-            row, p, s, e, k = anchors(data, at)
+        for batch, raw, at in unpacked(batches, 2 << 20):
+            row, p, s, e, k = anchors(np.frombuffer(raw, np.uint8), at)
             if len(row):
                 yield batch_of(u=batch.column(0).take(pa.array(row)), p=p.astype(np.int32), s=s.astype(np.int32), e=e.astype(np.int32), k=k)
 
-    return rows.select("u", "text").mapInArrow(run, "u long, p int, s int, e int, k long")
+    return rows.select("u", "n", "z").mapInArrow(run, "u long, p int, s int, e int, k long")
 
 
 def contexts(rows: DataFrame, live: DataFrame) -> DataFrame:
     """u, p, s, e, k, c, ctx: the live anchors with their contexts [s, e + SPAN) and a hash of context and place in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                data, at = utf8(part.column(1))
-                raw = data.tobytes()
-                marks = part.column(2)
-                sizes = np.diff(marks.offsets.to_numpy())
-                flat = marks.flatten()
-                p, s, e, k = (flat.field(n).to_numpy() for n in ("p", "s", "e", "k"))
-                base = np.repeat(at[:-1], sizes)
-                ctx = [raw[a:b] for a, b in zip((base + s).tolist(), (base + e + SPAN).tolist(), strict=True)]
-                c = [hashlib.blake2b(x, digest_size=16, salt=int(o).to_bytes(4, "big")).digest() for x, o in zip(ctx, (p - s).tolist(), strict=True)]
-                for j in range(0, len(ctx), 20_000):
-                    t = slice(j, j + 20_000)
-                    yield batch_of(u=pa.array(np.repeat(part.column(0).to_numpy(), sizes)[t]), p=p[t], s=s[t], e=e[t], k=k[t], c=pa.array(c[t], pa.binary()), ctx=pa.array(ctx[t], pa.binary()))
+        for part, raw, at in unpacked(batches, 1 << 20):
+            marks = part.column(part.schema.get_field_index("marks"))
+            sizes = np.diff(marks.offsets.to_numpy())
+            flat = marks.flatten()
+            p, s, e, k = (flat.field(n).to_numpy() for n in ("p", "s", "e", "k"))
+            base = np.repeat(at[:-1], sizes)
+            u = np.repeat(part.column(0).to_numpy(), sizes)
+            for j in range(0, len(p), 20_000):
+                t = slice(j, j + 20_000)
+                ctx = [raw[a:b] for a, b in zip((base[t] + s[t]).tolist(), (base[t] + e[t] + SPAN).tolist(), strict=True)]
+                c = [hashlib.blake2b(x, digest_size=16, salt=int(o).to_bytes(4, "big")).digest() for x, o in zip(ctx, (p[t] - s[t]).tolist(), strict=True)]
+                yield batch_of(u=pa.array(u[t]), p=p[t], s=s[t], e=e[t], k=k[t], c=pa.array(c, pa.binary()), ctx=pa.array(ctx, pa.binary()))
 
     marks = live.groupBy("u").agg(F.collect_list(F.struct("p", "s", "e", "k")).alias("marks"))
-    joined = rows.select("u", "text").join(marks, "u")
-    return joined.select("u", "text", "marks").mapInArrow(run, "u long, p int, s int, e int, k long, c binary, ctx binary")
+    joined = rows.select("u", "n", "z").join(marks, "u")
+    return joined.select("u", "n", "z", "marks").mapInArrow(run, "u long, p int, s int, e int, k long, c binary, ctx binary")
 
 
 class Family:
@@ -118,8 +150,8 @@ class Family:
     anchor the longest equal stretches go that some other context shares over SPAN bytes or more (0: none).
     """
 
-    def __init__(self, span: int = SPAN, k: int = K):
-        self.span, self.k = span, k
+    def __init__(self, span: int = SPAN, k: int = K, many: int = MANY):
+        self.span, self.k, self.many = span, k, many
         self.left = np.zeros((0, span - k + 1), np.uint8)
         self.right = np.zeros((0, span), np.uint8)
         self.left_size = self.right_size = np.zeros(0, np.int64)
@@ -162,10 +194,10 @@ class Family:
         run = np.flatnonzero(np.concatenate(([True], heads[1:] != heads[:-1])))
         size = np.diff(np.append(run, len(new)))
         cost = size * (high - low)[run]
-        for i in np.flatnonzero(cost > MANY).tolist():
+        for i in np.flatnonzero(cost > self.many).tolist():
             a, b = new[run[i] : run[i] + size[i]], level[low[run[i]] : high[run[i]]]
             self._by_fingerprint(a if itself else np.unique(np.concatenate((a, b))))
-        few = np.repeat(cost <= MANY, size)
+        few = np.repeat(cost <= self.many, size)
         new, low, many = new[few], low[few], (high - low)[few]
         ends = np.cumsum(many)
         start = 0
@@ -220,7 +252,7 @@ def resolve(index: DataFrame, scratch: Scratch) -> DataFrame:
     shards = max(1, total // SHARD_CONTEXTS + 1)
 
     def run(part: pa.Table) -> pa.Table:
-        family = Family()
+        family = Family(many=MANY)
         part = part.sort_by("k")
         c = part.column("c")
         ctx, o = part.column("ctx"), part.column("o")
@@ -252,26 +284,27 @@ def by_counted_fingerprints(index: DataFrame) -> DataFrame:
 
 
 def repeated_spans(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """u, start, end: stretches to remove of rows (u, text), possibly overlapping; rows must be kept (u stable)."""
+    """u, start, end: stretches to remove of rows (u, n, z), possibly overlapping; rows must be kept (u stable)."""
     found = scratch.keep(find_anchors(rows))
-    again = found.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
+    # A kept table on one side lets Spark split a hot string's rows on the other among tasks.
+    again = scratch.keep(found.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"))
     live = found.join(again, "k").select("u", "p", "s", "e", "k")
     members = scratch.keep(contexts(rows, live))
     scratch.drop(found)
     marks = members.select("u", "p", "s", "e", "k", "c")
     # One row stands for equal contexts; K-byte strings with a single context need no index.
     reps = scratch.keep(marks.groupBy("c").agg(F.count("*").alias("n"), F.min(F.struct("u", "p")).alias("x"), F.first("k").alias("k")).select("c", "n", "k", F.col("x.u").alias("u"), F.col("x.p").alias("p")))
-    mixed = reps.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("k")
+    mixed = scratch.keep(reps.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("k"))
     wanted = reps.join(mixed, "k").select("u", "p", "k", "c")
     index = wanted.join(members.select("u", "p", (F.col("p") - F.col("s")).alias("o"), "ctx"), ["u", "p"]).select("k", "c", "o", "ctx")
     partial = resolve(scratch.keep(index), scratch)
-    verdict = reps.join(partial, "c", "left").where("n > 1 OR l IS NOT NULL").select("c", "n", "l", "r")
+    verdict = scratch.keep(reps.join(partial, "c", "left").where("n > 1 OR l IS NOT NULL").select("c", "n", "l", "r"))
     whole = F.col("n") > 1
     return marks.join(verdict, "c").select("u", F.when(whole, F.col("s")).otherwise(F.col("p") - F.col("l")).alias("start"), F.when(whole, F.col("e") + SPAN).otherwise(F.col("p") + F.col("r")).alias("end"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """The rows of docs (all columns), with n_bytes, n_removed, n_spans, spans (start, end in bytes), kept (the bytes
+    """The rows of docs (all columns but the text), with n_bytes, n_removed, n_spans, spans (start, end in bytes), kept (the bytes
     left) and kept_text (the same without bytes of characters that a cut has split).
 
     Null and empty texts and texts under SPAN bytes lose nothing. Matches never cross rows; repeated rows
@@ -279,39 +312,35 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "repeats")
     taken = [c for c in docs.columns if c != "text"]
-    rows = scratch.keep(docs.select(F.monotonically_increasing_id().alias("u"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in taken]).alias("rest")) if taken else docs.select(F.monotonically_increasing_id().alias("u"), F.col("text").cast("string").alias("text")))
-    spans = repeated_spans(rows.where(F.octet_length("text") >= SPAN), scratch)
+    rows = scratch.keep(packed_rows(docs, taken))
+    spans = repeated_spans(rows.where(F.col("n") >= SPAN), scratch)
     # Of one row's stretches those that repeat (nested windows) are many: equal ones fall together first.
     own = spans.distinct().groupBy("u").agg(F.collect_list(F.struct("start", "end")).alias("marks"))
     pair = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     names = ["rest"] if taken else []
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, 512):
-                b = whole.slice(k, 512)
-                data, at = utf8(b.column(b.schema.get_field_index("text")))
-                raw = data.tobytes()
-                n, gone, runs, kept = [], [], [], []
-                for i, marks in enumerate(b.column(b.schema.get_field_index("marks")).to_pylist()):
-                    text = raw[at[i] : at[i + 1]]
-                    merged: list[list[int]] = []
-                    for m in sorted((m["start"], m["end"]) for m in marks or ()):
-                        if merged and m[0] <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], m[1])
-                        else:
-                            merged.append(list(m))
-                    edges = [0, *(x for m in merged for x in m), len(text)]
-                    n.append(len(text))
-                    gone.append(sum(e - s for s, e in merged))
-                    runs.append([{"start": s, "end": e} for s, e in merged])
-                    kept.append(b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)))
-                out = {c: b.column(b.schema.get_field_index(c)) for c in ("text", *names)}
-                yield batch_of(**out, n_bytes=pa.array(n, pa.int64()), n_removed=pa.array(gone, pa.int64()), n_spans=pa.array([len(r) for r in runs], pa.int64()), spans=pa.array(runs, pair), kept=pa.array(kept, pa.binary()), kept_text=pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()))
-
-    rest = f", rest {rows.schema['rest'].dataType.simpleString()}" if taken else ""
-    out = rows.join(own, "u", "left").select("text", *names, "marks").mapInArrow(cut, f"text string{rest}, n_bytes long, n_removed long, n_spans long, spans array<struct<start:int,end:int>>, kept binary, kept_text string")
-    return out.select(*[F.col(f"rest.`{c}`") if c != "text" else F.col("text") for c in docs.columns], "n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_text")
+        for b, raw, at in unpacked(batches, 2 << 20):
+            n, gone, runs, kept = [], [], [], []
+            for i, marks in enumerate(b.column(b.schema.get_field_index("marks")).to_pylist()):
+                text = raw[at[i] : at[i + 1]]
+                merged: list[list[int]] = []
+                for m in sorted((m["start"], m["end"]) for m in marks or ()):
+                    if merged and m[0] <= merged[-1][1]:
+                        merged[-1][1] = max(merged[-1][1], m[1])
+                    else:
+                        merged.append(list(m))
+                edges = [0, *(x for m in merged for x in m), len(text)]
+                n.append(len(text))
+                gone.append(sum(e - s for s, e in merged))
+                runs.append([{"start": s, "end": e} for s, e in merged])
+                kept.append(b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)))
+            out = {c: b.column(b.schema.get_field_index(c)) for c in names}
+            yield batch_of(**out, n_bytes=pa.array(n, pa.int64()), n_removed=pa.array(gone, pa.int64()), n_spans=pa.array([len(r) for r in runs], pa.int64()), spans=pa.array(runs, pair), kept=pa.array(kept, pa.binary()), kept_text=pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()))
+
+    rest = f"rest {rows.schema['rest'].dataType.simpleString()}, " if taken else ""
+    out = rows.join(own, "u", "left").select("n", "z", *names, "marks").mapInArrow(cut, f"{rest}n_bytes long, n_removed long, n_spans long, spans array<struct<start:int,end:int>>, kept binary, kept_text string")
+    return out.select(*[F.col(f"rest.`{c}`") for c in taken], "n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_text")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
