@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import case_queries, evaluation_queries, graph_queries, stream_queries, text_queries  # noqa: F401
+from . import case_queries, evaluation_queries, graph_queries, narrative_queries, stream_queries, text_queries  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
