@@ -80,28 +80,46 @@ def minhash_signatures(sets: DataFrame, column: str, permutations: int = 128, se
 
 
 def lsh_near_duplicates(docs: DataFrame, threshold: float = 0.8, permutations: int = 128, bands: int = 32) -> DataFrame:
-    """a, b, jaccard: pairs whose MinHash bands meet and whose exact shingle Jaccard reaches the threshold.
+    """a, b, jaccard: for every dropped shingle set the kept one (of smaller id) that drops it; ids are the smallest with a set.
 
-    Equal shingle sets are taken together first and every set of a band's bucket meets the bucket's smallest set only, so that a
-    bucket of n sets gives n pairs; pairs are class representatives.
+    Greedy in id order over MinHash candidates, confirmed exactly: equal sets are taken together first; in every band's bucket the
+    smallest id left is compared with the others, those that reach the threshold go, and the next smallest is looked at in
+    the next round. A bucket of n copies costs n comparisons, not n^2; rounds end when no bucket holds two sets.
     """
+    from ..sources.stores import scratch_table
+
+    spark = docs.sparkSession
     # The filter is on the words: on the shingles it would be pushed down, and compute the words anew for each shingle.
     t = docs.select("doc_id", words(F.coalesce("text", F.lit(""))).alias("w")).where(F.size("w") > 0).select("doc_id", shingles(F.col("w")).alias("s"))
-    t = t.withColumn("k", F.xxhash64(F.array_sort("s"))).groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.first("s").alias("s"))
+    t = t.withColumn("k", F.xxhash64(F.array_sort("s"))).groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.first("s").alias("s")).select("doc_id", "s")
     rows = permutations // bands
-    sig = minhash_signatures(t, "s", permutations)
-    banded = sig.select("doc_id", F.posexplode(F.array(*[F.xxhash64(F.slice("sig", b * rows + 1, rows)) for b in range(bands)])).alias("band", "h"))
-    hubs = banded.groupBy("band", "h").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    pairs = banded.join(hubs, ["band", "h"]).where("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    sets = t.select("doc_id", "s")
-    x, y = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
-    j = pairs.join(x, "a").join(y, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
-    return j.withColumn("jaccard", F.col("i") / (F.size("sa") + F.size("sb") - F.col("i"))).where(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
+    sig = scratch_table(spark, minhash_signatures(t, "s", permutations))
+    left = scratch_table(spark, sig.select("doc_id", F.posexplode(F.array(*[F.xxhash64(F.slice("sig", b * rows + 1, rows)) for b in range(bands)])).alias("band", "h")))
+    found = None
+    while True:
+        left = left.join(left.groupBy("band", "h").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "h", "a"), ["band", "h"])
+        left = scratch_table(spark, left)
+        if not left.take(1):
+            break
+        pairs = left.where("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+        x, y = sig.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), sig.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
+        j = pairs.join(x, "a").join(y, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
+        near = j.select("a", "b", (F.col("i") / (F.size("sa") + F.size("sb") - F.col("i"))).alias("jaccard")).where(F.col("jaccard") >= threshold)
+        near = scratch_table(spark, near)
+        # A set that a smaller one drops drops nothing; its own candidates are looked at again.
+        sure = near.join(near.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        found = sure if found is None else found.unionByName(sure)
+        gone = sure.select(F.col("b").alias("doc_id")).distinct()
+        waits = near.select(F.col("a").alias("doc_id")).join(near.select(F.col("b").alias("doc_id")), "doc_id", "left_semi").distinct().select("doc_id", F.lit(True).alias("waits"))
+        # A bucket's smallest has met all others, unless it waits for its own fate.
+        left = left.join(gone, "doc_id", "left_anti").join(waits.withColumnRenamed("doc_id", "a"), "a", "left").where("doc_id > a OR waits").select("band", "h", "doc_id")
+    return found if found is not None else spark.createDataFrame([], "a long, b long, jaccard double")
 
 
 def drop_near_duplicates(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Documents that no pair drops: of a pair the larger id goes."""
-    return docs.join(pairs.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_anti")
+    """Documents that no pair drops: of a pair the larger id goes, and so do exact copies but the first of each text."""
+    copies = exact_duplicates(docs.where("text <> ''")).where("doc_id <> first_id").select("doc_id")
+    return docs.join(pairs.select(F.col("b").alias("doc_id")).unionByName(copies).distinct(), "doc_id", "left_anti")
 
 
 def masked(text: Column) -> Column:
