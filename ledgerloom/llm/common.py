@@ -114,6 +114,12 @@ def batch_of(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
 
 
+def runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values, begins and ends of the runs of equal values in a sorted array."""
+    values, begin = np.unique(key, return_index=True)
+    return values, begin, np.append(begin[1:], len(key)) if len(begin) else begin
+
+
 # --- hashing --------------------------------------------------------------------------------------
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch_of, chunks, mix, prefix_hashes, span_hashes, table, words
+from .common import Scratch, batch_of, chunks, mix, prefix_hashes, runs, span_hashes, table, words
 from .components import connected_components
 
 N = 5
@@ -156,8 +156,7 @@ def set_tables(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
             bucket = ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             h, row, bucket = h[order], row[order], bucket[order]
-            there, begin = np.unique(bucket, return_index=True)
-            end = np.append(begin[1:], len(h))
+            there, begin, end = runs(bucket)
             low, high = h.astype(np.uint32), ((h >> np.uint64(32)) & np.uint64(255)).astype(np.uint8)
             row = _rows(row, len(size))
             yield batch_of(
@@ -191,8 +190,7 @@ def set_tables(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
         order = np.argsort(src, kind="stable")
         some, df, src = some[order], np.minimum(df[order], 65535).astype(np.uint16), src[order]
         low, high, row = low[some], high[some], row[some]
-        there, begin = np.unique(src, return_index=True)
-        end = np.append(begin[1:], len(src))
+        there, begin, end = runs(src)
         cut = lambda a: pa.array([a[x:y].tobytes() for x, y in zip(begin, end, strict=True)], pa.binary())
         back = pa.array([row[x:y].astype(np.uint16 if short[i] else np.uint32).tobytes() for i, x, y in zip(there.tolist(), begin, end, strict=True)], pa.binary())
         return pa.table({"g": np.full(len(there), g), "block": part.column("block").combine_chunks().take(pa.array(there)), "low": cut(low), "high": cut(high), "row": back, "df": cut(df)})
@@ -355,7 +353,8 @@ def jaccard_groups(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataF
     # Smallest ids are found per set first, then per component, so that no group is gathered.
     least = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = least.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    of_comp = named.groupBy("comp").agg(F.min("least").alias("component_id"))
+    named = scratch.keep(named)
+    of_comp = scratch.keep(named.groupBy("comp").agg(F.min("least").alias("component_id")))
     final = scratch.keep(named.join(of_comp, "comp").select("node", "component_id"))
     return rows.join(final, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
