@@ -21,9 +21,8 @@ WINDOW = 13
 SAME = 0.8
 LEAST_WORDS = 8
 """Items of fewer words are too short to tell a leak from common wording; they are not looked for."""
-BROADCAST_ROWS = 400_000
-"""Benchmark seeds are broadcast up to so many rows (of some 30 bytes and the item's word hashes)."""
-BROADCAST_WORDS = 4_000_000
+BROADCAST_BYTES = 64 << 20
+"""The benchmark's seeds (each with its item's word hashes) are broadcast up to so many bytes."""
 
 
 def word_hashes(text: Column) -> Column:
@@ -57,9 +56,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     fewer than LEAST_WORDS words are not looked for.
     """
     items = benchmark.select(F.col("item_id"), word_hashes(F.col("text")).alias("_b")).where(F.size("_b") >= LEAST_WORDS).distinct()
-    rows, words = items.agg(F.count("*"), F.coalesce(F.sum(F.size("_b")), F.lit(0))).first()
+    # A seed row is some 40 bytes and four for each word of its item, and an item has at most a seed for each word and mask.
+    size = items.agg(F.coalesce(F.sum(F.size("_b").cast("long") * (4 * F.size("_b") + 40)), F.lit(0))).first()[0] * len(MASKS)
     probe = seeded(items, "_b").withColumnRenamed("_at", "_i")
-    if rows * 1.0 and words * len(MASKS) <= BROADCAST_ROWS and words * words / rows <= BROADCAST_WORDS:
+    if size <= BROADCAST_BYTES:
         probe = F.broadcast(probe)
     near = seeded(docs.select(F.col("doc_id"), word_hashes(F.col("text")).alias("_h")), "_h").join(probe, "_seed")
     shift = F.col("_at") - F.col("_i")

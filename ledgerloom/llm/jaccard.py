@@ -361,3 +361,14 @@ def jaccard_groups(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataF
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
+#: The same by all pairs, for tables on which that is quick enough.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, row_number() OVER () AS k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, k, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+g AS (SELECT k, unnest(s) AS g FROM sets), c AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.k < b.k GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN sets x ON x.k = a JOIN sets y ON y.k = b WHERE 100 * c >= 80 * (len(x.s) + len(y.s) - c)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(k, j) AS (SELECT k, k FROM sets UNION SELECT r.k, e.b FROM r JOIN e ON r.j = e.a)
+SELECT any_value(o.doc_id) AS doc_id, CAST(any_value(len(o.s)) AS BIGINT) AS n_shingles, min(m.doc_id) AS component_id FROM r JOIN sets o ON o.k = r.k JOIN sets m ON m.k = r.j GROUP BY r.k
+"""

@@ -5,11 +5,13 @@ from __future__ import annotations
 from .context_mixing import op3_lm_scoring
 from .decontamination import SQL as op8_sql
 from .decontamination import op8_decontamination
+from .jaccard import SQL as op4_sql
 from .jaccard import op4_ngram_jaccard
 from .language import op9_language
 from .media import op2_media_columns
 from .packing import op10_best_fit_packing
 from .quality import op5_quality_classifier
+from .repeats import SQL as op7_sql
 from .repeats import op7_suffix_dedup
 from .token_counts import op6_token_counts
 from .toxicity import op1_toxicity
@@ -29,5 +31,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op4_ngram_jaccard": op4_sql,
+    "op7_suffix_dedup": op7_sql,
     "op8_decontamination": op8_sql,
 }

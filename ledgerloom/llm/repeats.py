@@ -346,3 +346,16 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same by every 200-byte string of every text, for tables on which that is quick enough.
+SQL = r"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS k, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT k, i, hash(substr(h, 2 * i + 1, 400)) AS f FROM (SELECT k, h, unnest(range(0, strlen(h) // 2 - 199)) AS i FROM t)),
+d AS (SELECT k, i FROM w WHERE f IN (SELECT f FROM w GROUP BY 1 HAVING count(*) > 1)),
+s AS (SELECT k, i, CASE WHEN i - lag(i) OVER (PARTITION BY k ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM d),
+n AS (SELECT k, i, sum(new) OVER (PARTITION BY k ORDER BY i) AS g FROM s), gone AS (SELECT k, min(i) AS a, max(i) + 200 AS b FROM n GROUP BY k, g),
+edge AS (SELECT k, a, b, lag(b, 1, 0) OVER (PARTITION BY k ORDER BY a) AS before FROM gone),
+kept AS (SELECT k, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS x, max(b) AS last, sum(b - a) AS removed, count(*) AS spans FROM edge JOIN t USING (k) GROUP BY k)
+SELECT doc_id, CAST(strlen(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(CASE WHEN removed IS NULL THEN h ELSE concat(x, substr(h, 2 * last + 1)) END)) AS kept_sha256 FROM t LEFT JOIN kept USING (k)
+"""

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import components, context_mixing, decontamination, jaccard, language, media, packing, quality, repeats, token_counts, toxicity
+from ledgerloom.llm import components, context_mixing, decontamination, jaccard, language, media, packing, quality, registry, repeats, token_counts, toxicity
 from ledgerloom.llm.common import Scratch, table
 
 P = pytest.importorskip("public_tokenizers")
@@ -449,18 +449,21 @@ def test_overlaps(spark, hard):
 def test_shuffled_seeds_give_the_same(spark, tiny, monkeypatch):
     docs, bench = table(spark, tiny, "documents"), table(spark, tiny, "benchmark")
     a = sorted(map(tuple, decontamination.overlaps(docs, bench).collect()))
-    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", -1)
     assert sorted(map(tuple, decontamination.overlaps(docs, bench).collect())) == a and a
 
 
-def test_sql_of_decontamination(spark, tiny):
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_sql(spark, tiny, name):
     import duckdb
 
     c = duckdb.connect()
     for t in ("documents", "benchmark"):
         c.execute(f"create view {t} as select * from read_parquet('{tiny}/{t}.parquet')")
-    want = sorted(c.execute(f"select doc_id, item_id, n_same, n_window, start from ({decontamination.SQL})").fetchall())
-    assert sorted(map(tuple, decontamination.op8_decontamination(spark, tiny).collect())) == want
+    got = registry.QUERIES[name](spark, tiny)
+    cols = sorted(got.columns)
+    want = sorted(c.execute(f"select {', '.join(cols)} from ({registry.ORACLE_SQL[name]})").fetchall())
+    assert sorted(map(tuple, got.select(*cols).collect())) == want
 
 
 # --- the pipeline -----------------------------------------------------------------------------------------------------
@@ -503,8 +506,6 @@ def test_pipeline_on_hard_rows(spark, hard, empty, tiny):
 
 
 def test_queries_have_contract_columns(spark, tiny):
-    from ledgerloom.llm import registry
-
     want = {
         "op1": "doc_id held_out score predicted", "op2": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature", "op3": "doc_id held_out n_tokens n_known train_tokens base_score score",
         "op4": "doc_id n_shingles component_id", "op5": "doc_id held_out score predicted", "op6": "doc_id n_bytes n_tokens over_limit", "op7": "doc_id n_bytes n_removed n_spans kept_sha256", "op8": "doc_id item_id",
