@@ -12,6 +12,7 @@ Conventions every operator follows, unless its docstring says otherwise:
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import uuid
 from collections.abc import Callable, Iterator
@@ -68,9 +69,15 @@ class Scratch:
         return out
 
     def drop(self, df: DataFrame) -> None:
-        """Remove a kept table that no later result reads."""
+        """Remove a kept table that no later result reads, and what the jobs before it left in shuffles.
+
+        Spark's cleaner removes shuffle files once their plan has been collected as garbage, which a driver
+        with little to do may put off for long; so the driver is asked to collect.
+        """
         if path := getattr(df, "_scratch_path", None):
             _remove(self.spark, path)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
 
 # --- Arrow views of texts -------------------------------------------------------------------------
@@ -170,6 +177,19 @@ def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _STEP)
 
 
+def hashed_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, limit: int = CHUNK_BYTES) -> np.ndarray:
+    """Hashes of ascending spans; of a very long text in pieces, so that the running sums stay small."""
+    if len(data) <= 2 * limit:
+        return span_hashes(prefix_hashes(data), start, end)
+    out, i = np.empty(len(start), np.uint64), 0
+    while i < len(start):
+        base = start[i]
+        j = max(i + 1, int(np.searchsorted(end, base + limit, side="right")))
+        out[i:j] = span_hashes(prefix_hashes(data[base : end[j - 1]]), start[i:j] - base, end[i:j] - base)
+        i = j
+    return out
+
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)

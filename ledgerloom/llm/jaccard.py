@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch_of, chunks, mix, prefix_hashes, runs, span_hashes, table, words
+from .common import Scratch, batch_of, chunks, hashed_spans, mix, runs, table, words
 from .components import connected_components
 
 N = 5
@@ -51,7 +51,7 @@ def needed(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 def shingles(data: np.ndarray, at: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of a chunk's texts, sorted within each text, and offsets."""
     lower, start, end, first = words(data, at)
-    w = span_hashes(prefix_hashes(lower), start, end)
+    w = hashed_spans(lower, start, end)
     count = np.diff(first)
     windows = np.where(count >= n, count - n + 1, np.minimum(count, 1))
     row = np.repeat(np.arange(len(count)), windows)

@@ -87,14 +87,13 @@ def _segment(marker: int, body: bytes) -> bytes:
 
 
 def shape(n: int) -> list[tuple[int, int]]:
-    """Images for a payload of n bytes (a multiple of 576): (columns, rows) of blocks."""
-    if n <= 24 * MOST_BLOCKS:
-        return [(24, n // 24)]
+    """Images for a payload of n bytes (a multiple of 576): (columns, rows) of blocks. All but the last are full."""
     out = []
     while n:
-        rows = min(n // UNIT, MOST_BLOCKS)
-        out.append((UNIT, rows))
-        n -= rows * UNIT
+        part = min(n, UNIT * MOST_BLOCKS)
+        columns = 24 if part <= 24 * MOST_BLOCKS else UNIT
+        out.append((columns, part // columns))
+        n -= part
     return out
 
 
@@ -113,6 +112,20 @@ def header(columns: int, rows: int) -> bytes:
 def write_payloads(payload: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     """JPEG bytes of payloads that lie end to end (each a positive multiple of 576 bytes)."""
     images = [(i, *s) for i, n in enumerate(sizes.tolist()) for s in shape(n)]
+    done, start, first = [b""] * len(sizes), 0, 0
+    while first < len(images):  # a very long payload goes in groups of its images
+        last, stop = first, start
+        while last < len(images) and (last == first or stop + images[last][1] * images[last][2] - start <= 2 * CHUNK):
+            stop += images[last][1] * images[last][2]
+            last += 1
+        for (i, columns, rows), body in zip(images[first:last], _entropy_coded(payload[start:stop], images[first:last]), strict=True):
+            done[i] += header(columns, rows) + body
+        first, start = last, stop
+    return done
+
+
+def _entropy_coded(payload: np.ndarray, images: list[tuple[int, int, int]]) -> list[bytes]:
+    """By image its scan's bytes and the end marker."""
     blocks = payload.reshape(-1, UNIT).astype(np.int64)
     index = np.diff(blocks, axis=1, prepend=128) + 255
     bits, value = _BITS[index], _VALUE[index]
@@ -143,11 +156,8 @@ def write_payloads(payload: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     out[ends + 2] = 0xD0 + number % 8
     out[ends[last] + 2] = 0xD9
     stops = ends[last] + 3
-    raw, done, start = out.tobytes(), [b""] * len(sizes), 0
-    for (i, columns, rows), stop in zip(images, stops.tolist(), strict=True):
-        done[i] += header(columns, rows) + raw[start:stop]
-        start = stop
-    return done
+    raw = out.tobytes()
+    return [raw[x:y] for x, y in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
 
 
 def store_payloads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -352,7 +362,7 @@ def read_images(stored: list[bytes | None]) -> list[list[Image] | str]:
         except (Unreadable, IndexError) as e:
             out[i] = str(e) or "cut off"
     images: dict[int, dict[int, Image]] = defaultdict(dict)
-    for (blocks, tables), items in work.items():
+    for (blocks, tables), items in _bounded(work):
         items = [x for x in items if out[x[0]] is None]
         # Stuffed zeros go; positions move down by as many as stand before them.
         data, begin, end, base = [], [], [], 0
@@ -394,6 +404,21 @@ def read_images(stored: list[bytes | None]) -> list[list[Image] | str]:
     return [out[i] if out[i] is not None else [images[i][f] for f in range(len(parsed[i]))] for i in range(len(stored))]
 
 
+def _bounded(work: dict[tuple, list]) -> Iterator[tuple[tuple, list]]:
+    """Images that share their tables, in groups of about 2 CHUNK entropy-coded bytes."""
+    for key, items in work.items():
+        group, size = [], 0
+        for x in items:
+            n = int(x[4][-1] - x[3][0])
+            if group and size + n > 2 * CHUNK:
+                yield key, group
+                group, size = [], 0
+            group.append(x)
+            size += n
+        if group:
+            yield key, group
+
+
 def average_grid(thumb: np.ndarray, rows: int, columns: int) -> np.ndarray:
     """Means over a grid of cells; small thumbnails repeat their samples."""
     a = thumb.astype(np.float64)

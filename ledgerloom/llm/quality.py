@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch_of, chunks, fold, prefix_hashes, span_hashes, table, words
+from .common import Scratch, batch_of, chunks, fold, hashed_spans, table, words
 
 FEATURES = (
     "log_bytes", "log_words", "mean_word", "spread_word", "letters", "digits", "marks", "stops", "blanks", "capitals",
@@ -32,7 +32,8 @@ _KIND[128:] = 0
 _KIND[[33, 44, 46, 58, 59, 63]] = 5  # stops
 _KINDS = np.zeros((256, 6))
 _KINDS[np.arange(256), _KIND] = 1
-_IS_MARK = (_KIND == 2).astype(np.int64)
+_IS_MARK = (_KIND == 2).astype(np.uint8)
+PART = 4 << 20
 
 
 def _logit(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
@@ -51,8 +52,8 @@ def statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Rows x FEATURES of the texts in a chunk. An empty text has the statistics of no words and no bytes."""
     rows = len(at) - 1
     n = np.diff(at).astype(np.float64)
-    row = np.repeat(np.arange(rows), np.diff(at))
-    hist = np.bincount(row * 256 + data, minlength=rows * 256).reshape(rows, 256)
+    row = np.repeat(np.arange(rows, dtype=np.int32), np.diff(at))
+    hist = sum(np.bincount(row[i : i + PART] * 256 + data[i : i + PART], minlength=rows * 256) for i in range(0, max(len(data), 1), PART)).reshape(rows, 256)
     kinds = hist @ _KINDS
     share = hist / np.maximum(n, 1)[:, None]
     entropy = -(share * np.log2(np.where(share > 0, share, 1))).sum(axis=1)
@@ -63,16 +64,15 @@ def statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     some = np.maximum(count, 1)
     mean = np.bincount(word_row, length, rows) / some
     spread = np.sqrt(np.maximum(np.bincount(word_row, length**2, rows) / some - mean**2, 0))
-    sums = prefix_hashes(lower)
-    distinct = _repeats(span_hashes(sums, starts, ends), word_row, rows)
-    marks = np.concatenate(([0], np.cumsum(_IS_MARK[data])))
-    marked = np.bincount(word_row, (marks[ends] - marks[starts]) > 0, rows)
+    distinct = _repeats(hashed_spans(lower, starts, ends), word_row, rows)
+    # From one word's begin to the next there are blanks besides, which are no marks.
+    marked = np.bincount(word_row, np.maximum.reduceat(_IS_MARK[data], starts) if len(starts) else (), rows)
     breaks = np.flatnonzero(data == 10)
     line_start = np.unique(np.concatenate((at[:-1][n > 0], breaks[breaks + 1 < len(data)] + 1)))
     line_end = np.concatenate((line_start[1:], [len(data)])) if len(line_start) else line_start
     line_row = np.searchsorted(at, line_start, side="right") - 1
     lines = np.bincount(line_row, minlength=rows).astype(np.float64)
-    unlike = _repeats(span_hashes(sums, line_start, line_end), line_row, rows)
+    unlike = _repeats(hashed_spans(lower, line_start, line_end), line_row, rows)
     return np.column_stack((
         np.log1p(n), np.log1p(count), np.log1p(mean), np.log1p(spread), _logit(kinds[:, 0] + kinds[:, 4], n), _logit(kinds[:, 1], n), _logit(kinds[:, 2], n), _logit(kinds[:, 5], n), _logit(kinds[:, 3], n), _logit(kinds[:, 4], n),
         _logit(distinct, count), np.log1p(lines), _logit(lines - unlike, lines), entropy, _logit(np.bincount(word_row, length <= 3, rows), count), _logit(np.bincount(word_row, length >= 12, rows), count), _logit(np.bincount(word_row, length == 1, rows), count), _logit(marked, count),

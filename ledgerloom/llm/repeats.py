@@ -28,6 +28,7 @@ SPAN = 200
 K = 32
 WINDOWS = SPAN - K + 1
 HOT = 20_000
+SEGMENT = 4 << 20
 BATCH = 8192
 """Contexts of one batch of the index family."""
 SHARD_CONTEXTS = 30_000
@@ -45,8 +46,14 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     none = np.zeros(0, np.int64)
     if n < SPAN:
         return none, none, none, none, none
-    if n >= 1 << 28:
-        raise ValueError("texts of 256 MB and more are not provided for")
+    if n > 2 * SEGMENT and len(at) == 2:
+        # A very long text goes in stretches that overlap by a string less a byte: every string lies in one of them.
+        parts = []
+        for start in range(0, n - SPAN + 1, SEGMENT):
+            part = data[start : start + SEGMENT + SPAN - 1]
+            row, p, s, e, k = anchors(part, np.array([0, len(part)]))
+            parts.append((row, p + start, s + start, e + start, k))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     sums = prefix_hashes(data)
     places = np.arange(n - K + 1)
     h = span_hashes(sums, places, places + K)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, fold, table, texts
+from .common import batch_of, chunks, fold, table, texts
 
 SAMPLE = 1500
 """At most so many documents of each class (those with the smallest hashes of id and text) train the model."""
@@ -30,6 +30,7 @@ SAMPLE_BYTES = 20_000
 BUCKETS = 1 << 18
 WINDOW = 64
 KEPT_WORDS = 300_000
+CHUNK = 8 << 20
 LEAST_GAIN = 12.0
 EXPLAINED = 0.5
 
@@ -282,32 +283,30 @@ def toxicity(docs: DataFrame, field: Field) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         known = _Emissions(model)
-        for whole in batches:
-            for k in range(0, whole.num_rows, 2500):
-                batch = whole.slice(k, 2500)
-                rows = texts(batch.column(1))
-                found = [[known[w] for w in _WORD.findall(lowered(t))] for t in rows]
-                sizes = np.array([len(f) for f in found], np.int64)
-                e = np.concatenate([np.array(f) for f in found]) if len(found) else np.zeros(0)
-                p = model.marginals(e, sizes) if model.trained else np.zeros(len(e))
-                s = model.scores(model.summary(p, sizes))
-                ends = np.cumsum(sizes)
-                hot = np.unique(np.searchsorted(ends, np.flatnonzero(p > 0.5), side="right"))
-                spans: list[list] = [[] for _ in rows]
-                for i in hot.tolist():
-                    q = p[ends[i] - sizes[i] : ends[i]]
-                    open_ = None
-                    for m, v in zip(_WORD.finditer(lowered(rows[i])), q, strict=True):
-                        if v > 0.5:
-                            open_ = {"start": open_["start"], "end": m.end(), "p": max(open_["p"], float(v))} if open_ else {"start": m.start(), "end": m.end(), "p": float(v)}
-                        elif open_:
-                            spans[i].append(open_)
-                            open_ = None
-                    if open_:
+        for batch, _, _ in chunks(batches, "text", CHUNK):
+            rows = texts(batch.column(1))
+            found = [[known[w] for w in _WORD.findall(lowered(t))] for t in rows]
+            sizes = np.array([len(f) for f in found], np.int64)
+            e = np.concatenate([np.array(f) for f in found]) if len(found) else np.zeros(0)
+            p = model.marginals(e, sizes) if model.trained else np.zeros(len(e))
+            s = model.scores(model.summary(p, sizes))
+            ends = np.cumsum(sizes)
+            hot = np.unique(np.searchsorted(ends, np.flatnonzero(p > 0.5), side="right"))
+            spans: list[list] = [[] for _ in rows]
+            for i in hot.tolist():
+                q = p[ends[i] - sizes[i] : ends[i]]
+                open_ = None
+                for m, v in zip(_WORD.finditer(lowered(rows[i])), q, strict=True):
+                    if v > 0.5:
+                        open_ = {"start": open_["start"], "end": m.end(), "p": max(open_["p"], float(v))} if open_ else {"start": m.start(), "end": m.end(), "p": float(v)}
+                    elif open_:
                         spans[i].append(open_)
-                yield batch_of(doc_id=batch.column(0), score=s, predicted=(s >= 0.5).astype(np.int32), spans=pa.array(spans, span))
+                        open_ = None
+                if open_:
+                    spans[i].append(open_)
+            yield batch_of(doc_id=batch.column(0), score=s, predicted=(s >= 0.5).astype(np.int32), spans=pa.array(spans, span))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(score, "doc_id long, score double, predicted int, spans array<struct<start:int,end:int,p:double>>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(score, "doc_id long, score double, predicted int, spans array<struct<start:int,end:int,p:double>>")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

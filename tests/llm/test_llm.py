@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import components, context_mixing, decontamination, jaccard, language, media, packing, quality, registry, repeats, token_counts, toxicity
+from ledgerloom.llm import common, components, context_mixing, decontamination, jaccard, language, media, packing, quality, registry, repeats, token_counts, toxicity
 from ledgerloom.llm.common import Scratch, table
 
 P = pytest.importorskip("public_tokenizers")
@@ -80,7 +80,10 @@ def test_payload_round_trip(spark, hard):
 
 def test_many_images():
     data = np.random.default_rng(1).integers(0, 256, 576 * 8200, dtype=np.uint8)
-    images = media.read_images(media.write_payloads(data, np.array([len(data)])))[0]
+    small = data[:1152]
+    stored = media.write_payloads(np.concatenate((small, data, small)), np.array([1152, len(data), 1152]))
+    assert stored[0] == stored[2] == media.write_payloads(small, np.array([1152]))[0]
+    images = media.read_images(stored)[1]
     assert len(images) == 2 and b"".join(i.thumbnail.tobytes() for i in images) == data.tobytes()
 
 
@@ -390,6 +393,24 @@ def test_repeats(spark, mixed, hard, hot, batch, many, monkeypatch):
     assert got == repeats_truth([(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()])
 
 
+def test_long_texts_in_stretches(monkeypatch):
+    """Every string chooses the same anchor, whether a text is taken whole or in stretches."""
+    rng = np.random.default_rng(8)
+    data = rng.integers(97, 123, 5000, dtype=np.uint8)
+    data[3000:3900] = data[100:1000]
+    at = np.array([0, len(data)])
+    spread = lambda a: {(i, int(p), int(k)) for _, p, s, e, k in zip(*a, strict=True) for i in range(s, e + 1)}
+    whole = spread(repeats.anchors(data, at))
+    monkeypatch.setattr(repeats, "SEGMENT", 700)
+    assert spread(repeats.anchors(data, at)) == whole and len(whole) == 4801
+
+
+def test_spans_hash_alike_in_pieces():
+    data = np.random.default_rng(9).integers(0, 256, 3000, dtype=np.uint8)
+    start = np.arange(0, 2900, 7)
+    assert np.array_equal(common.hashed_spans(data, start, start + 20, 100), common.hashed_spans(data, start, start + 20))
+
+
 def test_levels_are_geometric():
     f = repeats.Family()
     rng = np.random.default_rng(7)
