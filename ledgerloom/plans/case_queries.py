@@ -10,7 +10,7 @@ from .registry import query
 
 W = f"WITH {TXN_SQL}"
 CASES = f"""{W}, cases AS (SELECT case_id, min(ts) AS start, max(ts) AS "end", count(*) AS n_edges, count(*) FILTER (is_laundering) AS n_flagged, CASE WHEN count(*) FILTER (is_laundering) > 0 THEN 'positive' ELSE 'negative' END AS case_class,
- CASE WHEN count(*) <= 5 THEN 'small' WHEN count(*) <= 20 THEN 'medium' ELSE 'large' END AS size_bucket, year(min(ts)) AS year FROM txn GROUP BY 1)"""
+ CASE WHEN count(*) <= 5 THEN 'small' WHEN count(*) <= 20 THEN 'medium' ELSE 'large' END AS size_bucket, CAST(year(min(ts)) AS INTEGER) AS year FROM txn GROUP BY 1)"""
 FIRST, SECOND = "1999-07-01 00:00:00", "2000-07-01 00:00:00"
 SPLITS = f"""{CASES}, marked AS (SELECT *, CASE WHEN (start < TIMESTAMP '{FIRST}' AND TIMESTAMP '{FIRST}' < "end") OR (start < TIMESTAMP '{SECOND}' AND TIMESTAMP '{SECOND}' < "end") THEN 'straddles'
  WHEN least(abs(epoch_us(start) - epoch_us(TIMESTAMP '{FIRST}')), abs(epoch_us("end") - epoch_us(TIMESTAMP '{FIRST}'))) < 86400000000 OR least(abs(epoch_us(start) - epoch_us(TIMESTAMP '{SECOND}')), abs(epoch_us("end") - epoch_us(TIMESTAMP '{SECOND}'))) < 86400000000 THEN 'within_buffer' END AS drop_reason FROM cases),

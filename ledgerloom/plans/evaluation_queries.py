@@ -97,7 +97,7 @@ def guard_candidates(spark, d):
     return claims.best_candidate(s.withColumnRenamed("g", "case_id")).withColumn("score", F.round("score", 9))
 
 
-@query("worst_cases", f"{SCORES_SQL}, f AS (SELECT *, split_part(case_id, '|', 1) AS bank, CASE WHEN precision + coverage > 0 THEN 2 * precision * coverage / (precision + coverage) ELSE 0.0 END AS f1 FROM scores), r AS (SELECT *, row_number() OVER (PARTITION BY bank ORDER BY n_contradicted DESC, f1, case_id) AS rank FROM f) SELECT bank, case_id, n_contradicted, f1, rank FROM r WHERE rank <= 3")
+@query("worst_cases", f"{SCORES_SQL}, f AS (SELECT *, split_part(case_id, '|', 1) AS bank, CASE WHEN precision + coverage > 0 THEN 2 * precision * coverage / (precision + coverage) ELSE 0.0 END AS f1 FROM scores), r AS (SELECT *, row_number() OVER (PARTITION BY bank ORDER BY n_contradicted DESC, f1, case_id) AS rank FROM f) SELECT bank, case_id, n_contradicted, f1, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3")
 def worst_cases(spark, d):
     s = claims.with_f1(scored(spark, d)).withColumn("bank", F.split_part("case_id", F.lit("|"), F.lit(1)))
     return claims.worst(s, "bank", 3).select("bank", "case_id", "n_contradicted", "f1", "rank")
