@@ -83,6 +83,33 @@ def subgraph_labels(memberships: DataFrame) -> DataFrame:
     return memberships.groupBy("subgraph_id").agg(F.when(F.min("label") == F.max("label"), F.min("label")).alias("label"), F.countDistinct("node_id").alias("n_nodes"), F.countDistinct("label").alias("n_labels"))
 
 
+def positive_seeds(edges: DataFrame, per_stream: int = 12) -> DataFrame:
+    """pattern_id, node_id, n: the busiest accounts of each laundering stream, at most `per_stream` (ties by id)."""
+    hit = edges.where("pattern_id IS NOT NULL")
+    ends = hit.select("pattern_id", F.col("src").alias("node_id")).unionAll(hit.select("pattern_id", "dst"))
+    g = ends.groupBy("pattern_id", "node_id").agg(F.count("*").alias("n"))
+    return g.withColumn("_k", F.row_number().over(W.partitionBy("pattern_id").orderBy(F.desc("n"), "node_id"))).where(F.col("_k") <= per_stream).drop("_k")
+
+
+def reference_check(edges: DataFrame, facts: DataFrame, store: str) -> DataFrame:
+    """graph_ref, stored_nodes, stored_edges, n_edges, resolves: stored cases against (case_id, n_edges) of their facts; either side may lack a case."""
+    n = edges.select("case_id", F.col("src").alias("v")).union(edges.select("case_id", "dst")).distinct().groupBy("case_id").agg(F.count("*").alias("stored_nodes"))
+    e = edges.groupBy("case_id").agg(F.count("*").alias("stored_edges"))
+    j = n.join(e, "case_id").join(facts.select("case_id", "n_edges"), "case_id", "full")
+    return j.select(F.concat(F.lit(f"{store}#"), "case_id").alias("graph_ref"), "stored_nodes", "stored_edges", "n_edges", F.coalesce(F.col("stored_edges") == F.col("n_edges"), F.lit(False)).alias("resolves"))
+
+
+def compare_to_published(observed: DataFrame, published: dict[str, float]) -> DataFrame:
+    """name, observed, published, delta."""
+    p = F.create_map(*[F.lit(x) for kv in published.items() for x in kv])[F.col("name")]
+    return observed.select("name", "observed", p.alias("published"), (F.col("observed") - p).alias("delta"))
+
+
+def realistic_stream(nodes: DataFrame, n: int, seed: str = "17") -> DataFrame:
+    """Accounts drawn evenly from the active ones, in hash order: a population with its own prevalence."""
+    return nodes.where("degree > 0").orderBy(F.sha2(F.concat_ws(":", F.lit(seed), "node_id"), 256)).limit(n)
+
+
 def expand(edges: DataFrame, seeds: DataFrame, k: int = 2, cap: int = 64) -> DataFrame:
     """case_id, node_id, depth: accounts within k hops of each seed (case_id, node_id, start, end), in the closed window.
 

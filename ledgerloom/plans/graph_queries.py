@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import facts, graph
+from ..operators import facts, graph, motif_scores
 from ..sources.transactions import TXN_SQL, TYPOLOGIES, txn
 from .registry import query
 
@@ -247,3 +247,43 @@ def edge_gap(spark, d):
 @query("feature_zscore", f"{W}, x AS (SELECT transaction_key, payment_currency, ln(1 + greatest(amount_paid, 0.0)) AS x, ts < TIMESTAMP '1999-01-01' AS tr FROM txn), s AS (SELECT payment_currency, avg(x) AS m, stddev_pop(x) AS sd FROM x WHERE tr GROUP BY 1), g AS (SELECT avg(x) AS gm, stddev_pop(x) AS gs FROM x WHERE tr) SELECT transaction_key, payment_currency, round(greatest(-8.0, least(8.0, (x - coalesce(m, gm)) / CASE WHEN coalesce(sd, gs) > 0 THEN coalesce(sd, gs) ELSE 1.0 END)), 4) AS z FROM x LEFT JOIN s USING (payment_currency) CROSS JOIN g")
 def feature_zscore(spark, d):
     return facts.zscores(txn(spark, d), F.col("ts") < F.lit("1999-01-01").cast("timestamp_ntz")).withColumn("z", F.round("z", 4))
+
+
+@query("soft_branching_scores", f"""{W}, p AS (SELECT DISTINCT src_bank, src, dst FROM txn WHERE src <> dst), fo AS (SELECT src_bank, max(n) AS a FROM (SELECT src_bank, src, count(*) AS n FROM p GROUP BY 1, 2) GROUP BY 1), fi AS (SELECT src_bank, max(n) AS b FROM (SELECT src_bank, dst, count(*) AS n FROM p GROUP BY 1, 2) GROUP BY 1),
+ q AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM p z WHERE z.src_bank = p.src_bank AND z.src = p.dst AND z.dst = p.src)), i AS (SELECT src_bank, dst AS v, count(*) AS i FROM q GROUP BY 1, 2), o AS (SELECT src_bank, src AS v, count(*) AS o FROM q GROUP BY 1, 2), h AS (SELECT src_bank, max(least(i, o)) AS h FROM i JOIN o USING (src_bank, v) GROUP BY 1),
+ m AS (SELECT src_bank, max(n) AS m FROM (SELECT x.src_bank, x.src, y.dst, count(*) AS n FROM p x JOIN p y ON x.src_bank = y.src_bank AND x.dst = y.src WHERE x.src <> y.dst GROUP BY 1, 2, 3) GROUP BY 1)
+SELECT src_bank, least(1.0, greatest(0.0, (a - 3) / 13)) AS fan_out, least(1.0, greatest(0.0, (b - 3) / 13)) AS fan_in, least(1.0, greatest(0.0, (coalesce(h, 0) - 2) / 6)) AS gather_scatter, least(1.0, greatest(0.0, (coalesce(m, 0) - 2) / 6)) AS scatter_gather FROM fo JOIN fi USING (src_bank) LEFT JOIN h USING (src_bank) LEFT JOIN m USING (src_bank)""")
+def soft_branching_scores(spark, d):
+    return motif_scores.branching_scores(txn(spark, d), "src_bank")
+
+
+@query("soft_motif_scores")
+def soft_motif_scores(spark, d):
+    """All seven scores of the cases (three follow order: tested against known shapes)."""
+    return motif_scores.motif_scores(txn(spark, d))
+
+
+@query("licit_nodes", f"{W}, {_HIT} SELECT DISTINCT v AS node_id FROM (SELECT src AS v FROM txn UNION SELECT dst FROM txn) WHERE v NOT IN (SELECT v FROM hit)")
+def licit_nodes(spark, d):
+    e = txn(spark, d)
+    return graph.node_table(e).select("node_id").join(facts.flagged_nodes(e), "node_id", "left_anti")
+
+
+@query("positive_seeds", f"""{W}, s AS (SELECT pattern_id, src AS v, count(*) AS n FROM txn WHERE pattern_id IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT pattern_id, dst, count(*) FROM txn WHERE pattern_id IS NOT NULL GROUP BY 1, 2), g AS (SELECT pattern_id, v, CAST(sum(n) AS BIGINT) AS n FROM s GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY pattern_id ORDER BY n DESC, v) AS k FROM g) SELECT pattern_id, v AS node_id, n FROM r WHERE k <= 12""")
+def positive_seeds(spark, d):
+    return graph.positive_seeds(txn(spark, d))
+
+
+@query("graph_reference_check", f"""{W}, n AS (SELECT case_id, count(DISTINCT v) AS stored_nodes FROM (SELECT case_id, src AS v FROM txn UNION SELECT case_id, dst FROM txn) GROUP BY 1), e AS (SELECT case_id, count(*) AS stored_edges FROM txn GROUP BY 1), f AS (SELECT case_id, n_edges FROM (SELECT case_id, count(*) AS n_edges FROM txn WHERE payment_currency <> 'R' GROUP BY 1))
+SELECT concat('store#', case_id) AS graph_ref, stored_nodes, stored_edges, n_edges, coalesce(stored_edges = n_edges, false) AS resolves FROM n JOIN e USING (case_id) FULL JOIN f USING (case_id)""")
+def graph_reference_check(spark, d):
+    e = txn(spark, d)
+    f = e.where("payment_currency <> 'R'").groupBy("case_id").agg(F.count("*").alias("n_edges"))
+    return graph.reference_check(e, f, "store")
+
+
+@query("published_statistics", f"{W} SELECT 'n_edges' AS name, CAST(count(*) AS DOUBLE) AS observed, 60000.0 AS published, CAST(count(*) - 60000 AS DOUBLE) AS delta FROM txn UNION ALL SELECT 'n_nodes', CAST(count(*) AS DOUBLE), 1000.0, CAST(count(*) - 1000 AS DOUBLE) FROM (SELECT src FROM txn UNION SELECT dst FROM txn)")
+def published_statistics(spark, d):
+    e = txn(spark, d)
+    seen = e.agg(F.lit("n_edges").alias("name"), F.count("*").cast("double").alias("observed")).unionByName(graph.node_table(e).agg(F.lit("n_nodes").alias("name"), F.count("*").cast("double").alias("observed")))
+    return graph.compare_to_published(seen, {"n_edges": 60000.0, "n_nodes": 1000.0})

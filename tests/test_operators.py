@@ -10,7 +10,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import formatting as fm
-from ledgerloom.operators import cases, claims, facts, graph, text
+from ledgerloom.operators import cases, claims, facts, graph, motif_scores, text
 from ledgerloom.operators import statistics as st
 
 
@@ -180,3 +180,25 @@ def test_near_duplicates_are_greedy(spark, tiny):
     d = spark.createDataFrame(rows_, "doc_id long, text string")
     pairs = text.lsh_near_duplicates(d, bands=64)
     assert {r["doc_id"] for r in text.drop_near_duplicates(d, pairs).select("doc_id").collect()} == set(kept)
+
+
+def test_soft_scores(spark):
+    def one(pairs):
+        return motif_scores.motif_scores(edges(spark, pairs)).first()
+
+    ring = one([("a", "b"), ("b", "c"), ("c", "a")])
+    assert (ring["cycle"], ring["best"], ring["best_score"]) == (1.0, "cycle", 1.0)
+    assert one([(f"n{i}", f"n{(i + 1) % 6}") for i in range(6)])["cycle"] == 0.5
+    fan = one([("h", f"x{i}") for i in range(16)])
+    assert (fan["fan_out"], fan["fan_in"], fan["best"]) == (1.0, 0.0, "fan_out")
+    assert one([("h", f"x{i}") for i in range(4)])["fan_out"] == round(1 / 13, 6)
+    sg = one([("o", m) for m in "pqrs"] + [(m, "d") for m in "pqrs"])
+    assert sg["scatter_gather"] == round(2 / 6, 6)
+    gs = one([(f"i{k}", "h") for k in range(4)] + [("h", f"o{k}") for k in range(3)] + [("o0", "h")])
+    assert gs["gather_scatter"] == 0.0  # o0 stands on both sides, so two are left on one of them
+    two = one([(a, b) for a in "pq" for b in "xy"])
+    assert two["bipartite"] == 1.0
+    assert one([(a, b) for a in "pq" for b in "xy"] * 2)["bipartite"] == 0.5  # transfers count below, pairs above
+    tower = [("s", "a"), ("s", "b")] + [(x, y) for u, v in (("ab", "cd"), ("cd", "ef"), ("ef", "gh")) for x in u for y in v]
+    assert one(tower)["stack"] == 1.0
+    assert one([("a", "a")])["best"] is None
