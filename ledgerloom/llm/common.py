@@ -14,6 +14,7 @@ from __future__ import annotations
 import atexit
 import gc
 import shutil
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -69,15 +70,21 @@ class Scratch:
         return out
 
     def drop(self, df: DataFrame) -> None:
-        """Remove a kept table that no later result reads, and what the jobs before it left in shuffles.
-
-        Spark's cleaner removes shuffle files once their plan has been collected as garbage, which a driver
-        with little to do may put off for long; so the driver is asked to collect.
-        """
+        """Remove a kept table that no later result reads."""
         if path := getattr(df, "_scratch_path", None):
             _remove(self.spark, path)
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+
+    def sweep(self) -> None:
+        """Free what finished jobs have left in shuffles.
+
+        Spark's cleaner removes shuffle files once their plan has been collected as garbage, which a driver with little
+        to do may put off for long. Plans hang on references from Python and through the JVM, so one collection follows
+        the other until they are gone.
+        """
+        for _ in range(3):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.2)
 
 
 # --- Arrow views of texts -------------------------------------------------------------------------

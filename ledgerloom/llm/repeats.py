@@ -298,13 +298,16 @@ def repeated_spans(rows: DataFrame, scratch: Scratch) -> DataFrame:
     live = found.join(again, "k").select("u", "p", "s", "e", "k")
     members = scratch.keep(contexts(rows, live))
     scratch.drop(found)
+    scratch.sweep()
     marks = members.select("u", "p", "s", "e", "k", "c")
     # One row stands for equal contexts; K-byte strings with a single context need no index.
     reps = scratch.keep(marks.groupBy("c").agg(F.count("*").alias("n"), F.min(F.struct("u", "p")).alias("x"), F.first("k").alias("k")).select("c", "n", "k", F.col("x.u").alias("u"), F.col("x.p").alias("p")))
     mixed = scratch.keep(reps.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("k"))
     wanted = reps.join(mixed, "k").select("u", "p", "k", "c")
     index = wanted.join(members.select("u", "p", (F.col("p") - F.col("s")).alias("o"), "ctx"), ["u", "p"]).select("k", "c", "o", "ctx")
-    partial = resolve(scratch.keep(index), scratch)
+    index = scratch.keep(index)
+    scratch.sweep()
+    partial = resolve(index, scratch)
     verdict = scratch.keep(reps.join(partial, "c", "left").where("n > 1 OR l IS NOT NULL").select("c", "n", "l", "r"))
     whole = F.col("n") > 1
     return marks.join(verdict, "c").select("u", F.when(whole, F.col("s")).otherwise(F.col("p") - F.col("l")).alias("start"), F.when(whole, F.col("e") + SPAN).otherwise(F.col("p") + F.col("r")).alias("end"))
@@ -322,6 +325,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     rows = scratch.keep(packed_rows(docs, taken))
     spans = repeated_spans(rows.where(F.col("n") >= SPAN), scratch)
     # Of one row's stretches those that repeat (nested windows) are many: equal ones fall together first.
+    scratch.sweep()
     own = spans.distinct().groupBy("u").agg(F.collect_list(F.struct("start", "end")).alias("marks"))
     pair = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     names = ["rest"] if taken else []
