@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import uuid
 
@@ -13,13 +14,24 @@ VERSION = "1.0.0"
 
 
 def scratch_table(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Rows written once to the shared folder (spark.checkpoint.dir; one of our own only where it is unset) and read again."""
+    """Rows written once to the shared folder (spark.checkpoint.dir; one of our own only where it is unset) and read again.
+
+    The tables go when the interpreter ends, if its session still lives then.
+    """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "/tmp/checkpoints/ledgerloom"
     path = f"{root}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is None:  # stopped
+        return
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
     """One small file through Hadoop's file systems: written beside its place, then renamed."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
