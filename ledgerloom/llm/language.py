@@ -26,7 +26,6 @@ HASHES = 3
 SLOTS = 1 << 20
 RARE = 2e-5
 """Least share of an n-gram in its language."""
-MOST_LANGUAGES = 64
 UNKNOWN = "und"
 CHUNK_CHARS = 1 << 20
 
@@ -120,10 +119,10 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
 
 class Filter:
-    """The bit-sliced filter: one mask of languages a slot."""
+    """The bit-sliced filter: one mask of languages a slot (a word for every 64 languages)."""
 
     def __init__(self, languages: list[str], slots: int = SLOTS):
-        self.languages, self.masks = languages, np.zeros(slots, np.uint64)
+        self.languages, self.masks = languages, np.zeros((slots, max(1, -(-len(languages) // 64))), np.uint64)
         self.found = np.ones(len(languages))  # share of a language's own n-grams that it holds
         self.false = np.zeros(len(languages))
 
@@ -137,18 +136,21 @@ class Filter:
 
     def add(self, language: int, keys: np.ndarray) -> None:
         for p in self.places(keys):
-            self.masks[p] |= np.uint64(1 << language)
+            self.masks[p, language // 64] |= np.uint64(1 << language % 64)
 
     def masks_of(self, keys: np.ndarray) -> np.ndarray:
         out = None
         for p in self.places(keys):
             out = self.masks[p] if out is None else out & self.masks[p]
-        return out if out is not None else np.zeros(0, np.uint64)
+        return out
+
+    def holds(self, masks: np.ndarray, language: int) -> np.ndarray:
+        return (masks[:, language // 64] >> np.uint64(language % 64)) & np.uint64(1)
 
     def settle(self) -> None:
         """A key that no language holds hits a bit with the power of that bit's share of the slots."""
         for i in range(len(self.languages)):
-            self.false[i] = ((self.masks >> np.uint64(i)) & np.uint64(1)).mean() ** HASHES
+            self.false[i] = self.holds(self.masks, i).mean() ** HASHES
 
     def decide(self, parts: list[str]) -> tuple[list[str], np.ndarray]:
         """Language and score of texts. No letter: `und`, score 0; no n-gram that any language holds: the first language, 1 / languages."""
@@ -157,7 +159,7 @@ class Filter:
         total = np.maximum(np.bincount(row, minlength=len(parts)), 1).astype(float)
         share = np.empty((len(parts), len(self.languages)))
         for i in range(len(self.languages)):
-            hits = np.bincount(row, ((masks >> np.uint64(i)) & np.uint64(1)).astype(np.float64), len(parts)) / total
+            hits = np.bincount(row, self.holds(masks, i).astype(np.float64), len(parts)) / total
             true = np.maximum((hits - self.false[i]) / (1 - self.false[i] + 1e-9), 0.0)
             share[:, i] = true / max(self.found[i], 1e-9)
         strength = np.exp(np.minimum(share, 4) * np.log1p(total)[:, None] * 4)
@@ -175,8 +177,6 @@ def fit(docs: DataFrame) -> Filter | None:
     totals = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n")).collect()}
     if not totals:
         return None
-    if len(totals) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     out = Filter(sorted(totals))
     least = F.create_map(*[x for k, v in totals.items() for x in (F.lit(k), F.lit(max(1.0, RARE * v)))])
     rows = counts.where(F.col("n") >= least[F.col("lang")]).toArrow()

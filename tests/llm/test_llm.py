@@ -306,12 +306,13 @@ def test_language_hard(spark, hard, empty):
 
 
 def test_filter_has_no_false_negatives():
-    f = language.Filter(["a", "b"], 1 << 12)
-    keys = np.arange(100, dtype=np.uint64) * np.uint64(977)
-    f.add(1, keys)
-    assert ((f.masks_of(keys) >> np.uint64(1)) & np.uint64(1)).all()
-    f.settle()
-    assert f.false[0] == 0 and 0 < f.false[1] < 0.01
+    for many, one in ((2, 1), (130, 129)):
+        f = language.Filter([f"l{i}" for i in range(many)], 1 << 12)
+        keys = np.arange(100, dtype=np.uint64) * np.uint64(977)
+        f.add(one, keys)
+        assert f.holds(f.masks_of(keys), one).all() and not f.holds(f.masks_of(keys), 0).any()
+        f.settle()
+        assert f.false[0] == 0 and 0 < f.false[one] < 0.01
 
 
 # --- 6 token counts, 10 packing -------------------------------------------------------------------------------------
