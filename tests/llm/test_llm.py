@@ -205,6 +205,45 @@ def test_adapt_alone_and_together():
     assert np.allclose(slow, context_mixing.adapt(*args))
 
 
+def test_tables_follow_the_vocabulary():
+    """Slots grow with the contexts that sketches count, and few of what falls in is met by others."""
+    rng = np.random.default_rng(5)
+    shares = []
+    for n in (2_000, 60_000):
+        size = rng.integers(3, 12, n)
+        blob = rng.integers(97, 123, int(size.sum())).astype(np.uint8)
+        sketch = np.zeros((len(context_mixing.ORDERS), 1 << context_mixing.SKETCH_BITS), np.uint8)
+        context_mixing.sketch_pairs(blob, size, sketch)
+        blocks = context_mixing.table_blocks([context_mixing.sketched(x) for x in sketch])
+        spelled = context_mixing.Spelling(blob, size)
+        for i, order in enumerate(context_mixing.ORDERS):
+            pairs = {(order == 1 or int(h), int(x)) for _, c, seen, _ in spelled.contexts() for h, x in zip(seen[i], c, strict=True)} if n < 5_000 else None
+            if pairs and order > 1:
+                assert context_mixing.sketched(sketch[i]) == pytest.approx(len(pairs), rel=0.1)
+        keys, w = context_mixing.count_pairs(blob, size, np.ones(n), blocks)
+        assert w.sum() == (size + 1).sum() * len(blocks) and keys.max() < 256 * sum(blocks) * context_mixing.RANGE
+        shares.append(sum(blocks))
+    assert shares[1] > shares[0] >= sum(context_mixing.BLOCKS)
+
+
+def test_mixer_learns_from_all_words():
+    """Words of any length, every one of their bits."""
+    words_ = [b"ab", b"", b"x" * 200, b"q" * 65]
+    size = np.array([len(x) for x in words_])
+    m = context_mixing.Mixer(np.zeros(context_mixing.SLOTS), np.zeros(context_mixing.SLOTS))
+    before = m.weights.copy()
+    met, cells = m.train(np.frombuffer(b"".join(words_), np.uint8), size)
+    assert met.sum() == 8 * (size + 1).sum() and cells.sum() == pytest.approx(met.sum()) and not np.array_equal(before, m.weights)
+
+
+def test_kinds_come_from_all_documents(spark):
+    """Texts too long for the sample of first centres, too."""
+    rows = [(i, ("abc " if i % 2 else "xyz ") * 6_000, True) for i in range(6)]
+    centres = context_mixing.find_kinds(spark.createDataFrame([(9, "mno " * 100, True), *rows], "doc_id long, text string, train boolean"))
+    own = context_mixing.pair_profiles(np.frombuffer(rows[0][1].encode(), np.uint8), np.array([0, 24_000]))
+    assert float((own @ centres.T).max()) > 0.5
+
+
 def test_mixing_empty(spark, empty):
     assert context_mixing.mixing_scores(empty.withColumn("train", F.lit(True))).count() == 0
 
