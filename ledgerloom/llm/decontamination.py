@@ -4,7 +4,9 @@ A text becomes its lower-cased words (runs of letters and digits) as 32-bit hash
 some of the positions under it; the hash of the words it selects is a seed. Seeds of documents meet the
 benchmark's seeds in one equi-join, and around every meeting the two texts are laid side by side on that
 diagonal: a document overlaps an item where some WINDOW neighbouring words (all of a shorter item's) agree
-in at least SAME of their places, so substituted words don't hide a passage.
+in at least SAME of their places, so substituted words don't hide a passage. Items of fewer than
+LEAST_WORDS words are looked for as they are. Where the masks are too sparse for a short item, runs of
+neighbouring words are seeds too: so many substitutions as SAME allows leave one of them whole.
 
 The benchmark's seeds are broadcast only while they are counted to be few; beyond that the join shuffles.
 """
@@ -20,7 +22,9 @@ MASKS = ("1101011", "11010011")
 WINDOW = 13
 SAME = 0.8
 LEAST_WORDS = 8
-"""Items of fewer words are too short to tell a leak from common wording; they are not looked for."""
+"""Items of fewer words must agree in all of their words."""
+RUNS = {8: 4, 9: 4, 10: 3, 11: 3}
+"""Words of a run by the words of an item. One substitution leaves 4 of 8 words in a row, two leave 3 of 10."""
 BROADCAST_BYTES = 64 << 20
 """The benchmark's seeds (each with its item's word hashes) are broadcast up to so many bytes."""
 
@@ -37,12 +41,12 @@ def seeds(h: Column, number: int, mask: str) -> Column:
     return F.when(there >= 0, F.transform(F.sequence(F.lit(0), there), at)).otherwise(F.array().cast("array<bigint>"))
 
 
-def seeded(df: DataFrame, h: str) -> DataFrame:
-    """One row per seed: the frame's columns, _seed, _at (word position)."""
-    every = F.concat(*[seeds(F.col(h), k, m) for k, m in enumerate(MASKS)])
+def seeded(df: DataFrame, h: str, masks: dict[int, str]) -> DataFrame:
+    """One row per seed: the frame's columns, _seed, _at (word position). Masks by number."""
+    every = F.concat(*[seeds(F.col(h), k, m) for k, m in masks.items()])
     out = df.select("*", F.posexplode(every).alias("_k", "_seed"))
     at, before = F.col("_k"), F.lit(0)
-    for m in MASKS[:-1]:
+    for m in list(masks.values())[:-1]:
         before = before + F.greatest(F.size(h) - F.lit(len(m) - 1), F.lit(0))
         at = F.when(F.col("_k") >= before, F.col("_k") - before).otherwise(at)
     return out.withColumn("_at", at).drop("_k")
@@ -53,15 +57,23 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     word position in the document at which the item's first word lies (negative if it lies before the text).
 
     Null and empty texts overlap with nothing; rows that repeat an id are taken together under it; items of
-    fewer than LEAST_WORDS words are not looked for.
+    fewer than LEAST_WORDS words overlap with texts that have all of them in a row.
     """
-    items = benchmark.select(F.col("item_id"), word_hashes(F.col("text")).alias("_b")).where(F.size("_b") >= LEAST_WORDS).distinct()
+    items = benchmark.select(F.col("item_id"), word_hashes(F.col("text")).alias("_b")).where(F.size("_b") > 0).distinct()
     # A seed row is some 40 bytes and four for each word of its item, and an item has at most a seed for each word and mask.
-    size = items.agg(F.coalesce(F.sum(F.size("_b").cast("long") * (4 * F.size("_b") + 40)), F.lit(0))).first()[0] * len(MASKS)
-    probe = seeded(items, "_b").withColumnRenamed("_at", "_i")
+    size, short = items.agg(F.coalesce(F.sum(F.size("_b").cast("long") * (4 * F.size("_b") + 40)), F.lit(0)), F.collect_set(F.when(F.size("_b") <= max(RUNS), F.size("_b")))).first()
+    size *= len(MASKS) + 1
+    # Only the lengths that there are give the documents further seeds.
+    whole = dict(enumerate(MASKS))
+    own = {n: len(MASKS) + RUNS.get(n, n) for n in sorted(short)}
+    masks = whole | {k: "1" * (k - len(MASKS)) for k in sorted(set(own.values()))}
+    probe = seeded(items.where(F.size("_b") >= LEAST_WORDS), "_b", whole)
+    for n, k in own.items():
+        probe = probe.union(seeded(items.where(F.size("_b") == n), "_b", {k: masks[k]}))
+    probe = probe.withColumnRenamed("_at", "_i")
     if size <= BROADCAST_BYTES:
         probe = F.broadcast(probe)
-    near = seeded(docs.select(F.col("doc_id"), word_hashes(F.col("text")).alias("_h")), "_h").join(probe, "_seed")
+    near = seeded(docs.select(F.col("doc_id"), word_hashes(F.col("text")).alias("_h")), "_h", masks).join(probe, "_seed")
     shift = F.col("_at") - F.col("_i")
     low, high = F.greatest(F.lit(0), -shift), F.least(F.size("_b"), F.size("_h") - shift)
     # Only the words beside the item leave the join; a document's seeds on one diagonal fall together.
@@ -71,7 +83,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     same = F.zip_with("_d", "_p", lambda a, b: F.when(a == b, 1).otherwise(0))
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("_s") - width + 1), lambda j: F.aggregate(F.slice("_s", j, width), F.lit(0), lambda x, y: x + y)))
     found = lines.withColumn("_s", same).where(F.size("_s") >= width).withColumn("n_same", best).withColumn("n_window", width)
-    found = found.where(F.col("n_same") >= F.ceil(F.lit(SAME) * F.col("n_window")))
+    found = found.where(F.col("n_same") >= F.when(F.col("_m") < LEAST_WORDS, F.col("_m")).otherwise(F.ceil(F.lit(SAME) * F.col("n_window"))))
     return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_same", (-F.col("start")).alias("_s"), "n_window")).alias("_x")).select("doc_id", "item_id", F.col("_x.n_same").alias("n_same"), F.col("_x.n_window").alias("n_window"), (-F.col("_x._s")).alias("start"))
 
 

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -507,6 +508,23 @@ def test_overlaps(spark, hard):
     assert decontamination.overlaps(hard.limit(0), bench).count() == 0 and decontamination.overlaps(hard, bench.limit(0)).count() == 0
 
 
+def test_overlaps_of_short_items(spark):
+    """Against brute force that knows no seeds: every substitution of as many words as may differ, and one more."""
+    rng, docs, items, want = random.Random(4), [], [], set()
+    for m in (1, 2, 5, 7, 8, 9, 10, 11, 12, 13):
+        w = [f"w{m}x{i}" for i in range(m)]
+        items.append((m, " ".join(w)))
+        may = 0 if m < 8 else m - math.ceil(0.8 * m)
+        for k in range(may + 2):
+            for gone in combinations(range(m), k):
+                doc = len(docs)
+                docs.append((doc, " ".join([f"a{rng.random()}", *("other" if i in gone else x for i, x in enumerate(w)), "z"])))
+                if k <= may:
+                    want.add((doc, m, m - k, m))
+    got = collect(decontamination.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    assert {(r["doc_id"], r["item_id"], r["n_same"], r["n_window"]) for r in got} == want
+
+
 def test_shuffled_seeds_give_the_same(spark, tiny, monkeypatch):
     docs, bench = table(spark, tiny, "documents"), table(spark, tiny, "benchmark")
     a = sorted(map(tuple, decontamination.overlaps(docs, bench).collect()))
