@@ -442,6 +442,17 @@ def thumbnail_hash(thumb: np.ndarray) -> str:
     return f"{_hex(grid > grid.mean())}:{_hex(slope[:, 1:] > slope[:, :-1])}"
 
 
+def feature(images: list[Image]) -> str:
+    """Dimensions and thumbnail hashes of all images of a row, whose samples lie end to end in rows of the first one's."""
+    width, height, thumb = images[0].width, images[0].height, images[0].thumbnail
+    if len(images) > 1:
+        samples = np.concatenate([i.thumbnail.ravel() for i in images])
+        columns = thumb.shape[1]
+        thumb = np.pad(samples, (0, -len(samples) % columns), "edge").reshape(-1, columns)
+        height = height * len(thumb) // len(images[0].thumbnail)
+    return f"{width}x{height}:{thumbnail_hash(thumb)}"
+
+
 def jpeg_columns(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """Per row: id, width, height, images, thumbnail (samples, row by row), thumbnail_hash, error.
 
@@ -485,7 +496,7 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
                 tail_crc32=pa.array([zlib.crc32(p[-32:]) for p in payload], pa.int64()),
                 media_bytes=pa.array([len(m) for m in media], pa.int64()),
                 media_sha256=[hashlib.sha256(m).hexdigest() for m in media],
-                feature=[f"{x[0].width}x{x[0].height}:{thumbnail_hash(x[0].thumbnail)}" for x in found],
+                feature=[feature(x) for x in found],
             )
 
     return stored.mapInArrow(digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -88,6 +88,18 @@ def test_many_images():
     assert len(images) == 2 and b"".join(i.thumbnail.tobytes() for i in images) == data.tobytes()
 
 
+def test_feature_of_many_images():
+    """What comes after the first image counts: other samples there, or more of them."""
+    first = np.random.default_rng(1).integers(0, 256, 576 * 8191, dtype=np.uint8)
+    tails = [np.full(576 * 4000, 0, np.uint8), np.full(576 * 4000, 255, np.uint8), np.full(576 * 5000, 255, np.uint8), np.zeros(0, np.uint8)]
+    payloads = [np.concatenate((first, t)) for t in tails]
+    images = media.read_images(media.write_payloads(np.concatenate(payloads), np.array([len(p) for p in payloads])))
+    assert [len(x) for x in images] == [2, 2, 2, 1]
+    got = [media.feature(x) for x in images]
+    assert len(set(got)) == 4 and got[3] == f"{images[3][0].width}x{images[3][0].height}:{media.thumbnail_hash(images[3][0].thumbnail)}"
+    assert got[0] == f"{576 * 8}x{(8191 + 4000) * 8}:{media.thumbnail_hash(payloads[0].reshape(-1, 576))}"
+
+
 def _bits(out, code, n):
     out.extend((code >> (n - 1 - i)) & 1 for i in range(n))
 
