@@ -197,18 +197,17 @@ def set_tables(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
 
     def select(part: pa.Table) -> pa.Table:
         listed = [part.column(c).to_pylist() for c in ("g", "low", "high", "row", "df")]
-        metas = {low for low, row in zip(listed[1], listed[3], strict=True) if row is None}
-        copies = sum(row is None for row in listed[3])
+        metas = [low for low, row in zip(listed[1], listed[3], strict=True) if row is None]
         every = [x for x in zip(*listed, strict=True) if x[3] is not None]
         out: dict[str, list] = {c: [] for c in ("doc_id", "node", "n", "live", "prefix")}
         node, size = [], np.zeros(0, np.int64)
         for m in metas:
             docs_ = pa.ipc.open_stream(m).read_all()
             node, size = docs_.column("f").to_pylist(), docs_.column("n").to_numpy()
-            # A chunk that stands twice in the table, with other ids, comes as two descriptions of the same sets.
-            out["doc_id"] += docs_.column("d").to_pylist() * (copies if len(metas) == 1 else 1)
-            out["node"] += node * (copies if len(metas) == 1 else 1)
-            out["n"] += size.tolist() * (copies if len(metas) == 1 else 1)
+            # Chunks of the same sets come as a description each, whether or not their ids are the same.
+            out["doc_id"] += docs_.column("d").to_pylist()
+            out["node"] += node
+            out["n"] += size.tolist()
         nothing = [None] * len(out["node"])
         out["live"] += nothing
         out["prefix"] += nothing
@@ -218,7 +217,7 @@ def set_tables(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
             df = np.concatenate([np.frombuffer(x[4], np.uint16) for x in every])
             order = np.lexsort((key, df, row))
             key, row = key[order], row[order]
-            if copies > 1:
+            if len(metas) > 1:
                 new = np.concatenate(([True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])))
                 key, row = key[new], row[new]
             there, begin = np.unique(row, return_index=True)

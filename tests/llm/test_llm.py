@@ -294,6 +294,13 @@ def test_jaccard_groups(spark, mixed, hard, shard, monkeypatch):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == jaccard_truth([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
+def test_jaccard_keeps_every_row_of_equal_chunks(spark):
+    """Chunks of the same text, of which two have the same id and one has another."""
+    rows = [(7, prose(3, 40)), (7, prose(3, 40)), (9, prose(3, 40))]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3), "doc_id long, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in collect(jaccard.jaccard_groups(df))) == [(7, 7), (7, 7), (9, 7)]
+
+
 def test_jaccard_empty(spark, empty):
     assert jaccard.jaccard_groups(empty).count() == 0
 
