@@ -32,7 +32,3 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def tiny():
     return TINY
-
-
-def rows(df):
-    return sorted((tuple(r) for r in df.collect()), key=repr)

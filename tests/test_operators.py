@@ -6,7 +6,7 @@ import re
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import formatting as fm

@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from ledgerloom.sources import stores
 from ledgerloom.sources import transactions as tx
