@@ -8,6 +8,8 @@ in at least SAME of their places, so substituted words don't hide a passage. Ite
 LEAST_WORDS words are looked for as they are. Where the masks are too sparse for a short item, runs of
 neighbouring words are seeds too: so many substitutions as SAME allows leave one of them whole.
 
+Every window that agrees in SAME of its places holds a seed (tests enumerate all substitutions), so the
+search misses none. Texts go in overlapping stretches, so that a seed's row is small however long its text.
 The benchmark's seeds are broadcast only while they are counted to be few; beyond that the join shuffles.
 """
 
@@ -25,6 +27,8 @@ LEAST_WORDS = 8
 """Items of fewer words must agree in all of their words."""
 RUNS = {8: 4, 9: 4, 10: 3, 11: 3}
 """Words of a run by the words of an item. One substitution leaves 4 of 8 words in a row, two leave 3 of 10."""
+STRETCH = 240
+"""Texts are searched in stretches of so many words, which overlap."""
 BROADCAST_BYTES = 64 << 20
 """The benchmark's seeds (each with its item's word hashes) are broadcast up to so many bytes."""
 
@@ -52,12 +56,24 @@ def seeded(df: DataFrame, h: str, masks: dict[int, str]) -> DataFrame:
     return out.withColumn("_at", at).drop("_k")
 
 
+def stretches(docs: DataFrame) -> DataFrame:
+    """doc_id, _base, _h: the word hashes of every text in stretches of STRETCH words and a window less a word more.
+
+    So any window lies in one of them whole, and what a seed carries along does not grow with its text.
+    """
+    whole = docs.select(F.col("doc_id"), word_hashes(F.col("text")).alias("_w")).where(F.size("_w") > 0)
+    starts = F.sequence(F.lit(0), F.greatest(F.size("_w") - F.lit(WINDOW), F.lit(0)), F.lit(STRETCH))
+    return whole.select("doc_id", F.explode(F.transform(starts, lambda i: F.struct(i.alias("_base"), F.slice("_w", i + 1, F.lit(STRETCH + WINDOW - 1)).alias("_h")))).alias("_x")).select("doc_id", "_x._base", "_x._h")
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_same, n_window, start: pairs that overlap, with the best window's agreeing words and the
     word position in the document at which the item's first word lies (negative if it lies before the text).
 
-    Null and empty texts overlap with nothing; rows that repeat an id are taken together under it; items of
-    fewer than LEAST_WORDS words overlap with texts that have all of them in a row.
+    Null and empty texts and items overlap with nothing; rows that repeat an id are taken together under it, and
+    repeated rows give one result; of windows that agree in as many words the first counts; items of fewer than
+    LEAST_WORDS words overlap with texts that have all of them in a row; texts of any length are taken whole, in
+    stretches. An empty table on either side gives no rows; further columns are not looked at.
     """
     items = benchmark.select(F.col("item_id"), word_hashes(F.col("text")).alias("_b")).where(F.size("_b") > 0).distinct()
     # A seed row is some 40 bytes and four for each word of its item, and an item has at most a seed for each word and mask.
@@ -71,16 +87,21 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for n, k in own.items():
         probe = probe.union(seeded(items.where(F.size("_b") == n), "_b", {k: masks[k]}))
     probe = probe.withColumnRenamed("_at", "_i")
+    parts = stretches(docs)
     if size <= BROADCAST_BYTES:
-        probe = F.broadcast(probe)
-    near = seeded(docs.select(F.col("doc_id"), word_hashes(F.col("text")).alias("_h")), "_h", masks).join(probe, "_seed")
-    shift = F.col("_at") - F.col("_i")
-    low, high = F.greatest(F.lit(0), -shift), F.least(F.size("_b"), F.size("_h") - shift)
-    # Only the words beside the item leave the join; a document's seeds on one diagonal fall together.
-    beside = near.select("doc_id", "item_id", shift.alias("start"), low.alias("_low"), F.slice("_h", shift + low + 1, high - low).alias("_d"), F.slice("_b", low + 1, high - low).alias("_p"), F.size("_b").alias("_m"))
-    lines = beside.groupBy("doc_id", "item_id", "start", "_low", "_d", "_p", "_m").agg(F.count("*").alias("_hits"))
+        near = seeded(parts, "_h", masks).join(F.broadcast(probe), "_seed").withColumn("_shift", F.col("_at") - F.col("_i"))
+    else:
+        # Only ids and places are shuffled by seed; the words beside a hit are fetched after that. Whatever agrees under
+        # an id is an overlap of that id, so stretches of rows that repeat an id may stand in for each other.
+        hits = seeded(parts, "_h", masks).select("doc_id", "_base", "_at", "_seed").join(probe.select("item_id", "_i", "_seed"), "_seed")
+        hits = hits.select(F.col("doc_id").alias("_d"), F.col("_base").alias("_o"), F.col("item_id").alias("_t"), (F.col("_at") - F.col("_i")).alias("_shift")).distinct()
+        near = hits.join(parts, F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_o") == F.col("_base"))).join(items, F.col("_t").eqNullSafe(F.col("item_id"))).drop("_d", "_o", "_t")
+    low, high = F.greatest(F.lit(0), -F.col("_shift")), F.least(F.size("_b"), F.size("_h") - F.col("_shift"))
+    # Only the words beside the item leave the join; a stretch's seeds on one diagonal fall together.
+    beside = near.select("doc_id", "item_id", (F.col("_base") + F.col("_shift")).alias("start"), low.alias("_low"), F.slice("_h", F.col("_shift") + low + 1, F.greatest(high - low, F.lit(0))).alias("_p"), F.slice("_b", low + 1, F.greatest(high - low, F.lit(0))).alias("_q"), F.size("_b").alias("_m"))
+    lines = beside.distinct()
     width = F.least(F.col("_m"), F.lit(WINDOW))
-    same = F.zip_with("_d", "_p", lambda a, b: F.when(a == b, 1).otherwise(0))
+    same = F.zip_with("_p", "_q", lambda a, b: F.when(a == b, 1).otherwise(0))
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("_s") - width + 1), lambda j: F.aggregate(F.slice("_s", j, width), F.lit(0), lambda x, y: x + y)))
     found = lines.withColumn("_s", same).where(F.size("_s") >= width).withColumn("n_same", best).withColumn("n_window", width)
     found = found.where(F.col("n_same") >= F.when(F.col("_m") < LEAST_WORDS, F.col("_m")).otherwise(F.ceil(F.lit(SAME) * F.col("n_window"))))
@@ -96,28 +117,21 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def _sql_seed(alias: str, mask: str) -> str:
-    return ", ".join(f"{alias}.w[{alias}.i + {k}]" for k, c in enumerate(mask) if c == "1")
-
-
-def _sql_side(name: str, key: str) -> str:
-    parts = [f"SELECT {key}, w, i, {n} AS mask, [{_sql_seed('s', m)}] AS seed FROM (SELECT {key}, w, unnest(range(1, len(w) - {len(m) - 2})) AS i FROM {name} WHERE len(w) >= {len(m)}) s" for n, m in enumerate(MASKS)]
-    return " UNION ALL ".join(parts)
-
-
+#: The same without seeds: of words that agree in 80 % (all, of fewer than 8), some three words in a row do (all, of fewer
+#: than three), so runs of three words bring every pair of places side by side that can overlap.
 SQL = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
-b AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM benchmark),
-bb AS (SELECT * FROM b WHERE len(w) >= {LEAST_WORDS}),
-ds AS ({_sql_side('d', 'doc_id')}),
-bs AS ({_sql_side('bb', 'item_id')}),
-near AS (SELECT DISTINCT ds.doc_id, bs.item_id, ds.i - bs.i AS start, ds.w AS dw, bs.w AS bw FROM ds JOIN bs ON ds.mask = bs.mask AND ds.seed = bs.seed),
+b AS (SELECT DISTINCT item_id, w, least(3, len(w)) AS k FROM (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM benchmark) WHERE len(w) > 0),
+ks AS (SELECT DISTINCT k FROM b),
+dr AS (SELECT doc_id, w, i, k, w[i:i + k - 1] AS run FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, ks)),
+br AS (SELECT item_id, w, i, k, w[i:i + k - 1] AS run FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM b)),
+near AS (SELECT DISTINCT dr.doc_id, br.item_id, dr.i - br.i AS start, dr.w AS dw, br.w AS bw FROM dr JOIN br ON dr.k = br.k AND dr.run = br.run),
 sides AS (SELECT *, least(len(bw), {WINDOW}) AS n_window, row_number() OVER () AS k FROM near),
-places AS (SELECT k, doc_id, item_id, start, n_window, p, CAST(bw[p] = dw[p + start] AS INTEGER) AS same
+places AS (SELECT k, doc_id, item_id, start, len(bw) AS m, n_window, p, CAST(bw[p] = dw[p + start] AS INTEGER) AS same
   FROM (SELECT *, unnest(range(greatest(1, 1 - start), least(len(bw), len(dw) - start) + 1)) AS p FROM sides) x),
-sums AS (SELECT k, doc_id, item_id, start, n_window, p, sum(same) OVER (PARTITION BY k ORDER BY p ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS s13,
+sums AS (SELECT k, doc_id, item_id, start, m, n_window, p, sum(same) OVER (PARTITION BY k ORDER BY p ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS s13,
   sum(same) OVER (PARTITION BY k) AS s_all, row_number() OVER (PARTITION BY k ORDER BY p) AS r FROM places),
-best AS (SELECT doc_id, item_id, start, n_window, max(CASE WHEN n_window = {WINDOW} THEN s13 ELSE s_all END) AS n_same FROM sums WHERE r >= n_window GROUP BY k, doc_id, item_id, start, n_window),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_same DESC, start ASC, n_window DESC) AS o FROM best WHERE n_same >= ceil({SAME} * n_window))
+best AS (SELECT doc_id, item_id, start, m, n_window, max(CASE WHEN n_window = {WINDOW} THEN s13 ELSE s_all END) AS n_same FROM sums WHERE r >= n_window GROUP BY k, doc_id, item_id, start, m, n_window),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_same DESC, start ASC, n_window DESC) AS o FROM best WHERE n_same >= CASE WHEN m < {LEAST_WORDS} THEN m ELSE ceil({SAME} * n_window) END)
 SELECT doc_id, item_id, CAST(n_same AS INTEGER) AS n_same, CAST(n_window AS INTEGER) AS n_window, CAST(start AS INTEGER) AS start FROM ranked WHERE o = 1
 """

@@ -30,7 +30,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op7_suffix_dedup": op7_suffix_dedup,
     "op4_ngram_jaccard": op4_sql,
     "op7_suffix_dedup": op7_sql,
     "op8_decontamination": op8_sql,

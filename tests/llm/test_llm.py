@@ -489,13 +489,15 @@ def test_repeats_empty(spark, empty, hard):
 # --- 8 decontamination ------------------------------------------------------------------------------------------------
 
 def overlap_truth(docs, items):
+    """All places of all items against all texts, without seeds."""
     split = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
     out = {}
     for item, t in items:
         b = split(t)
-        if len(b) < decontamination.LEAST_WORDS:
+        if not b:
             continue
         width = min(len(b), decontamination.WINDOW)
+        least = len(b) if len(b) < decontamination.LEAST_WORDS else math.ceil(decontamination.SAME * width)
         for doc, x in docs:
             w = split(x)
             for shift in range(-len(b), len(w)):
@@ -503,9 +505,8 @@ def overlap_truth(docs, items):
                 if high - low < width:
                     continue
                 same = [w[i + shift] == b[i] for i in range(low, high)]
-                seed = any(all(same[i + k] for k, c in enumerate(m) if c == "1") for m in decontamination.MASKS for i in range(len(same) - len(m) + 1))
                 n = max(sum(same[i : i + width]) for i in range(len(same) - width + 1))
-                if seed and n >= math.ceil(decontamination.SAME * width):
+                if n >= least:
                     best = out.get((doc, item))
                     if best is None or (n, -shift) > (best[0], -best[2]):
                         out[doc, item] = (n, width, shift)
@@ -544,6 +545,19 @@ def test_overlaps_of_short_items(spark):
     assert {(r["doc_id"], r["item_id"], r["n_same"], r["n_window"]) for r in got} == want
 
 
+def test_overlaps_across_stretches(spark, monkeypatch):
+    """Items at every place of texts of several stretches, broadcast and shuffled."""
+    monkeypatch.setattr(decontamination, "STRETCH", 20)
+    items = [(1, prose(21, 15)), (2, prose(22, 13)), (3, prose(23, 9)), (4, "q1 q2")]
+    fill = prose(24, 90, 100_000).split()
+    docs = [(i, " ".join([*fill[:i], *t.split(), *fill[i : i + 30]])) for i in range(0, 60, 3) for _, t in items] + [(100, prose(25, 13))]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for limit in (1 << 26, -1):
+        monkeypatch.setattr(decontamination, "BROADCAST_BYTES", limit)
+        got = {(r["doc_id"], r["item_id"]): (r["n_same"], r["n_window"], r["start"]) for r in collect(decontamination.overlaps(*frames))}
+        assert got == overlap_truth(docs, items) and len(got) == 80
+
+
 def test_shuffled_seeds_give_the_same(spark, tiny, monkeypatch):
     docs, bench = table(spark, tiny, "documents"), table(spark, tiny, "benchmark")
     a = sorted(map(tuple, decontamination.overlaps(docs, bench).collect()))
