@@ -2,9 +2,10 @@
 
 Texts are tokenised into pieces of at most `capacity` tokens. Only the histogram of piece lengths (at
 most `capacity` rows, whatever the input) reaches the driver, where sequences are planned by best fit
-over counts: a pattern of lengths is repeated as often as the counts allow. Pieces then take planned
-slots by their rank among the pieces of the same length. No document is moved for the sake of the plan;
-the two shuffles carry rows of a few numbers.
+over counts: lengths from long to short, each into the open sequences with the least room that takes it, all
+sequences of the same room at once. Pieces then take planned slots by their rank among the pieces of the same
+length. A piece is numbered among its task's pieces of the same length as it is cut, so ranks need the counts by
+task and length alone; neither pieces nor ids are moved for the sake of the plan where those are few.
 """
 
 from __future__ import annotations
@@ -19,14 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch_of, table, texts
+from .common import Scratch, batch_of, runs, table, texts
 
 #: The byte-level pre-tokenizer's public pattern.
 BYTE_LEVEL_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-RANK_ROWS = 1_000
-"""As many pieces as there are buckets times this; about so few share a (length, bucket) group while ranks are dealt."""
 
 _encoders: dict[str, object] = {}
 
@@ -83,13 +82,17 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, with_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, the ids.
+    """One row per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, the ids; _task and _number, the
+    piece's place among those of its task with the same length.
 
     Null and empty texts give one piece that holds only the end token.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path)
+        from pyspark import TaskContext
+
+        encode, task = encoder(tokenizer_path), TaskContext.get().partitionId()
+        met = np.zeros(capacity + 1, np.int64)
         for whole in batches:
             for k in range(0, whole.num_rows, 500):
                 batch = whole.slice(k, 500)
@@ -104,59 +107,74 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: i
                 out |= {n: pa.array(c, pa.int64()) for n, c in zip(("start", "length", "ids_crc32"), cols[2:5], strict=True)}
                 if with_ids:
                     out["ids"] = pa.array(cols[5], pa.list_(pa.int32()))
-                yield batch_of(**out)
+                length = np.array(cols[3], np.int64)
+                order = np.argsort(length, kind="stable")
+                there, begin, end = runs(length[order])
+                number = np.empty(len(length), np.int64)
+                number[order] = np.arange(len(length)) - np.repeat(begin, end - begin) + np.repeat(met[there], end - begin)
+                met[there] += end - begin
+                yield batch_of(**out, _task=np.full(len(length), task, np.int32), _number=number)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES + (", ids array<int>" if with_ids else ""))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES + (", ids array<int>" if with_ids else "") + ", _task int, _number long")
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
     """Best fit over counts: rows (length, first rank, slots, copies, first sequence, offset of the first copy).
 
-    A sequence takes the longest length left and then, again and again, the longest that still fits. The
-    pattern repeats until a length that it uses runs short, so there are at most a few times as many
-    patterns as lengths.
+    Lengths go from long to short. A piece goes to the open sequence with the least room that takes it, and stays with
+    that sequence while it takes further pieces of the length, as it then has the least room of all; a new sequence is
+    opened if none takes it. Sequences of the same room are one run of numbers (first, how many), filled at once.
     """
-    left = np.zeros(capacity + 1, np.int64)
-    for length, n in counts.items():
-        left[length] = n
-    used = np.zeros(capacity + 1, np.int64)
-    out, sequence = [], 0
-    while True:
-        there = np.flatnonzero(left)
-        if not len(there):
-            return out
-        pattern: list[tuple[int, int]] = []
-        room = capacity
-        while len(fit := there[: np.searchsorted(there, room, side="right")]):
-            length = int(fit[-1])
-            copies = int(min(room // length, left[length]))
-            pattern.append((length, copies))
-            room -= length * copies
-            there = fit[:-1]
-        times = int(min(left[n] // c for n, c in pattern))
-        offset = 0
-        for length, copies in pattern:
-            out.append((length, int(used[length]), times * copies, copies, sequence, offset))
-            used[length] += times * copies
-            left[length] -= times * copies
-            offset += length * copies
-        sequence += times
+    open_: dict[int, list[tuple[int, int]]] = {}
+    rooms = np.zeros(capacity + 1, np.int64)  # open sequences by room
+    out: list[tuple[int, int, int, int, int, int]] = []
+    sequences = 0
+    for length in sorted(counts, reverse=True):
+        left, rank = counts[length], 0
+
+        def fill(first: int, many: int, copies: int, room: int, length: int = length) -> None:
+            nonlocal left, rank
+            out.append((length, rank, many * copies, copies, first, capacity - room))
+            rank += many * copies
+            left -= many * copies
+            if rest := room - copies * length:
+                open_.setdefault(rest, []).append((first, many))
+                rooms[rest] += many
+
+        def take(first: int, many: int, room: int, length: int = length) -> None:
+            """Fills of `many` sequences as many as the pieces left ask for; the others stay as they are."""
+            copies = room // length
+            whole = min(many, left // copies)
+            if whole:
+                fill(first, whole, copies, room)
+            if whole < many and left:
+                fill(first + whole, 1, left, room)
+                whole += 1
+            if whole < many:
+                open_.setdefault(room, []).append((first + whole, many - whole))
+                rooms[room] += many - whole
+
+        for room in (np.flatnonzero(rooms[length:]) + length).tolist() if left else ():
+            runs_, open_[room], rooms[room] = open_[room], [], 0
+            for first, many in runs_:
+                take(first, many, room)
+        if left:
+            many = -(-left // (capacity // length))
+            take(sequences, many, capacity)
+            sequences += many
+    return out
 
 
 def pack(found: DataFrame, capacity: int = 1024) -> DataFrame:
-    """Adds sequence_id and offset to pieces (kept rows, with a length from 1 to `capacity`)."""
-    rows = found.count()
-    buckets = max(1, rows // RANK_ROWS)
-    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets))
-    dealt = found.withColumn("_bucket", bucket)
-    sizes = dealt.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
-    before = sizes.select("length", "_bucket", F.coalesce(F.sum("_n").over(W.partitionBy("length").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    counts = {int(r[0]): int(r[1]) for r in sizes.groupBy("length").agg(F.sum("_n")).collect()}  # at most `capacity` rows
+    """Adds sequence_id and offset to pieces (kept rows of `pieces`, with a length from 1 to `capacity`)."""
+    sizes = found.groupBy("length", "_task").agg(F.count("*").alias("_n"))
+    before = Scratch(found.sparkSession, "ranks").keep(sizes.select("length", "_task", F.coalesce(F.sum("_n").over(W.partitionBy("length").orderBy("_task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"), "_n"))
+    counts = {int(r[0]): int(r[1]) for r in before.groupBy("length").agg(F.sum("_n")).collect()}  # at most `capacity` rows
     slots = np.array(plan(counts, capacity) or np.zeros((0, 6)), dtype=np.int64).reshape(-1, 6)
     slots = slots[np.lexsort((slots[:, 1], slots[:, 0]))]
-    ranked = dealt.withColumn("_rank", F.row_number().over(W.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32")))
-    ranked = ranked.join(before, ["length", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_rank") - 1)
-    names = [c for c in found.columns]
+    # Few tasks: their counts are broadcast, and no piece moves. Spark decides by the written table's size.
+    ranked = found.join(before.drop("_n"), ["length", "_task"]).withColumn("_rank", F.col("_before") + F.col("_number"))
+    names = [c for c in found.columns if c not in ("_task", "_number")]
     far = np.int64(1) << np.int64(48)
 
     def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +185,7 @@ def pack(found: DataFrame, capacity: int = 1024) -> DataFrame:
             k = rank - s[:, 1]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names), pa.array(s[:, 4] + k // s[:, 3]), pa.array(s[:, 5] + k % s[:, 3] * length)], names=[*names, "sequence_id", "offset"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema.fields)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema.fields if f.name in names)
     return ranked.select(*names, "_rank").mapInArrow(seat, f"{schema}, sequence_id long, offset long")
 
 
@@ -175,8 +193,10 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, tokenizer_path: str,
     """Documents (doc_id, text) packed into sequences of at most `capacity` tokens.
 
     One row per piece: doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset. Every token is
-    kept: a text longer than `capacity` is cut, its first piece may be shorter. Null text: empty (the end
-    token alone); an empty table gives no rows; repeated rows are packed as often as they occur.
+    kept: a text longer than `capacity` is cut, its first piece may be shorter (a very long one gives as many
+    pieces as it fills). Null text: empty (the end token alone); a null id stays null; an empty table gives no
+    rows; repeated rows are packed as often as they occur; pieces of equal length are told apart by their place
+    in the written table, so ties need no rule; further columns are not looked at.
     """
     found = Scratch(spark, "packing").keep(pieces(docs, tokenizer_path, capacity, end_id, with_ids))
     return pack(found, capacity)

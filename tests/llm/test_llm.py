@@ -1,5 +1,6 @@
 """The ten operators against brute force, round trips and held-out accuracy, and on hard rows."""
 
+import bisect
 import hashlib
 import math
 import random
@@ -421,6 +422,34 @@ def test_packing(spark, tiny, hard):
     assert len(seats) <= -(-total // 1024) * 1.05 + 1
 
 
+def test_plan_is_best_fit_decreasing():
+    """As many sequences as best fit piece by piece, every rank in one slot, offsets gapless."""
+    rng = random.Random(1)
+    for _ in range(100):
+        capacity = rng.choice([10, 64, 100, 1024])
+        counts = {rng.randint(1, capacity): rng.randint(1, 60) for _ in range(rng.randint(1, 60))}
+        rooms, most = [], 0
+        for n in sorted(counts, reverse=True):
+            for _ in range(counts[n]):
+                i = bisect.bisect_left(rooms, n)
+                room = rooms.pop(i) if i < len(rooms) else capacity
+                most += room == capacity
+                if room > n:
+                    bisect.insort(rooms, room - n)
+        seats, ranks = defaultdict(list), defaultdict(list)
+        for n, rank, slots, copies, first, offset in packing.plan(counts, capacity):
+            ranks[n].append((rank, slots))
+            for j in range(slots):
+                seats[first + j // copies].append((offset + j % copies * n, n))
+        for n, r in ranks.items():
+            r.sort()
+            assert [a for a, _ in r] == np.cumsum([0, *(k for _, k in r)])[:-1].tolist() and sum(k for _, k in r) == counts[n]
+        for s in seats.values():
+            s.sort()
+            assert s[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(s, s[1:], strict=False)) and s[-1][0] + s[-1][1] <= capacity
+        assert len(seats) == most
+
+
 def test_packing_empty(spark, empty):
     assert packing.best_fit_packing(spark, empty, P.path("byte_bpe_50k.json")).count() == 0
 
