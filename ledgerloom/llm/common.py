@@ -3,7 +3,8 @@
 Conventions every operator follows, unless its docstring says otherwise:
 
 * a null text is an empty text, a null id is kept and comes back null;
-* repeated rows stay repeated (one result row per input row);
+* a text of any length is taken whole, in pieces where it is long;
+* repeated rows stay repeated (one result row per input row), and equal texts get equal values;
 * an empty table gives an empty result with the full schema;
 * further columns are ignored: inputs are first projected to the named columns, so clashing names
   cannot reach a join.
@@ -13,10 +14,11 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import shutil
 import time
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +41,13 @@ def fold(doc_id: Column | str, n: int) -> Column:
 # --- scratch tables -------------------------------------------------------------------------------
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); a folder of our own only where it is unset."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "/tmp/checkpoints/ledgerloom"
+    """The shared folder of the cluster (spark.checkpoint.dir); a folder of our own only where it is unset and Spark runs
+    on this machine alone. A cluster without a shared folder is an error."""
+    if found := spark.sparkContext.getConf().get("spark.checkpoint.dir", None):
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "/tmp/checkpoints/ledgerloom"
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -120,8 +127,13 @@ def texts(column: pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
 
-def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+def text_pieces(text: str, breaks: re.Pattern, size: int = 1 << 20) -> Iterator[str]:
+    """A text in stretches of about `size` characters that end where `breaks` begins to match (the whole rest if it doesn't)."""
+    start = 0
+    while len(text) - start > 2 * size and (m := breaks.search(text, start + size)):
+        yield text[start : m.start()]
+        start = m.start()
+    yield text[start:] if start else text
 
 
 def batch_of(**columns) -> pa.RecordBatch:
@@ -177,11 +189,27 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans [start, end); equal bytes give equal hashes wherever they stand."""
+def span_sums(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Polynomial sums of the byte spans [start, end), as if each stood at 0."""
     _, down = _powers(len(sums))
     with np.errstate(over="ignore"):
-        return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _STEP)
+        return (sums[end] - sums[start]) * down[start]
+
+
+def joined_sum(a: int, n: int, b: int) -> int:
+    """The sum of n bytes of sum a with bytes of sum b behind them."""
+    return (a + pow(_BASE, n, 1 << 64) * b) % (1 << 64)
+
+
+def hashes_of(sums: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes from spans' sums and sizes."""
+    with np.errstate(over="ignore"):
+        return mix(sums + size.astype(np.uint64) * _STEP)
+
+
+def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans [start, end); equal bytes give equal hashes wherever they stand."""
+    return hashes_of(span_sums(sums, start, end), end - start)
 
 
 def hashed_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, limit: int = CHUNK_BYTES) -> np.ndarray:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch_of, chunks, fold, hashed_spans, table, words
+from .common import Scratch, batch_of, chunks, fold, hashed_spans, hashes_of, joined_sum, prefix_hashes, span_sums, table, words
 
 FEATURES = (
     "log_bytes", "log_words", "mean_word", "spread_word", "letters", "digits", "marks", "stops", "blanks", "capitals",
@@ -48,22 +48,32 @@ def _repeats(hashes: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return np.bincount((key[new] >> np.uint64(44)).astype(np.int64), minlength=rows)
 
 
+def _assemble(n, hist, count, total, squares, distinct, marked, lines, unlike, short, far, single) -> np.ndarray:
+    """Rows x FEATURES from sums by row."""
+    kinds = hist @ _KINDS
+    share = hist / np.maximum(n, 1)[:, None]
+    entropy = -(share * np.log2(np.where(share > 0, share, 1))).sum(axis=1)
+    some = np.maximum(count, 1)
+    mean = total / some
+    spread = np.sqrt(np.maximum(squares / some - mean**2, 0))
+    return np.column_stack((
+        np.log1p(n), np.log1p(count), np.log1p(mean), np.log1p(spread), _logit(kinds[:, 0] + kinds[:, 4], n), _logit(kinds[:, 1], n), _logit(kinds[:, 2], n), _logit(kinds[:, 5], n), _logit(kinds[:, 3], n), _logit(kinds[:, 4], n),
+        _logit(distinct, count), np.log1p(lines), _logit(lines - unlike, lines), entropy, _logit(short, count), _logit(far, count), _logit(single, count), _logit(marked, count),
+    ))
+
+
 def statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Rows x FEATURES of the texts in a chunk. An empty text has the statistics of no words and no bytes."""
+    if len(at) == 2 and len(data) > 2 * PART:
+        return long_statistics(data)
     rows = len(at) - 1
     n = np.diff(at).astype(np.float64)
     row = np.repeat(np.arange(rows, dtype=np.int32), np.diff(at))
     hist = sum(np.bincount(row[i : i + PART] * 256 + data[i : i + PART], minlength=rows * 256) for i in range(0, max(len(data), 1), PART)).reshape(rows, 256)
-    kinds = hist @ _KINDS
-    share = hist / np.maximum(n, 1)[:, None]
-    entropy = -(share * np.log2(np.where(share > 0, share, 1))).sum(axis=1)
     lower, starts, ends, first = words(data, at)
     count = np.diff(first).astype(np.float64)
     word_row = np.repeat(np.arange(rows), np.diff(first))
     length = (ends - starts).astype(np.float64)
-    some = np.maximum(count, 1)
-    mean = np.bincount(word_row, length, rows) / some
-    spread = np.sqrt(np.maximum(np.bincount(word_row, length**2, rows) / some - mean**2, 0))
     distinct = _repeats(hashed_spans(lower, starts, ends), word_row, rows)
     # From one word's begin to the next there are blanks besides, which are no marks.
     marked = np.bincount(word_row, np.maximum.reduceat(_IS_MARK[data], starts) if len(starts) else (), rows)
@@ -72,11 +82,57 @@ def statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     line_end = np.concatenate((line_start[1:], [len(data)])) if len(line_start) else line_start
     line_row = np.searchsorted(at, line_start, side="right") - 1
     lines = np.bincount(line_row, minlength=rows).astype(np.float64)
-    unlike = _repeats(hashed_spans(lower, line_start, line_end), line_row, rows)
-    return np.column_stack((
-        np.log1p(n), np.log1p(count), np.log1p(mean), np.log1p(spread), _logit(kinds[:, 0] + kinds[:, 4], n), _logit(kinds[:, 1], n), _logit(kinds[:, 2], n), _logit(kinds[:, 5], n), _logit(kinds[:, 3], n), _logit(kinds[:, 4], n),
-        _logit(distinct, count), np.log1p(lines), _logit(lines - unlike, lines), entropy, _logit(np.bincount(word_row, length <= 3, rows), count), _logit(np.bincount(word_row, length >= 12, rows), count), _logit(np.bincount(word_row, length == 1, rows), count), _logit(marked, count),
-    ))
+    unlike = _repeats(hashed_spans(data, line_start, line_end), line_row, rows)
+    by = lambda x: np.bincount(word_row, x, rows)
+    return _assemble(n, hist, count, by(length), by(length**2), distinct, marked, lines, unlike, by(length <= 3), by(length >= 12), by(length == 1))
+
+
+class _Spans:
+    """Sums over the spans of a text that comes in pieces: a span that a piece's end cuts is carried on."""
+
+    def __init__(self):
+        self.open: tuple[int, int, int] | None = None  # sum, size, marked
+        self.keys = np.zeros(0, np.uint64)
+        self.sums = np.zeros(7)  # spans, sizes, squares, marked, short, long, single
+
+    def add(self, sums: np.ndarray, size: np.ndarray, marked: np.ndarray, begun: bool, ended: bool) -> None:
+        """Spans in order; begun: the first goes on from the piece before; ended: the last ends in this piece."""
+        size, marked = size.astype(np.int64), marked.astype(np.int64)
+        if self.open:
+            a, n, m = self.open
+            if begun:
+                sums, size, marked = sums.copy(), size.copy(), marked.copy()
+                sums[0], size[0], marked[0] = np.uint64(joined_sum(a, n, int(sums[0]))), size[0] + n, max(marked[0], m)
+            else:
+                sums, size, marked = np.append(np.uint64(a), sums), np.append(n, size), np.append(m, marked)
+            self.open = None
+        if not ended and len(size):
+            self.open = int(sums[-1]), int(size[-1]), int(marked[-1])
+            sums, size, marked = sums[:-1], size[:-1], marked[:-1]
+        self.keys = np.unique(np.concatenate((self.keys, hashes_of(sums, size) >> np.uint64(20))))
+        x = size.astype(np.float64)
+        self.sums += (len(x), x.sum(), (x**2).sum(), marked.sum(), (size <= 3).sum(), (size >= 12).sum(), (size == 1).sum())
+
+    def end(self) -> np.ndarray:
+        self.add(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), False, True)
+        return self.sums
+
+
+def long_statistics(data: np.ndarray, part: int = PART) -> np.ndarray:
+    """The statistics of one text, piece by piece; what is held besides the text is its distinct words' and lines' hashes."""
+    hist, own, lines = np.zeros(256), _Spans(), _Spans()
+    for i in range(0, len(data), part):
+        piece = data[i : i + part]
+        hist += np.bincount(piece, minlength=256)
+        lower, starts, ends, _ = words(piece, np.array([0, len(piece)]))
+        last = i + part >= len(data)
+        marked = np.maximum.reduceat(_IS_MARK[piece], starts) if len(starts) else np.zeros(0)
+        own.add(span_sums(prefix_hashes(lower), starts, ends), ends - starts, marked, bool(len(starts)) and starts[0] == 0, last or not len(ends) or ends[-1] < len(piece))
+        edges = np.unique(np.concatenate(([0], np.flatnonzero(piece == 10) + 1, [len(piece)])))
+        lines.add(span_sums(prefix_hashes(piece), edges[:-1], edges[1:]), np.diff(edges), np.zeros(len(edges) - 1), True, last or piece[-1] == 10)
+    (count, total, squares, marked, short, far, single), whole = own.end(), lines.end()[0]
+    one = lambda x: np.array([float(x)])
+    return _assemble(one(len(data)), hist[None], one(count), one(total), one(squares), one(len(own.keys)), one(marked), one(whole), one(len(lines.keys)), one(short), one(far), one(single))
 
 
 def document_statistics(docs: DataFrame) -> DataFrame:
@@ -95,16 +151,16 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 class Discriminant:
-    """Two Gaussian classes with shrunken covariances."""
+    """Two Gaussian classes with shrunken covariances; scatter: sums of outer products of what rows differ from their class's mean."""
 
-    def __init__(self, counts: np.ndarray, sums: np.ndarray, squares: np.ndarray, to_pooled: float = 0.1, to_identity: float = 0.02):
+    def __init__(self, counts: np.ndarray, sums: np.ndarray, scatter: np.ndarray, to_pooled: float = 0.1, to_identity: float = 0.02):
         d = sums.shape[1]
         self.priors = (counts + 1.0) / (counts.sum() + 2.0)
         self.known = bool((counts >= 2).all())
         if not self.known:
             return
         self.means = sums / counts[:, None]
-        covs = squares / counts[:, None, None] - np.einsum("ci,cj->cij", self.means, self.means)
+        covs = scatter / counts[:, None, None]
         pooled = np.einsum("c,cij->ij", counts / counts.sum(), covs)
         self.factors, self.logs = [], []
         for c in covs:
@@ -123,23 +179,28 @@ class Discriminant:
 
 
 def fit(rows: DataFrame) -> Discriminant:
-    """From rows (label 0 or 1, stats): sums are formed by partition, then by Spark; the driver gets 2 x (1 + d + d^2) numbers."""
+    """From rows (label 0 or 1, stats), in two passes: the classes' means, then the scatter about them, which so loses
+    no digits. Sums are formed by partition, then by Spark; the driver gets 2 x (1 + d) and 2 x d^2 numbers."""
     d = len(FEATURES)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 1 + d + d * d))
-        for b in batches:
-            label, x = b.column(0).to_numpy(zero_copy_only=False), matrix(b.column(1))
-            for c in (0, 1):
-                own = x[label == c]
-                total[c] += np.concatenate(([len(own)], own.sum(axis=0), (own.T @ own).ravel()))
-        k = total.shape[1]
-        yield batch_of(c=np.repeat([0, 1], k), i=np.tile(np.arange(k), 2), v=total.ravel())
+    def summed(of, k: int) -> np.ndarray:
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((2, k))
+            for b in batches:
+                label, x = b.column(0).to_numpy(zero_copy_only=False), matrix(b.column(1))
+                for c in (0, 1):
+                    total[c] += of(c, x[label == c])
+            yield batch_of(c=np.repeat([0, 1], k), i=np.tile(np.arange(k), 2), v=total.ravel())
+
+        total = np.zeros((2, k))
+        for c, i, v in rows.select(F.col("label").cast("int"), "stats").mapInArrow(add, "c long, i long, v double").groupBy("c", "i").agg(F.sum("v")).collect():
+            total[c, i] = v
+        return total
 
-    total = np.zeros((2, 1 + d + d * d))
-    for c, i, v in rows.select(F.col("label").cast("int"), "stats").mapInArrow(add, "c long, i long, v double").groupBy("c", "i").agg(F.sum("v")).collect():
-        total[c, i] = v
-    return Discriminant(total[:, 0], total[:, 1 : 1 + d], total[:, 1 + d :].reshape(2, d, d))
+    first = summed(lambda c, x: np.append(len(x), x.sum(axis=0)), 1 + d)
+    means = first[:, 1:] / np.maximum(first[:, :1], 1)
+    scatter = summed(lambda c, x: ((x - means[c]).T @ (x - means[c])).ravel(), d * d)
+    return Discriminant(first[:, 0], first[:, 1:], scatter.reshape(2, d, d))
 
 
 def apply(stats: DataFrame, model: Discriminant) -> DataFrame:
@@ -160,9 +221,14 @@ def training_rows(keyed: DataFrame, labels: DataFrame, label: str, folds: int, h
 
 
 def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
-    """doc_id, score, predicted for every row of documents. Null text: as empty; no labels at all: score 0.5."""
-    stats = Scratch(spark, "quality").keep(document_statistics(docs))
-    return apply(stats, fit(training_rows(stats, labels, "quality", folds, held)))
+    """doc_id, score, predicted for every row of documents. Null text: as empty; no labels at all: score 0.5.
+
+    Very long texts are measured piece by piece, to the same numbers. Rows that repeat stay, and get equal scores;
+    an empty table gives no rows; scores that tie at 0.5 are predicted 1; further columns are not looked at.
+    """
+    scratch = Scratch(spark, "quality")
+    stats = scratch.keep(document_statistics(docs))
+    return apply(stats, fit(scratch.keep(training_rows(stats, labels, "quality", folds, held))))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
