@@ -11,6 +11,7 @@ often the language's own training texts find theirs.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, fold, mix, table, texts
+from .common import Scratch, batch_of, fold, mix, table, text_pieces, texts
 
 SIZES = (2, 3, 4)
 HASHES = 3
@@ -29,6 +30,7 @@ RARE = 2e-5
 UNKNOWN = "und"
 CHUNK_CHARS = 1 << 20
 
+_SPACE = re.compile(r"\s")
 _LETTER: np.ndarray | None = None
 
 
@@ -45,38 +47,65 @@ def _letters() -> np.ndarray:
     return _LETTER
 
 
-def grams(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit keys of the letter n-grams of texts (a word boundary counts as a letter), the text each is from, letters by text."""
-    joined = "\n".join(parts)
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    row = np.repeat(np.arange(len(parts)), sizes + 1)[: len(points)]
-    c = _letters()[np.minimum(points, 0x10FFFF)]
-    letters = np.bincount(row, c > 0, len(parts)).astype(np.int64)
-    keep = np.ones(len(c), bool)
-    keep[1:] = (c[1:] > 0) | (c[:-1] > 0)  # runs of other characters count as one boundary
-    c, row = c[keep].astype(np.uint64), row[keep]
-    keys, rows = [], []
+def _points(text: str) -> np.ndarray:
+    return _letters()[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0x10FFFF)]
+
+
+def _keys(c: np.ndarray, row: np.ndarray | None = None, new: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """By size: keys of the n-grams of letters (0: a boundary), and where they start. None crosses rows; at most one place
+    is a boundary; of the n-grams only those that end at `new` or later."""
+    c = c.astype(np.uint64)
     with np.errstate(over="ignore"):
         for n in SIZES:
-            if len(c) < n:
+            first = max(0, new - n + 1)
+            m = len(c) - n + 1 - first
+            if m <= 0:
                 continue
-            m = len(c) - n + 1
             key = np.full(m, n, np.uint64)
             inside = np.zeros(m, np.int64)
             for k in range(n):
-                key = key * np.uint64(0x1F1F3) + c[k : m + k]
-                inside += c[k : m + k] > 0
+                x = c[first + k : first + m + k]
+                key = key * np.uint64(0x1F1F3) + x
+                inside += x > 0
             key = key * np.uint64(0x9E3779B97F4A7C15)
-            ok = (inside >= n - 1) & (row[:m] == row[n - 1 :]) & (inside > 0)
-            keys.append(key[ok])
-            rows.append(row[:m][ok])
-    if not keys:
+            ok = inside >= n - 1
+            if row is not None:
+                ok &= row[first : first + m] == row[first + n - 1 : first + n - 1 + m]
+            yield key[ok], first + np.flatnonzero(ok)
+
+
+def grams(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit keys of the letter n-grams of texts (a boundary of words, begin and end count as a letter), the text each is from, letters by text."""
+    c = _points("".join(f"\n{t}\n" for t in parts))
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 2
+    row = np.repeat(np.arange(len(parts)), sizes)
+    letters = np.bincount(row, c > 0, len(parts)).astype(np.int64)
+    keep = np.ones(len(c), bool)
+    keep[1:] = (c[1:] > 0) | (c[:-1] > 0) | (row[1:] != row[:-1])  # runs of other characters count as one boundary
+    c, row = c[keep], row[keep]
+    found = list(_keys(c, row))
+    if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), letters
-    return np.concatenate(keys), np.concatenate(rows), letters
+    return np.concatenate([k for k, _ in found]), np.concatenate([row[at] for _, at in found]), letters
+
+
+def long_grams(text: str, size: int = 0) -> Iterator[tuple[np.ndarray, int]]:
+    """The same keys of one text, and its letters, piece by piece; the last letters of a piece are carried to the next."""
+    size = size or CHUNK_CHARS
+    carried, before = np.zeros(0, np.uint32), 1
+    for i in range(0, len(text), size):
+        c = _points(("" if i else "\n") + text[i : i + size] + ("" if i + size < len(text) else "\n"))
+        keep = (c > 0) | (np.concatenate(([before], c[:-1])) > 0)
+        before = c[-1]
+        letters, c = int((c > 0).sum()), c[keep]
+        whole = np.concatenate((carried, c))
+        found = [k for k, _ in _keys(whole, None, len(carried))]
+        carried = whole[-(max(SIZES) - 1) :]
+        yield np.concatenate(found) if found else np.zeros(0, np.uint64), letters
 
 
 def _groups(parts: list[str]) -> Iterator[slice]:
+    """Runs of texts with a bounded number of characters; a longer text is one of its own."""
     start, size = 0, 0
     for i, t in enumerate(parts):
         if size and size + len(t) > CHUNK_CHARS:
@@ -87,6 +116,15 @@ def _groups(parts: list[str]) -> Iterator[slice]:
         yield slice(start, len(parts))
 
 
+def _is_long(parts: list[str]) -> bool:
+    return len(parts) == 1 and len(parts[0]) > 2 * CHUNK_CHARS
+
+
+def _added(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    u, back = np.unique(np.concatenate(keys), return_inverse=True)
+    return u, np.bincount(back, np.concatenate(n), len(u))
+
+
 def gram_counts(docs: DataFrame) -> DataFrame:
     """lang, gram, n over all rows of (lang, text). Tasks count distinct words first, then the n-grams of those."""
 
@@ -98,19 +136,24 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                 names, times = list(found), np.fromiter(found.values(), np.int64, len(found))
                 keys, n = [], []
                 for s in _groups(names):
-                    key, row, _ = grams([f" {w} " for w in names[s]])
-                    u, back = np.unique(key, return_inverse=True)
-                    keys.append(u)
-                    n.append(np.bincount(back, times[s][row], len(u)))
+                    some = ((k, None) for k, _ in long_grams(names[s.start])) if _is_long(names[s]) else (grams(names[s])[:2],)
+                    for key, row in some:
+                        u, back = np.unique(key, return_inverse=True)
+                        keys.append(u)
+                        n.append(np.bincount(back, times[s][row if row is not None else np.zeros(len(key), np.int64)], len(u)))
+                    if len(keys) > 64:
+                        keys, n = ([x] for x in _added(keys, n))
                 if keys:
-                    u, back = np.unique(np.concatenate(keys), return_inverse=True)
-                    n = np.bincount(back, np.concatenate(n), len(u)).astype(np.int64)
-                    yield batch_of(lang=pa.array([lang] * len(u), pa.string()), gram=u.view(np.int64), n=n)
+                    u, n = _added(keys, n)
+                    yield batch_of(lang=pa.array([lang] * len(u), pa.string()), gram=u.view(np.int64), n=n.astype(np.int64))
             seen.clear()
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-                seen.setdefault(lang, Counter()).update(text.split())
+                for piece in text_pieces(text, _SPACE):
+                    seen.setdefault(lang, Counter()).update(piece.split())
+                    if len(text) > len(piece) and len(seen[lang]) > 500_000:
+                        yield from out()
             if sum(map(len, seen.values())) > 500_000:
                 yield from out()
         yield from out()
@@ -152,15 +195,25 @@ class Filter:
         for i in range(len(self.languages)):
             self.false[i] = self.holds(self.masks, i).mean() ** HASHES
 
+    def hits(self, keys: np.ndarray, row: np.ndarray, many: int) -> np.ndarray:
+        """By text: its n-grams, and by language how many of them the language holds."""
+        masks = self.masks_of(keys)
+        return np.column_stack((np.bincount(row, minlength=many).astype(float), *(np.bincount(row, self.holds(masks, i).astype(np.float64), many) for i in range(len(self.languages)))))
+
     def decide(self, parts: list[str]) -> tuple[list[str], np.ndarray]:
         """Language and score of texts. No letter: `und`, score 0; no n-gram that any language holds: the first language, 1 / languages."""
-        keys, row, letters = grams(parts)
-        masks = self.masks_of(keys)
-        total = np.maximum(np.bincount(row, minlength=len(parts)), 1).astype(float)
+        if _is_long(parts):
+            found, letters = np.zeros((1, len(self.languages) + 1)), np.zeros(1, np.int64)
+            for keys, n in long_grams(parts[0]):
+                found += self.hits(keys, np.zeros(len(keys), np.int64), 1)
+                letters += n
+        else:
+            keys, row, letters = grams(parts)
+            found = self.hits(keys, row, len(parts))
+        total = np.maximum(found[:, 0], 1)
         share = np.empty((len(parts), len(self.languages)))
         for i in range(len(self.languages)):
-            hits = np.bincount(row, self.holds(masks, i).astype(np.float64), len(parts)) / total
-            true = np.maximum((hits - self.false[i]) / (1 - self.false[i] + 1e-9), 0.0)
+            true = np.maximum((found[:, i + 1] / total - self.false[i]) / (1 - self.false[i] + 1e-9), 0.0)
             share[:, i] = true / max(self.found[i], 1e-9)
         strength = np.exp(np.minimum(share, 4) * np.log1p(total)[:, None] * 4)
         p = strength / strength.sum(axis=1, keepdims=True)
@@ -171,8 +224,6 @@ class Filter:
 
 def fit(docs: DataFrame) -> Filter | None:
     """From rows (lang, text) with a language. What reaches the driver is bounded by 1 / RARE n-grams a language and size."""
-    from .common import Scratch
-
     counts = Scratch(docs.sparkSession, "language").keep(gram_counts(docs))
     totals = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n")).collect()}
     if not totals:
@@ -190,7 +241,11 @@ def fit(docs: DataFrame) -> Filter | None:
 
 
 def languages(docs: DataFrame, model: Filter | None) -> DataFrame:
-    """doc_id, lang_pred, score of every row; `und` and 0 for null texts, texts without letters, and where nothing was learned."""
+    """doc_id, lang_pred, score of every row; `und` and 0 for null texts, texts without letters, and where nothing was learned.
+
+    Very long texts are read piece by piece, to the same hits. Languages that tie: the first by name. Rows that
+    repeat stay; an empty table gives no rows; further columns are not looked at.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS masks, whatever the input
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
