@@ -61,6 +61,48 @@ def test_toxicity_held_out(spark, tiny):
     assert all(re.fullmatch(r"\w+(\W+\w+)*", texts[r["doc_id"]][s["start"] : s["end"]]) for r in some for s in r["spans"])
 
 
+def test_marginals_of_ragged_rows():
+    """Side by side, one by one and both together, against the rows alone."""
+    rng = np.random.default_rng(3)
+    field = toxicity.Field()
+    field.transition, field.trained = rng.normal(size=(2, 2)), True
+    for sizes in ([5], [1, 2, 3], [7, 0, 300, 9, 9, 9, 1, 200], [4] * 9, [2] * 6 + [90, 80]):
+        sizes = np.array(sizes)
+        e = rng.normal(size=sizes.sum()) * 3
+        got = np.split(field.marginals(e, sizes), np.cumsum(sizes)[:-1])
+        for row, p in zip(np.split(e, np.cumsum(sizes)[:-1]), got, strict=True):
+            assert not len(row) or np.allclose(toxicity.forward_backward(row[None], field.transition)[0][0], p)
+
+
+def test_tags_follow_the_words_around():
+    """A word that is toxic behind one word alone is tagged there alone."""
+    rng = random.Random(2)
+    names = [f"w{i}" for i in range(30)] + ["you", "the", "snake"]
+    docs, tags = [], []
+    for i in range(400):
+        d = [rng.randrange(30) for _ in range(20)]
+        d[8], d[9] = (30, 32) if i % 2 else (31, 32)
+        docs.append(np.array(d))
+        tags.append(np.array([int(i % 2 and k == 9) for k in range(20)]))
+    field = toxicity.Field()
+    field.train(docs, tags, names)
+    known = toxicity._Emissions(field)
+    found = [known.scores(t) for t in ("w1 w2 you snake w3", "w1 w2 the snake w3")]
+    p = field.marginals(toxicity.in_context(*np.concatenate(found).T, np.array([5, 5])), np.array([5, 5]))
+    assert p[3] > 0.8 and p[8] < 0.2 and np.delete(p, [3]).max() < 0.2
+
+
+def test_long_texts_are_read_in_pieces(monkeypatch):
+    field = toxicity.Field()
+    field.weights = np.random.default_rng(1).normal(size=toxicity.BUCKETS).astype(np.float32)
+    text = " ".join(f"w{i % 700}" for i in range(5000)) + " \n" * 50
+    want = toxicity._Emissions(field).scores(text)
+    monkeypatch.setattr(toxicity, "text_pieces", lambda t, b: common.text_pieces(t, b, 1000))
+    monkeypatch.setattr(toxicity, "KEPT_WORDS", 100)
+    assert len(list(common.text_pieces(text, toxicity._OTHER, 1000))) > 5 and "".join(common.text_pieces(text, toxicity._OTHER, 1000)) == text
+    assert np.array_equal(toxicity._Emissions(field).scores(text), want) and list(common.text_pieces("x" * 99, toxicity._OTHER, 10)) == ["x" * 99]
+
+
 def test_toxicity_hard(spark, hard, empty, labels):
     field = toxicity.fit(hard, labels)
     got = collect(toxicity.toxicity(hard, field))
@@ -338,10 +380,58 @@ def test_quality_hard(spark, hard, empty, labels):
     assert {r["score"] for r in collect(quality.quality_scores(spark, hard, labels.limit(0)))} == {0.5}
 
 
+def statistics_truth(text: str) -> list[float]:
+    """The statistics by the letter, in Python."""
+    b = text.encode()
+    n, odds = len(b), lambda k, whole: math.log((k + 0.5) / (max(whole - k, 0) + 0.5))
+    found = [w for w in re.split(rb"[\t-\r ]+", b.translate(bytes(common._LOWER.tolist()))) if w]
+    length = [len(w) for w in found]
+    mean = sum(length) / max(len(found), 1)
+    spread = math.sqrt(max(sum(x * x for x in length) / max(len(found), 1) - mean**2, 0))
+    stops, blank = b"!,.:;?", b"\t\n\x0b\x0c\r "
+    marks = [c for c in b if c not in stops and c not in blank and not (48 <= c < 58 or 65 <= c < 91 or 97 <= c < 123 or c >= 128)]
+    count = lambda own: sum(c in own for c in b)
+    digits, capitals = sum(48 <= c < 58 for c in b), sum(65 <= c < 91 for c in b)
+    letters = sum(65 <= c < 91 or 97 <= c < 123 or c >= 128 for c in b)
+    lines = re.findall(rb"[^\n]*\n|[^\n]+\Z", b)
+    shares = [k / n for k in Counter(b).values()]
+    many = len(found)
+    return [
+        math.log1p(n), math.log1p(many), math.log1p(mean), math.log1p(spread), odds(letters, n), odds(digits, n), odds(len(marks), n), odds(count(stops), n), odds(count(blank), n), odds(capitals, n),
+        odds(len(set(found)), many), math.log1p(len(lines)), odds(len(lines) - len(set(lines)), len(lines)), -sum(p * math.log2(p) for p in shares), odds(sum(x <= 3 for x in length), many), odds(sum(x >= 12 for x in length), many),
+        odds(sum(x == 1 for x in length), many), odds(sum(any(c in marks for c in w) for w in found), many),
+    ]
+
+
+def test_statistics_by_the_letter(hard):
+    some = ["", " ", "\n\n", "One two, THREE.\nOne two, THREE.\n12 a-b $5 naïve\t\x0bend", "x" * 90, "a\n" * 40 + "b", prose(5, 400) + "\n" + prose(6, 100).upper() + "!? #1\n"] + [r["text"] or "" for r in hard.select("text").collect()]
+    data = [t.encode() for t in some]
+    at = np.concatenate(([0], np.cumsum([len(b) for b in data])))
+    got = quality.statistics(np.frombuffer(b"".join(data), np.uint8), at)
+    for t, b, row in zip(some, data, got, strict=True):
+        assert np.allclose(row, statistics_truth(t)), t[:40]
+        for part in (7, 64, 1000) if len(b) < 3000 else (1000, 9999):
+            assert np.allclose(quality.long_statistics(np.frombuffer(b, np.uint8), part)[0], row), (t[:40], part)
+
+
+def test_discriminant_keeps_digits(spark):
+    """Far from zero, where a sum of squares less the squared mean would lose them."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, len(quality.FEATURES))) * 1e-3 + 1e6
+    rows = spark.createDataFrame([(i % 2, v.tolist()) for i, v in enumerate(x)], "label int, stats array<double>").repartition(3)
+    m = quality.fit(rows)
+    one = x[::2]
+    want = np.cov(one.T, bias=True)
+    scatter = np.cov(x[1::2].T, bias=True)
+    c = 0.9 * want + 0.1 * (want + scatter) / 2
+    c = 0.98 * c + 0.02 * (np.trace(c) / len(c) + 1e-9) * np.eye(len(c))
+    assert np.allclose(np.linalg.inv(m.factors[0]) @ np.linalg.inv(m.factors[0]).T, c, rtol=1e-4, atol=1e-12)
+
+
 def test_discriminant_is_the_density_ratio():
     rng = np.random.default_rng(6)
     x = [rng.normal(size=(400, 3)), rng.normal(size=(300, 3)) * [1, 2, 0.5] + 1]
-    m = quality.Discriminant(np.array([400.0, 300.0]), np.array([a.sum(axis=0) for a in x]), np.array([a.T @ a for a in x]), 0, 0)
+    m = quality.Discriminant(np.array([400.0, 300.0]), np.array([a.sum(axis=0) for a in x]), np.array([(a - a.mean(axis=0)).T @ (a - a.mean(axis=0)) for a in x]), 0, 0)
     p = []
     for a, prior in zip(x, m.priors, strict=True):
         c = np.cov(a.T, bias=True)
@@ -365,6 +455,35 @@ def test_language_hard(spark, hard, empty):
     assert language.languages(hard, language.fit(empty)).where("lang_pred <> 'und'").count() == 0
 
 
+def test_grams_by_the_letter_and_in_pieces(monkeypatch):
+    some = ["", "a", "Ab cd", "1 x", " lead\n\ntrail! ", "naïve façade – 日本語 😀 \x00 end", "..,,", prose(3, 40)]
+    keys, row, letters = language.grams(some)
+    for i, t in enumerate(some):
+        low = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else "\0" for c in f"\n{t}\n")
+        low = re.sub("\0+", "\0", low)
+        want = Counter(low[k : k + n] for n in language.SIZES for k in range(len(low) - n + 1) if low[k : k + n].count("\0") <= 1)
+        own = keys[row == i]
+        assert len(own) == want.total() and sorted(Counter(own.tolist()).values()) == sorted(want.values()) and letters[i] == sum(c.isalpha() for c in t)
+        for size in (1, 2, 5, 1000):
+            parts = list(language.long_grams(t, size))
+            assert sum(n for _, n in parts) == letters[i]
+            assert not t or np.array_equal(np.sort(np.concatenate([k for k, _ in parts])), np.sort(own)), (t, size)
+    f = language.Filter(["a", "b"], 1 << 12)
+    f.add(0, keys[row == 7])
+    f.settle()
+    before = f.decide([some[7]])
+    monkeypatch.setattr(language, "CHUNK_CHARS", 30)
+    assert f.decide([some[7]])[0] == before[0] and np.allclose(f.decide([some[7]])[1], before[1])
+
+
+def test_grams_of_long_texts_count_alike(spark, monkeypatch):
+    docs = spark.createDataFrame([("en", prose(1, 900)), ("en", "x" * 300 + " " + "yz" * 200), ("fr", None), ("fr", "né " * 90)], "lang string, text string")
+    want = sorted(map(tuple, language.gram_counts(docs).collect()))
+    monkeypatch.setattr(language, "CHUNK_CHARS", 60)
+    monkeypatch.setattr(language, "text_pieces", lambda t, b: common.text_pieces(t, b, 50))
+    assert sorted(map(tuple, language.gram_counts(docs).collect())) == want and want
+
+
 def test_filter_has_no_false_negatives():
     for many, one in ((2, 1), (130, 129)):
         f = language.Filter([f"l{i}" for i in range(many)], 1 << 12)
