@@ -55,30 +55,30 @@ def _keys(c: np.ndarray, row: np.ndarray | None = None, new: int = 0) -> Iterato
     """By size: keys of the n-grams of letters (0: a boundary), and where they start. None crosses rows; at most one place
     is a boundary; of the n-grams only those that end at `new` or later."""
     c = c.astype(np.uint64)
+    letter = (c > 0).view(np.int8)
+    key, inside, start = c.copy(), letter, np.arange(len(c))
     with np.errstate(over="ignore"):
-        for n in SIZES:
-            first = max(0, new - n + 1)
-            m = len(c) - n + 1 - first
+        for n in range(2, max(SIZES) + 1):  # a longer n-gram's key comes from that of its first letters
+            m = len(c) - n + 1
             if m <= 0:
+                return
+            key = key[:m] * np.uint64(0x1F1F3) + c[n - 1 :]
+            inside = inside[:m] + letter[n - 1 :]
+            if n not in SIZES:
                 continue
-            key = np.full(m, n, np.uint64)
-            inside = np.zeros(m, np.int64)
-            for k in range(n):
-                x = c[first + k : first + m + k]
-                key = key * np.uint64(0x1F1F3) + x
-                inside += x > 0
-            key = key * np.uint64(0x9E3779B97F4A7C15)
             ok = inside >= n - 1
             if row is not None:
-                ok &= row[first : first + m] == row[first + n - 1 : first + n - 1 + m]
-            yield key[ok], first + np.flatnonzero(ok)
+                ok &= row[:m] == row[n - 1 :]
+            if new >= n:
+                ok[: new - n + 1] = False
+            yield (key[ok] + np.uint64(n * 0x632BE59BD9B4E019 & (1 << 64) - 1)) * np.uint64(0x9E3779B97F4A7C15), start[:m][ok]
 
 
 def grams(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit keys of the letter n-grams of texts (a boundary of words, begin and end count as a letter), the text each is from, letters by text."""
     c = _points("".join(f"\n{t}\n" for t in parts))
     sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 2
-    row = np.repeat(np.arange(len(parts)), sizes)
+    row = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
     letters = np.bincount(row, c > 0, len(parts)).astype(np.int64)
     keep = np.ones(len(c), bool)
     keep[1:] = (c[1:] > 0) | (c[:-1] > 0) | (row[1:] != row[:-1])  # runs of other characters count as one boundary
@@ -161,34 +161,40 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+_BITS = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.float64)
+
+
 class Filter:
-    """The bit-sliced filter: one mask of languages a slot (a word for every 64 languages)."""
+    """The bit-sliced filter: masks of eight languages each by slot, as many as the languages ask for."""
 
     def __init__(self, languages: list[str], slots: int = SLOTS):
-        self.languages, self.masks = languages, np.zeros((slots, max(1, -(-len(languages) // 64))), np.uint64)
+        """slots: a power of two."""
+        self.languages, self.masks = languages, np.zeros((max(1, -(-len(languages) // 8)), slots), np.uint8)
         self.found = np.ones(len(languages))  # share of a language's own n-grams that it holds
         self.false = np.zeros(len(languages))
 
     def places(self, keys: np.ndarray) -> Iterator[np.ndarray]:
         h = mix(keys)
-        size = np.uint64(len(self.masks))
+        most = np.uint64(self.masks.shape[1] - 1)
         with np.errstate(over="ignore"):
             step = (h >> np.uint64(40)) * np.uint64(2) + np.uint64(1)
             for k in range(HASHES):
-                yield ((h + np.uint64(k) * step) % size).astype(np.int64)
+                yield ((h + np.uint64(k) * step) & most).view(np.int64)
 
     def add(self, language: int, keys: np.ndarray) -> None:
         for p in self.places(keys):
-            self.masks[p, language // 64] |= np.uint64(1 << language % 64)
+            self.masks[language // 8, p] |= np.uint8(1 << language % 8)
 
     def masks_of(self, keys: np.ndarray) -> np.ndarray:
+        """The languages that hold each key, eight to a row."""
         out = None
         for p in self.places(keys):
-            out = self.masks[p] if out is None else out & self.masks[p]
+            found = self.masks[:, p]
+            out = found if out is None else out & found
         return out
 
     def holds(self, masks: np.ndarray, language: int) -> np.ndarray:
-        return (masks[:, language // 64] >> np.uint64(language % 64)) & np.uint64(1)
+        return (masks[language // 8] >> np.uint8(language % 8)) & np.uint8(1)
 
     def settle(self) -> None:
         """A key that no language holds hits a bit with the power of that bit's share of the slots."""
@@ -196,9 +202,10 @@ class Filter:
             self.false[i] = self.holds(self.masks, i).mean() ** HASHES
 
     def hits(self, keys: np.ndarray, row: np.ndarray, many: int) -> np.ndarray:
-        """By text: its n-grams, and by language how many of them the language holds."""
-        masks = self.masks_of(keys)
-        return np.column_stack((np.bincount(row, minlength=many).astype(float), *(np.bincount(row, self.holds(masks, i).astype(np.float64), many) for i in range(len(self.languages)))))
+        """By text: its n-grams, and by language how many of them the language holds (texts are counted by mask first)."""
+        place = row.astype(np.int64) << 8
+        counts = [np.bincount(place + m, minlength=many * 256).reshape(many, 256) for m in self.masks_of(keys)]
+        return np.column_stack((counts[0].sum(axis=1), *(c @ _BITS for c in counts)))[:, : len(self.languages) + 1]
 
     def decide(self, parts: list[str]) -> tuple[list[str], np.ndarray]:
         """Language and score of texts. No letter: `und`, score 0; no n-gram that any language holds: the first language, 1 / languages."""
