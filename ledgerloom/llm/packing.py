@@ -25,6 +25,9 @@ from .common import Scratch, batch_of, runs, table, texts
 #: The byte-level pre-tokenizer's public pattern.
 BYTE_LEVEL_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+BROADCAST_BYTES = 64 << 20
+"""The tasks' counts by length are broadcast up to so many bytes (8,192 tasks at a capacity of 1,024)."""
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 _encoders: dict[str, object] = {}
@@ -167,13 +170,20 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 
 def pack(found: DataFrame, capacity: int = 1024) -> DataFrame:
     """Adds sequence_id and offset to pieces (kept rows of `pieces`, with a length from 1 to `capacity`)."""
-    sizes = found.groupBy("length", "_task").agg(F.count("*").alias("_n"))
-    before = Scratch(found.sparkSession, "ranks").keep(sizes.select("length", "_task", F.coalesce(F.sum("_n").over(W.partitionBy("length").orderBy("_task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"), "_n"))
-    counts = {int(r[0]): int(r[1]) for r in before.groupBy("length").agg(F.sum("_n")).collect()}  # at most `capacity` rows
+    scratch = Scratch(found.sparkSession, "ranks")
+    sizes = scratch.keep(found.groupBy("length", "_task").agg(F.count("*").alias("_n")))
+    counts = {int(r[0]): int(r[1]) for r in sizes.groupBy("length").agg(F.sum("_n")).collect()}  # at most `capacity` rows
     slots = np.array(plan(counts, capacity) or np.zeros((0, 6)), dtype=np.int64).reshape(-1, 6)
     slots = slots[np.lexsort((slots[:, 1], slots[:, 0]))]
-    # Few tasks: their counts are broadcast, and no piece moves. Spark decides by the written table's size.
-    ranked = found.join(before.drop("_n"), ["length", "_task"]).withColumn("_rank", F.col("_before") + F.col("_number"))
+    # By task one list: how many pieces of each length the tasks before it have.
+    tasks = sizes.select("_task").distinct()
+    grid = tasks.select("_task", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(capacity).cast("long"))).alias("length")).join(sizes, ["_task", "length"], "left")
+    earlier = F.coalesce(F.sum("_n").over(W.partitionBy("length").orderBy("_task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    lists = grid.select("_task", F.struct("length", earlier.alias("n")).alias("x")).groupBy("_task").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["n"]).alias("_before"))
+    # Few tasks: their lists are broadcast, and no piece moves.
+    few = tasks.count() * 8 * capacity <= BROADCAST_BYTES
+    lists = scratch.keep(lists)
+    ranked = found.join(F.broadcast(lists) if few else lists.hint("merge"), "_task").withColumn("_rank", F.element_at("_before", F.col("length").cast("int")) + F.col("_number"))
     names = [c for c in found.columns if c not in ("_task", "_number")]
     far = np.int64(1) << np.int64(48)
 

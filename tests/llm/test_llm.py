@@ -541,6 +541,13 @@ def test_packing(spark, tiny, hard):
     assert len(seats) <= -(-total // 1024) * 1.05 + 1
 
 
+def test_shuffled_counts_give_the_same(spark, tiny, monkeypatch):
+    path, docs = P.path("byte_bpe_50k.json"), table(spark, tiny, "documents").repartition(5, "doc_id")
+    a = Counter(map(tuple, packing.best_fit_packing(spark, docs, path).collect()))
+    monkeypatch.setattr(packing, "BROADCAST_BYTES", -1)
+    assert Counter(map(tuple, packing.best_fit_packing(spark, docs, path).collect())) == a
+
+
 def test_plan_is_best_fit_decreasing():
     """As many sequences as best fit piece by piece, every rank in one slot, offsets gapless."""
     rng = random.Random(1)
