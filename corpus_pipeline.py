@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import Scratch, table
@@ -25,7 +24,7 @@ from ledgerloom.llm.repeats import without_repeats
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is one half or more. A row without an id can't be told apart and is kept.
+    """Documents whose quality score is one half or more. A row without an id can't be matched with its score and is kept.
 
     Ids that repeat are kept if any of their rows is good.
     """
@@ -35,13 +34,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id; rows without an id and texts without words stay."""
-    groups = jaccard_groups(docs.select("doc_id", "text"))
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    # Rows that repeat an id: the first of them by content.
-    order = F.row_number().over(W.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).orderBy("text"))
-    return kept.withColumn("_copy", order).where("_copy = 1").drop("_copy")
+    """Of each group of linked rows the one with the smallest id (a row without an id only if none has one); texts without
+    words stay. Rows are told apart by a number of their own, so rows that repeat an id are judged one by one."""
+    scratch = Scratch(spark, "one-of-each")
+    rows = scratch.keep(docs.withColumn("_number", F.monotonically_increasing_id()))
+    groups = jaccard_groups(rows.select(F.col("_number").alias("doc_id"), "text"))
+    members = scratch.keep(groups.where("n_shingles > 0").select(F.col("doc_id").alias("_number"), "component_id").join(rows.select("_number", "doc_id"), "_number"))
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_number")).alias("x")).select("component_id", F.col("x._number").alias("_first"))
+    gone = members.join(first, "component_id").where("_number <> _first").select("_number")
+    return rows.join(gone, "_number", "left_anti").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
