@@ -765,11 +765,28 @@ def test_pipeline(spark, tiny):
 def test_pipeline_on_hard_rows(spark, hard, empty, tiny):
     import corpus_pipeline
 
-    for start in (hard.select("doc_id", "text", "lang", "source", "n"), empty):
-        docs = start
-        for _, stage in corpus_pipeline.STAGES:
-            docs = Scratch(spark, "test").keep(stage(spark, docs, tiny))
-        assert docs.count() >= 0
+    docs = hard.select("doc_id", "text", "lang", "source", "n")
+    kept = [docs]
+    for _, stage in corpus_pipeline.STAGES:
+        kept.append(Scratch(spark, "test").keep(stage(spark, kept[-1], tiny)))
+    ids = [Counter(r[0] for r in k.select("doc_id").collect()) for k in kept]
+    assert all(set(y) <= set(x) for x, y in zip(ids, ids[1:], strict=False)) and ids[1][None] == 2
+    assert sum(r["length"] for r in collect(kept[-1])) == sum(len(r["ids"]) for r in collect(kept[-1])) and kept[-1].count() == kept[-2].count()
+    docs = empty
+    for _, stage in corpus_pipeline.STAGES:
+        docs = Scratch(spark, "test").keep(stage(spark, docs, tiny))
+    assert docs.count() == 0
+
+
+def test_one_of_each_group_by_row(spark):
+    """Rows that repeat an id are judged by their own texts."""
+    import corpus_pipeline
+
+    a, b = prose(31, 30), prose(32, 30)
+    rows = [(1, a), (1, b), (2, a), (None, a), (3, " "), (3, " "), (4, None), (None, prose(33, 9)), (None, prose(33, 9)), (0, a + " more"), (5, b)]
+    got = corpus_pipeline.keep_one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
+    want = [(0, a + " more"), (1, b), (3, " "), (3, " "), (4, None), (None, prose(33, 9))]
+    assert Counter(map(tuple, got.collect())) == Counter(want)
 
 
 def test_queries_have_contract_columns(spark, tiny):
