@@ -107,16 +107,14 @@ def align_spans(a: DataFrame, b: DataFrame, least: float = 0.5) -> DataFrame:
     near = x.join(y, "case_id").where((F.col("s1") < F.col("e2")) & (F.col("s2") < F.col("e1"))).withColumn("iou", common / (F.greatest("e1", "e2") - F.least("s1", "s2"))).where(F.col("iou") >= least)
 
     def match(pdf):
-        pdf = pdf.sort_values(["iou", "s1", "s2"], ascending=[False, True, True], kind="stable")
-        used_a: set = set()
-        used_b: set = set()
-        keep = []
-        for i, j in zip(pdf["a_id"], pdf["b_id"], strict=True):
-            ok = i not in used_a and j not in used_b
-            keep.append(ok)
-            if ok:
-                used_a.add(i)
-                used_b.add(j)
-        return pdf.loc[keep, ["case_id", "a_id", "b_id", "iou"]]
+        left = pdf.sort_values(["iou", "s1", "s2"], ascending=[False, True, True], kind="stable")
+        best = []
+        while len(left):
+            first = left.iloc[0]
+            best.append((first["case_id"], first["a_id"], first["b_id"], first["iou"]))
+            left = left[(left["a_id"] != first["a_id"]) & (left["b_id"] != first["b_id"])]
+        import pandas as pd
+
+        return pd.DataFrame(best, columns=["case_id", "a_id", "b_id", "iou"])
 
     return near.groupBy("case_id").applyInPandas(match, f"case_id {a.schema['case_id'].dataType.simpleString()}, a_id long, b_id long, iou double")

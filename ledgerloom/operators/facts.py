@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .graph import MONEY, total
+from .graph import MONEY, keep, total
 
 #: Reasons of unavailable facts.
 MULTI_CURRENCY = "multi_currency_aggregate_undefined"
@@ -126,28 +126,66 @@ def illicit_inflow_share(edges: DataFrame) -> DataFrame:
     return g.select("node_id", sentinel(why, F.col("k") / F.col("v")).alias("share"))
 
 
-def hops_to_flagged(edges: DataFrame, depth: int = 3) -> DataFrame:
-    """node_id, hops: least number of undirected hops to an account on a flagged edge, up to `depth`; else null."""
+def hops_to_flagged(edges: DataFrame) -> DataFrame:
+    """node_id, hops: least number of undirected hops to an account on a flagged edge; null where there is no way to one.
+
+    One join per hop from the last frontier, each written; it ends when no account is new.
+    """
+    spark = edges.sparkSession
     plain = edges.where("src <> dst").select("src", "dst").distinct()
-    both = plain.union(plain.select("dst", "src")).distinct()
+    both = keep(plain.union(plain.select("dst", "src")).distinct(), spark)
     nodes = edges.select(F.col("src").alias("node_id")).union(edges.select("dst")).distinct()
-    seen = flagged_nodes(edges).withColumn("hops", F.lit(0))
-    front = seen
-    for k in range(1, depth + 1):
-        step = both.join(front.select(F.col("node_id").alias("src")), "src").select(F.col("dst").alias("node_id")).distinct()
-        front = step.join(seen.select("node_id"), "node_id", "left_anti").withColumn("hops", F.lit(k))
+    front = seen = keep(flagged_nodes(edges).withColumn("hops", F.lit(0)), spark)
+    while front.take(1):
+        step = both.join(front.select(F.col("node_id").alias("src"), "hops"), "src").select(F.col("dst").alias("node_id"), (F.col("hops") + 1).alias("hops")).distinct()
+        front = keep(step.join(seen.select("node_id"), "node_id", "left_anti"), spark)
         seen = seen.unionByName(front)
     return nodes.join(seen, "node_id", "left")
 
 
-def roles(edges: DataFrame, ratio: float = 2.0) -> DataFrame:
-    """node_id, n_senders, n_receivers, role, from distinct counterparties without loops."""
-    plain = edges.where("src <> dst").select("src", "dst").distinct()
-    ins = plain.groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("n_senders"))
-    outs = plain.groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("n_receivers"))
-    j = ins.join(outs, "node_id", "full").select("node_id", F.coalesce("n_senders", F.lit(0)).alias("n_senders"), F.coalesce("n_receivers", F.lit(0)).alias("n_receivers"))
+HUB = 5
+"""Distinct counterparties on both sides that make a hub."""
+
+
+def counterparty_counts(edges: DataFrame, *key: str) -> DataFrame:
+    """key, node_id, n_senders, n_receivers, n_others: distinct counterparties without loops; accounts with loops alone have 0."""
+    plain = edges.where("src <> dst").select(*key, "src", "dst").distinct()
+    ends = plain.select(*key, F.col("src").alias("node_id"), F.col("dst").alias("other"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(plain.select(*key, "dst", "src", F.lit(0), F.lit(1)))
+    loops = edges.where("src = dst").select(*key, F.col("src").alias("node_id"), F.lit(None).cast("string").alias("other"), F.lit(0).alias("o"), F.lit(0).alias("i")).distinct()
+    by = ends.union(loops).groupBy(*key, "node_id", "other").agg(F.max("o").alias("o"), F.max("i").alias("i"))
+    return by.groupBy(*key, "node_id").agg(F.sum("i").alias("n_senders"), F.sum("o").alias("n_receivers"), F.count("other").alias("n_others"))
+
+
+def roles(edges: DataFrame, *key: str, hub: int = HUB) -> DataFrame:
+    """key, node_id, n_senders, n_receivers, role, from distinct counterparties without loops. A hub is told before a pass-through."""
     i, o = F.col("n_senders"), F.col("n_receivers")
-    return j.withColumn("role", F.when(i == 0, "originator").when(o == 0, "beneficiary").when(i >= ratio * o, "collector").when(o >= ratio * i, "distributor").otherwise("intermediary"))
+    role = F.when((i == 0) & (o == 0), "terminal").when(i == 0, "originator").when(o == 0, "beneficiary").when(F.least(i, o) >= hub, "hub").when((i == 1) & (o == 1), "pass_through").otherwise("intermediary")
+    return counterparty_counts(edges, *key).select(*key, "node_id", "n_senders", "n_receivers", role.alias("role"))
+
+
+def select_focal(edges: DataFrame, seeds: DataFrame, key: str = "case_id") -> DataFrame:
+    """key, node_id, rule: the case's seed (key, seed_node) where it takes part, else the account with most distinct counterparties, of equals the first by id."""
+    own = counterparty_counts(edges, key).join(seeds.select(key, "seed_node"), key, "left")
+    first = own.groupBy(key).agg(F.min(F.struct(F.when(F.col("node_id") == F.col("seed_node"), 0).otherwise(1).alias("r"), (-F.col("n_others")).alias("n"), "node_id")).alias("x"))
+    return first.select(key, F.col("x.node_id").alias("node_id"), F.when(F.col("x.r") == 0, "extraction_seed").otherwise("max_degree").alias("rule"))
+
+
+#: The order in which shapes that fire name a case without a known typology.
+SHAPE_PRIORITY = ("gather_scatter", "scatter_gather", "cycle", "bipartite", "stack", "fan_out", "fan_in")
+
+
+def resolve_typology(cases: DataFrame, known: bool) -> DataFrame:
+    """typology, source, confidence, scope of cases with `typology` (of their own flagged edges) and a boolean for each shape.
+
+    A substrate that knows typologies is believed, also where it names none; else the first shape that fires is inferred,
+    the surer the more of them fire.
+    """
+    if known:
+        return cases.withColumns({"typology": F.coalesce("typology", F.lit("unclassified")), "source": F.lit("ground_truth"), "confidence": F.lit(1.0), "scope": F.lit("stream_membership")})
+    n = sum((F.col(m).cast("int") for m in SHAPE_PRIORITY), F.lit(0))
+    name = F.coalesce(*[F.when(F.col(m), F.lit(m)) for m in SHAPE_PRIORITY], F.lit("unclassified"))
+    sure = F.when(n == 0, 0.0).otherwise(F.round(F.least(F.lit(0.9), 0.5 + 0.2 * (n - 1)), 2))
+    return cases.withColumns({"typology": name, "source": F.when(n == 0, "none").otherwise("inferred"), "confidence": sure, "scope": F.lit("case_structure")})
 
 
 def dominant_typology(edges: DataFrame, order: tuple[str, ...], key: str = "case_id") -> DataFrame:
@@ -159,10 +197,19 @@ def dominant_typology(edges: DataFrame, order: tuple[str, ...], key: str = "case
 
 # --- motifs -----------------------------------------------------------------------------------------
 
-def widest_star(edges: DataFrame, centre: str, other: str, key: str) -> DataFrame:
-    """key, node_id, width: the account with most distinct counterparties on one side; of equals the first by id."""
-    g = edges.where("src <> dst").groupBy(key, F.col(centre).alias("node_id")).agg(F.countDistinct(other).alias("width"))
-    return g.groupBy(key).agg(F.min(F.struct((-F.col("width")).alias("w"), "node_id")).alias("b")).select(key, F.col("b.node_id").alias("node_id"), (-F.col("b.w")).alias("width"))
+FAN = 3
+TWO_SIDED = 2
+"""Least widths of a fan, and of each side of the two-sided shapes."""
+
+
+def widest_star(edges: DataFrame, centre: str, other: str, key: str, least: int = FAN) -> DataFrame:
+    """key, present, node_id, width, window_hours: the account with most distinct counterparties on one side (of equals the
+    first by id) and the span of the transfers that form its star; null where none reaches `least`."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    g = edges.groupBy(key, F.col(centre).alias("node_id")).agg(F.countDistinct(F.when(F.col("src") != F.col("dst"), F.col(other))).alias("width"), ((F.max(F.when(F.col("src") != F.col("dst"), us)) - F.min(F.when(F.col("src") != F.col("dst"), us))) / 3.6e9).alias("h"))
+    x = g.groupBy(key).agg(F.min(F.struct((-F.col("width")).alias("w"), "node_id", "h")).alias("b"))
+    there = -F.col("b.w") >= least
+    return x.select(key, there.alias("present"), F.when(there, F.col("b.node_id")).alias("node_id"), F.when(there, -F.col("b.w")).alias("width"), F.when(there, F.col("b.h")).alias("window_hours"))
 
 
 def fan_out(edges: DataFrame, key: str = "case_id") -> DataFrame:
@@ -179,92 +226,52 @@ def gather_scatter(edges: DataFrame, key: str) -> DataFrame:
     ins = plain.groupBy(key, F.col("dst").alias("node_id")).agg(F.countDistinct("src").alias("i"))
     outs = plain.groupBy(key, F.col("src").alias("node_id")).agg(F.countDistinct("dst").alias("o"))
     g = ins.join(outs, [key, "node_id"]).withColumn("w", F.least("i", "o"))
-    return g.groupBy(key).agg(F.min(F.struct((-F.col("w")).alias("w"), "node_id")).alias("b")).select(key, F.col("b.node_id").alias("node_id"), (-F.col("b.w")).alias("width"))
+    return g.where(F.col("w") >= TWO_SIDED).groupBy(key).agg(F.min(F.struct((-F.col("w")).alias("w"), "node_id")).alias("b")).select(key, F.col("b.node_id").alias("node_id"), (-F.col("b.w")).alias("width"))
 
 
 def scatter_gather(edges: DataFrame, key: str) -> DataFrame:
     """key, origin, destination, width: the pair that most distinct middle accounts connect in two hops; ties by ids."""
     plain = edges.where("src <> dst").select(key, "src", "dst").distinct()
     a, b = plain.select(key, F.col("src").alias("origin"), F.col("dst").alias("mid")), plain.select(key, F.col("src").alias("mid"), F.col("dst").alias("destination"))
-    g = a.join(b, [key, "mid"]).where("origin <> destination").groupBy(key, "origin", "destination").agg(F.count("*").alias("w"))
+    g = a.join(b, [key, "mid"]).where("origin <> destination").groupBy(key, "origin", "destination").agg(F.count("*").alias("w")).where(F.col("w") >= TWO_SIDED)
     return g.groupBy(key).agg(F.min(F.struct((-F.col("w")).alias("w"), "origin", "destination")).alias("b")).select(key, F.col("b.origin").alias("origin"), F.col("b.destination").alias("destination"), (-F.col("b.w")).alias("width"))
 
 
-def _per_case(edges: DataFrame, key: str, f, schema: str) -> DataFrame:
-    """Algorithms that follow order through a whole case; a case is bounded by its cut."""
-    cols = [key, "src", "dst"] + (["ts"] if "ts" in edges.columns else [])
-    return edges.select(*dict.fromkeys(cols)).groupBy(key).applyInPandas(f, schema)
+#: A cycle's accounts, a chain's arcs, the accounts up to which the longest path is searched exactly, a
+#: stack's layers and their width, the accounts of a side.
+CYCLE, CHAIN, EXACT_PATH, STACK, LAYER, SIDE = (3, 8), 3, 40, 3, 2, 2
+
+SHAPES = "cycle_length long, chain_length long, chain boolean, bipartite boolean, bipartite_score double, left_size long, right_size long, stack_depth long, layer_widths array<long>, diameter long"
 
 
-def shape_motifs(edges: DataFrame, key: str, cap: int = 8) -> DataFrame:
-    """key, cycle_len (shortest closing walk of 3 to cap; null if none), chain_len, is_bipartite, stack_depth, diameter.
+def shape_motifs(edges: DataFrame, key: str) -> DataFrame:
+    """key and SHAPES of bounded cases (key, src, dst), each worked on as a whole.
 
-    cycle: breadth first from each account, distance to a predecessor plus one. chain: the longest walk through
-    accounts with one sender and one receiver. bipartite: two-colouring of the undirected case. stack: layers of the
-    longest directed path of the acyclic part. diameter: largest undirected distance, null if not connected.
+    cycle_length: of the shortest cycle, null if none. chain_length: arcs of the longest simple path; chain: whether it is
+    long enough. bipartite: no pair within a side, and both sides large enough; the score is the share of transfers
+    between the sides times their balance, whether or not. stack_depth and layer_widths: null under STACK layers.
+    diameter: the widest component's.
     """
+    from .case_matrices import Case
 
     def run(pdf):
         import pandas as pd
 
-        succ: dict = {}
-        pred: dict = {}
-        near: dict = {}
-        for s, d in sorted({(s, d) for s, d in zip(pdf["src"], pdf["dst"], strict=True) if s != d}):
-            succ.setdefault(s, []).append(d)
-            pred.setdefault(d, []).append(s)
-            near.setdefault(s, set()).add(d)
-            near.setdefault(d, set()).add(s)
-
-        def distances(start, step, most=None):
-            seen, front, k = {start: 0}, [start], 0
-            while front and (most is None or k < most):
-                k += 1
-                front = [y for y in dict.fromkeys(y for x in front for y in step.get(x, ())) if y not in seen]
-                seen.update(dict.fromkeys(front, k))
-            return seen
-
-        cycle = None
-        for o in succ:
-            d = distances(o, succ, cap - 1)
-            for v in pred.get(o, ()):
-                if v in d and 3 <= d[v] + 1 <= cap and (cycle is None or d[v] + 1 < cycle):
-                    cycle = d[v] + 1
-        chain = 0
-        inner = {v for v in near if len(succ.get(v, ())) == 1 and len(pred.get(v, ())) == 1}
-        for v in near:
-            if v in inner and pred[v][0] in inner:
-                continue
-            for w in succ.get(v, ()):
-                n, x, seen = 1, w, {v, w}
-                while x in inner and succ[x][0] not in seen:
-                    x = succ[x][0]
-                    seen.add(x)
-                    n += 1
-                chain = max(chain, n)
-        colour: dict = {}
-        two = True
-        for v in sorted(near):
-            if v not in colour:
-                for x, k in distances(v, near).items():
-                    colour[x] = k % 2
-        two = all(colour[a] != colour[b] for a in near for b in near[a])
-        left = {v: len(pred.get(v, ())) for v in near}
-        layer = {v: 1 for v in near if not left[v]}
-        queue = sorted(layer)
-        while queue:
-            v = queue.pop()
-            for w in succ.get(v, ()):
-                layer[w] = max(layer.get(w, 1), layer[v] + 1)
-                left[w] -= 1
-                if not left[w]:
-                    queue.append(w)
-        spans = [distances(v, near) for v in near]
-        whole = bool(spans) and all(len(d) == len(near) for d in spans)
-        row = {key: pdf[key].iloc[0], "cycle_len": cycle, "chain_len": chain, "is_bipartite": two, "stack_depth": max(layer.values(), default=0), "diameter": max(max(d.values()) for d in spans) if whole else None}
-        return pd.DataFrame([row]).astype({"cycle_len": "Int64", "diameter": "Int64"})
-
-    return _per_case(edges, key, run, f"{key} string, cycle_len long, chain_len long, is_bipartite boolean, stack_depth long, diameter long")
+        case = Case(pdf["src"], pdf["dst"])
+        path = case.longest_path(EXACT_PATH)
+        odd = case.sides()
+        large, small = sorted((int(odd.sum()), int((~odd).sum())), reverse=True)
+        across, _, within = case.across()
+        total = int(case.transfers.sum())
+        two = total > 0 and not within and small >= SIDE
+        widths = case.layers(LAYER)
+        row = {
+            key: pdf[key].iloc[0], "cycle_length": case.cycle(*CYCLE), "chain_length": path, "chain": path >= CHAIN, "bipartite": two, "bipartite_score": round(across / total * small / large, 6) if total else 0.0,
+            "left_size": len(odd) - int(odd.sum()) if two else None, "right_size": int(odd.sum()) if two else None, "stack_depth": len(widths) if len(widths) >= STACK else None, "layer_widths": widths if len(widths) >= STACK else None, "diameter": case.diameter(),
+        }
+        return pd.DataFrame([row]).astype({c: "Int64" for c in ("cycle_length", "left_size", "right_size", "stack_depth", "diameter")})
+
+    return edges.select(key, "src", "dst").groupBy(key).applyInPandas(run, f"{key} {edges.schema[key].dataType.simpleString()}, {SHAPES}")
 
 
 def gap_since_touch(edges: DataFrame) -> DataFrame:

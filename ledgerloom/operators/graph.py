@@ -150,21 +150,20 @@ def prune(case_edges: DataFrame, n_max: int = 150) -> DataFrame:
     return case_edges.groupBy("case_id").applyInPandas(run, case_edges.schema)
 
 
-def weak_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def weak_components(edges: DataFrame) -> DataFrame:
     """node_id, component (smallest account id that edges reach): labels spread and chains are halved until nothing moves."""
     spark = edges.sparkSession
     ends = edges.select("src", "dst").where("src <> dst").distinct()
     both = keep(ends.unionByName(ends.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), spark)
     labels = keep(edges.select(F.col("src").alias("node_id")).union(edges.select("dst")).distinct().withColumn("component", F.col("node_id")), spark)
-    for _ in range(rounds):
+    while True:
         near = both.join(labels, both["dst"] == labels["node_id"]).groupBy(F.col("src").alias("node_id")).agg(F.min("component").alias("_c"))
         step = labels.join(near, "node_id", "left").select("node_id", F.col("component").alias("_old"), F.least("component", "_c").alias("_new"))
         above = labels.select(F.col("node_id").alias("_new"), F.col("component").alias("_up"))
         nxt = keep(step.join(above, "_new").select("node_id", F.least("_new", "_up").alias("component"), (F.least("_new", "_up") != F.col("_old")).alias("_moved")), spark)
         labels = nxt.select("node_id", "component")
         if not nxt.where("_moved").take(1):
-            break
-    return labels
+            return labels
 
 
 def keep(df: DataFrame, spark) -> DataFrame:

@@ -48,70 +48,24 @@ def ordered_scores(edges: DataFrame, key: str) -> DataFrame:
     transfers, times the balance of the sides. stack: layers of two accounts or more from the best source.
     """
 
+    from .case_matrices import Case
+
     def run(pdf):
         import pandas as pd
 
-        after: dict = {}
-        beside: dict = {}
-        fed: set = set()
-        names = sorted(set(pdf["src"]) | set(pdf["dst"]))
-        transfers = 0
-        for s, d in zip(pdf["src"], pdf["dst"], strict=True):
-            if s != d:
-                transfers += 1
-                after.setdefault(s, set()).add(d)
-                beside.setdefault(s, set()).add(d)
-                beside.setdefault(d, set()).add(s)
-                fed.add(d)
-
-        def shortest_cycle():
-            best = None
-            for origin in names if transfers <= CYCLE_EDGES else ():
-                near, front = {origin: 0}, [origin]
-                for depth in range(1, CYCLE[1] + 1):
-                    if depth >= CYCLE[0] and any(origin in after.get(v, ()) for v in front):
-                        best = min(best or depth, depth)
-                        break
-                    front = list({w for v in front for w in after.get(v, ()) if w not in near})
-                    near.update(dict.fromkeys(front, depth))
-                if best == CYCLE[0]:
-                    return best
-            return best
-
-        def colours():
-            side: dict = {}
-            for start in names:
-                if start in side:
-                    continue
-                side[start], line = 0, [start]
-                for v in line:
-                    for w in sorted(beside.get(v, ())):
-                        if w not in side:
-                            side[w] = 1 - side[v]
-                            line.append(w)
-            return side
-
-        def layers():
-            best = 0
-            for start in [v for v in names if v not in fed] or names:
-                seen, layer, n = {start}, {start}, 0
-                while len(layer := {w for v in layer for w in after.get(v, ())} - seen) >= LAYERS[0]:
-                    seen |= layer
-                    n += 1
-                best = max(best, n)
-            return best
-
-        length = shortest_cycle()
-        cycle = 0.0 if length is None else 1 - (length - CYCLE[0]) / (2 * (CYCLE[1] - CYCLE[0]))
-        side = colours()
-        ones = sum(side.values())
-        small, large = sorted((ones, len(side) - ones))
-        bipartite = 0.0
-        if transfers and small >= LEAST_SIDE:
-            bipartite = sum(side[s] != side[d] for s in after for d in after[s]) / transfers * small / large
-        n = layers()
-        stack = 0.0 if n < LAYERS[0] else 1.0 if n >= LAYERS[1] else (n - LAYERS[0]) / (LAYERS[1] - LAYERS[0])
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "cycle": [cycle], "bipartite": [bipartite], "stack": [stack]})
+        case = Case(pdf["src"], pdf["dst"])
+        total = int(case.transfers.sum())
+        length = case.cycle(*CYCLE) if total <= CYCLE_EDGES else None
+        odd = case.sides()
+        large, small = sorted((int(odd.sum()), int((~odd).sum())), reverse=True)
+        n = len(case.layers(LAYERS[0]))
+        row = {
+            key: pdf[key].iloc[0],
+            "cycle": 0.0 if length is None else 1 - (length - CYCLE[0]) / (2 * (CYCLE[1] - CYCLE[0])),
+            "bipartite": case.across()[1] / total * small / large if total and small >= LEAST_SIDE else 0.0,
+            "stack": 0.0 if n < LAYERS[0] else min(1.0, (n - LAYERS[0]) / (LAYERS[1] - LAYERS[0])),
+        }
+        return pd.DataFrame([row])
 
     return edges.select(key, "src", "dst").groupBy(key).applyInPandas(run, f"{key} {edges.schema[key].dataType.simpleString()}, cycle double, bipartite double, stack double")
 

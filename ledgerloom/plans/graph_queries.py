@@ -101,11 +101,11 @@ def subgraph_labels(spark, d):
     return graph.subgraph_labels(c.select(F.col("c_nationkey").alias("subgraph_id"), F.col("c_custkey").alias("node_id"), F.col("c_mktsegment").alias("label")))
 
 
-@query("weak_components", f"""WITH RECURSIVE {TXN_SQL}, e AS (SELECT DISTINCT src, dst FROM txn WHERE is_laundering), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
- r(node_id, c) AS (SELECT src, src FROM b UNION SELECT b.dst, r.c FROM r JOIN b ON r.node_id = b.src) SELECT node_id, min(c) AS component FROM r GROUP BY 1""")
+@query("weak_components", f"""WITH RECURSIVE {TXN_SQL}, e AS (SELECT DISTINCT src, dst FROM txn), b AS MATERIALIZED (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+ r(node_id, c) USING KEY (node_id) AS (SELECT src AS node_id, src AS c FROM b GROUP BY 1 UNION SELECT b.dst AS node_id, min(r.c) AS c FROM r JOIN b ON r.node_id = b.src JOIN recurring.r AS old ON old.node_id = b.dst WHERE r.c < old.c GROUP BY b.dst) SELECT node_id, c AS component FROM r""")
 def weak_components(spark, d):
-    """Components of the flagged edges."""
-    return graph.weak_components(txn(spark, d).where("is_laundering"))
+    """Components of all transfers."""
+    return graph.weak_components(txn(spark, d))
 
 
 @query("flow_by_currency", f"{W} SELECT case_id, 'out' AS direction, payment_currency AS currency, {D.format('amount_paid')} AS value, count(*) AS n_transfers FROM txn GROUP BY 1, 3 UNION ALL SELECT case_id, 'in', receiving_currency, {D.format('amount_received')}, count(*) FROM txn GROUP BY 1, 3")
@@ -173,19 +173,32 @@ def illicit_inflow_share(spark, d):
     return facts.flatten(facts.illicit_inflow_share(txn(spark, d)), "share")
 
 
-@query("hops_to_flagged", f"""{W}, {_HIT}, e AS (SELECT DISTINCT src, dst FROM txn WHERE src <> dst), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), nodes AS (SELECT src AS v FROM txn UNION SELECT dst FROM txn),
- h1 AS (SELECT DISTINCT dst AS v FROM b WHERE src IN (SELECT v FROM hit)), h2 AS (SELECT DISTINCT dst AS v FROM b WHERE src IN (SELECT v FROM h1)), h3 AS (SELECT DISTINCT dst AS v FROM b WHERE src IN (SELECT v FROM h2))
-SELECT v AS node_id, CASE WHEN v IN (SELECT v FROM hit) THEN 0 WHEN v IN (SELECT v FROM h1) THEN 1 WHEN v IN (SELECT v FROM h2) THEN 2 WHEN v IN (SELECT v FROM h3) THEN 3 END AS hops FROM nodes""")
+@query("hops_to_flagged", f"""WITH RECURSIVE {TXN_SQL}, {_HIT}, e AS (SELECT DISTINCT src, dst FROM txn WHERE src <> dst), b AS MATERIALIZED (SELECT src, dst FROM e UNION SELECT dst, src FROM e), nodes AS (SELECT src AS v FROM txn UNION SELECT dst FROM txn),
+ r(v, h) USING KEY (v) AS (SELECT v, 0 AS h FROM hit UNION SELECT b.dst AS v, min(r.h) + 1 AS h FROM r JOIN b ON b.src = r.v WHERE b.dst NOT IN (SELECT v FROM recurring.r) GROUP BY b.dst)
+SELECT nodes.v AS node_id, h AS hops FROM nodes LEFT JOIN r ON r.v = nodes.v""")
 def hops_to_flagged(spark, d):
     return facts.hops_to_flagged(txn(spark, d))
 
 
-@query("focal_role", f"""{W}, p AS (SELECT DISTINCT src, dst FROM txn WHERE src <> dst), i AS (SELECT dst AS node_id, count(*) AS a FROM p GROUP BY 1), o AS (SELECT src AS node_id, count(*) AS b FROM p GROUP BY 1), j AS (SELECT node_id, coalesce(a, 0) AS n_senders, coalesce(b, 0) AS n_receivers FROM i FULL JOIN o USING (node_id))
-SELECT *, CASE WHEN n_senders = 0 THEN 'originator' WHEN n_receivers = 0 THEN 'beneficiary' WHEN n_senders >= 2.0 * n_receivers THEN 'collector' WHEN n_receivers >= 2.0 * n_senders THEN 'distributor' ELSE 'intermediary' END AS role FROM j""")
+_COUNTS = """p AS (SELECT DISTINCT {k} src, dst FROM txn WHERE src <> dst), n AS (SELECT {k} src AS v FROM txn UNION SELECT {k} dst FROM txn), i AS (SELECT {k} dst AS v, count(*) AS a FROM p GROUP BY ALL), o AS (SELECT {k} src AS v, count(*) AS b FROM p GROUP BY ALL),
+ t AS (SELECT {k} v, count(*) AS c FROM (SELECT {k} src AS v, dst AS w FROM p UNION SELECT {k} dst, src FROM p) GROUP BY ALL)"""
+
+
+@query("focal_role", f"""{W}, {_COUNTS.format(k='')}, j AS (SELECT n.v AS node_id, coalesce(a, 0) AS n_senders, coalesce(b, 0) AS n_receivers FROM n LEFT JOIN i USING (v) LEFT JOIN o USING (v))
+SELECT *, CASE WHEN n_senders + n_receivers = 0 THEN 'terminal' WHEN n_senders = 0 THEN 'originator' WHEN n_receivers = 0 THEN 'beneficiary' WHEN least(n_senders, n_receivers) >= 5 THEN 'hub' WHEN n_senders = 1 AND n_receivers = 1 THEN 'pass_through' ELSE 'intermediary' END AS role FROM j""")
 def focal_role(spark, d):
     return facts.roles(txn(spark, d))
 
 
+@query("focal_entity", f"""{W}, {_COUNTS.format(k='case_id,')}, j AS (SELECT n.case_id, n.v, coalesce(c, 0) AS c, n.v = split_part(n.case_id, '/', 1) AND md5(n.case_id)[1] < '8' AS seed FROM n LEFT JOIN t USING (case_id, v)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY seed DESC, c DESC, v) AS k FROM j) SELECT case_id, v AS node_id, CASE WHEN seed THEN 'extraction_seed' ELSE 'max_degree' END AS rule FROM r WHERE k = 1""")
+def focal_entity(spark, d):
+    """Half of the cases know their seed."""
+    e = txn(spark, d)
+    seeds = e.select("case_id").distinct().where(F.substring(F.md5("case_id"), 1, 1) < "8").withColumn("seed_node", F.split_part("case_id", F.lit("/"), F.lit(1)))
+    return facts.select_focal(e, seeds)
+
+
 _ORDER = ", ".join(f"'{t}'" for t in TYPOLOGIES)
 
 
@@ -195,7 +208,8 @@ def dominant_typology(spark, d):
 
 
 def _star(centre: str, other: str) -> str:
-    return f"{W}, g AS (SELECT case_id, {centre} AS node_id, count(DISTINCT {other}) AS width FROM txn WHERE src <> dst GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY width DESC, node_id) AS k FROM g) SELECT case_id, node_id, width FROM r WHERE k = 1"
+    return f"""{W}, g AS (SELECT case_id, {centre} AS v, count(DISTINCT {other}) FILTER (src <> dst) AS w, (epoch_us(max(ts) FILTER (src <> dst)) - epoch_us(min(ts) FILTER (src <> dst))) / 3600000000.0 AS h FROM txn GROUP BY 1, 2),
+ r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY w DESC, v) AS k FROM g) SELECT case_id, w >= 3 AS present, CASE WHEN w >= 3 THEN v END AS node_id, CASE WHEN w >= 3 THEN w END AS width, CASE WHEN w >= 3 THEN h END AS window_hours FROM r WHERE k = 1"""
 
 
 @query("motif_fan_out", _star("src", "dst"))
@@ -208,20 +222,56 @@ def motif_fan_in(spark, d):
     return facts.fan_in(txn(spark, d))
 
 
-@query("motif_gather_scatter", f"{W}, i AS (SELECT src_bank, dst AS v, count(DISTINCT src) AS a FROM txn WHERE src <> dst GROUP BY 1, 2), o AS (SELECT src_bank, src AS v, count(DISTINCT dst) AS b FROM txn WHERE src <> dst GROUP BY 1, 2), r AS (SELECT src_bank, v AS node_id, least(a, b) AS width, row_number() OVER (PARTITION BY src_bank ORDER BY least(a, b) DESC, v) AS k FROM i JOIN o USING (src_bank, v)) SELECT src_bank, node_id, width FROM r WHERE k = 1")
+@query("motif_gather_scatter", f"{W}, i AS (SELECT src_bank, dst AS v, count(DISTINCT src) AS a FROM txn WHERE src <> dst GROUP BY 1, 2), o AS (SELECT src_bank, src AS v, count(DISTINCT dst) AS b FROM txn WHERE src <> dst GROUP BY 1, 2), r AS (SELECT src_bank, v AS node_id, least(a, b) AS width, row_number() OVER (PARTITION BY src_bank ORDER BY least(a, b) DESC, v) AS k FROM i JOIN o USING (src_bank, v)) SELECT src_bank, node_id, width FROM r WHERE k = 1 AND width >= 2")
 def motif_gather_scatter(spark, d):
     return facts.gather_scatter(txn(spark, d), "src_bank")
 
 
-@query("motif_scatter_gather", f"{W}, p AS (SELECT DISTINCT src_bank, src, dst FROM txn WHERE src <> dst), g AS (SELECT a.src_bank, a.src AS origin, b.dst AS destination, count(*) AS width FROM p a JOIN p b ON a.src_bank = b.src_bank AND a.dst = b.src WHERE a.src <> b.dst GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY src_bank ORDER BY width DESC, origin, destination) AS k FROM g) SELECT src_bank, origin, destination, width FROM r WHERE k = 1")
+@query("motif_scatter_gather", f"{W}, p AS (SELECT DISTINCT src_bank, src, dst FROM txn WHERE src <> dst), g AS (SELECT a.src_bank, a.src AS origin, b.dst AS destination, count(*) AS width FROM p a JOIN p b ON a.src_bank = b.src_bank AND a.dst = b.src WHERE a.src <> b.dst GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY src_bank ORDER BY width DESC, origin, destination) AS k FROM g) SELECT src_bank, origin, destination, width FROM r WHERE k = 1 AND width >= 2")
 def motif_scatter_gather(spark, d):
     return facts.scatter_gather(txn(spark, d), "src_bank")
 
 
-@query("motif_shapes")
+#: Flagged transfers in cases that stay small however many there are: a few neighbouring orders each.
+MOTIF_CASE_SQL = "mc AS (SELECT CAST(CAST(split_part(transaction_key, '|', 1) AS BIGINT) // 1164 AS VARCHAR) AS g, * FROM txn WHERE is_laundering)"
+
+
+def motif_cases(spark, d):
+    return txn(spark, d).where("is_laundering").withColumn("g", F.expr("CAST(CAST(split_part(transaction_key, '|', 1) AS BIGINT) div 1164 AS STRING)"))
+
+
+@query("motif_shapes", f"""WITH RECURSIVE {TXN_SQL}, {MOTIF_CASE_SQL}, p AS MATERIALIZED (SELECT DISTINCT g, src, dst FROM mc WHERE src <> dst), u AS MATERIALIZED (SELECT g, src, dst FROM p UNION SELECT g, dst, src FROM p), n AS MATERIALIZED (SELECT g, src AS v FROM mc UNION SELECT g, dst FROM mc),
+ uw(g, s, v, d) AS (SELECT g, v, v, 0 FROM n UNION SELECT uw.g, s, u.dst, d + 1 FROM uw JOIN u ON u.g = uw.g AND u.src = uw.v WHERE d < 60), ud AS MATERIALIZED (SELECT g, s, v, min(d) AS d FROM uw GROUP BY 1, 2, 3),
+ dw(g, s, v, d) AS (SELECT g, v, v, 0 FROM n UNION SELECT dw.g, s, p.dst, d + 1 FROM dw JOIN p ON p.g = dw.g AND p.src = dw.v WHERE d < 60), dd AS MATERIALIZED (SELECT g, s, v, min(d) AS d FROM dw GROUP BY 1, 2, 3),
+ walk(g, v, way) AS (SELECT g, v, [v] FROM n UNION ALL SELECT walk.g, p.dst, list_append(way, p.dst) FROM walk JOIN p ON p.g = walk.g AND p.src = walk.v WHERE NOT list_contains(way, p.dst)),
+ size AS (SELECT g, count(*) AS n FROM n GROUP BY 1), dia AS (SELECT g, max(d) AS diameter FROM ud GROUP BY 1), chain AS (SELECT g, max(len(way)) - 1 AS chain_length FROM walk GROUP BY 1),
+ cyc AS (SELECT p.g, min(d) + 1 AS cycle_length FROM p JOIN dd ON dd.g = p.g AND dd.s = p.dst AND dd.v = p.src WHERE d + 1 BETWEEN 3 AND 8 GROUP BY 1),
+ root AS (SELECT g, v, min(s) AS s FROM ud GROUP BY 1, 2), side AS MATERIALIZED (SELECT g, v, d % 2 AS odd FROM root JOIN ud USING (g, s, v)),
+ halves AS (SELECT g, count(*) FILTER (odd = 0) AS l, count(*) FILTER (odd = 1) AS r FROM side GROUP BY 1),
+ cross_ AS (SELECT mc.g, count(*) AS e, count(*) FILTER (x.odd <> y.odd) AS c FROM mc JOIN side x ON x.g = mc.g AND x.v = src JOIN side y ON y.g = mc.g AND y.v = dst WHERE src <> dst GROUP BY 1),
+ starts AS (SELECT g, v FROM n WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.g = n.g AND p.dst = n.v) UNION SELECT g, v FROM n WHERE g NOT IN (SELECT g FROM n m WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.g = m.g AND p.dst = m.v))),
+ lay AS (SELECT dd.g, s, d, count(*) AS w FROM dd JOIN starts ON starts.g = dd.g AND starts.v = dd.s WHERE d > 0 GROUP BY 1, 2, 3), deep AS (SELECT g, s, d, w, min(w) OVER (PARTITION BY g, s ORDER BY d) AS narrowest FROM lay),
+ stacks AS (SELECT g, s, count(*) AS k, list(w ORDER BY d) AS ws FROM deep WHERE narrowest >= 2 GROUP BY 1, 2), best AS (SELECT g, k, ws, row_number() OVER (PARTITION BY g ORDER BY k DESC, s) AS o FROM stacks),
+ j AS (SELECT *, coalesce(e > 0 AND c = e AND least(l, r) >= 2, false) AS two FROM size LEFT JOIN dia USING (g) LEFT JOIN chain USING (g) LEFT JOIN cyc USING (g) LEFT JOIN halves USING (g) LEFT JOIN cross_ USING (g) LEFT JOIN (SELECT g, k, ws FROM best WHERE o = 1) USING (g))
+SELECT g, cycle_length, CAST(chain_length AS BIGINT) AS chain_length, chain_length >= 3 AS chain, two AS bipartite, CASE WHEN e > 0 THEN round(c / e * least(l, r) / greatest(l, r), 6) ELSE 0.0 END AS bipartite_score, CASE WHEN two THEN l END AS left_size, CASE WHEN two THEN r END AS right_size,
+ CASE WHEN k >= 3 THEN k END AS stack_depth, CASE WHEN k >= 3 THEN array_to_string(ws, ',') END AS layer_widths, CASE WHEN n > 1 THEN CAST(diameter AS BIGINT) END AS diameter FROM j""")
 def motif_shapes(spark, d):
-    """Cycles, chains, colouring, layers and diameter of the flagged graph by sender's bank (order-dependent: tested against known shapes)."""
-    return facts.shape_motifs(txn(spark, d).where("is_laundering"), "src_bank")
+    """Cycles, longest paths, colouring, layers and diameter of small flagged cases."""
+    return facts.shape_motifs(motif_cases(spark, d), "g").withColumn("layer_widths", F.array_join(F.col("layer_widths").cast("array<string>"), ","))
+
+
+_FIRED = """fo AS (SELECT g, src AS v, count(DISTINCT dst) AS w FROM mc WHERE src <> dst GROUP BY 1, 2), fi AS (SELECT g, dst AS v, count(DISTINCT src) AS w FROM mc WHERE src <> dst GROUP BY 1, 2),
+ f AS (SELECT g, coalesce(max(fo.w) >= 3, false) AS fan_out FROM (SELECT DISTINCT g FROM mc) LEFT JOIN fo USING (g) GROUP BY 1), h AS (SELECT g, coalesce(max(fi.w) >= 3, false) AS fan_in FROM (SELECT DISTINCT g FROM mc) LEFT JOIN fi USING (g) GROUP BY 1)"""
+
+
+@query("inferred_typology", f"""{W}, {MOTIF_CASE_SQL}, {_FIRED} SELECT g, CASE WHEN fan_out THEN 'fan_out' WHEN fan_in THEN 'fan_in' ELSE 'unclassified' END AS typology, CASE WHEN fan_out OR fan_in THEN 'inferred' ELSE 'none' END AS source,
+ CASE WHEN fan_out AND fan_in THEN 0.7 WHEN fan_out OR fan_in THEN 0.5 ELSE 0.0 END AS confidence, 'case_structure' AS scope FROM f JOIN h USING (g)""")
+def inferred_typology(spark, d):
+    """What the fans alone say of cases without a known typology."""
+    e = motif_cases(spark, d)
+    j = facts.fan_out(e, "g").select("g", F.col("present").alias("fan_out")).join(facts.fan_in(e, "g").select("g", F.col("present").alias("fan_in")), "g")
+    j = j.withColumns({m: F.lit(False) for m in facts.SHAPE_PRIORITY if not m.startswith("fan")})
+    return facts.resolve_typology(j, False).select("g", "typology", "source", "confidence", "scope")
 
 
 @query("khop_cut")

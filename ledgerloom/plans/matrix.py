@@ -58,19 +58,23 @@ def run_matrix(runs: list[Run], execute: dict[str, Callable[[Run], object]], don
 
 
 def allocate_evenly(available: dict[str, int], total: int, cap: float = 0.35) -> dict[str, int]:
-    """Water-filling: as even a share as what is available and the cap on one stratum's share allow."""
+    """As even a share as what is available and the cap on one stratum's share allow.
+
+    The level that all strata reach or run out below is found from the smallest room up; what is left over goes by name.
+    """
     most = int(total * cap)
-    room = {k: min(v, most) for k, v in available.items()}
-    out = dict.fromkeys(room, 0)
-    left = min(total, sum(room.values()))
-    while left:
-        open_ = sorted(k for k in room if out[k] < room[k])
-        each = max(1, left // len(open_))
-        for k in open_:
-            take = min(each, room[k] - out[k], left)
-            out[k] += take
-            left -= take
-    return out
+    room = sorted((min(v, most), k) for k, v in available.items())
+    left, level, full = min(total, sum(v for v, _ in room)), 0, len(room)
+    for v, _ in room:
+        if (v - level) * full > left:
+            break
+        left -= (v - level) * full
+        level, full = v, full - 1
+    rise, over = divmod(left, full) if full else (0, 0)
+    out = {k: min(v, level + rise) for v, k in room}
+    for k in sorted(k for v, k in room if v > level + rise)[:over]:
+        out[k] += 1
+    return {k: out[k] for k in available}
 
 
 def retry_delay(attempt: int, base: float, cap: float, jitter: float, retry_after: float | None = None) -> float:

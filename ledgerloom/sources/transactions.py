@@ -134,17 +134,21 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+FOLD = 25
+"""So many customers (parts, on the receiving side) of a nation share an account; accounts grow with the tables."""
+
+
 def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines seen as transfers between accounts; a case is a sender's calendar quarter."""
     li, o, c, s = (_t(spark, sf_dir, n) for n in ("lineitem", "orders", "customer", "supplier"))
     j = li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(c, F.col("o_custkey") == c["c_custkey"]).join(s, F.col("l_suppkey") == s["s_suppkey"])
     text = lambda x: F.col(x).cast("string")
     flagged = F.col("l_orderkey") % 97 == 0
-    src = F.concat(F.lit("N"), text("c_nationkey"), F.lit("|A"), (F.col("c_custkey") % 40).cast("string"))
+    src = F.concat(F.lit("N"), text("c_nationkey"), F.lit("|A"), F.expr(f"c_custkey div {FOLD}").cast("string"))
     return j.select(
         F.concat_ws("|", text("l_orderkey"), text("l_linenumber"), text("l_partkey"), text("l_suppkey"), F.date_format("l_shipdate", "yyyy-MM-dd")).alias("transaction_key"),
         src.alias("src"),
-        F.concat(F.lit("N"), text("s_nationkey"), F.lit("|A"), (F.col("l_partkey") % 40).cast("string")).alias("dst"),
+        F.concat(F.lit("N"), text("s_nationkey"), F.lit("|A"), F.expr(f"l_partkey div {FOLD}").cast("string")).alias("dst"),
         F.concat(F.lit("N"), text("c_nationkey")).alias("src_bank"),
         F.concat(F.lit("N"), text("s_nationkey")).alias("dst_bank"),
         F.col("l_shipdate").alias("ts"),
@@ -160,10 +164,10 @@ def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same view for SQL engines.
-TXN_SQL = """txn AS (SELECT concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), strftime(l_shipdate, '%Y-%m-%d')) AS transaction_key,
- concat('N', c_nationkey, '|A', c_custkey % 40) AS src, concat('N', s_nationkey, '|A', l_partkey % 40) AS dst, concat('N', c_nationkey) AS src_bank, concat('N', s_nationkey) AS dst_bank,
+TXN_SQL = f"""txn AS (SELECT concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), strftime(l_shipdate, '%Y-%m-%d')) AS transaction_key,
+ concat('N', c_nationkey, '|A', c_custkey // {FOLD}) AS src, concat('N', s_nationkey, '|A', l_partkey // {FOLD}) AS dst, concat('N', c_nationkey) AS src_bank, concat('N', s_nationkey) AS dst_bank,
  l_shipdate AS ts, l_extendedprice AS amount_paid, l_returnflag AS payment_currency, l_extendedprice * (1 - l_discount) AS amount_received,
  CASE WHEN l_linenumber % 5 = 0 THEN 'R' ELSE l_returnflag END AS receiving_currency, o_orderpriority AS payment_format, l_orderkey % 97 = 0 AS is_laundering,
  CASE WHEN l_orderkey % 97 = 0 THEN concat('p', l_orderkey % 7) END AS pattern_id,
- concat('N', c_nationkey, '|A', c_custkey % 40, '/', year(l_shipdate), 'Q', quarter(l_shipdate)) AS case_id
+ concat('N', c_nationkey, '|A', c_custkey // {FOLD}, '/', year(l_shipdate), 'Q', quarter(l_shipdate)) AS case_id
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"""

@@ -20,14 +20,47 @@ def edges(spark, pairs, case="c/1"):
 
 
 SHAPES = {
-    "chain": ([("a", "b"), ("b", "c"), ("c", "d")], {"cycle_len": None, "chain_len": 3, "is_bipartite": True, "stack_depth": 4, "diameter": 3}),
-    "cycle": ([("a", "b"), ("b", "c"), ("c", "a")], {"cycle_len": 3, "is_bipartite": False, "diameter": 1}),
-    "star": ([("a", "b"), ("a", "c"), ("a", "d"), ("a", "a")], {"cycle_len": None, "chain_len": 1, "is_bipartite": True, "stack_depth": 2, "diameter": 2}),
-    "apart": ([("a", "b"), ("c", "d")], {"diameter": None, "is_bipartite": True}),
-    "back": ([("a", "b"), ("b", "a")], {"cycle_len": None}),
+    "chain": ([("a", "b"), ("b", "c"), ("c", "d")], {"cycle_length": None, "chain_length": 3, "chain": True, "bipartite": True, "left_size": 2, "stack_depth": None, "diameter": 3}),
+    "cycle": ([("a", "b"), ("b", "c"), ("c", "a")], {"cycle_length": 3, "chain_length": 2, "bipartite": False, "bipartite_score": round(2 / 3 / 2, 6), "diameter": 1}),
+    "star": ([("a", "b"), ("a", "c"), ("a", "d"), ("a", "a")], {"cycle_length": None, "chain_length": 1, "chain": False, "bipartite": False, "bipartite_score": round(1 / 3, 6), "stack_depth": None, "diameter": 2}),
+    "apart": ([("a", "b"), ("c", "d")], {"diameter": 1, "bipartite": True, "bipartite_score": 1.0}),
+    "back": ([("a", "b"), ("b", "a")], {"cycle_length": None, "chain_length": 1}),
+    "stack": ([("s", f"{x}1") for x in "pq"] + [(f"{x}{k}", f"{y}{k + 1}") for k in (1, 2) for x in "pq" for y in "pq"], {"stack_depth": 3, "layer_widths": [2, 2, 2], "chain_length": 3}),
+    "branch": ([("a", "b"), ("b", "c"), ("c", "d"), ("a", "d"), ("d", "b"), ("x", "a")], {"chain_length": 4, "cycle_length": 3, "diameter": 3}),
+    "loop": ([("a", "a")], {"chain_length": 0, "bipartite": False, "bipartite_score": 0.0, "diameter": None, "stack_depth": None}),
+    "long": ([(f"v{i:02d}", f"v{i + 1:02d}") for i in range(50)], {"chain_length": 50, "diameter": 50}),
 }
 
 
+def test_longest_path_is_enumeration():
+    from itertools import permutations
+
+    from ledgerloom.operators.case_matrices import Case
+
+    rng = random.Random(5)
+    for _ in range(30):
+        pairs = [(f"n{rng.randrange(6)}", f"n{rng.randrange(6)}") for _ in range(rng.randrange(1, 14))]
+        case = Case(*zip(*pairs, strict=True))
+        arcs = {(a, b) for a, b in pairs if a != b}
+        names = sorted({x for p in pairs for x in p})
+        want = max((k - 1 for k in range(1, len(names) + 1) for way in permutations(names, k) if all(x in arcs for x in zip(way, way[1:], strict=False))), default=0)
+        assert case.longest_path(40) == want and case.longest_path(0) <= want
+
+
+def test_roles_and_focal(spark):
+    pairs = [("x", "x"), ("a", "h"), *[(f"i{k}", "h") for k in range(4)], *[("h", f"o{k}") for k in range(5)], ("p", "q"), ("q", "r"), ("o0", "z"), ("o0", "y")]
+    got = {r["node_id"]: r["role"] for r in facts.roles(edges(spark, pairs)).collect()}
+    assert (got["x"], got["a"], got["h"], got["q"], got["r"], got["o0"]) == ("terminal", "originator", "hub", "pass_through", "beneficiary", "intermediary")
+    focal = lambda seed: tuple(facts.select_focal(edges(spark, pairs), spark.createDataFrame([("c/1", seed)], "case_id string, seed_node string")).first())
+    assert focal("q") == ("c/1", "q", "extraction_seed") and focal("nobody") == ("c/1", "h", "max_degree")
+
+
+def test_hops_without_a_limit(spark):
+    e = edges(spark, [(f"v{i:02d}", f"v{i + 1:02d}") for i in range(12)] + [("u", "w")]).withColumn("is_laundering", F.col("src") == "v00")
+    got = {r["node_id"]: r["hops"] for r in facts.hops_to_flagged(e).collect()}
+    assert got["v12"] == 11 and got["u"] is None and got["v01"] == 0
+
+
 @pytest.mark.parametrize("name", SHAPES)
 def test_shapes(spark, name):
     pairs, want = SHAPES[name]
@@ -135,7 +168,7 @@ def test_tails():
     assert st.chi2_tail(3.841458820694124, 1) == pytest.approx(0.05, abs=1e-9)
     assert st.student_tail(2.085963447265837, 20) == pytest.approx(0.025, abs=1e-8)
     assert st.normal_tail(1.959963984540054) == pytest.approx(0.025, abs=1e-12)
-    assert st.gamma_tail(1.0, 2.0) == pytest.approx(math.exp(-2))
+    assert st.chi2_tail(4.0, 2) == pytest.approx(math.exp(-2)) and st.chi2_tail(11.070497693516351, 5) == pytest.approx(0.05, abs=1e-9) and st.chi2_tail(0, 3) == 1
 
 
 def test_formats(spark):
