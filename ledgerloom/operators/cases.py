@@ -193,3 +193,71 @@ def stream_windows(edges: DataFrame) -> DataFrame:
     m = F.unix_micros(F.col("ts").cast("timestamp"))
     g = edges.where("pattern_id IS NOT NULL").groupBy("pattern_id").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.percentile(m, 0.5).alias("p"), F.count("*").alias("n"))
     return g.select("pattern_id", "first_ts", "last_ts", F.timestamp_micros(F.floor("p")).cast("timestamp_ntz").alias("centre"), "n")
+
+
+def partition_negatives(candidates: DataFrame, wanted: int, share: float = 0.3, least: float = 0.5, seed: str = "17") -> DataFrame:
+    """case_id, kind (`hard`, `easy`) of licit candidates (case_id, window_start, window_end, motif_score): of each window the
+    best-scored share is hard, if scored `least` or more; of the hard ones at most that share of `wanted` is kept, and easy
+    ones fill up, both in hash order."""
+    w = W.partitionBy("window_start", "window_end")
+    r = candidates.withColumn("_k", F.row_number().over(w.orderBy(F.desc("motif_score"), "case_id"))).withColumn("_q", F.bround(F.count("*").over(w) * share))
+    kind = F.when((F.col("_k") <= F.col("_q")) & (F.col("motif_score") >= least), "hard").otherwise("easy")
+    r = r.select("case_id", kind.alias("kind"), F.sha2(F.concat_ws(":", F.lit(seed), "case_id"), 256).alias("_h"))
+    most = round(wanted * share)
+    hard = r.where("kind = 'hard'").orderBy("_h", "case_id").limit(most)
+    n_hard = hard.count()
+    easy = r.where("kind = 'easy'").orderBy("_h", "case_id").limit(max(wanted - n_hard, 0))
+    return hard.unionByName(easy).select("case_id", "kind")
+
+
+def strict_splits(assigned: DataFrame, members: DataFrame) -> DataFrame:
+    """case_id, split, drop_reason: test cases that share an account (case_id, node_id) with a training case go."""
+    j = assigned.where("split IS NOT NULL").select("case_id", "split").join(members, "case_id")
+    seen = j.where("split = 'train'").select("node_id").distinct()
+    hit = j.where("split = 'test'").join(seen, "node_id", "left_semi").select("case_id").distinct().withColumn("_o", F.lit(True))
+    o = assigned.join(hit, "case_id", "left")
+    return o.select("case_id", F.when(F.col("_o").isNull(), F.col("split")).alias("split"), F.when(F.col("_o"), "node_overlap_strict").otherwise(F.col("drop_reason")).alias("drop_reason"))
+
+
+def probe_active(pool: DataFrame, windows: DataFrame, probes: int = 32, seed: str = "17") -> DataFrame:
+    """window_id, node_id: of the `probes` first accounts of each window's bucket by hash the first that is active in the window.
+
+    pool: (bucket, node_id, first_seen, last_seen), windows: (window_id, bucket, start, end). A bucket's probes are drawn once
+    for each window from the bucket's own order, begun at a place that the window's hash gives.
+    """
+    h = F.sha2(F.concat_ws(":", F.lit(seed), "node_id"), 256)
+    ranked = pool.withColumn("_k", F.row_number().over(W.partitionBy("bucket").orderBy(h, "node_id")) - 1).withColumn("_n", F.count("*").over(W.partitionBy("bucket")))
+    sizes = ranked.groupBy("bucket").agg(F.max("_n").alias("_n"))
+    asked = windows.join(sizes, "bucket").withColumn("_at", F.explode(F.sequence(F.lit(0), F.least(F.lit(probes), F.col("_n")).cast("int") - 1)))
+    asked = asked.withColumn("_k", F.pmod(F.xxhash64("window_id") % F.col("_n") + F.col("_at"), F.col("_n")))
+    j = asked.join(ranked.drop("_n"), ["bucket", "_k"]).where((F.col("first_seen") <= F.col("end")) & (F.col("start") <= F.col("last_seen")))
+    return j.groupBy("window_id").agg(F.min_by("node_id", "_at").alias("node_id"))
+
+
+def gold_sample(cases: DataFrame, quotas: dict[str, int], seed: str = "17") -> tuple[DataFrame, DataFrame]:
+    """(case_id, block, rank) of the first cases of each block by hash order, and (block, wanted, found, deficit)."""
+    want = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])
+    r = cases.where(want[F.col("block")].isNotNull()).select("case_id", "block", F.row_number().over(W.partitionBy("block").orderBy(F.sha2(F.concat_ws(":", F.lit(seed), "case_id"), 256), "case_id")).alias("rank"))
+    drawn = r.where(F.col("rank") <= want[F.col("block")])
+    asked = cases.sparkSession.createDataFrame(list(quotas.items()), "block string, wanted int")
+    n = asked.join(drawn.groupBy("block").agg(F.count("*").alias("found")), "block", "left").withColumn("found", F.coalesce("found", F.lit(0)))
+    return drawn, n.withColumn("deficit", F.greatest(F.col("wanted") - F.col("found"), F.lit(0)))
+
+
+def gate_findings(cases: DataFrame, assigned: DataFrame, least_hard: float = 0.2, least_split: float = 0.05) -> DataFrame:
+    """gate, value, passed: the share of hard negatives, and the smallest split's share of the cases kept."""
+    hard = cases.where("case_class <> 'positive'").agg(F.avg((F.col("case_class") == "hard_negative").cast("double")).alias("value")).select(F.lit("hard_negatives").alias("gate"), "value", (F.col("value") >= least_hard).alias("passed"))
+    n = assigned.where("split IS NOT NULL").groupBy("split").agg(F.count("*").alias("n"))
+    split = n.agg((F.min("n") / F.sum("n")).alias("value")).select(F.lit("smallest_split").alias("gate"), "value", (F.col("value") >= least_split).alias("passed"))
+    return hard.unionByName(split)
+
+
+def chosen_annotation(annotations: DataFrame, reviews: DataFrame) -> DataFrame:
+    """One annotation (case_id, annotator, ...) for each case: the only one, or the one whose annotator the review (case_id, chosen) names."""
+    n = annotations.withColumn("_n", F.count("*").over(W.partitionBy("case_id"))).join(reviews.select("case_id", "chosen"), "case_id", "left")
+    return n.where((F.col("_n") == 1) | (F.col("annotator") == F.col("chosen"))).drop("_n", "chosen")
+
+
+def candidates_for(facts: DataFrame, cases: DataFrame, ids: DataFrame) -> DataFrame:
+    """Facts with their case's class, of the split's ids alone."""
+    return facts.join(cases.select("case_id", "case_class"), "case_id").join(ids.select("case_id").distinct(), "case_id", "left_semi")

@@ -111,6 +111,12 @@ def flagged_nodes(edges: DataFrame) -> DataFrame:
     return hit.select(F.col("src").alias("node_id")).union(hit.select("dst")).distinct()
 
 
+def flagged_nodes_of(edges: DataFrame, key: str) -> DataFrame:
+    """key, node_id: accounts on a case's flagged edges."""
+    hit = edges.where("is_laundering")
+    return hit.select(key, F.col("src").alias("node_id")).union(hit.select(key, "dst")).distinct()
+
+
 def counterparties(edges: DataFrame) -> DataFrame:
     """node_id, n_illicit, n_licit: distinct accounts beside each account, by whether any flagged transfer touches them."""
     plain = edges.where("src <> dst")

@@ -16,11 +16,23 @@ def midrank(value: str, *partition: str) -> Column:
     return F.rank().over(w) + (F.count("*").over(same) - 1) / 2
 
 
+def running(df: DataFrame, value: str, n: str, descending: bool = False) -> DataFrame:
+    """Adds _before: the sum of n over the rows before this one in the order of the (distinct) values. Rows are sorted by range
+    and summed by range, so no task has them all."""
+    from .graph import keep
+
+    order = F.desc(value) if descending else F.asc(value)
+    s = keep(df.orderBy(order).withColumn("_p", F.spark_partition_id()), df.sparkSession)
+    sums = s.groupBy("_p").agg(F.sum(n).alias("_s"))
+    starts = sums.select("_p", F.coalesce(F.sum("_s").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"))  # a row a range
+    inside = F.coalesce(F.sum(n).over(W.partitionBy("_p").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return s.withColumn("_i", inside).join(F.broadcast(starts), "_p").withColumn("_before", F.col("_o") + F.col("_i")).drop("_p", "_i", "_o")
+
+
 def pooled_midranks(df: DataFrame, value: str) -> DataFrame:
     """value, n, midrank over a whole column without gathering it: ranks come from the counts of distinct values."""
     g = df.groupBy(value).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return g.select(value, "n", (before + (F.col("n") + 1) / 2).alias("midrank"))
+    return running(g, value, "n").select(value, "n", (F.col("_before") + (F.col("n") + 1) / 2).alias("midrank"))
 
 
 def friedman(df: DataFrame, block: str, treatment: str, value: str) -> DataFrame:
@@ -57,8 +69,7 @@ def holm(df: DataFrame, p: str = "p") -> DataFrame:
 def cliffs_delta(df: DataFrame, group: str, value: str, a: str, b: str) -> DataFrame:
     """One row: delta, n_a, n_b, from counts of distinct values (never a cross join), and its band."""
     g = df.where(F.col(group).isin(a, b)).groupBy(value).agg(F.count_if(F.col(group) == a).alias("x"), F.count_if(F.col(group) == b).alias("y"))
-    less = F.coalesce(F.sum("y").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    c = g.select("x", "y", less.alias("below"))
+    c = running(g, value, "y").select("x", "y", F.col("_before").alias("below"))
     s = c.agg(F.sum("x").alias("n_a"), F.sum("y").alias("n_b"), F.sum(F.col("x") * F.col("below")).alias("gt"), F.sum(F.col("x") * (F.col("below") + F.col("y"))).alias("ge"))
     d = (F.col("gt") - (F.col("n_a") * F.col("n_b") - F.col("ge"))) / (F.col("n_a") * F.col("n_b"))
     return s.select(d.alias("delta"), "n_a", "n_b", F.when(F.abs(d) < 0.147, "negligible").when(F.abs(d) < 0.33, "small").when(F.abs(d) < 0.474, "medium").otherwise("large").alias("band"))
@@ -75,8 +86,7 @@ def wilcoxon(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """One row: w_plus, w_minus, n (zero differences dropped), z by the normal approximation with ties."""
     d = pairs.select((F.col(a) - F.col(b)).alias("d")).where("d <> 0").withColumn("m", F.abs("d"))
     g = d.groupBy("m").agg(F.count("*").alias("n"), F.count_if(F.col("d") > 0).alias("up"))
-    before = F.coalesce(F.sum("n").over(W.orderBy("m").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    r = g.select("n", "up", (before + (F.col("n") + 1) / 2).alias("r"))
+    r = running(g, "m", "n").select("n", "up", (F.col("_before") + (F.col("n") + 1) / 2).alias("r"))
     s = r.agg(F.coalesce(F.sum(F.col("r") * F.col("up")), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.col("r") * (F.col("n") - F.col("up"))), F.lit(0.0)).alias("w_minus"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("n") * F.col("n") * F.col("n") - F.col("n")), F.lit(0)).alias("t"))
     n = F.col("n")
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("t") / 48
@@ -128,8 +138,8 @@ def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
 def ranking_metrics(df: DataFrame, score: str, label: str) -> DataFrame:
     """One row: auc_pr (steps at distinct scores), auc_roc (ties half), best_f1, n, n_positive. Counts by distinct score are all that is ordered."""
     g = df.groupBy(score).agg(F.sum(label).alias("p"), F.count("*").alias("n"))
-    w = W.orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    c = g.select("p", "n", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("k")).crossJoin(F.broadcast(g.agg(F.sum("p").alias("pos"), F.sum("n").alias("all"))))
+    r = running(running(g, score, "p", True).withColumnRenamed("_before", "_tp"), score, "n", True)
+    c = r.select("p", "n", (F.col("_tp") + F.col("p")).alias("tp"), (F.col("_before") + F.col("n")).alias("k")).crossJoin(F.broadcast(g.agg(F.sum("p").alias("pos"), F.sum("n").alias("all"))))
     neg, fp = F.col("all") - F.col("pos"), F.col("k") - F.col("tp")
     own = F.col("n") - F.col("p")
     return c.agg(F.sum(F.col("p") / F.col("pos") * F.col("tp") / F.col("k")).alias("auc_pr"), (F.sum(own * (F.col("tp") - F.col("p") / 2)) / F.max(F.col("pos") * neg)).alias("auc_roc"), F.max(2 * F.col("tp") / (F.col("k") + F.col("pos"))).alias("best_f1"), F.max("all").alias("n"), F.max("pos").alias("n_positive"))
@@ -141,13 +151,22 @@ def score_percentile(df: DataFrame, key: str, score: str, groups: str) -> DataFr
     return df.select(key, groups, (100.0 * (F.row_number().over(w) - 1) / F.greatest(F.count("*").over(all_) - 1, F.lit(1))).alias("percentile"))
 
 
-def knn_purity(vectors: DataFrame, k: int = 10, blocks: int = 8) -> DataFrame:
+BLOCK_ROWS = 2_000
+
+
+def _blocks(vectors: DataFrame) -> int:
+    """Blocks of about BLOCK_ROWS vectors, so that what two of them hold in a task does not grow with the table."""
+    return max(8, -(-vectors.count() // BLOCK_ROWS))
+
+
+def knn_purity(vectors: DataFrame, k: int = 10) -> DataFrame:
     """label, purity, n: share of a vector's k nearest (Euclid, itself left out, ties by id) with its label.
 
     Vectors meet in blocks: every query block meets every data block in an Arrow batch, and only k neighbours a block go on.
     """
     import numpy as np
 
+    blocks = _blocks(vectors)
     cols = vectors.select("vec_id", "embedding", "label")
     data = cols.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
     asks = data.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -177,10 +196,11 @@ def knn_purity(vectors: DataFrame, k: int = 10, blocks: int = 8) -> DataFrame:
     return top.groupBy("vec_id", "label").agg(F.avg("same").alias("p")).groupBy("label").agg(F.avg("p").alias("purity"), F.count("*").alias("n"))
 
 
-def silhouette(vectors: DataFrame, blocks: int = 8) -> DataFrame:
+def silhouette(vectors: DataFrame) -> DataFrame:
     """label, silhouette, n by Euclid: mean distances to each label's vectors are formed block by block."""
     import numpy as np
 
+    blocks = _blocks(vectors)
     data = vectors.select("vec_id", "embedding", "label").withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
     ids = F.sequence(F.lit(0), F.lit(blocks - 1))
     both = data.withColumn("to", F.explode(ids)).select("to", F.col("b").alias("q"), "vec_id", "embedding", "label", F.lit(True).alias("ask")).unionByName(data.withColumn("q", F.explode(ids)).select(F.col("b").alias("to"), "q", "vec_id", "embedding", "label", F.lit(False).alias("ask")))
@@ -209,20 +229,6 @@ def seed_summary(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg("value").alias("mean"), F.when(F.count("*") > 1, F.stddev_samp("value")).alias("std"), F.count("*").alias("n_seeds"))
 
 
-def bootstrap(df: DataFrame, group: str, key: str, value: str, resamples: int = 200) -> DataFrame:
-    """group, mean, low, high: percentile interval (linear quantiles) of Poisson resamples.
-
-    A row's weight in a resample is a Poisson number drawn from the hash of its key and the resample, so every row
-    gives its part to all resamples in one pass, sums are formed by partial aggregation, and runs repeat exactly.
-    """
-    u = F.expr(f"(xxhash64({key}, r) & 9007199254740991) / 9007199254740992.0D")
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    weight = sum((F.when(F.col("u") >= s, 1).otherwise(0) for s in steps), F.lit(0))
-    e = df.select(group, F.col(key), F.col(value).alias("v"), F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("r")).withColumn("u", u).withColumn("w", weight)
-    m = e.groupBy(group, "r").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m")).groupBy(group).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
-    return df.groupBy(group).agg(F.avg(value).alias("mean")).join(m, group)
-
-
 def latency(df: DataFrame, value: str, group: str) -> DataFrame:
     q = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})").alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))]
     return df.groupBy(group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), *q)

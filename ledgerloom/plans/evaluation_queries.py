@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import claims, facts, graph
+from ..operators import claims, evaluation, facts, graph
 from ..operators import statistics as st
 from ..sources import stores
 from ..sources.transactions import TXN_SQL, txn
@@ -241,7 +241,7 @@ def seed_summary(spark, d):
 @query("bootstrap_interval")
 def bootstrap_interval(spark, d):
     """Percentile intervals from hash-drawn resamples (the draws are Spark's hash: tested for coverage)."""
-    return st.bootstrap(spark.read.parquet(f"{d}/events.parquet"), "event_type", "event_id", "value")
+    return evaluation.bootstrap(spark.read.parquet(f"{d}/events.parquet"), "event_type", "event_id", "value")
 
 
 @query("latency_percentiles", "SELECT event_type, count(*) AS n, round(avg(value), 9) AS mean, min(value) AS least, max(value) AS most, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY 1")

@@ -245,7 +245,7 @@ def motif_cases(spark, d):
  dw(g, s, v, d) AS (SELECT g, v, v, 0 FROM n UNION SELECT dw.g, s, p.dst, d + 1 FROM dw JOIN p ON p.g = dw.g AND p.src = dw.v WHERE d < 60), dd AS MATERIALIZED (SELECT g, s, v, min(d) AS d FROM dw GROUP BY 1, 2, 3),
  walk(g, v, way) AS (SELECT g, v, [v] FROM n UNION ALL SELECT walk.g, p.dst, list_append(way, p.dst) FROM walk JOIN p ON p.g = walk.g AND p.src = walk.v WHERE NOT list_contains(way, p.dst)),
  size AS (SELECT g, count(*) AS n FROM n GROUP BY 1), dia AS (SELECT g, max(d) AS diameter FROM ud GROUP BY 1), chain AS (SELECT g, max(len(way)) - 1 AS chain_length FROM walk GROUP BY 1),
- cyc AS (SELECT p.g, min(d) + 1 AS cycle_length FROM p JOIN dd ON dd.g = p.g AND dd.s = p.dst AND dd.v = p.src WHERE d + 1 BETWEEN 3 AND 8 GROUP BY 1),
+ cyc AS (SELECT p.g, CAST(min(d) + 1 AS BIGINT) AS cycle_length FROM p JOIN dd ON dd.g = p.g AND dd.s = p.dst AND dd.v = p.src WHERE d + 1 BETWEEN 3 AND 8 GROUP BY 1),
  root AS (SELECT g, v, min(s) AS s FROM ud GROUP BY 1, 2), side AS MATERIALIZED (SELECT g, v, d % 2 AS odd FROM root JOIN ud USING (g, s, v)),
  halves AS (SELECT g, count(*) FILTER (odd = 0) AS l, count(*) FILTER (odd = 1) AS r FROM side GROUP BY 1),
  cross_ AS (SELECT mc.g, count(*) AS e, count(*) FILTER (x.odd <> y.odd) AS c FROM mc JOIN side x ON x.g = mc.g AND x.v = src JOIN side y ON y.g = mc.g AND y.v = dst WHERE src <> dst GROUP BY 1),

@@ -14,11 +14,14 @@ VERSION = "1.0.0"
 
 
 def scratch_table(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Rows written once to the shared folder (spark.checkpoint.dir; one of our own only where it is unset) and read again.
+    """Rows written once to the shared folder (spark.checkpoint.dir; one of our own only where it is unset on this machine alone) and read again.
 
     The tables go when the interpreter ends, if its session still lives then.
     """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "/tmp/checkpoints/ledgerloom"
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = root or "/tmp/checkpoints/ledgerloom"
     path = f"{root}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
@@ -71,8 +74,41 @@ def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, di
 
 
 def id_list_hash(ids: DataFrame, column: str) -> DataFrame:
-    """One row: sha256 of the sorted ids joined by line feeds, and their number."""
-    return ids.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.col(column).cast("string"))), "\n"), 256).alias("ids_sha256"), F.count(column).alias("n"))
+    """One row: sha256 of the sorted ids joined by line feeds, and their number.
+
+    Ids are sorted by range on the executors and pass the driver one partition at a time, so no list of all is formed.
+    """
+    import hashlib
+
+    digest, n = hashlib.sha256(), 0
+    sorted_ = ids.select(F.col(column).cast("string").alias("i")).where("i IS NOT NULL").orderBy("i")
+    for row in sorted_.toLocalIterator(prefetchPartitions=True):
+        digest.update((b"\n" if n else b"") + row[0].encode())
+        n += 1
+    return ids.sparkSession.createDataFrame([(digest.hexdigest(), n)], "ids_sha256 string, n long")
+
+
+def file_digests(spark: SparkSession, path: str, large: int = 1 << 30) -> DataFrame:
+    """name, bytes, sha256 of the files in a folder. Executors hash files up to `large` bytes; longer ones, which no cell
+    holds, stream through a digest on the driver."""
+    files = spark.read.format("binaryFile").load(path)
+    name = F.element_at(F.split("path", "/"), -1).alias("name")
+    out = files.where(F.col("length") < large).select(name, F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    rows = []
+    for r in files.where(F.col("length") >= large).select("path", name, "length").collect():  # a folder's few large files
+        p = spark._jvm.org.apache.hadoop.fs.Path(r["path"])
+        stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
+        rows.append((r["name"], r["length"], spark._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)))
+        stream.close()
+    return out.unionByName(spark.createDataFrame(rows, out.schema)) if rows else out
+
+
+def folder_hash(spark: SparkSession, path: str) -> str:
+    """sha256 of the ordered list name:digest of a folder's files."""
+    import hashlib
+
+    listing = file_digests(spark, path).select(F.concat_ws(":", "name", "sha256").alias("x")).orderBy("x")
+    return hashlib.sha256("\n".join(r[0] for r in listing.collect()).encode()).hexdigest()
 
 
 def content_hash(df: DataFrame) -> DataFrame:
@@ -106,8 +142,10 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
 
 
 def read_jsonl(spark: SparkSession, path: str, schema) -> DataFrame:
-    """JSON lines under a declared schema; a broken last line is left out."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """JSON lines under a declared schema (a DDL text); a broken last line is left out, one before it raises."""
+    from .corpora import read_jsonl_tail
+
+    return read_jsonl_tail(spark, path, schema)
 
 
 def pending(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -122,7 +160,7 @@ def keep_latest(rows: DataFrame, keys: list[str], line: str) -> DataFrame:
 
 def verify_files(spark: SparkSession, path: str, registered: DataFrame) -> DataFrame:
     """name, status (`ok`, `missing`, `size`, `sha256`, `unregistered`) of files against (name, bytes, sha256)."""
-    found = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("_bytes"), F.sha2("content", 256).alias("_sha"))
+    found = file_digests(spark, path).select("name", F.col("bytes").alias("_bytes"), F.col("sha256").alias("_sha"))
     j = registered.join(found, "name", "full")
     return j.select("name", F.when(F.col("_sha").isNull(), "missing").when(F.col("sha256").isNull(), "unregistered").when(F.col("_bytes") != F.col("bytes"), "size").when(F.col("_sha") != F.col("sha256"), "sha256").otherwise("ok").alias("status"))
 

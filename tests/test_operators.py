@@ -10,7 +10,7 @@ from helpers import rows
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import formatting as fm
-from ledgerloom.operators import cases, claims, facts, graph, motif_scores, text
+from ledgerloom.operators import cases, claims, evaluation, facts, graph, motif_scores, text
 from ledgerloom.operators import statistics as st
 
 
@@ -160,7 +160,7 @@ def test_near_duplicates(spark):
 
 def test_bootstrap_covers(spark):
     r = spark.range(2000).select(F.lit("g").alias("g"), F.col("id"), ((F.col("id") * 7919) % 1000).cast("double").alias("v"))
-    x = st.bootstrap(r, "g", "id", "v").first()
+    x = evaluation.bootstrap(r, "g", "id", "v").first()
     assert x["low"] < x["mean"] < x["high"] and x["high"] - x["low"] < 60
 
 
