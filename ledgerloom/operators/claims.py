@@ -15,8 +15,10 @@ SUPPORTED, CONTRADICTED, UNVERIFIABLE = "SUPPORTED", "CONTRADICTED", "UNVERIFIAB
 RATIO_TOLERANCE = 0.01
 MONEY_SHARE, MONEY_LEAST = 0.01, 0.01
 TIME_SECONDS = 60
+LIST = "; "
+"""Between the members of a fact's set (an inventory, a vocabulary, the provisions that may be cited)."""
 UNIT_HOURS = {"minutes": 1 / 60, "hours": 1.0, "days": 24.0}
-CLASS = {"count": "H2", "ratio": "H2", "money": "H2", "duration": "H3", "timestamp": "H3", "boolean": "H5", "categorical": "H5", "sequence": "H3", "entity": "H1", "regulatory": "H6"}
+CLASS = {"set": "H5", "count": "H2", "ratio": "H2", "money": "H2", "duration": "H3", "timestamp": "H3", "boolean": "H5", "categorical": "H5", "sequence": "H3", "entity": "H1", "regulatory": "H6"}
 
 
 def agrees(kind: Column, claim_number: Column, claim_text: Column, claim_unit: Column, fact_number: Column, fact_text: Column, fact_unit: Column) -> Column:
@@ -29,6 +31,8 @@ def agrees(kind: Column, claim_number: Column, claim_text: Column, claim_unit: C
         .when(kind == "money", (claim_unit == fact_unit) & (gap <= F.greatest(F.abs(fact_number) * MONEY_SHARE, F.lit(MONEY_LEAST))))
         .when(kind == "duration", F.abs(claim_number * hours - fact_number) <= hours)
         .when(kind == "timestamp", gap <= TIME_SECONDS)
+        .when(kind.isin("entity", "set", "regulatory"), F.array_contains(F.split(fact_text, LIST), claim_text))
+        .when(kind == "unavailable", F.lit(None).cast("boolean"))
         .otherwise(claim_text == fact_text)
     )
 
@@ -38,7 +42,7 @@ def check(claims: DataFrame, facts: DataFrame) -> DataFrame:
     f = facts.select("case_id", "field_path", F.col("available").alias("_a"), F.col("reason").alias("_r"), F.col("number").alias("_n"), F.col("text").alias("_t"), F.col("unit").alias("_u"))
     j = claims.join(f, ["case_id", "field_path"], "left")
     ok = agrees(F.col("claim_type"), F.col("number"), F.col("text"), F.col("unit"), F.col("_n"), F.col("_t"), F.col("_u"))
-    why = F.when(F.col("_a").isNull(), "no_such_fact").when(~F.col("_a"), F.coalesce("_r", F.lit("unavailable")))
+    why = F.when(F.col("_a").isNull(), "no_such_fact").when(~F.col("_a"), F.coalesce("_r", F.lit("unavailable"))).when(F.col("claim_type") == "unavailable", "never_available")
     verdict = F.when(why.isNotNull(), UNVERIFIABLE).when(F.coalesce(ok, F.lit(False)), SUPPORTED).otherwise(CONTRADICTED)
     known = F.create_map(*[F.lit(x) for kv in CLASS.items() for x in kv])
     return j.withColumn("verdict", verdict).withColumn("reason", why).withColumn("hallucination_class", F.when(F.col("verdict") == CONTRADICTED, known[F.col("claim_type")])).drop("_a", "_r", "_n", "_t", "_u")

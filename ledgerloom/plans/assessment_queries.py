@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cases, evaluation
+from ..operators import cases, claims, evaluation
 from ..operators import statistics as st
+from ..sources.transactions import TXN_SQL, txn
 from .evaluation_queries import EVENT_MEANS, event_means, pairs
 from .registry import ORACLE_SQL, query
 
@@ -210,3 +211,33 @@ def active_probes(spark, d):
     w = _t(spark, d, "events").groupBy(F.date_trunc("day", F.col("ts").cast("timestamp")).alias("day")).agg(F.min("ts").alias("start"), F.max("ts").alias("end"))
     w = w.select(F.col("day").cast("string").alias("window_id"), "start", "end", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("bucket")).withColumn("window_id", F.concat_ws("/", "window_id", "bucket"))
     return cases.probe_active(c, w)
+
+
+@query("claim_kinds", f"""WITH {TXN_SQL}, o AS (SELECT src AS v, count(*) FILTER (src_bank <> dst_bank) / count(*) AS r, (epoch_us(max(ts)) - epoch_us(min(ts))) / 3600000000.0 AS h, CASE WHEN bool_or(src_bank <> dst_bank) THEN 'true' ELSE 'false' END AS x, list_sort(list(DISTINCT dst_bank)) AS banks, ascii(md5(src)) % 3 AS m FROM txn GROUP BY 1),
+ c AS (SELECT v, 'ratio' AS kind, m <> 2 AS ok FROM o UNION ALL SELECT v, 'duration', m <> 2 FROM o UNION ALL SELECT v, 'boolean', m = 0 OR (m = 1 AND x = 'true') FROM o UNION ALL SELECT v, 'sequence', m <> 1 FROM o UNION ALL SELECT v, 'entity', list_contains(banks, concat('N', m)) FROM o
+  UNION ALL SELECT v, 'regulatory', m <> 0 FROM o UNION ALL SELECT v, 'unavailable', NULL FROM o)
+SELECT concat(v, ':', kind) AS claim_id, CASE WHEN ok IS NULL THEN 'UNVERIFIABLE' WHEN ok THEN 'SUPPORTED' ELSE 'CONTRADICTED' END AS verdict, CASE WHEN NOT ok THEN CASE kind WHEN 'ratio' THEN 'H2' WHEN 'duration' THEN 'H3' WHEN 'boolean' THEN 'H5' WHEN 'sequence' THEN 'H3' WHEN 'entity' THEN 'H1' ELSE 'H6' END END AS hallucination_class FROM c""")
+def claim_kinds(spark, d):
+    """Claims of the kinds that `claim_verdicts` lacks, each right, slightly off or wrong by the account's digest."""
+    e = txn(spark, d)
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    cross = F.col("src_bank") != F.col("dst_bank")
+    o = e.groupBy(F.col("src").alias("case_id")).agg((F.count_if(cross) / F.count("*")).alias("r"), ((F.max(us) - F.min(us)) / 3.6e9).alias("h"), F.when(F.max(cross), "true").otherwise("false").alias("x"), F.array_join(F.array_sort(F.collect_set("dst_bank")), claims.LIST).alias("banks"))
+    o = o.withColumn("m", F.ascii(F.md5("case_id")) % 3)
+    by = lambda a, b, c: F.when(F.col("m") == 0, a).when(F.col("m") == 1, b).otherwise(c)
+    text = lambda x: F.lit(x).cast("string")
+    number = lambda x: F.lit(x).cast("double") if x is None else x.cast("double")
+    kinds = [  # kind, the fact's number and text, the claim's number, text and unit
+        ("ratio", F.col("r"), text(None), F.col("r") + by(0.0, 0.005, 0.02), text(None), None),
+        ("duration", F.col("h"), text(None), F.col("h") / 24 + by(0.0, 0.9, 1.5), text(None), "days"),
+        ("boolean", None, F.col("x"), None, by(F.col("x"), F.lit("true"), F.lit("maybe")), None),
+        ("sequence", None, F.lit("in,out"), None, by(F.lit("in,out"), F.lit("out,in"), F.lit("in,out")), None),
+        ("entity", None, F.col("banks"), None, F.concat(F.lit("N"), F.col("m").cast("string")), None),
+        ("regulatory", None, F.lit("rule 1; rule 2"), None, by(F.lit("rule 9"), F.lit("rule 1"), F.lit("rule 2")), None),
+        ("unavailable", None, F.lit("x"), None, F.lit("x"), None),
+    ]
+    rows = F.array(*[F.struct(F.lit(k).alias("claim_type"), number(fn).alias("fn"), ft.alias("ft"), number(cn).alias("cn"), ct.alias("ct"), text(u).alias("u")) for k, fn, ft, cn, ct, u in kinds])
+    every = o.select("case_id", F.explode(rows).alias("k")).select("case_id", "k.*").withColumn("field_path", F.col("claim_type"))
+    f = every.select("case_id", "field_path", F.lit(True).alias("available"), text(None).alias("reason"), F.col("fn").alias("number"), F.col("ft").alias("text"), F.lit(None).cast("string").alias("unit"))
+    c = every.select("case_id", F.concat_ws(":", "case_id", "claim_type").alias("claim_id"), "field_path", "claim_type", F.col("cn").alias("number"), F.col("ct").alias("text"), F.col("u").alias("unit"))
+    return claims.check(c, f).select("claim_id", "verdict", "hallucination_class")

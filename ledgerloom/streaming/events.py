@@ -26,8 +26,23 @@ def sessions(events: DataFrame, gap: str = "12 hours", late: str = "1 day") -> D
     return g.select("user_id", F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "n", "total")
 
 
-def fullest_burst(events: DataFrame, hours: int = 48) -> DataFrame:
-    """user_id, n, start: the fullest window of `hours` so far, whenever it grows; the state holds the last window's times only."""
+def fullest_of(times: list[int], span: int) -> tuple[int, int | None]:
+    """The most of the sorted times that lie within `span`, and the first time of the first such stretch."""
+    best, at, low = 0, None, 0
+    for i, t in enumerate(times):
+        while times[low] < t - span:
+            low += 1
+        if i - low + 1 > best:
+            best, at = i - low + 1, times[low]
+    return best, at
+
+
+def fullest_burst(events: DataFrame, hours: int = 48, late: str = "1 day") -> DataFrame:
+    """user_id, n, start: the fullest window of `hours` so far, whenever it grows.
+
+    The state holds the times that a late event may still share a window with (those behind the watermark less `hours`),
+    so an event counts in its own place however late it comes; once a user is quiet they go, and the best number stays.
+    """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -35,18 +50,21 @@ def fullest_burst(events: DataFrame, hours: int = 48) -> DataFrame:
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         times, best = state.get if state.exists else ([], 0)
-        times = list(times)
-        at = None
-        for m in sorted(x for b in batches for x in b["m"].tolist()):
-            times = [t for t in times if t >= m - span] + [m]
-            if len(times) > best:
-                best, at = len(times), times[0]
-        state.update((times, best))
-        if at is not None:
-            yield pd.DataFrame({"user_id": [key[0]], "n": [best], "start": [pd.Timestamp(at, unit="us")]})
-
-    timed = event_time(events).select("user_id", F.unix_micros("ts").alias("m"))
-    return timed.groupBy("user_id").applyInPandasWithState(run, "user_id long, n long, start timestamp", "times array<long>, best long", "update", GroupStateTimeout.NoTimeout)
+        if state.hasTimedOut:
+            state.update(([], best))
+            return
+        times = sorted([*times, *(x for b in batches for x in b["m"].tolist())])
+        n, at = fullest_of(times, span)
+        horizon = state.getCurrentWatermarkMs() * 1000 - span
+        times = [t for t in times if t >= horizon]
+        state.update((times, max(n, best)))
+        if times:
+            state.setTimeoutTimestamp(max((times[-1] + span) // 1000, state.getCurrentWatermarkMs()) + 1)
+        if n > best:
+            yield pd.DataFrame({"user_id": [key[0]], "n": [n], "start": [pd.Timestamp(at, unit="us")]})
+
+    timed = event_time(events, late).select("user_id", "ts", F.unix_micros("ts").alias("m"))
+    return timed.groupBy("user_id").applyInPandasWithState(run, "user_id long, n long, start timestamp", "times array<long>, best long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:

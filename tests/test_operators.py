@@ -183,6 +183,19 @@ def test_formats(spark):
         df.select(fm.format_money(F.col("v"), F.lit("$"))).collect()
 
 
+def test_late_events_in_their_own_place(spark, tmp_path):
+    """An event that comes late, between others, widens no window; it counts where it belongs."""
+    from ledgerloom.streaming import events as ev
+
+    assert ev.fullest_of([0, 1, 50, 99, 100, 101], 48) == (3, 99) and ev.fullest_of([0, 10, 20, 300], 20) == (3, 0) and ev.fullest_of([], 1) == (0, None)
+    hour = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
+    for i, part in enumerate(([0, 2, 4], [60, 61], [20, 59])):
+        spark.createDataFrame([(1, hour(h), 1.0) for h in part], "user_id long, ts timestamp_ntz, value double").coalesce(1).write.parquet(str(tmp_path / "in" / f"{i}"))
+    files = spark.readStream.schema("user_id long, ts timestamp_ntz, value double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    got = rows(ev.drain(ev.fullest_burst(files, 24, "5 days"), "late_burst", "update").select("n", F.unix_seconds("start").alias("s")))
+    assert max(got) == (4, 1704067200), got
+
+
 def test_streamed_burst_equals_batch(spark, tiny):
     from ledgerloom.plans import catalog
 
