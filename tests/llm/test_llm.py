@@ -506,6 +506,35 @@ def test_token_counts_as_the_library(spark, tiny, hard):
     assert Counter(tuple(r.values()) for r in collect(token_counts.token_counts(docs, path))) == want
 
 
+def test_token_counts_in_stretches(monkeypatch):
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    m, sp = token_counts.machine(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(4)
+    parts = [" ", "  ", "▁", "\n", "a", "the", "ing", "日", "é", "😀", "1", "23", ".", "<s>", "\t", "qu", "ick", "x" * 80]
+    some = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 60))) for _ in range(600)] + [" ".join("word" + "y" * (i % 90) for i in range(200))]
+    data = [t.encode() for t in some]
+    got = m.count_rows(np.frombuffer(b"".join(data), np.uint8), np.concatenate(([0], np.cumsum([len(b) for b in data]))))
+    assert got.tolist() == [len(sp.encode(t)) for t in some]
+    monkeypatch.setattr(token_counts, "SLICE", 20)
+    for t in some[-200:]:
+        assert m.tokens(t) == len(sp.encode(t)), t
+
+
+def test_another_model_is_refused():
+    """Only models whose counts the machine reproduces are taken."""
+    import os
+
+    folder = os.path.dirname(P.path("piece_bpe_32k.model"))
+    for name in sorted(os.listdir(folder)):
+        if name.endswith(".model") and name != "piece_bpe_32k.model":
+            try:
+                token_counts.Transducer(os.path.join(folder, name))
+            except (ValueError, RuntimeError):
+                pass
+
+
 def test_chunks_compose():
     m = token_counts.machine(P.path("piece_bpe_32k.model"))
     text = "▁the▁▁▁▁quick▁brown▁foxes日本jumped" * 7
