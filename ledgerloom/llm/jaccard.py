@@ -318,8 +318,9 @@ def unsettled(postings: DataFrame, labels: DataFrame, scratch: Scratch) -> DataF
 def full_shards(open_: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Index and queries of the exact search between components that share prefix keys.
 
-    Components lie in shards by their smallest open key, so that those with common keys are mostly together; one of
-    more than SHARD sets has shards of its own. A shard of several components is searched by its own sets. Between
+    Components lie in shards by their smallest open key, so that those with common keys are mostly together; where such a
+    shard would have more than SHARD sets, its components are dealt to several; a component of more than SHARD sets has
+    shards of its own. A shard of several components is searched by its own sets. Between
     two shards that share a key the sets of one query the other: those of common shards the shards of large
     components, otherwise the lower number the higher. Which shards a key touches is a short list, whatever its sets.
     """
@@ -328,7 +329,11 @@ def full_shards(open_: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFram
     shards = max(1, math.ceil(members.count() / SHARD))
     parts = F.ceil(F.col("c") / SHARD)
     own = F.xxhash64("comp", F.pmod(F.xxhash64("node"), parts)).bitwiseOR(F.lit(-(1 << 63)))
-    placed = members.join(counts, "comp").select("node", "comp", F.when(parts == 1, F.pmod(F.xxhash64("home"), F.lit(shards))).otherwise(own).alias("shard"))
+    counts = counts.withColumn("at", F.pmod(F.xxhash64("home"), F.lit(shards)))
+    load = counts.where(parts == 1).groupBy("at").agg(F.ceil(F.sum("c") / SHARD).alias("load"))
+    counts = counts.join(load, "at", "left")
+    together = F.col("at") * (1 << 24) + F.pmod(F.xxhash64("comp", F.lit(1)), F.col("load"))
+    placed = members.join(counts, "comp").select("node", "comp", F.when(parts == 1, together).otherwise(own).alias("shard"))
     at = open_.select("key", "node").join(placed, "node")
     touched = at.groupBy("key", "shard").agg(F.min("comp").alias("other")).withColumnRenamed("shard", "to")
     # A shard with a negative number holds a part of one component.
