@@ -54,6 +54,8 @@ NEMENYI = (1.960, 2.343, 2.569, 2.728, 2.850, 2.949, 3.031, 3.102, 3.164)
 def nemenyi(ranks: DataFrame, n_blocks: int) -> DataFrame:
     """a, b, gap, critical, differ of mean ranks (system, mean_rank)."""
     k = ranks.count()
+    if not 2 <= k <= len(NEMENYI) + 1:
+        raise ValueError(f"critical values are known for 2 to {len(NEMENYI) + 1} systems, not for {k}")
     critical = NEMENYI[k - 2] * (k * (k + 1) / (6 * n_blocks)) ** 0.5
     x, y = ranks.select(F.col("system").alias("a"), F.col("mean_rank").alias("ra")), ranks.select(F.col("system").alias("b"), F.col("mean_rank").alias("rb"))
     gap = F.abs(F.col("ra") - F.col("rb"))

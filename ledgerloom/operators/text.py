@@ -19,7 +19,7 @@ IDENTIFIERS = (
     ("us_ssn", r"\b\d{3}-\d{2}-\d{4}\b"),
     ("payment_card", r"\b(?:\d[ -]?){13,19}\b"),
     ("phone", r"\+\d{1,3}[\s.-]?\(?\d{2,4}\)?[\s.-]?\d{3,4}[\s.-]?\d{3,4}\b"),
-    ("url", r"\b[hH][tT][tT][pP][sS]?://\S+"),
+    ("url", r"\b(?i:https?)://\S+"),
     ("bitcoin_address", r"\b(?:bc1[a-z0-9]{25,62}|[13][a-km-zA-HJ-NP-Z1-9]{25,34})\b"),
     ("ethereum_address", r"\b0x[a-fA-F0-9]{40}\b"),
     ("long_digit_run", r"\b\d{12,}\b"),
@@ -234,8 +234,13 @@ def self_bleu(docs: DataFrame, references: int = 5, sample: int = 800, order: in
     return drawn.withColumn("g", F.lit("sample")).groupBy("g").applyInPandas(run, "doc_id long, bleu double")  # a bounded sample
 
 
+PHRASES = 10_000
+
+
 def phrase_hits(docs: DataFrame, phrases: DataFrame) -> DataFrame:
-    """doc_id, phrase_group, phrase: of each group the longest phrase that the lower-cased text holds (a short list of phrases is broadcast)."""
+    """doc_id, phrase_group, phrase: of each group the longest phrase that the lower-cased text holds (a list of at most PHRASES is broadcast)."""
+    if phrases.limit(PHRASES + 1).count() > PHRASES:
+        raise ValueError(f"more than {PHRASES} phrases")
     j = docs.select("doc_id", F.lower("text").alias("t")).join(F.broadcast(phrases), F.expr("contains(t, phrase)"))
     w = W.partitionBy("doc_id", "phrase_group").orderBy(F.desc(F.length("phrase")), "phrase")
     return j.withColumn("n", F.row_number().over(w)).where("n = 1").select("doc_id", "phrase_group", "phrase")
