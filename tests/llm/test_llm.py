@@ -122,6 +122,23 @@ def test_payload_round_trip(spark, hard):
         assert r["thumbnail"] == t + b"\xff" * (n - len(t)) and r["error"] is None
 
 
+def test_media_digests_by_brute_force(spark, tiny):
+    """Every digest column of the query from the texts alone; equal texts have equal values."""
+    got = {r["doc_id"]: r for r in collect(registry.QUERIES["op2_media_columns"](spark, tiny))}
+    docs = {r["doc_id"]: (r["text"] or "").encode() for r in table(spark, tiny, "documents").select("doc_id", "text").collect()}
+    assert set(got) == set(docs)
+    stored = {r["doc_id"]: bytes(r["media"]) for r in collect(media.store_payloads(table(spark, tiny, "documents")))}
+    by_text = defaultdict(set)
+    for doc, t in docs.items():
+        payload = t + b"\xff" * (max(1, -(-len(t) // 576)) * 576 - len(t))
+        r = got[doc]
+        assert (r["n_bytes"], r["payload_bytes"]) == (len(t), len(payload))
+        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-32:])
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored[doc]), hashlib.sha256(stored[doc]).hexdigest())
+        by_text[t].add((r["media_sha256"], r["feature"]))
+    assert all(len(v) == 1 for v in by_text.values())
+
+
 def test_many_images():
     data = np.random.default_rng(1).integers(0, 256, 576 * 8200, dtype=np.uint8)
     small = data[:1152]
