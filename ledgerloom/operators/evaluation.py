@@ -53,7 +53,8 @@ def bootstrap(df: DataFrame, group: str, key: str, value: str, resamples: int =
     """group, mean, low, high: percentile interval (linear quantiles) of the mean over Poisson resamples.
 
     A row's weight in a resample follows from the hash of its key and the resample's number, so runs repeat exactly. Tasks
-    add up their rows' parts of all resamples; what is shuffled is one row for each task, group and resample.
+    add up their rows' parts of all resamples; what is shuffled is one row for each task, group and resample. A resample
+    in which a small group has no row is left out of its interval.
     """
     import numpy as np
 
@@ -80,7 +81,7 @@ def bootstrap(df: DataFrame, group: str, key: str, value: str, resamples: int =
             yield pd.DataFrame({"g": g, "r": np.arange(resamples), "n": n, "s": s})
 
     rows = df.where(F.col(value).isNotNull()).select(F.col(group).cast("string").alias("g"), F.xxhash64(key).alias("h"), F.col(value).cast("double").alias("v"))
-    parts = rows.mapInPandas(add, "g string, r int, n double, s double").groupBy("g", "r").agg((F.sum("s") / F.sum("n")).alias("m"))
+    parts = rows.mapInPandas(add, "g string, r int, n double, s double").groupBy("g", "r").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("m"))
     m = parts.groupBy("g").agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
     return rows.groupBy("g").agg(F.avg("v").alias("mean")).join(m, "g").withColumnRenamed("g", group)
 
