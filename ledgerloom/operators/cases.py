@@ -80,13 +80,37 @@ def assign_workers(cases: DataFrame, stratum: str, workers: int) -> DataFrame:
     return cases.select("case_id", stratum, F.pmod(F.row_number().over(w) - 1 + offset, F.lit(workers)).alias("worker"))
 
 
-def match_negatives(cases: DataFrame, nodes: DataFrame, per_positive: int = 1) -> DataFrame:
-    """positive, negative: for each positive case the first negatives in hash order of the same size bucket whose windows overlap it."""
-    pos = cases.where("n_flagged > 0").select(F.col("case_id").alias("positive"), "size_bucket", F.col("start").alias("ps"), F.col("end").alias("pe"))
-    neg = cases.where("n_flagged = 0").select(F.col("case_id").alias("negative"), "size_bucket", F.col("start").alias("ns"), F.col("end").alias("ne"))
-    near = pos.join(neg, (pos["size_bucket"] == neg["size_bucket"]) & overlaps("ps", "pe", "ns", "ne"))
-    w = W.partitionBy("positive").orderBy(hash_order("positive", "negative"))
-    return near.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_positive).select("positive", "negative")
+PROBES = 64
+
+
+def match_negatives(cases: DataFrame, per_positive: int = 1, seed: str = "17") -> DataFrame:
+    """positive, negative: for each positive case the first negatives of the same size bucket whose windows overlap it.
+
+    A bucket's negatives stand in a circle in hash order, and a positive's own hash says where it begins. It looks at
+    PROBES of them, then at four times as many, until it has enough or has been all round, so no pairs of a bucket are formed
+    but for positives that hardly any negative suits.
+    """
+    from .evaluation import numbered
+    from .graph import keep
+
+    spark = cases.sparkSession
+    h = lambda c: F.sha2(F.concat_ws(":", F.lit(seed), c), 256)
+    neg = cases.where("n_flagged = 0").select(F.col("case_id").alias("negative"), "size_bucket", F.col("start").alias("ns"), F.col("end").alias("ne"), h("case_id").alias("h"))
+    neg = keep(numbered(neg, "size_bucket", "h", "negative").drop("h"), spark)
+    rings = keep(neg.groupBy("size_bucket").agg(F.min("k").alias("first"), F.count("*").alias("n")), spark)
+    pos = cases.where("n_flagged > 0").select(F.col("case_id").alias("positive"), "size_bucket", F.col("start").alias("ps"), F.col("end").alias("pe")).join(F.broadcast(rings), "size_bucket")  # a row a bucket
+    begin = F.conv(F.substring(h("positive"), 1, 15), 16, 10).cast("long") % F.col("n")
+    open_ = keep(pos.withColumn("begin", begin).withColumn("have", F.lit(0).cast("long")), spark)
+    found, low, high = None, 0, PROBES
+    while open_.take(1):
+        asked = open_.where(F.col("n") > low).withColumn("turn", F.explode(F.sequence(F.lit(low).cast("long"), F.least(F.lit(high).cast("long"), F.col("n")) - 1)))
+        hit = asked.withColumn("k", F.col("first") + (F.col("begin") + F.col("turn")) % F.col("n")).join(neg.drop("size_bucket"), "k").where(overlaps("ps", "pe", "ns", "ne"))
+        new = keep(hit.select("positive", "turn", "negative", "have").withColumn("_r", F.row_number().over(W.partitionBy("positive").orderBy("turn")) + F.col("have")).where(F.col("_r") <= per_positive), spark)
+        found = new.select("positive", "negative") if found is None else found.unionByName(new.select("positive", "negative"))
+        got = new.groupBy("positive").agg(F.max("_r").alias("_g"))
+        low, high = high, 4 * high
+        open_ = keep(open_.join(got, "positive", "left").withColumn("have", F.coalesce(F.col("_g").cast("long"), F.col("have"))).drop("_g").where((F.col("have") < per_positive) & (F.col("n") > low)), spark)
+    return found if found is not None else pos.limit(0).select("positive", F.lit("").alias("negative"))
 
 
 # --- splits -----------------------------------------------------------------------------------------

@@ -68,9 +68,11 @@ def worker_assignment(spark, d):
     return cases.assign_workers(index(spark, d), "size_bucket", 3)
 
 
-@query("matched_negatives", f"""{CASES}, j AS (SELECT p.case_id AS positive, n.case_id AS negative FROM cases p JOIN cases n ON p.n_flagged > 0 AND n.n_flagged = 0 AND p.size_bucket = n.size_bucket AND p.start <= n."end" AND n.start <= p."end"), r AS (SELECT *, row_number() OVER (PARTITION BY positive ORDER BY sha256(concat('17:', positive, ':', negative))) AS k FROM j) SELECT positive, negative FROM r WHERE k <= 2""")
+@query("matched_negatives", f"""{CASES}, n AS (SELECT *, row_number() OVER (PARTITION BY size_bucket ORDER BY sha256(concat('17:', case_id)), case_id) - 1 AS k, count(*) OVER (PARTITION BY size_bucket) AS c FROM cases WHERE n_flagged = 0),
+ j AS (SELECT p.case_id AS positive, n.case_id AS negative, (k - CAST(concat('0x', sha256(concat('17:', p.case_id))[1:15]) AS BIGINT) % c + c) % c AS turn FROM cases p JOIN n ON p.n_flagged > 0 AND p.size_bucket = n.size_bucket AND p.start <= n."end" AND n.start <= p."end"),
+ r AS (SELECT *, row_number() OVER (PARTITION BY positive ORDER BY turn) AS o FROM j) SELECT positive, negative FROM r WHERE o <= 2""")
 def matched_negatives(spark, d):
-    return cases.match_negatives(index(spark, d), None, 2)
+    return cases.match_negatives(index(spark, d), 2)
 
 
 @query("bounded_windows", f"""{CASES}, m AS (SELECT case_id, epoch_us(start) AS a, epoch_us("end") AS b FROM cases) SELECT case_id, make_timestamp(CASE WHEN b - a + 172800000000 > 864000000000 THEN CAST(floor((a + b) / 2) AS BIGINT) - 432000000000 ELSE a - 86400000000 END) AS window_start, make_timestamp(CASE WHEN b - a + 172800000000 > 864000000000 THEN CAST(floor((a + b) / 2) AS BIGINT) + 432000000000 ELSE b + 86400000000 END) AS window_end FROM m""")
