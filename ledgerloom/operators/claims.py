@@ -28,7 +28,7 @@ def agrees(kind: Column, claim_number: Column, claim_text: Column, claim_unit: C
     return (
         F.when(kind == "count", claim_number == fact_number)
         .when(kind == "ratio", gap <= RATIO_TOLERANCE)
-        .when(kind == "money", (claim_unit == fact_unit) & (gap <= F.greatest(F.abs(fact_number) * MONEY_SHARE, F.lit(MONEY_LEAST))))
+        .when(kind == "money", claim_unit.eqNullSafe(fact_unit) & (gap <= F.greatest(F.abs(fact_number) * MONEY_SHARE, F.lit(MONEY_LEAST))))
         .when(kind == "duration", F.abs(claim_number * hours - fact_number) <= hours)
         .when(kind == "timestamp", gap <= TIME_SECONDS)
         .when(kind.isin("entity", "set", "regulatory"), F.array_contains(F.split(fact_text, LIST), claim_text))
