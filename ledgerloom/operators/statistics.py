@@ -16,6 +16,14 @@ def midrank(value: str, *partition: str) -> Column:
     return F.rank().over(w) + (F.count("*").over(same) - 1) / 2
 
 
+def mean(value: str | Column) -> Column:
+    """Mean of a group's values by their decimal sum (18 places): the same in any order of rows, and equal means are equal doubles.
+    Values that no decimal(38,18) holds, or whose sum none holds, have the mean of doubles."""
+    v = F.col(value) if isinstance(value, str) else value
+    exact = v.try_cast("decimal(38,18)")
+    return F.when(F.count(exact) == F.count(v), F.coalesce((F.try_sum(exact) / F.count(v)).cast("double"), F.avg(v))).otherwise(F.avg(v))
+
+
 def running(df: DataFrame, value: str, n: str, descending: bool = False) -> DataFrame:
     """Adds _before: the sum of n over the rows before this one in the order of the (distinct) values. Rows are sorted by range
     and summed by range, so no task has them all."""

@@ -167,7 +167,7 @@ PAIRS = "SELECT user_id, floor(avg(value) FILTER (event_id % 2 = 0)) AS a, floor
 
 
 def pairs(spark, d):
-    half = lambda k: F.floor(F.avg(F.when(F.col("event_id") % 2 == k, F.col("value")))).cast("double")
+    half = lambda k: F.floor(st.mean(F.when(F.col("event_id") % 2 == k, F.col("value")))).cast("double")
     return spark.read.parquet(f"{d}/events.parquet").groupBy("user_id").agg(half(0).alias("a"), half(1).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
 
 

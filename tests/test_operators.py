@@ -248,3 +248,15 @@ def test_soft_scores(spark):
     tower = [("s", "a"), ("s", "b")] + [(x, y) for u, v in (("ab", "cd"), ("cd", "ef"), ("ef", "gh")) for x in u for y in v]
     assert one(tower)["stack"] == 1.0
     assert one([("a", "a")])["best"] is None
+
+
+def test_means_do_not_depend_on_the_order_of_rows(spark, tmp_path):
+    from ledgerloom.plans import evaluation_queries
+
+    for i, odd in enumerate(((0.01, 2.05, 0.94), (0.94, 2.05, 0.01))):  # both mean 1, the first a little less in doubles
+        rows_ = [(0, 7, 5.0), *[(2 * k + 1, 7, v) for k, v in enumerate(odd)]]
+        spark.createDataFrame(rows_, "event_id long, user_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/{i}/events.parquet")
+        assert evaluation_queries.pairs(spark, f"{tmp_path}/{i}").first()["b"] == 1.0
+    strange = spark.createDataFrame([(1, float("nan")), (1, 1.0), (2, 1e300), (2, 1e300), (3, None), (4, 2.0)], "k int, v double")
+    got = {r[0]: r[1] for r in strange.groupBy("k").agg(st.mean("v").alias("m")).collect()}
+    assert math.isnan(got[1]) and (got[2], got[3], got[4]) == (1e300, None, 2.0)
