@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .statistics import mean
+
 
 def tidy(reports: DataFrame) -> DataFrame:
     """system, seed, metric, value from reports (system, seed, report JSON of a flat object); values that are no numbers are left out."""
@@ -19,7 +21,7 @@ def wide(metrics: DataFrame, names: list[str]) -> DataFrame:
 
 
 def per_case_means(outputs: DataFrame) -> DataFrame:
-    return outputs.groupBy("system", "case_id").agg(F.avg("value").alias("value"))
+    return outputs.groupBy("system", "case_id").agg(mean("value").alias("value"))
 
 
 def compare_systems(outputs: DataFrame) -> DataFrame:
@@ -27,7 +29,7 @@ def compare_systems(outputs: DataFrame) -> DataFrame:
     m = per_case_means(outputs)
     x, y = m.select(F.col("system").alias("a"), "case_id", F.col("value").alias("va")), m.select(F.col("system").alias("b"), "case_id", F.col("value").alias("vb"))
     d = F.col("va") - F.col("vb")
-    return x.join(y, "case_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.avg(d).alias("mean_diff"), F.count_if(d > 0).alias("wins"), F.count_if(d < 0).alias("losses"), F.count_if(d == 0).alias("ties"))
+    return x.join(y, "case_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), mean(d).alias("mean_diff"), F.count_if(d > 0).alias("wins"), F.count_if(d < 0).alias("losses"), F.count_if(d == 0).alias("ties"))
 
 
 def confusion_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:

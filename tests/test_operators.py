@@ -260,3 +260,11 @@ def test_means_do_not_depend_on_the_order_of_rows(spark, tmp_path):
     strange = spark.createDataFrame([(1, float("nan")), (1, 1.0), (2, 1e300), (2, 1e300), (3, None), (4, 2.0)], "k int, v double")
     got = {r[0]: r[1] for r in strange.groupBy("k").agg(st.mean("v").alias("m")).collect()}
     assert math.isnan(got[1]) and (got[2], got[3], got[4]) == (1e300, None, 2.0)
+
+
+def test_equal_means_tie(spark):
+    from ledgerloom.operators import experiments
+
+    values = [("a", 0.1), ("a", 0.2), ("a", 0.3), ("b", 0.3), ("b", 0.2), ("b", 0.1)]
+    out = spark.createDataFrame([(s, "c", v) for s, v in values], "system string, case_id string, value double").coalesce(1)
+    assert tuple(experiments.compare_systems(out).first()) == ("a", "b", 1, 0.0, 0, 0, 1)
