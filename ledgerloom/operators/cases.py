@@ -118,21 +118,31 @@ def match_negatives(cases: DataFrame, per_positive: int = 1, seed: str = "17") -
 def boundary_grid(cases: DataFrame, candidates: DataFrame, shares: tuple[float, float, float] = (0.7, 0.15, 0.15), weight: float = 1.5) -> DataFrame:
     """One row: the pair of boundaries with the least score (L1 error of the split shares + weight * share of straddling cases), ties by the earlier pair.
 
-    Each candidate needs how many cases end by it and how many it straddles: a case's bounds are ranged among the
-    candidates once, and a pair's counts come from those; cases never meet pairs. `candidates` (column b) is a grid of a few hundred dates.
+    A case is ranged among the candidates once: its place is the first one after its start, the last one before its end
+    and how many lie before its end. Only counts by place go on, so neither cases nor their pairs with candidates are
+    broadcast or joined. `candidates` (column b) is a grid of a few hundred dates: it goes as one row.
     """
-    n = cases.count()
-    c = candidates.select("b").distinct()
-    ends = c.join(cases, F.col("end") <= F.col("b"), "left").groupBy("b").agg(F.count("case_id").alias("ended"))
-    over = c.join(cases, straddles("start", "end", F.col("b")), "left").groupBy("b").agg(F.count("case_id").alias("cut"))
-    stat = F.broadcast(ends.join(over, "b"))
-    x, y = stat.select(*[F.col(k).alias(f"{k}1") for k in ("b", "ended", "cut")]), stat.select(*[F.col(k).alias(f"{k}2") for k in ("b", "ended", "cut")])
-    both = cases.join(c.select(F.col("b").alias("b1")), straddles("start", "end", F.col("b1"))).join(c.select(F.col("b").alias("b2")), straddles("start", "end", F.col("b2"))).where("b1 < b2").groupBy("b1", "b2").agg(F.count("*").alias("twice"))
-    p = x.join(y, F.col("b1") < F.col("b2")).join(both, ["b1", "b2"], "left").fillna(0, ["twice"])
+    from .graph import keep
+
+    c = candidates.select("b").distinct().where("b IS NOT NULL")
+    grid = c.agg(F.array_sort(F.collect_list("b")).alias("grid"))
+    upto = lambda c, x: F.when(F.col(c).isNotNull(), F.size(F.filter("grid", x)).cast("long"))
+    placed = cases.select("start", "end").crossJoin(F.broadcast(grid)).select(upto("start", lambda b: b <= F.col("start")).alias("lo"), upto("end", lambda b: b < F.col("end")).alias("hi"))
+    # Candidates number from 0: those from lo up to hi - 1 are straddled, those from hi on are not before the end. A case without bounds is never kept.
+    g = keep(placed.groupBy("lo", "hi").agg(F.count("*").alias("k")), cases.sparkSession)
+    n, m = (x or 0 for x in g.agg(F.sum("k"), F.sum(F.when(F.col("lo").isNotNull() & F.col("hi").isNotNull(), F.col("k")))).first())
+    at = keep(grid.select(F.posexplode("grid").alias("i", "b")), cases.sparkSession)
+    ends = at.join(F.broadcast(g.groupBy("hi").agg(F.sum("k").alias("k"))), F.col("hi") <= F.col("i"), "left").groupBy("i", "b").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("ended"))
+    cuts = g.where("lo < hi").select("k", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("i"), "hi")
+    over = cuts.groupBy("i").agg(F.sum("k").alias("cut"))
+    stat = F.broadcast(ends.join(over, "i", "left").select("b", "ended", F.coalesce("cut", F.lit(0)).alias("cut"), "i"))
+    x, y = stat.select(*[F.col(k).alias(f"{k}1") for k in ("b", "ended", "cut", "i")]), stat.select(*[F.col(k).alias(f"{k}2") for k in ("b", "ended", "cut", "i")])
+    both = cuts.where("i + 1 < hi").groupBy("i", "hi").agg(F.sum("k").alias("k")).select(F.col("i").alias("i1"), "k", F.explode(F.sequence(F.col("i") + 1, F.col("hi") - 1)).alias("i2")).groupBy("i1", "i2").agg(F.sum("k").alias("twice"))
+    p = x.join(y, F.col("b1") < F.col("b2")).join(both, ["i1", "i2"], "left").fillna(0, ["twice"])
     dropped = F.col("cut1") + F.col("cut2") - F.col("twice")
-    train, rest = F.col("ended1"), F.lit(n) - F.col("ended2") - F.col("cut2")
-    val = F.lit(n) - dropped - train - rest
-    kept = F.lit(n) - dropped
+    train, rest = F.col("ended1"), F.lit(m) - F.col("ended2") - F.col("cut2")
+    val = F.lit(m) - dropped - train - rest
+    kept = F.lit(m) - dropped
     error = F.abs(train / kept - shares[0]) + F.abs(val / kept - shares[1]) + F.abs(rest / kept - shares[2])
     scored = p.where(kept > 0).select("b1", "b2", train.alias("n_train"), val.alias("n_val"), rest.alias("n_test"), F.round(error + weight * (1 - kept / n), 9).alias("score"))
     return scored.orderBy("score", "b1", "b2").limit(1)

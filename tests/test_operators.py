@@ -268,3 +268,25 @@ def test_equal_means_tie(spark):
     values = [("a", 0.1), ("a", 0.2), ("a", 0.3), ("b", 0.3), ("b", 0.2), ("b", 0.1)]
     out = spark.createDataFrame([(s, "c", v) for s, v in values], "system string, case_id string, value double").coalesce(1)
     assert tuple(experiments.compare_systems(out).first()) == ("a", "b", 1, 0.0, 0, 0, 1)
+
+
+def test_boundaries_are_enumeration_and_broadcast_no_cases(spark):
+    rng = random.Random(3)
+    day = lambda k: datetime(2024, 1, 1) + timedelta(days=k)
+    spans = [(a, a + rng.choice((0, 1, 3, 40))) for a in (rng.randrange(100) for _ in range(300))]
+    at = [0, 7, 20, 21, 33, 60, 61, 90, 139, 150]
+    c = spark.createDataFrame([(f"c{i}", day(a), day(b)) for i, (a, b) in enumerate(spans)], "case_id string, start timestamp_ntz, end timestamp_ntz")
+    months = spark.createDataFrame([(day(k),) for k in at], "b timestamp_ntz")
+    best = None
+    for i, x in enumerate(at):
+        for y in at[i + 1 :]:
+            kept = [(a, b) for a, b in spans if not (a < x < b or a < y < b)]
+            train, test = sum(b <= x for _, b in kept), sum(a >= y and b > y for a, b in kept)
+            if kept:
+                error = abs(train / len(kept) - 0.7) + abs((len(kept) - train - test) / len(kept) - 0.15) + abs(test / len(kept) - 0.15)
+                row = (round(error + 1.5 * (1 - len(kept) / len(spans)), 9), x, y, train, len(kept) - train - test, test)
+                best = row if best is None or row < best else best
+    out = cases.boundary_grid(c, months)
+    r = out.first()
+    assert (r["score"], r["b1"], r["b2"], r["n_train"], r["n_val"], r["n_test"]) == (best[0], day(best[1]), day(best[2]), *best[3:])
+    assert "case_id" not in out._jdf.queryExecution().toString()
