@@ -245,3 +245,22 @@ def test_positions_in_a_total_order(spark):
     df = spark.createDataFrame([(i * 7 % 101, i % 5) for i in range(101)], "v int, n int").repartition(4)
     got = st.running(df, "v", "n").orderBy("v").collect()
     assert [r["_before"] for r in got] == [sum(x["n"] for x in got[:i]) for i in range(101)]
+
+
+def test_exemplars_are_turned_lists_without_lists_of_the_pool(spark):
+    pool = [(f"p{i:02d}", t) for i, t in enumerate(["a"] * 6 + ["b"] * 2 + ["c"] + [None] * 2 + ["a"] * 3)]
+    asked = [p[0] for p in pool] + ["x1", "yy2", "z"]
+    want = set()
+    known = {c: t or "" for c, t in pool}
+    for c in asked:
+        off = sum(map(ord, c))
+        own = [p for p in sorted(known) if known[p] == known.get(c, "") and p != c]
+        rest = [p for p in sorted(known) if known[p] != known.get(c, "") and p != c]
+        turned = lambda a: a[off % len(a) :] + a[: off % len(a)] if a else []  # noqa: B023, E731
+        want |= {(c, r, e) for r, e in enumerate((turned(own) + turned(rest))[:4])}
+    p = spark.createDataFrame([(*x, "train") for x in pool], "case_id string, typology string, split string")
+    out = records.exemplars(spark.createDataFrame([(c,) for c in asked], "case_id string"), p, 4)
+    assert {tuple(r) for r in out.collect()} == want and out.count() == len(want)
+    assert "array_except" not in out._jdf.queryExecution().toString()
+    few = records.exemplars(spark.createDataFrame([("p00",), ("q",)], "case_id string"), p.where("case_id = 'p00'"), 3)
+    assert [tuple(r) for r in few.collect()] == [("q", 0, "p00")]
