@@ -88,7 +88,8 @@ def match_negatives(cases: DataFrame, per_positive: int = 1, seed: str = "17") -
 
     A bucket's negatives stand in a circle in hash order, and a positive's own hash says where it begins. It looks at
     PROBES of them, then at four times as many, until it has enough or has been all round, so no pairs of a bucket are formed
-    but for positives that hardly any negative suits.
+    but for positives that hardly any negative suits. The joins are by merging: kept tables look small by their files' bytes,
+    and would be broadcast through the driver.
     """
     from .evaluation import numbered
     from .graph import keep
@@ -104,12 +105,12 @@ def match_negatives(cases: DataFrame, per_positive: int = 1, seed: str = "17") -
     found, low, high = None, 0, PROBES
     while open_.take(1):
         asked = open_.where(F.col("n") > low).withColumn("turn", F.explode(F.sequence(F.lit(low).cast("long"), F.least(F.lit(high).cast("long"), F.col("n")) - 1)))
-        hit = asked.withColumn("k", F.col("first") + (F.col("begin") + F.col("turn")) % F.col("n")).join(neg.drop("size_bucket"), "k").where(overlaps("ps", "pe", "ns", "ne"))
+        hit = asked.withColumn("k", F.col("first") + (F.col("begin") + F.col("turn")) % F.col("n")).join(neg.drop("size_bucket").hint("merge"), "k").where(overlaps("ps", "pe", "ns", "ne"))
         new = keep(hit.select("positive", "turn", "negative", "have").withColumn("_r", F.row_number().over(W.partitionBy("positive").orderBy("turn")) + F.col("have")).where(F.col("_r") <= per_positive), spark)
         found = new.select("positive", "negative") if found is None else found.unionByName(new.select("positive", "negative"))
         got = new.groupBy("positive").agg(F.max("_r").alias("_g"))
         low, high = high, 4 * high
-        open_ = keep(open_.join(got, "positive", "left").withColumn("have", F.coalesce(F.col("_g").cast("long"), F.col("have"))).drop("_g").where((F.col("have") < per_positive) & (F.col("n") > low)), spark)
+        open_ = keep(open_.join(got.hint("merge"), "positive", "left").withColumn("have", F.coalesce(F.col("_g").cast("long"), F.col("have"))).drop("_g").where((F.col("have") < per_positive) & (F.col("n") > low)), spark)
     return found if found is not None else pos.limit(0).select("positive", F.lit("").alias("negative"))
 
 

@@ -290,3 +290,27 @@ def test_boundaries_are_enumeration_and_broadcast_no_cases(spark):
     r = out.first()
     assert (r["score"], r["b1"], r["b2"], r["n_train"], r["n_val"], r["n_test"]) == (best[0], day(best[1]), day(best[2]), *best[3:])
     assert "case_id" not in out._jdf.queryExecution().toString()
+
+
+def test_negatives_are_not_broadcast(spark, monkeypatch):
+    day = lambda k: datetime(2024, 1, 1) + timedelta(days=k)
+    c = spark.createDataFrame([(f"c{i}", "small", day(i % 5), day(i % 5 + 2), int(i % 4 == 0)) for i in range(40)], "case_id string, size_bucket string, start timestamp_ntz, end timestamp_ntz, n_flagged int")
+    plans, keep = [], graph.keep
+    monkeypatch.setattr(graph, "keep", lambda df, s: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df, s))
+    assert cases.match_negatives(c, 2).count() == 20
+    assert any("SortMergeJoin" in p and "negative" in p for p in plans)
+    assert not any("BroadcastHashJoin" in line and ("k#" in line or "positive" in line) for p in plans for line in p.splitlines())
+
+
+def test_small_cases_share_batches(spark):
+    rings = [(f"n{i}", f"n{(i + 1) % (3 + c % 4)}", f"c{c:02d}") for c in range(40) for i in range(3 + c % 4)] + [("a", "b", None)] * 20
+    e = spark.createDataFrame(rings, "src string, dst string, case_id string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = motif_scores.ordered_scores(e, "case_id")
+        got = {r["case_id"]: r["cycle"] for r in out.collect()}
+        assert out.count() == len(got)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {f"c{c:02d}": 1 - (c % 4) / 6 for c in range(40)} | {None: 0.0}
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
