@@ -45,29 +45,60 @@ def ordered_scores(edges: DataFrame, key: str) -> DataFrame:
     """key, cycle, bipartite, stack.
 
     cycle falls from 1 for three accounts to a half for six. bipartite: distinct pairs across a breadth-first colouring over all
-    transfers, times the balance of the sides. stack: layers of two accounts or more from the best source.
+    transfers, times the balance of the sides. stack: layers of two accounts or more from the best source. Cases lie one after
+    another in sorted partitions, so many small ones share a batch.
     """
 
     from .case_matrices import Case
 
-    def run(pdf):
-        import pandas as pd
-
-        case = Case(pdf["src"], pdf["dst"])
+    def one(name, src, dst):
+        if len(set(src)) == 1 or len(set(dst)) == 1:  # all from one account or all to one: no cycle of three, no side of two, no second layer
+            return name, 0.0, 0.0, 0.0
+        case = Case(src, dst)
         total = int(case.transfers.sum())
         length = case.cycle(*CYCLE) if total <= CYCLE_EDGES else None
         odd = case.sides()
         large, small = sorted((int(odd.sum()), int((~odd).sum())), reverse=True)
         n = len(case.layers(LAYERS[0]))
-        row = {
-            key: pdf[key].iloc[0],
-            "cycle": 0.0 if length is None else 1 - (length - CYCLE[0]) / (2 * (CYCLE[1] - CYCLE[0])),
-            "bipartite": case.across()[1] / total * small / large if total and small >= LEAST_SIDE else 0.0,
-            "stack": 0.0 if n < LAYERS[0] else min(1.0, (n - LAYERS[0]) / (LAYERS[1] - LAYERS[0])),
-        }
-        return pd.DataFrame([row])
-
-    return edges.select(key, "src", "dst").groupBy(key).applyInPandas(run, f"{key} {edges.schema[key].dataType.simpleString()}, cycle double, bipartite double, stack double")
+        return (
+            name,
+            0.0 if length is None else 1 - (length - CYCLE[0]) / (2 * (CYCLE[1] - CYCLE[0])),
+            case.across()[1] / total * small / large if total and small >= LEAST_SIDE else 0.0,
+            0.0 if n < LAYERS[0] else min(1.0, (n - LAYERS[0]) / (LAYERS[1] - LAYERS[0])),
+        )
+
+    def run(batches):
+        import pandas as pd
+
+        def scored(pdf, ends):
+            k, src, dst = (pdf[c].to_numpy(dtype=object) for c in (key, "src", "dst"))
+            return pd.DataFrame([one(k[a], src[a:b], dst[a:b]) for a, b in zip(ends, ends[1:], strict=False)], columns=[key, "cycle", "bipartite", "stack"])
+
+        # Rows come in the order of their cases; the last case of a batch may go on in the next.
+        left = []
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            k = pdf[key].to_numpy(dtype=object)
+            if left and (_same(left[-1][key].iloc[-1], k[0])) and _same(k[0], k[-1]):
+                left.append(pdf)
+                continue
+            pdf = pd.concat([*left, pdf]) if left else pdf
+            k = pdf[key].to_numpy(dtype=object)
+            ends = [0, *[i for i in range(1, len(k)) if not _same(k[i - 1], k[i])]]
+            if len(ends) > 1:
+                yield scored(pdf, ends)
+            left = [pdf.iloc[ends[-1] :]]
+        if left:
+            pdf = pd.concat(left)
+            yield scored(pdf, [0, len(pdf)])
+
+    rows = edges.select(key, "src", "dst").repartition(key).sortWithinPartitions(key)
+    return rows.mapInPandas(run, f"{key} {edges.schema[key].dataType.simpleString()}, cycle double, bipartite double, stack double")
+
+
+def _same(a, b) -> bool:
+    return a == b or (a is None and b is None)
 
 
 def motif_scores(edges: DataFrame, key: str = "case_id") -> DataFrame:

@@ -303,6 +303,8 @@ def test_negatives_are_not_broadcast(spark, monkeypatch):
 
 
 def test_small_cases_share_batches(spark):
+    from ledgerloom.operators.case_matrices import Case
+
     rings = [(f"n{i}", f"n{(i + 1) % (3 + c % 4)}", f"c{c:02d}") for c in range(40) for i in range(3 + c % 4)] + [("a", "b", None)] * 20
     e = spark.createDataFrame(rings, "src string, dst string, case_id string")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
@@ -313,4 +315,8 @@ def test_small_cases_share_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == {f"c{c:02d}": 1 - (c % 4) / 6 for c in range(40)} | {None: 0.0}
+    for star in (["ab", "ac", "aa", "ad"], ["ba", "ca", "aa"], ["aa"], ["ab"] * 3, ["cb", "ca", "ca"]):  # they are not looked into
+        case = Case(*zip(*star, strict=True))
+        sides = case.sides()
+        assert case.cycle(3, 6) is None and min(sides.sum(), (~sides).sum()) < 2 and len(case.layers(2)) < 2
     assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
