@@ -51,69 +51,153 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def minhash_signatures(sets: DataFrame, column: str, permutations: int = 128, seed: int = 7) -> DataFrame:
-    """The frame with `sig`: minima of affine maps of shingle hashes modulo a prime; an empty set has the largest value everywhere.
+    """The frame with `sig`: minima of affine maps of the hashes in `column` (array of long) modulo a prime; an empty set has the largest value everywhere.
 
-    A set's hashes and all maps meet in one array operation in an Arrow batch (as nested array functions the same takes
-    a hundred times as long).
+    The hashes of an Arrow batch stand in one array, which each map goes through once; runs of it are the sets.
     """
     import numpy as np
-    from pyspark.sql.functions import pandas_udf
+    from pyspark.sql.functions import arrow_udf
 
-    prime = (1 << 31) - 1
+    prime = np.uint64((1 << 31) - 1)
     rng = np.random.default_rng(seed)
-    a, b = rng.integers(1, prime, permutations), rng.integers(0, prime, permutations)
+    a, b = rng.integers(1, int(prime), permutations).astype(np.uint64), rng.integers(0, int(prime), permutations).astype(np.uint64)
 
-    @pandas_udf("array<bigint>")
+    @arrow_udf("array<bigint>")
     def sign(hashes):
-        import pandas as pd
-
-        def one(h):
-            low = np.full(permutations, prime, np.int64)
-            for i in range(0, len(h), 4096):
-                part = np.asarray(h[i : i + 4096], np.int64)
-                low = np.minimum(low, ((part[:, None] * a[None, :] + b[None, :]) % prime).min(axis=0))
-            return low
-
-        return pd.Series([one(h) for h in hashes])
-
-    return sets.withColumn("sig", sign(F.transform(column, lambda x: F.xxhash64(x).bitwiseAND(F.lit(prime)))))
+        import pyarrow as pa
+
+        h = hashes.flatten().to_numpy(zero_copy_only=False).view(np.uint64) & prime
+        size = hashes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(size)
+        sig = np.full((len(size), permutations), prime, np.uint64)
+        start = 0
+        while start < len(size):  # some sets at a time, so that their hashes stay near
+            stop = max(start + 1, int(np.searchsorted(ends, ends[start] - size[start] + (1 << 15), side="right")))
+            own = start + np.flatnonzero(size[start:stop])
+            if len(own):
+                first = ends[start] - size[start]
+                x, at = h[first : ends[stop - 1]], (ends - size)[own] - first
+                for j in range(permutations):
+                    v = x * a[j]
+                    v += b[j]
+                    v = (v & prime) + (v >> np.uint64(31))
+                    sig[own, j] = np.minimum.reduceat(np.minimum(v, v - prime), at)  # below the prime, the difference wraps
+            start = stop
+        return pa.ListArray.from_arrays(np.arange(len(size) + 1, dtype=np.int32) * permutations, sig.astype(np.int64).ravel())
+
+    return sets.withColumn("sig", sign(column))
+
+
+def shingle_hashes(tokens: Column, n: int = 5) -> Column:
+    """The set of `shingles` as ascending 64-bit hashes, made of the words' own; no word: none."""
+    import numpy as np
+    from pyspark.sql.functions import arrow_udf
+
+    @arrow_udf("array<bigint>")
+    def sets(words_):
+        import pyarrow as pa
+
+        w = words_.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        size = words_.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        # A shorter text is one shingle of what there is; its length is part of the hash.
+        count = np.where(size == 0, 0, np.maximum(size - n + 1, 1))
+        row = np.repeat(np.arange(len(size)), count)
+        at = np.repeat(np.cumsum(size) - size, count) + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        length = np.minimum(size, n)[row]
+        h = length.astype(np.uint64)
+        for k in range(n):
+            x = (h ^ np.where(k < length, w[np.minimum(at + k, max(len(w) - 1, 0))], np.uint64(0))) * np.uint64(0x9E3779B97F4A7C15)
+            h = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(32)
+        h = h.view(np.int64)
+        order = np.lexsort((h, row))
+        h, row = h[order], row[order]
+        new = np.concatenate(([True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])))[: len(h)]
+        ends = np.concatenate(([0], np.cumsum(np.bincount(row[new], minlength=len(size)))))
+        return pa.ListArray.from_arrays(ends.astype(np.int32), h[new])
+
+    return sets(F.transform(tokens, lambda x: F.xxhash64(x)))
+
+
+PIVOTS = 16
+"""So many sets of a bucket are compared with all behind them in the first round; twice as many in each further one."""
+NEAR_PAIRS = 1_000_000
+"""So many confirmed pairs are decided on the driver; more, by joins."""
 
 
 def lsh_near_duplicates(docs: DataFrame, threshold: float = 0.8, permutations: int = 128, bands: int = 32) -> DataFrame:
-    """a, b, jaccard: for every dropped shingle set the kept one (of smaller id) that drops it; ids are the smallest with a set.
+    """a, b, jaccard: for every dropped shingle set the smallest kept one that drops it among those it met; ids are the smallest with a set.
 
-    Greedy in id order over MinHash candidates, confirmed exactly: equal sets are taken together first; in every band's bucket the
-    smallest id left is compared with the others, those that reach the threshold go, and the next smallest is looked at in
-    the next round. A bucket of n copies costs n comparisons, not n^2; rounds end when no bucket holds two sets.
+    Greedy in id order over MinHash candidates, confirmed on the sets of 64-bit shingle hashes: equal sets are taken
+    together first. In every band's bucket the smallest ids are compared with all behind them and leave it; sets that a
+    kept one drops leave all buckets. So a bucket of n near copies costs some n comparisons, and one of n different sets
+    takes rounds as the logarithm of n. A set is kept once it has left its buckets and no set that may be kept is near.
     """
     from ..sources.stores import scratch_table
 
     spark = docs.sparkSession
-    # The filter is on the words: on the shingles it would be pushed down, and compute the words anew for each shingle.
-    t = docs.select("doc_id", words(F.coalesce("text", F.lit(""))).alias("w")).where(F.size("w") > 0).select("doc_id", shingles(F.col("w")).alias("s"))
-    t = t.withColumn("k", F.xxhash64(F.array_sort("s"))).groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.first("s").alias("s")).select("doc_id", "s")
     rows = permutations // bands
-    sig = scratch_table(spark, minhash_signatures(t, "s", permutations))
-    left = scratch_table(spark, sig.select("doc_id", F.posexplode(F.array(*[F.xxhash64(F.slice("sig", b * rows + 1, rows)) for b in range(bands)])).alias("band", "h")))
-    found = None
+    w = docs.select("doc_id", words(F.coalesce("text", F.lit(""))).alias("w"))
+    t = minhash_signatures(w.select("doc_id", shingle_hashes(F.col("w")).alias("s")), "s", permutations)
+    sets = scratch_table(spark, t.select("doc_id", F.monotonically_increasing_id().alias("row"), F.size("s").alias("n"), F.struct(F.xxhash64("s"), F.hash("s")).alias("k"), "s", F.array(*[F.xxhash64(F.slice("sig", b * rows + 1, rows)) for b in range(bands)]).alias("bands")))
+    first = sets.where("n > 0").groupBy("k").agg(F.min(F.struct("doc_id", "row")).alias("x")).select("x.row")
+    left = scratch_table(spark, sets.select("row", "doc_id", "n", "bands").join(first, "row").select("doc_id", "n", F.posexplode("bands").alias("band", "h")))
+    near, dropped = None, None
+    pivots = PIVOTS
     while True:
-        left = left.join(left.groupBy("band", "h").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "h", "a"), ["band", "h"])
-        left = scratch_table(spark, left)
+        many = left.groupBy("band", "h").agg(F.count("*").alias("c")).where("c > 1").select("band", "h")
+        left = scratch_table(spark, left.join(many, ["band", "h"]).withColumn("r", F.row_number().over(W.partitionBy("band", "h").orderBy("doc_id"))))
         if not left.take(1):
             break
-        pairs = left.where("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-        x, y = sig.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), sig.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
-        j = pairs.join(x, "a").join(y, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
-        near = j.select("a", "b", (F.col("i") / (F.size("sa") + F.size("sb") - F.col("i"))).alias("jaccard")).where(F.col("jaccard") >= threshold)
-        near = scratch_table(spark, near)
-        # A set that a smaller one drops drops nothing; its own candidates are looked at again.
-        sure = near.join(near.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-        found = sure if found is None else found.unionByName(sure)
-        gone = sure.select(F.col("b").alias("doc_id")).distinct()
-        waits = near.select(F.col("a").alias("doc_id")).join(near.select(F.col("b").alias("doc_id")), "doc_id", "left_semi").distinct().select("doc_id", F.lit(True).alias("waits"))
-        # A bucket's smallest has met all others, unless it waits for its own fate.
-        left = left.join(gone, "doc_id", "left_anti").join(waits.withColumnRenamed("doc_id", "a"), "a", "left").where("doc_id > a OR waits").select("band", "h", "doc_id")
-    return found if found is not None else spark.createDataFrame([], "a long, b long, jaccard double")
+        x, y = (left.select("band", "h", F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("r").alias(f"r{c}")) for c in "ab")
+        # Sets whose sizes differ by more than the threshold can't reach it.
+        alike = F.least("na", "nb") >= threshold * F.greatest("na", "nb")
+        pairs = x.where(F.col("ra") <= pivots).join(y, ["band", "h"]).where((F.col("ra") < F.col("rb")) & (F.col("a") < F.col("b")) & alike).select("a", "b").distinct()
+        if near is not None:
+            pairs = pairs.join(near.select("a", "b"), ["a", "b"], "left_anti")
+        own = sets.join(first, "row").select("doc_id", "s")
+        j = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+        j = j.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("n")).select("a", "b", (F.col("i") / (F.col("n") - F.col("i"))).alias("jaccard"))
+        new = scratch_table(spark, j.where(F.col("jaccard") >= threshold))
+        near = new if near is None else near.unionByName(new)
+        left = left.where(F.col("r") > pivots).drop("r")
+        dropped = _greedy(near, left)
+        left = left.join(dropped.select(F.col("b").alias("doc_id")), "doc_id", "left_anti")
+        pivots *= 2
+    return spark.createDataFrame([], "a long, b long, jaccard double") if near is None else _greedy(near, None)
+
+
+def _greedy(near: DataFrame, left: DataFrame | None) -> DataFrame:
+    """a, b, jaccard: the smallest kept a of each b that is dropped for certain; what is left in a bucket is not known to be kept."""
+    from ..sources.stores import scratch_table
+
+    spark = near.sparkSession
+    ends = near.select(F.col("a").alias("doc_id")).distinct()
+    waits = ends.limit(0) if left is None else ends.join(left.select("doc_id"), "doc_id", "left_semi")
+    if near.limit(NEAR_PAIRS + 1).count() <= NEAR_PAIRS:
+        unsure, by, kept = {r[0] for r in waits.collect()}, {}, []
+        for a, b, j in near.collect():
+            by.setdefault(b, []).append((a, j))
+        gone = set()
+        for b in sorted(by):  # all smaller ones are decided by then
+            own = [x for x in by[b] if x[0] not in gone]
+            sure = [x for x in own if x[0] not in unsure]
+            if sure:
+                gone.add(b)
+                kept.append((min(sure)[0], b, min(sure)[1]))
+            elif own:
+                unsure.add(b)
+        return spark.createDataFrame(kept, near.schema)
+    edges = near
+    gone = near.limit(0)
+    while True:
+        unsure = edges.select(F.col("b").alias("a")).union(waits).distinct()
+        sure = scratch_table(spark, edges.join(unsure, "a", "left_anti").groupBy("b").agg(F.min(F.struct("a", "jaccard")).alias("x")).select("x.a", "b", "x.jaccard"))
+        if not sure.take(1):
+            return gone
+        gone = gone.unionByName(sure)
+        out = sure.select("b")
+        edges = scratch_table(spark, edges.join(out, "b", "left_anti").join(out.withColumnRenamed("b", "a"), "a", "left_anti"))
 
 
 def drop_near_duplicates(docs: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -320,3 +320,23 @@ def test_small_cases_share_batches(spark):
         sides = case.sides()
         assert case.cycle(3, 6) is None and min(sides.sum(), (~sides).sum()) < 2 and len(case.layers(2)) < 2
     assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+
+
+def test_near_duplicates_in_few_rounds(spark, monkeypatch):
+    """Buckets of many different sets take few rounds; the decision by joins is the same as the driver's."""
+    from ledgerloom.sources import stores
+
+    def shared(i):
+        return " ".join([f"w{k}" for k in range(60)] + [f"x{i}_{k}" for k in range(18)])
+
+    chain = [" ".join(f"v{k}" for k in range(6 * i, 80 + 6 * i)) for i in range(8)]  # each is near the next alone
+    rows_ = [(i, shared(i)) for i in range(60)] + [(100 + i, t) for i, t in enumerate(chain)]
+    d = spark.createDataFrame(rows_, "doc_id long, text string")
+    tables, real = [], stores.scratch_table
+    monkeypatch.setattr(stores, "scratch_table", lambda *a: tables.append(1) or real(*a))
+    got = text.lsh_near_duplicates(d, bands=64)
+    assert len(tables) < 20
+    want = [(100 + i, 101 + i) for i in range(0, 8, 2)]
+    assert [(a, b) for a, b, _ in rows(got)] == want
+    monkeypatch.setattr(text, "NEAR_PAIRS", 0)
+    assert [(a, b) for a, b, _ in rows(text.lsh_near_duplicates(d, bands=64))] == want
