@@ -340,3 +340,14 @@ def test_near_duplicates_in_few_rounds(spark, monkeypatch):
     assert [(a, b) for a, b, _ in rows(got)] == want
     monkeypatch.setattr(text, "NEAR_PAIRS", 0)
     assert [(a, b) for a, b, _ in rows(text.lsh_near_duplicates(d, bands=64))] == want
+
+
+def test_components_over_few_edges(spark, monkeypatch):
+    """A dense graph's labels spread over each account's extreme neighbours alone; what these leave apart is joined after."""
+    sizes, real = [], graph._spread
+    monkeypatch.setattr(graph, "_spread", lambda e, s: sizes.append(e.count()) or real(e, s))
+    dense = [(f"s{i:02d}", f"d{j:02d}") for i in range(20) for j in range(20)]
+    assert {r[1] for r in graph.weak_components(edges(spark, dense)).collect()} == {"d00"} and max(sizes) <= 80
+    halves = [(f"{x}{i}", f"{x}{j}") for x in "az" for i in range(5) for j in range(5, 10)]
+    e = edges(spark, [*halves, ("a2", "z7"), ("m", "m")])
+    assert dict(rows(graph.weak_components(e))) == {**{f"{x}{i}": "a0" for x in "az" for i in range(10)}, "m": "m"}
