@@ -342,6 +342,22 @@ def test_near_duplicates_in_few_rounds(spark, monkeypatch):
     assert [(a, b) for a, b, _ in rows(text.lsh_near_duplicates(d, bands=64))] == want
 
 
+@pytest.mark.parametrize("n_max", [1, 2, 3, 4, 5, 8, 50])
+def test_prune_in_order(spark, n_max):
+    """Against the pass over all edges in order, without a Python group by case."""
+    rng = random.Random(n_max)
+    es = [(f"c{rng.randrange(6)}", f"a{rng.randrange(7)}", f"a{rng.randrange(7)}", float(rng.randrange(9)), rng.random() < 0.04, f"k{i:03d}") for i in range(240)]
+    have, want = {}, set()
+    for c, s, d, _, flag, key in sorted(es, key=lambda x: (-x[4], -x[3], x[5])):
+        h = have.setdefault(c, set())
+        if flag or len(h | {s, d}) <= n_max:
+            h |= {s, d}
+            want.add(key)
+    df = graph.prune(spark.createDataFrame(es, "case_id string, src string, dst string, amount_paid double, is_laundering boolean, transaction_key string"), n_max)
+    assert "FlatMapGroups" not in df._jdf.queryExecution().toString()
+    assert {r["transaction_key"] for r in df.collect()} == want
+
+
 def test_components_over_few_edges(spark, monkeypatch):
     """A dense graph's labels spread over each account's extreme neighbours alone; what these leave apart is joined after."""
     sizes, real = [], graph._spread
