@@ -159,77 +159,226 @@ def score_percentile(df: DataFrame, key: str, score: str, groups: str) -> DataFr
     return df.select(key, groups, (100.0 * (F.row_number().over(w) - 1) / F.greatest(F.count("*").over(all_) - 1, F.lit(1))).alias("percentile"))
 
 
-BLOCK_ROWS = 2_000
+BLOCK_ROWS = 4096
+"""So many vectors stand in a block, about."""
+STRIP = 512
+"""So many of a block's vectors meet another block's at once."""
 
 
-def _blocks(vectors: DataFrame) -> int:
-    """Blocks of about BLOCK_ROWS vectors, so that what two of them hold in a task does not grow with the table."""
-    return max(8, -(-vectors.count() // BLOCK_ROWS))
+def _vector_blocks(vectors: DataFrame) -> DataFrame:
+    """q, ids, labels, data: the table's vectors in blocks, one row each, written to the shared folder."""
+    from ..sources.stores import scratch_table
 
+    kind = "float32" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "float64"
 
-def knn_purity(vectors: DataFrame, k: int = 10) -> DataFrame:
-    """label, purity, n: share of a vector's k nearest (Euclid, itself left out, ties by id) with its label.
+    def pack(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        kept = [x for x in batches if x.num_rows]
+        if kept:
+            t = pa.Table.from_batches(kept)
+            data = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in t.column("embedding").chunks]).astype(kind)
+            binary = lambda x: pa.array([x.tobytes()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), binary(t.column("vec_id").to_numpy().astype("int64")), binary(t.column("label").to_numpy().astype("int64")), binary(data)], names=["q", "ids", "labels", "data"])
+
+    rows = vectors.select("vec_id", "embedding", "label").repartition(max(1, -(-vectors.count() // BLOCK_ROWS)))
+    return scratch_table(vectors.sparkSession, rows.mapInArrow(pack, "q long, ids binary, labels binary, data binary")).withColumn("kind", F.lit(kind))
 
-    Vectors meet in blocks: every query block meets every data block in an Arrow batch, and only k neighbours a block go on.
+
+def _all_pairs(vectors: DataFrame, side, meet, schema: str) -> DataFrame:
+    """What is gathered for each block where it meets all others: `meet(x, y, same)` adds up in two sides, `x.found()` is a row (q, labels, ...).
+
+    Each pair of blocks meets once, in a product of the written table's partitions: these are read where they are
+    needed, and nothing but what was found is shuffled.
     """
+    blocks = _vector_blocks(vectors)
+    x, y = (blocks.select(F.col("q").alias(f"{c}q"), F.struct("q", "ids", "labels", "data", "kind").alias(c)) for c in "xy")
+
+    def run(rows):
+        import numpy as np
+
+        def read(r):
+            out = side()
+            out.q, out.ids, out.labels = r["q"], np.frombuffer(r["ids"], np.int64), np.frombuffer(r["labels"], np.int64)
+            out.data = np.frombuffer(r["data"], r["kind"]).astype(np.float64).reshape(len(out.ids), -1)
+            out.norm = np.einsum("ij,ij->i", out.data, out.data)
+            return out
+
+        own, others = None, {}
+        for r in rows:
+            if own is None or own.q != r["xq"]:
+                if own is not None:
+                    yield own.found()
+                own = read(r["x"])
+            if r["xq"] == r["yq"]:
+                meet(own, own, True)
+                continue
+            if r["yq"] not in others:
+                others[r["yq"]] = read(r["y"])
+            meet(own, others[r["yq"]], False)
+        for o in ([] if own is None else [own, *others.values()]):
+            yield o.found()
+
+    pairs = x.join(y.hint("shuffle_replicate_nl"), F.col("xq") <= F.col("yq"))
+    return vectors.sparkSession.createDataFrame(pairs.rdd.mapPartitions(run), schema)
+
+
+def _strips(x, y):
+    """Slices of x and their squared distances from y by products, and how far off these may be."""
+    import numpy as np
+
+    off = 1e-11 * (x.norm.max(initial=0) + y.norm.max(initial=0))
+    for i in range(0, len(x.ids), STRIP):
+        own = slice(i, i + STRIP)
+        d = x.data[own] @ y.data.T
+        d *= -2
+        d += x.norm[own, None]
+        d += y.norm[None, :]
+        yield own, np.maximum(d, 0, out=d), off
+
+
+def _exact(x, i, y, j):
+    """Squared distances of pairs, added up dimension by dimension."""
     import numpy as np
 
-    blocks = _blocks(vectors)
-    cols = vectors.select("vec_id", "embedding", "label")
-    data = cols.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    asks = data.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    out = np.zeros(len(i))
+    for c in range(x.data.shape[1]):
+        e = x.data[i, c] - y.data[j, c]
+        out += e * e
+    return out
 
-    both = asks.select("to", F.col("b").alias("q"), "vec_id", "embedding", "label", F.lit(True).alias("ask")).unionByName(
-        data.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.col("b").alias("to"), "q", "vec_id", "embedding", "label", F.lit(False).alias("ask")))
 
-    def near(pdf):
-        import pandas as pd
+def knn_purity(vectors: DataFrame, k: int = 10) -> DataFrame:
+    """label, purity, n: share of a vector's k nearest (Euclid, itself left out, ties by id) with its label.
 
-        x, y = pdf[pdf["ask"]], pdf[~pdf["ask"]]
-        if x.empty or y.empty:
-            return pd.DataFrame({"vec_id": [], "label": [], "other": [], "d": [], "same": []})
-        a, b = np.stack(x["embedding"].to_numpy()).astype(np.float64), np.stack(y["embedding"].to_numpy()).astype(np.float64)
-        ids, there = x["vec_id"].to_numpy(), y["vec_id"].to_numpy()
-        out = []
-        for i in range(len(a)):
-            d = ((b - a[i]) ** 2).sum(axis=1)
-            d[there == ids[i]] = np.inf
-            best = np.lexsort((there, d))[:k]
-            best = best[np.isfinite(d[best])]
-            out.append(pd.DataFrame({"vec_id": ids[i], "label": x["label"].iloc[i], "other": there[best], "d": d[best], "same": (y["label"].to_numpy()[best] == x["label"].iloc[i]).astype(int)}))
-        return pd.concat(out)
+    All pairs of blocks meet once; candidates come from matrix products with a margin, their distances are exact.
+    A block gathers its k nearest by partition of the others.
+    """
+    import numpy as np
 
-    found = both.groupBy("to", "q").applyInPandas(near, "vec_id long, label int, other long, d double, same int")
-    top = found.withColumn("r", F.row_number().over(W.partitionBy("vec_id").orderBy("d", "other"))).where(F.col("r") <= k)
-    return top.groupBy("vec_id", "label").agg(F.avg("same").alias("p")).groupBy("label").agg(F.avg("p").alias("purity"), F.count("*").alias("n"))
+    class Side:
+        other = None
+
+        def add(self, i, y, j, d):
+            """Neighbours j of y for the vectors i, at distances d."""
+            if self.other is None:
+                n = len(self.ids)
+                self.other, self.d, self.same = np.zeros((n, k), np.int64), np.full((n, k), np.inf), np.zeros((n, k), bool)
+            rows = np.unique(i)
+            if not len(rows):
+                return
+            i = np.concatenate((np.repeat(rows, k), i))
+            d = np.concatenate((self.d[rows].ravel(), d))
+            other = np.concatenate((self.other[rows].ravel(), y.ids[j]))
+            same = np.concatenate((self.same[rows].ravel(), y.labels[j] == self.labels[i[len(rows) * k :]]))
+            order = np.lexsort((other, d, i))
+            i = i[order]
+            first = np.searchsorted(i, rows)
+            top = order[(first[:, None] + np.arange(k)).ravel()]  # there are k of each row at least
+            self.d[rows], self.other[rows], self.same[rows] = d[top].reshape(-1, k), other[top].reshape(-1, k), same[top].reshape(-1, k)
+
+        def bound(self, own):
+            return np.full(len(self.ids[own]), np.inf) if self.other is None else self.d[own, -1]
+
+        def found(self):
+            self.add(np.zeros(0, np.int64), self, np.zeros(0, np.int64), np.zeros(0))
+            return self.q, self.labels.tobytes(), self.other.tobytes(), self.d.tobytes(), self.same.tobytes()
+
+    def near(d, bound, off):
+        """Places that may be among the k nearest of their row."""
+        if d.shape[1] >= k and np.isinf(bound).any():
+            bound = np.minimum(bound, np.partition(d, k - 1, axis=1)[:, k - 1] + off)
+        return np.nonzero((d <= bound[:, None] + off) & (d < np.inf))
+
+    def meet(x, y, same):
+        twice = same or len(np.intersect1d(x.ids, y.ids)) > 0
+        for own, d, off in _strips(x, y):
+            if twice:
+                d[x.ids[own, None] == y.ids[None, :]] = np.inf
+            i, j = near(d, x.bound(own), off)
+            i += own.start
+            x.add(i, y, j, _exact(x, i, y, j))
+            if not same:
+                j, i = near(d.T, y.bound(slice(None)), off)
+                i += own.start
+                y.add(j, x, i, _exact(y, j, x, i))
+
+    def merge(part):
+        import pyarrow as pa
+
+        labels = np.frombuffer(part.column("labels")[0].as_py(), np.int64)
+        get = lambda c, t: np.concatenate([np.frombuffer(x, t).reshape(len(labels), k) for x in part.column(c).to_pylist()], axis=1)
+        d, same = get("d", np.float64), get("same", bool)
+        top = np.lexsort((get("other", np.int64), d), axis=1)[:, :k]
+        there = np.isfinite(np.take_along_axis(d, top, 1))
+        n = there.sum(axis=1)
+        p = (np.take_along_axis(same, top, 1) & there).sum(axis=1) / np.maximum(n, 1)
+        return pa.table({"label": pa.array(labels[n > 0].astype(np.int32)), "p": pa.array(p[n > 0])})
+
+    found = _all_pairs(vectors, Side, meet, "q long, labels binary, other binary, d binary, same binary")
+    return found.groupBy("q").applyInArrow(merge, "label int, p double").groupBy("label").agg(F.avg("p").alias("purity"), F.count("*").alias("n"))
 
 
 def silhouette(vectors: DataFrame) -> DataFrame:
-    """label, silhouette, n by Euclid: mean distances to each label's vectors are formed block by block."""
+    """label, silhouette, n by Euclid: all pairs of blocks meet once, and a block gathers its vectors' summed distances to each label."""
     import numpy as np
 
-    blocks = _blocks(vectors)
-    data = vectors.select("vec_id", "embedding", "label").withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    ids = F.sequence(F.lit(0), F.lit(blocks - 1))
-    both = data.withColumn("to", F.explode(ids)).select("to", F.col("b").alias("q"), "vec_id", "embedding", "label", F.lit(True).alias("ask")).unionByName(data.withColumn("q", F.explode(ids)).select(F.col("b").alias("to"), "q", "vec_id", "embedding", "label", F.lit(False).alias("ask")))
-
-    def sums(pdf):
-        import pandas as pd
-
-        x, y = pdf[pdf["ask"]], pdf[~pdf["ask"]]
-        out = []
-        if not x.empty and not y.empty:
-            b, lab = np.stack(y["embedding"].to_numpy()).astype(np.float64), y["label"].to_numpy()
-            for v, e, own in zip(x["vec_id"], x["embedding"], x["label"], strict=True):
-                d = np.sqrt(((b - np.asarray(e, np.float64)) ** 2).sum(axis=1))
-                for c in np.unique(lab):
-                    out.append((v, own, c, d[lab == c].sum(), int((lab == c).sum())))
-        return pd.DataFrame(out, columns=["vec_id", "label", "other", "s", "n"])
-
-    g = both.groupBy("to", "q").applyInPandas(sums, "vec_id long, label int, other int, s double, n long").groupBy("vec_id", "label", "other").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    own = F.col("label") == F.col("other")
-    m = g.groupBy("vec_id", "label").agg(F.max(F.when(own, F.col("s") / F.greatest(F.col("n") - 1, F.lit(1)))).alias("a"), F.max(F.when(own, F.col("n"))).alias("k"), F.min(F.when(~own, F.col("s") / F.col("n"))).alias("b"))
-    return m.withColumn("x", F.when((F.col("k") > 1) & F.col("b").isNotNull(), (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0)).groupBy("label").agg(F.avg("x").alias("silhouette"), F.count("*").alias("n"))
+    class Side:
+        def __init__(self):
+            self.sums, self.count = {}, {}
+
+        def add(self, own, labels, s, n):
+            for c, x, m in zip(labels.tolist(), s, n.tolist(), strict=True):
+                if c not in self.sums:
+                    self.sums[c], self.count[c] = np.zeros(len(self.ids)), np.zeros(len(self.ids), np.int64)
+                self.sums[c][own] += x
+                self.count[c][own] += m
+
+        def found(self):
+            join = lambda x: b"".join(v.tobytes() for v in x.values())
+            return self.q, self.labels.tobytes(), np.array(list(self.sums), np.int64).tobytes(), join(self.sums), join(self.count)
+
+    def meet(x, y, same):
+        def by_label(z, own):
+            order = np.argsort(z.labels[own], kind="stable")
+            u, at, n = np.unique(z.labels[own][order], return_index=True, return_counts=True)
+            return order, u, at, n
+
+        order, u, at, n = by_label(y, slice(None))
+        for own, d, off in _strips(x, y):
+            # Near ones, where products are off by much against the distance.
+            i, j = np.nonzero(d <= 1e5 * off)
+            for c in range(0, len(i), 1 << 18):
+                a, b = i[c : c + (1 << 18)], j[c : c + (1 << 18)]
+                d[a, b] = _exact(x, a + own.start, y, b)
+            np.sqrt(d, out=d)
+            x.add(own, u, np.add.reduceat(d[:, order], at, axis=1).T, n)
+            if not same:
+                order_, u_, at_, n_ = by_label(x, own)
+                y.add(slice(None), u_, np.add.reduceat(d[order_], at_, axis=0), n_)
+
+    def merge(part):
+        import pyarrow as pa
+
+        labels = np.frombuffer(part.column("labels")[0].as_py(), np.int64)
+        sums, count = {}, {}
+        for us, ss, ns in zip(*(part.column(c).to_pylist() for c in ("others", "sums", "count")), strict=True):
+            for c, s, n in zip(np.frombuffer(us, np.int64).tolist(), np.frombuffer(ss, np.float64).reshape(-1, len(labels)), np.frombuffer(ns, np.int64).reshape(-1, len(labels)), strict=True):
+                sums[c], count[c] = sums.get(c, 0) + s, count.get(c, 0) + n
+        a, k, b = np.zeros(len(labels)), np.zeros(len(labels), np.int64), np.full(len(labels), np.inf)
+        for c in sorted(sums):
+            own = labels == c
+            a[own], k[own] = (sums[c] / np.maximum(count[c] - 1, 1))[own], count[c][own]
+            b[~own] = np.minimum(b, sums[c] / np.maximum(count[c], 1))[~own]
+        most = np.maximum(a, b)
+        has = (k > 1) & np.isfinite(b)
+        x = np.where(has, (np.where(has, b, 0) - a) / np.where(has & (most > 0), most, 1), 0.0)
+        return pa.table({"label": pa.array(labels.astype(np.int32)), "x": pa.array(x, mask=has & (most == 0))})
+
+    found = _all_pairs(vectors, Side, meet, "q long, labels binary, others binary, sums binary, count binary")
+    return found.groupBy("q").applyInArrow(merge, "label int, x double").groupBy("label").agg(F.avg("x").alias("silhouette"), F.count("*").alias("n"))
 
 
 def seed_summary(df: DataFrame, *keys: str) -> DataFrame:

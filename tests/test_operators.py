@@ -367,3 +367,32 @@ def test_components_over_few_edges(spark, monkeypatch):
     halves = [(f"{x}{i}", f"{x}{j}") for x in "az" for i in range(5) for j in range(5, 10)]
     e = edges(spark, [*halves, ("a2", "z7"), ("m", "m")])
     assert dict(rows(graph.weak_components(e))) == {**{f"{x}{i}": "a0" for x in "az" for i in range(10)}, "m": "m"}
+
+
+def test_all_pairs_of_vectors_without_copies(spark, monkeypatch):
+    """Blocks meet in a product, not by copies of the vectors; against brute force, with equal vectors and several blocks."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(150, 6)).astype(np.float32).round(1)
+    v[40:60] = v[3]
+    label = rng.integers(0, 3, 150)
+    df = spark.createDataFrame([(i, v[i].tolist(), int(label[i])) for i in range(150)], "vec_id long, embedding array<float>, label int")
+    monkeypatch.setattr(st, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(st, "STRIP", 16)
+    e = v.astype(np.float64)
+    d = np.zeros((150, 150))
+    for c in range(6):
+        d += (e[:, None, c] - e[None, :, c]) ** 2
+    p, s = [], []
+    for i in range(150):
+        best = sorted((x for x in range(150) if x != i), key=lambda x: (d[i, x], x))[:10]
+        p.append(np.mean(label[best] == label[i]))
+        far = np.sqrt(d[i])
+        a = far[label == label[i]].sum() / ((label == label[i]).sum() - 1)
+        b = min(far[label == c].mean() for c in range(3) if c != label[i])
+        s.append((b - a) / max(a, b))
+    for f, want in ((st.knn_purity, p), (st.silhouette, s)):
+        got = f(df)
+        assert "Generate" not in got._jdf.queryExecution().toString()
+        assert {r[0]: (round(r[1], 9), r[2]) for r in got.collect()} == {c: (round(float(np.mean(np.array(want)[label == c])), 9), int((label == c).sum())) for c in range(3)}
