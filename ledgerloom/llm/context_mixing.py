@@ -4,16 +4,17 @@ A word is spelled bit by bit, with a terminator. Several predictors, each a tabl
 bytes and the bits so far, give the log odds of the next bit; a mixer adds them up with weights that a gate
 chooses (how many orders know their context, and which bit it is), trained online by gradient steps; an
 adaptive map refines the sum. So a word's spelling has a probability of its own, whether it was ever seen.
-Across a document four experts are mixed with weights that are refined adaptively after every word: the
-spelling, the word's share of the corpus, its share of the document's kind (one of KINDS clusters of byte
-pairs, whose number is paid for once), and its share of the document so far. The score is log10 of the
-product over the document's words and its end.
+Across a document the words are told by bits of their own, which are mixed in the same way with contexts of
+the corpus, of the document's kind (one of KINDS clusters of byte pairs, whose number is paid for once), of the
+word before and of the document so far (see `text_mixing`); only words that training has not met are spelled.
+The score is log10 of the product over the document's words and its end.
 
 The tables get as many slots as the counted contexts of the training words ask for, and the counts of all of
 them go in; the mixer and the map learn from all training words, in shards whose results are averaged by how
 often each cell was met; the kinds' centres are means over all training documents.
 Texts move once, as packed word numbers: a chunk of documents sends its distinct words to their buckets,
-where corpus counts are formed and spellings are scored once per distinct word, and gets numbers back.
+where corpus counts are formed and new words' spellings are scored once, and gets the words' numbers back. The
+numbers are kept by chunk: one map counts words after words in them, and one scores them.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import text_mixing
 from .common import Scratch, batch_of, chunks, fold, hashed_spans, mix, runs, table, utf8, words
+from .text_mixing import CLASSES, UNKNOWN, Code, Scorer, class_of_count
 
 ORDERS = (1, 2, 3, 4, 6)
 BLOCKS = (1, 16, 16, 32, 32)
@@ -57,7 +60,7 @@ KIND_BYTES = 20_000
 KIND_PASSES = 3
 PAIRS = 512
 START = (0.05, 0.1, 0.6, 0.25)
-"""First weights of the experts: spelling, corpus, kind, document so far."""
+"""First weights of the experts of `adapt`: spelling, corpus, kind, document so far."""
 ADAPT = 0.03
 MAP_CELLS = 33
 FEW = 6
@@ -206,11 +209,13 @@ def pack_counts(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return code_of(zeros) << np.uint16(8) | code_of(ones)
 
 
+_COUNTS = np.where(np.arange(256.0) < _EXACT, np.arange(256.0), _EXACT * np.exp2((np.arange(256.0) - _EXACT) / 8))
+"""Counts by their bytes."""
+
+
 def _inputs() -> tuple[np.ndarray, np.ndarray]:
     """By packed counts: the predictor's input, and whether it knows its context."""
-    n = np.arange(256.0)
-    n = np.where(n < _EXACT, n, _EXACT * np.exp2((n - _EXACT) / 8))
-    zeros, ones = np.repeat(n, 256), np.tile(n, 256)
+    zeros, ones = np.repeat(_COUNTS, 256), np.tile(_COUNTS, 256)
     total = zeros + ones
     sure = np.minimum(np.ceil(np.log2(total + 1)), 15)
     return (np.clip(stretch((ones + 0.05) / (total + 0.1)), -7.99, 7.99) * (sure > 0) * (0.5 + 0.05 * sure)).astype(np.float32), (sure > 1).astype(np.int64)
@@ -461,7 +466,10 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def vocabulary(packed: DataFrame) -> DataFrame:
-    """Per bucket one row (g, words, total, blob, size, n) with its distinct words and training counts by kind, and one per chunk (g, block, idx, pos)."""
+    """Per bucket one row (g, words, total, classes, blob, size, n) with its distinct words and training counts by kind, and one per chunk (g, block, idx, pos).
+
+    `classes` holds its training words by class of frequency, then their tokens.
+    """
 
     def run(part: pa.Table) -> pa.Table:
         get = lambda c, t: [np.frombuffer(x, t) for x in part.column(c).to_pylist()]
@@ -473,13 +481,18 @@ def vocabulary(packed: DataFrame) -> DataFrame:
         blob = _gather(np.concatenate(get("blob", np.uint8)), (np.cumsum(size) - size)[one], size[one])
         stop = np.cumsum([len(x) for x in hashes])
         g = part.column("g")[0].as_py()
+        every = n.sum(axis=1)
+        known = every[every > 0]
+        of = class_of_count(known)
+        classes = [*np.bincount(of, minlength=CLASSES).tolist(), *np.bincount(of, known, CLASSES).astype(np.int64).tolist()]
         rows = part.num_rows
         none = [None] * rows
         return pa.table({
             "g": pa.array([g] * (rows + 1), pa.int64()),
             "block": pa.array([None, *part.column("block").to_pylist()], pa.int64()),
-            "words": pa.array([int((n.sum(axis=1) > 0).sum()), *none], pa.int64()),
+            "words": pa.array([len(known), *none], pa.int64()),
             "total": pa.array([n.sum(axis=0).tolist(), *none], pa.list_(pa.int64())),
+            "classes": pa.array([classes, *none], pa.list_(pa.int64())),
             "blob": pa.array([blob.tobytes(), *none], pa.binary()),
             "size": pa.array([size[one].astype(np.uint32).tobytes(), *none], pa.binary()),
             "n": pa.array([_short(n), *none], pa.binary()),
@@ -487,7 +500,7 @@ def vocabulary(packed: DataFrame) -> DataFrame:
             "pos": pa.array([None, *_cut(back.astype(np.uint32), stop - [len(x) for x in hashes], stop)], pa.binary()),
         })
 
-    return packed.where("g IS NOT NULL").groupBy("g").applyInArrow(run, "g long, block long, words long, total array<long>, blob binary, size binary, n binary, idx binary, pos binary")
+    return packed.where("g IS NOT NULL").groupBy("g").applyInArrow(run, "g long, block long, words long, total array<long>, classes array<long>, blob binary, size binary, n binary, idx binary, pos binary")
 
 
 def _unpack(blob: bytes, size: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -601,15 +614,92 @@ def train(vocab: DataFrame, ends: int) -> tuple[Broadcast, tuple[np.ndarray, np.
     return shared, (weights, table)
 
 
-def so_far(word: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Share of each word among the words before it in its document."""
-    order = np.argsort(doc * (int(word.max(initial=0)) + 1) + word, kind="stable")
-    w, d = word[order], doc[order]
-    new = np.flatnonzero(np.concatenate(([True], (w[1:] != w[:-1]) | (d[1:] != d[:-1]))))
-    rank = np.arange(len(word)) - np.repeat(new, np.diff(np.append(new, len(word))))
-    out = np.empty(len(word))
-    out[order] = rank
-    return out / np.maximum(place, 1)
+def numbers_of(code: Code, n: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Numbers of a bucket's words by their training counts; `start`: how many words of each class are in the buckets before."""
+    out = np.full(len(n), UNKNOWN, np.int64)
+    own = np.flatnonzero(n > 0)
+    k = class_of_count(n[own])
+    order = np.argsort(k, kind="stable")
+    own, k = own[order], k[order]
+    there, begin, end = runs(k)
+    rank = np.arange(len(k)) - np.repeat(begin, end - begin)
+    first = np.zeros(CLASSES, np.int64)
+    first[code.classes] = code.first[2:]
+    out[own] = first[k] + start[k] + rank
+    return out
+
+
+def _summed(parts: DataFrame, size: int, dtype: type) -> Iterator[tuple[int, np.ndarray]]:
+    """Arrays that tasks have cut into ranges (r, x: int64, compressed), added up by range."""
+
+    def add(part: pa.Table) -> pa.Table:
+        total = np.zeros(size, np.int64)
+        for x in part.column("x").to_pylist():
+            total += np.frombuffer(pa.decompress(x, size * 8, codec="zstd", asbytes=True), np.int64)
+        x = pack_counts(total[0::2], total[1::2]) if dtype is np.uint16 else total
+        return pa.table({"r": part.column("r").slice(0, 1), "x": pa.array([x.tobytes()], pa.binary())})
+
+    for r, x in parts.groupBy("r").applyInArrow(add, "r long, x binary").toLocalIterator():
+        yield r, np.frombuffer(x, dtype)
+
+
+def _ranges(x: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
+    for r in range(-(-len(x) // size)):
+        own = x[r * size : (r + 1) * size].astype(np.int64)
+        if own.any():
+            yield batch_of(r=np.array([r]), x=pa.array([pa.compress(np.append(own, np.zeros(size - len(own), np.int64)).tobytes(), codec="zstd", asbytes=True)], pa.binary()))
+
+
+def corpus_tables(code: Code, heads: DataFrame, starts: Broadcast, kind_ends: np.ndarray) -> np.ndarray:
+    """Packed counts of the code's nodes: of the corpus, then by kind."""
+    size = RANGE * KINDS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((code.groups, KINDS), np.int64)
+        for b in batches:
+            for g, n, words_ in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                n = _ints(n, len(words_) // 4 * KINDS).reshape(-1, KINDS)
+                np.add.at(out, code.group_of(numbers_of(code, n.sum(axis=1), starts.value[g])), n)
+        yield from _ranges(out.ravel(), size)
+
+    counts = np.zeros((-(-code.groups // RANGE) * RANGE, KINDS), np.int64)
+    tasks = TABLE_TASKS * max(1, len(starts.value) // 64)
+    for r, x in _summed(heads.select("g", "n", "size").coalesce(tasks).mapInArrow(count, "r long, x binary"), size, np.int64):
+        counts[r * RANGE : (r + 1) * RANGE] = x.reshape(-1, KINDS)
+    counts = counts[: code.groups]
+    counts[0] = kind_ends
+    once = np.flatnonzero(code.classes == 0)
+    # A word that was not met is as likely as words met once are.
+    counts[1] = counts[code.group0[2 + once[0]] :].sum(axis=0) if len(once) else 0
+    zeros, ones = code.tables(np.column_stack((counts.sum(axis=1), counts)))
+    return pack_counts(zeros, ones)
+
+
+def pair_table(code: Code, chunks_: DataFrame) -> np.ndarray:
+    """Packed counts of the training documents' bits after the word before; behind them an empty slot, then those of words that come again."""
+    slots = code.pair_slots + 1 + text_mixing.AGAIN
+    size = 2 * min(code.pair_slots, 4 * RANGE)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(2 * slots, np.uint32)
+        for _, about, number in _sequences(batches):
+            n, train = about.column("count").to_numpy() + 1, about.column("train").to_numpy(zero_copy_only=False)
+            text_mixing.count_pairs(code, number[np.repeat(train, n)], n[train], lambda at: np.add.at(out, at, np.uint32(1)))
+        yield from _ranges(out, size)
+
+    packed = np.zeros(-(-2 * slots // size) * size // 2, np.uint16)
+    for r, x in _summed(chunks_.mapInArrow(count, "r long, x binary"), size, np.uint16):
+        packed[r * size // 2 : (r + 1) * size // 2] = x
+    return packed[:slots]
+
+
+def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table, np.ndarray]]:
+    """Kind, documents and words' numbers of chunks."""
+    for b in batches:
+        for i in range(b.num_rows):
+            about = pa.ipc.open_stream(b.column(1)[i].as_py()).read_all().combine_chunks()
+            n = int(about.column("count").to_numpy().sum()) + about.num_rows
+            yield b.column(0)[i].as_py() % KINDS, about, np.frombuffer(pa.decompress(b.column(2)[i].as_py(), n * 4, codec="zstd", asbytes=True), np.uint32).astype(np.int64)
 
 
 def _alone(p: np.ndarray, weights: list[float], t: int) -> float:
@@ -636,7 +726,7 @@ def _alone(p: np.ndarray, weights: list[float], t: int) -> float:
 def adapt(count: np.ndarray, spelled: np.ndarray, experts: list[np.ndarray], start: tuple) -> np.ndarray:
     """log10 probability of documents whose words lie end to end: `count` words each, bits of spelling and the other experts' probabilities by word.
 
-    A document's weights begin at `start`; after every word they move towards each expert's part in its probability.
+    A linear mixture of words' probabilities, for experts that give no bits. The query's scores don't come from it but from `text_mixing`. A document's weights begin at `start`; after every word they move towards each expert's part in its probability.
     """
     order = np.argsort(-count, kind="stable")
     n, begin = count[order], (np.cumsum(count) - count)[order]
@@ -693,6 +783,11 @@ def mixing_scores(docs: DataFrame) -> DataFrame:
     totals = totals + kind_ends
     prior = np.log10((kind_ends + 1) / (ends + KINDS))
     shared, learned = train(vocab, ends)
+    own = sorted(heads.select("g", "classes").collect())
+    classes = np.array([r["classes"] for r in own], np.int64).reshape(-1, 2, CLASSES)
+    code = Code(*classes.sum(axis=0), ends)
+    before = np.cumsum(classes[:, 0], axis=0) - classes[:, 0]
+    starts = spark.sparkContext.broadcast({r["g"]: x for r, x in zip(own, before, strict=True)})
     scratch.sweep()
 
     def costs(blob: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -703,42 +798,57 @@ def mixing_scores(docs: DataFrame) -> DataFrame:
     def spell(part: pa.Table) -> pa.Table:
         head = part.filter(pa.compute.is_null(part.column("block")))
         blob, size, n = _unpack(*(head.column(c)[0].as_py() for c in ("blob", "size", "n")))
-        cost = costs(blob, size).astype(np.float32)
+        every = n.sum(axis=1)
+        number, cost, new = numbers_of(code, every, starts.value[part.column("g")[0].as_py()]), np.zeros(len(size), np.float32), every == 0
+        cost[new] = costs(_gather(blob, (np.cumsum(size) - size)[new], size[new]), size[new])
         rest = part.filter(pa.compute.is_valid(part.column("block")))
         pos = [np.frombuffer(x, np.uint32) for x in rest.column("pos").to_pylist()]
-        return pa.table({"block": rest.column("block"), "idx": rest.column("idx"), "n": pa.array([_short(np.column_stack((n[p].sum(axis=1), n[p, k]))) for p, k in zip(pos, (rest.column("block").to_numpy() % KINDS).tolist(), strict=True)], pa.binary()), "cost": pa.array([cost[p].tobytes() for p in pos], pa.binary()), "docs": pa.nulls(rest.num_rows, pa.binary())})
+        return pa.table({"block": rest.column("block"), "idx": rest.column("idx"), "n": pa.array([_short(np.column_stack((every[p], number[p]))) for p in pos], pa.binary()), "cost": pa.array([cost[p].tobytes() for p in pos], pa.binary()), "docs": pa.nulls(rest.num_rows, pa.binary())})
 
     floor = np.log10(total + 0.1 * (distinct + 1)) if total else 0.0
 
-    def score(part: pa.Table) -> pa.Table:
+    def assemble(part: pa.Table) -> pa.Table:
         head = part.filter(pa.compute.is_valid(part.column("docs")))
         rest = part.filter(pa.compute.is_null(part.column("docs")))
-        about = pa.ipc.open_stream(head.column("docs")[0].as_py()).read_all()
-        code = np.frombuffer(pa.decompress(head.column("idx")[0].as_py(), int.from_bytes(head.column("n")[0].as_py(), "little") * 4, codec="zstd", asbytes=True), np.uint32)
+        about = pa.ipc.open_stream(head.column("docs")[0].as_py()).read_all().combine_chunks()
+        place = np.frombuffer(pa.decompress(head.column("idx")[0].as_py(), int.from_bytes(head.column("n")[0].as_py(), "little") * 4, codec="zstd", asbytes=True), np.uint32)
         count = about.column("count").to_numpy()
         idx = np.concatenate([np.frombuffer(x, np.uint32) for x in rest.column("idx").to_pylist()]) if rest.num_rows else np.zeros(0, np.uint32)
-        kind = part.column("block")[0].as_py() % KINDS
         n, cost = np.zeros((len(idx) + 1, 2), np.int64), np.zeros(len(idx) + 1)
         if rest.num_rows:
             n[idx] = np.concatenate([_ints(x, len(i) // 2) for x, i in zip(rest.column("n").to_pylist(), rest.column("idx").to_pylist(), strict=True)]).reshape(-1, 2)
             cost[idx] = np.concatenate([np.frombuffer(x, np.float32) for x in rest.column("cost").to_pylist()])
-        n[-1], cost[-1] = (ends, kind_ends[kind]), costs(np.zeros(0, np.uint8), np.zeros(1, np.int64))[0]
+        n[-1] = ends, text_mixing.END
         # The end stands after each document's words.
-        every = np.insert(code.astype(np.int64), np.cumsum(count), len(idx))
-        size = count + 1
-        doc = np.repeat(np.arange(len(count)), size)
-        place = np.arange(len(every)) - np.repeat(np.cumsum(size) - size, size)
+        every = np.insert(place.astype(np.int64), np.cumsum(count), len(idx))
+        doc = np.repeat(np.arange(len(count)), count + 1)
         c = n[every, 0]
-        known = np.bincount(doc, c > 0, len(count)).astype(np.int64)
-        base = np.bincount(doc, np.log10(c + 0.1) - floor, len(count)) if total else np.zeros(len(count))
-        experts = [c / max(total, 1), n[every, 1] / max(totals[kind], 1), so_far(every, doc, place)]
-        out = adapt(size, cost[every], experts, START) + prior[kind]
-        nbytes = about.column("bytes").to_numpy()
-        return pa.table({"doc_id": about.column("doc_id"), "n_bytes": nbytes, "n_tokens": size, "n_known": known, "train_tokens": np.full(len(count), total), "base_score": base, "score": out, "bits_per_byte": -out * np.log2(10) / np.maximum(nbytes, 1)})
+        about = about.append_column("known", pa.array(np.bincount(doc, c > 0, len(count)).astype(np.int64)))
+        about = about.append_column("base", pa.array(np.bincount(doc, np.log10(c + 0.1) - floor, len(count)) if total else np.zeros(len(count))))
+        about = about.append_column("spelled", pa.array(np.bincount(doc, cost[every], len(count)) * np.log10(2)))
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, about.schema) as w:
+            w.write_table(about)
+        return pa.table({"block": part.column("block").slice(0, 1), "docs": pa.array([sink.getvalue().to_pybytes()], pa.binary()), "words": pa.array([pa.compress(n[every, 1].astype(np.uint32).tobytes(), codec="zstd", asbytes=True)], pa.binary())})
 
     spelled = vocab.groupBy("g").applyInArrow(spell, "block long, idx binary, n binary, cost binary, docs binary")
     texts = blocks.select("block", F.col("hash").alias("idx"), F.col("size").alias("n"), F.lit(None).cast("binary").alias("cost"), F.col("blob").alias("docs"))
-    return spelled.union(texts).groupBy("block").applyInArrow(score, "doc_id long, n_bytes long, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+    kept = scratch.keep(spelled.union(texts).groupBy("block").applyInArrow(assemble, "block long, docs binary, words binary"))
+    packed = corpus_tables(code, heads, starts, kind_ends)
+    for x in (vocab, blocks):
+        scratch.drop(x)
+    scratch.sweep()
+    scorer = spark.sparkContext.broadcast(Scorer(code, packed, pair_table(code, kept), _COUNTS))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kind, about, number in _sequences(batches):
+            size = about.column("count").to_numpy() + 1
+            out = scorer.value.score(number, size, kind) + prior[kind] - about.column("spelled").to_numpy()
+            nbytes = about.column("bytes").to_numpy()
+            columns = {"doc_id": about.column("doc_id"), "n_bytes": nbytes, "n_tokens": size, "n_known": about.column("known"), "train_tokens": np.full(len(size), total), "base_score": about.column("base"), "score": out, "bits_per_byte": -out * np.log2(10) / np.maximum(nbytes, 1)}
+            yield from pa.table(columns).to_batches()
+
+    return kept.mapInArrow(score, "doc_id long, n_bytes long, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import common, components, context_mixing, decontamination, jaccard, language, media, packing, quality, registry, repeats, token_counts, toxicity
+from ledgerloom.llm import common, components, context_mixing, decontamination, jaccard, language, media, packing, quality, registry, repeats, text_mixing, token_counts, toxicity
 from ledgerloom.llm.common import Scratch, table
 
 P = pytest.importorskip("public_tokenizers")
@@ -278,6 +278,73 @@ def test_adapt_alone_and_together():
     assert np.allclose(slow, context_mixing.adapt(*args))
 
 
+def small_scorer(seed: int = 4, n: int = 400):
+    """A scorer of random counts, and how many words it knows."""
+    rng = np.random.default_rng(seed)
+    every = np.sort((rng.pareto(0.8, n) * 2 + 1).astype(np.int64))
+    of = text_mixing.class_of_count(every)
+    code = text_mixing.Code(np.bincount(of, minlength=text_mixing.CLASSES), np.bincount(of, every, text_mixing.CLASSES).astype(np.int64), 50)
+    number = context_mixing.numbers_of(code, every, np.zeros(text_mixing.CLASSES, np.int64))
+    assert sorted(number.tolist()) == list(range(2, n + 2))
+    counts = np.zeros((code.groups, 3), np.int64)
+    np.add.at(counts, code.group_of(number), rng.integers(0, 5, (n, 3)))
+    tables = context_mixing.pack_counts(*code.tables(np.column_stack((counts.sum(axis=1), counts))))
+    pairs = rng.integers(0, 5, (code.pair_slots + 1 + text_mixing.AGAIN, 2))
+    pairs[code.pair_slots] = 0
+    return text_mixing.Scorer(code, tables, context_mixing.pack_counts(pairs[:, 0], pairs[:, 1]), context_mixing._COUNTS), n + 2
+
+
+def test_next_words_are_a_distribution():
+    """The probabilities of all words that may come next add up to one, whatever stands before."""
+    scorer, n = small_scorer()
+    assert (scorer.code.words > 1).any()
+    rng = np.random.default_rng(6)
+    for size in (0, 1, 5, 70, 300):
+        before = rng.integers(2, n, size)
+        rows = np.column_stack((np.tile(before, (n, 1)), np.arange(n))).ravel()
+        whole = scorer.score(rows, np.full(n, size + 1), 1)
+        first = scorer.score(before, np.array([size]), 1)[0] if size else 0.0
+        assert np.sum(10 ** (whole - first)) == pytest.approx(1, abs=1e-4)
+
+
+def test_documents_score_alike_alone_and_together(monkeypatch):
+    """In slices, in windows, and with others."""
+    scorer, n = small_scorer()
+    rng = np.random.default_rng(8)
+    size = np.array([3, 1, 2500, 40, 700, 3, 1, 90])
+    number = rng.integers(0, n, int(size.sum()))
+    number[-90:] = 2 + np.arange(90) % 7
+    want = scorer.score(number, size, 2)
+    ends = np.cumsum(size)
+    assert np.array_equal(want[:3], scorer.score(number[: ends[2]], size[:3], 2))
+    monkeypatch.setattr(text_mixing, "WINDOW", 512)
+    monkeypatch.setattr(text_mixing, "slices", lambda size: ([i] for i in range(len(size))))
+    alone = scorer.score(number, size, 2)
+    assert np.allclose(want, alone, rtol=1e-5)
+
+
+def test_score_sees_the_words_before(spark):
+    """Words that follow each other in training are likelier in that order; the same words in another order are not."""
+    rng = random.Random(5)
+    chain = [f"{a}{b}n" for a in "bcdfgklm" for b in "aeiou"]
+    follow = {w: chain[(7 * i + 3) % len(chain)] for i, w in enumerate(chain)}
+
+    def text(n):
+        out = [rng.choice(chain)]
+        while len(out) < n:
+            out.append(follow[out[-1]] if rng.random() < 0.9 else rng.choice(chain))
+        return out
+
+    held = [text(40) for _ in range(20)]
+    rows = [(i, " ".join(text(60)), True) for i in range(200)]
+    rows += [(1000 + i, " ".join(t), False) for i, t in enumerate(held)] + [(2000 + i, " ".join(rng.sample(t, len(t))), False) for i, t in enumerate(held)]
+    got = {r["doc_id"]: r["score"] for r in collect(context_mixing.mixing_scores(spark.createDataFrame(rows, "doc_id long, text string, train boolean")))}
+    ordered, other = sum(got[1000 + i] for i in range(20)), sum(got[2000 + i] for i in range(20))
+    assert ordered > 0.75 * other
+    base = 20 * 40 * math.log10(1 / len(chain))
+    assert ordered > 0.8 * base
+
+
 def test_tables_follow_the_vocabulary():
     """Slots grow with the contexts that sketches count, and few of what falls in is met by others."""
     rng = np.random.default_rng(5)
