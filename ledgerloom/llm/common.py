@@ -212,8 +212,9 @@ def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return hashes_of(span_sums(sums, start, end), end - start)
 
 
-def hashed_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, limit: int = CHUNK_BYTES) -> np.ndarray:
-    """Hashes of ascending spans; of a very long text in pieces, so that the running sums stay small."""
+def hashed_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, limit: int = 1 << 18) -> np.ndarray:
+    """Hashes of ascending spans, in pieces of about `limit` bytes: the running sums and their powers take 32 bytes for each
+    byte of a piece, which a worker doesn't give back."""
     if len(data) <= 2 * limit:
         return span_hashes(prefix_hashes(data), start, end)
     out, i = np.empty(len(start), np.uint64), 0

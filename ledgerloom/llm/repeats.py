@@ -120,7 +120,7 @@ def find_anchors(rows: DataFrame) -> DataFrame:
     """u, p, s, e, k: anchors of every row (u, n, z)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, raw, at in unpacked(batches, 2 << 20):
+        for batch, raw, at in unpacked(batches, 1 << 19):
             row, p, s, e, k = anchors(np.frombuffer(raw, np.uint8), at)
             if len(row):
                 yield batch_of(u=batch.column(0).take(pa.array(row)), p=p.astype(np.int32), s=s.astype(np.int32), e=e.astype(np.int32), k=k)

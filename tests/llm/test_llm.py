@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -745,6 +746,17 @@ def test_spans_hash_alike_in_pieces():
     assert np.array_equal(common.hashed_spans(data, start, start + 20, 100), common.hashed_spans(data, start, start + 20))
 
 
+def test_hashing_a_chunk_takes_little_memory(monkeypatch):
+    monkeypatch.setattr(common, "_POWERS", {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)})
+    data = np.random.default_rng(4).integers(97, 123, common.CHUNK_BYTES).astype(np.uint8)
+    start = np.arange(0, len(data), 8)
+    tracemalloc.start()
+    common.hashed_spans(data, start, start + 7)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 64 << 20
+
+
 def test_levels_are_geometric():
     f = repeats.Family()
     rng = np.random.default_rng(7)
