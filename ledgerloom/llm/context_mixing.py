@@ -123,6 +123,12 @@ def _base(h: np.ndarray, order: int, blocks: int) -> np.ndarray:
     return ((h >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64) * RANGE + ((h & np.uint64(0xFFFFFFFF)) % np.uint64(RANGE - 255)).astype(np.int64)
 
 
+def byte_nodes(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What `bit_nodes` gives, as arrays of eight rows end to end."""
+    c, b = c.astype(np.int64)[None, :], np.arange(8)[:, None]
+    return ((1 << b) | (c >> (8 - b))).ravel(), ((c >> (7 - b)) & 1).ravel(), np.repeat(b, c.shape[1])
+
+
 def bit_nodes(c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """Node (the bits so far after a leading one), bit and number for the eight bits of bytes."""
     c = c.astype(np.int64)
@@ -224,6 +230,15 @@ def _inputs() -> tuple[np.ndarray, np.ndarray]:
 _INPUT, _KNOWN = _inputs()
 
 
+def _once_less() -> np.ndarray:
+    """By the bit that comes and packed counts: the packed counts as if it had come once less."""
+    v = np.arange(1 << 16)
+    return np.concatenate([v - np.where((n > 0) & (n < _EXACT), step, 0) for n, step in ((v >> 8, 256), (v & 255, 1))])
+
+
+_INPUT_LESS, _KNOWN_LESS = _INPUT[_once_less()], _KNOWN[_once_less()]
+
+
 class Mixer:
     """Predictor tables (packed counts of zeros and ones), gated weights, adaptive map."""
 
@@ -234,17 +249,17 @@ class Mixer:
         self.weights = np.full(((len(ORDERS) + 1) * 8, self.inputs), 0.25, np.float32)
         self.map = np.tile(squash(np.linspace(-8, 8, MAP_CELLS)).astype(np.float32), (256, 1))
 
-    def look(self, slots: list[np.ndarray], bit: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def look(self, slots: list[np.ndarray], bit: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Inputs (rows x inputs) and gates from table entries; with the bits that come, as if these had come once less."""
         x = np.empty((len(slots[0]), self.inputs), np.float32)
         known = np.zeros(len(slots[0]), np.int64)
+        input_, known_ = (_INPUT, _KNOWN) if own is None else (_INPUT_LESS, _KNOWN_LESS)
         for i, s in enumerate(slots):
-            v = self.packed[s]
+            v = self.packed[s].astype(np.int64)
             if own is not None:
-                n = np.where(own == 1, v & 255, v >> 8)
-                v = v - np.where((n > 0) & (n < _EXACT), np.where(own == 1, 1, 256), 0).astype(np.uint16)
-            x[:, i] = _INPUT[v]
-            known += _KNOWN[v]
+                v += own << 16
+            x[:, i] = input_[v]
+            known += known_[v]
         x[:, -1] = 0.3
         return x, known * 8 + bit
 
@@ -272,11 +287,11 @@ class Mixer:
             for k in range(parts):
                 rows: tuple[list, ...] = ([], [], [], [], [])
                 for live, c, bases, _ in spelled.part(k, parts).steps(self.blocks):
-                    for node, bit, b in bit_nodes(c):
-                        x, gate = self.look([base + node for base in bases], b, bit)
-                        for kept, value in zip(rows, (live, x, gate, node, bit), strict=True):
-                            kept.append(value)
-                order = np.argsort(np.concatenate(rows[0]), kind="stable")
+                    node, bit, b = byte_nodes(c)
+                    x, gate = self.look([np.tile(base, 8) + node for base in bases], b, bit)
+                    for kept, value in zip(rows, (np.tile(live, 8), x, gate, node, bit), strict=True):
+                        kept.append(value)
+                order = np.argsort(np.concatenate(rows[0]).astype(np.uint16), kind="stable")  # fewer than TRAIN_PIECES
                 x, gate, node, bit = (np.concatenate(r)[order] for r in rows[1:])
                 met += np.bincount(gate, minlength=len(met))
                 at = gate[:, None] * self.inputs + np.arange(self.inputs)
@@ -302,12 +317,10 @@ class Mixer:
         for group, spelled in _spelled(blob, size):
             total = np.zeros(len(spelled.word))
             for live, c, bases, _ in spelled.steps(self.blocks):
-                odds = np.ones(len(live))
-                for node, bit, b in bit_nodes(c):
-                    x, gate = self.look([base + node for base in bases], b)
-                    p = self.probability(x, gate, node)[1]
-                    odds *= np.where(bit == 1, p, 1 - p)
-                total[live] -= np.log2(odds)
+                node, bit, b = byte_nodes(c)
+                x, gate = self.look([np.tile(base, 8) + node for base in bases], b)
+                p = self.probability(x, gate, node)[1]
+                total[live] -= np.log2(np.where(bit == 1, p, 1 - p).reshape(8, -1).astype(np.float64).prod(axis=0))
             out[group] = np.bincount(spelled.word, total, group.stop - group.start)
         return out
 
@@ -433,7 +446,7 @@ def pack_words(docs: DataFrame, buckets: int, centres: np.ndarray) -> DataFrame:
             blob=binary(_cut(blob, place[begin], place[stop]), sink.getvalue().to_pybytes()),
             size=binary(_cut(size.astype(np.uint32), begin, stop), len(back).to_bytes(8, "little")),
             n=binary([_short(n[order][x:y]) for x, y in zip(begin.tolist(), stop.tolist(), strict=True)], None),
-            idx=binary(_cut(order.astype(np.uint32), begin, stop), None),
+            idx=binary([_gaps(order[x:y]) for x, y in zip(begin.tolist(), stop.tolist(), strict=True)], None),
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -497,7 +510,7 @@ def vocabulary(packed: DataFrame) -> DataFrame:
             "size": pa.array([size[one].astype(np.uint32).tobytes(), *none], pa.binary()),
             "n": pa.array([_short(n), *none], pa.binary()),
             "idx": pa.array([None, *part.column("idx").to_pylist()], pa.binary()),
-            "pos": pa.array([None, *_cut(back.astype(np.uint32), stop - [len(x) for x in hashes], stop)], pa.binary()),
+            "pos": pa.array([None, *(_gaps(back[x - len(h) : x]) for x, h in zip(stop.tolist(), hashes, strict=True))], pa.binary()),
         })
 
     return packed.where("g IS NOT NULL").groupBy("g").applyInArrow(run, "g long, block long, words long, total array<long>, classes array<long>, blob binary, size binary, n binary, idx binary, pos binary")
@@ -508,12 +521,28 @@ def _unpack(blob: bytes, size: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray,
 
 
 def _short(n: np.ndarray) -> bytes:
-    """Counts in four bytes each where they fit, else in eight."""
-    return n.astype(np.int32 if n.max(initial=0) < 1 << 31 else np.int64).tobytes()
+    """Counts in four bytes each where they fit, else in eight; all first bytes, then all second ones and so on, as shuffles
+    press runs of zeros well."""
+    n = np.ascontiguousarray(n, np.int32 if n.max(initial=0) < 1 << 31 else np.int64).ravel()
+    return n.view(np.uint8).reshape(-1, n.itemsize).T.tobytes()
 
 
 def _ints(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, np.int32 if len(data) == 4 * n else np.int64).astype(np.int64)
+    if not n:
+        return np.zeros(0, np.int64)
+    width = len(data) // n
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, n).T).view(np.int32 if width == 4 else np.int64).ravel().astype(np.int64)
+
+
+def _gaps(x: np.ndarray) -> bytes:
+    """Ascending numbers as the steps between them, behind a byte that tells how many bytes each has."""
+    d = np.diff(x.astype(np.int64), prepend=0)
+    width = next(w for w in (1, 2, 4, 8) if d.max(initial=0) < 1 << 8 * w - (w == 8))
+    return bytes([width]) + d.astype(f"u{width}").tobytes()
+
+
+def _ascending(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, f"u{data[0]}", offset=1), dtype=np.int64)
 
 
 def train(vocab: DataFrame, ends: int) -> tuple[Broadcast, tuple[np.ndarray, np.ndarray]]:
@@ -802,8 +831,9 @@ def mixing_scores(docs: DataFrame) -> DataFrame:
         number, cost, new = numbers_of(code, every, starts.value[part.column("g")[0].as_py()]), np.zeros(len(size), np.float32), every == 0
         cost[new] = costs(_gather(blob, (np.cumsum(size) - size)[new], size[new]), size[new])
         rest = part.filter(pa.compute.is_valid(part.column("block")))
-        pos = [np.frombuffer(x, np.uint32) for x in rest.column("pos").to_pylist()]
-        return pa.table({"block": rest.column("block"), "idx": rest.column("idx"), "n": pa.array([_short(np.column_stack((every[p], number[p]))) for p in pos], pa.binary()), "cost": pa.array([cost[p].tobytes() for p in pos], pa.binary()), "docs": pa.nulls(rest.num_rows, pa.binary())})
+        pos = [_ascending(x) for x in rest.column("pos").to_pylist()]
+        # Only new words have a cost.
+        return pa.table({"block": rest.column("block"), "idx": rest.column("idx"), "n": pa.array([_short(np.concatenate((every[p], number[p]))) for p in pos], pa.binary()), "cost": pa.array([cost[p[new[p]]].tobytes() for p in pos], pa.binary()), "docs": pa.nulls(rest.num_rows, pa.binary())})
 
     floor = np.log10(total + 0.1 * (distinct + 1)) if total else 0.0
 
@@ -813,14 +843,15 @@ def mixing_scores(docs: DataFrame) -> DataFrame:
         about = pa.ipc.open_stream(head.column("docs")[0].as_py()).read_all().combine_chunks()
         place = np.frombuffer(pa.decompress(head.column("idx")[0].as_py(), int.from_bytes(head.column("n")[0].as_py(), "little") * 4, codec="zstd", asbytes=True), np.uint32)
         count = about.column("count").to_numpy()
-        idx = np.concatenate([np.frombuffer(x, np.uint32) for x in rest.column("idx").to_pylist()]) if rest.num_rows else np.zeros(0, np.uint32)
-        n, cost = np.zeros((len(idx) + 1, 2), np.int64), np.zeros(len(idx) + 1)
-        if rest.num_rows:
-            n[idx] = np.concatenate([_ints(x, len(i) // 2) for x, i in zip(rest.column("n").to_pylist(), rest.column("idx").to_pylist(), strict=True)]).reshape(-1, 2)
-            cost[idx] = np.concatenate([np.frombuffer(x, np.float32) for x in rest.column("cost").to_pylist()])
+        parts = [_ascending(x) for x in rest.column("idx").to_pylist()]
+        distinct_ = sum(map(len, parts))
+        n, cost = np.zeros((distinct_ + 1, 2), np.int64), np.zeros(distinct_ + 1)
+        for i, x, y in zip(parts, rest.column("n").to_pylist(), rest.column("cost").to_pylist(), strict=True):
+            n[i] = _ints(x, 2 * len(i)).reshape(2, -1).T
+            cost[i[n[i, 0] == 0]] = np.frombuffer(y, np.float32)
         n[-1] = ends, text_mixing.END
         # The end stands after each document's words.
-        every = np.insert(place.astype(np.int64), np.cumsum(count), len(idx))
+        every = np.insert(place.astype(np.int64), np.cumsum(count), distinct_)
         doc = np.repeat(np.arange(len(count)), count + 1)
         c = n[every, 0]
         about = about.append_column("known", pa.array(np.bincount(doc, c > 0, len(count)).astype(np.int64)))

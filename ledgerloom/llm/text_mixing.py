@@ -162,21 +162,22 @@ class Words:
         self.even[now] = np.where(hit, 0, -np.log(np.maximum(many[now] - 1, 1)))
 
     def bits(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of words: by bit the place of its word, its slot, the bit, and its slot after the word before (`pair_slots` for none)."""
+        """Of words: how many bits each has; by bit its slot, the bit, and its slot after the word before (from `pair_slots` on: none)."""
         code, group, again = self.code, self.group[at], self.again[at]
         length = code.length[group]
         n = length + (again >= 0)
-        word = np.repeat(np.arange(len(at), dtype=np.int32), n)
-        way = code.ways[np.minimum(np.arange(len(word)) + np.repeat(code.begin[group] - (np.cumsum(n) - n), n), len(code.ways) - 1)]
-        last = (np.cumsum(n) - 1)[again >= 0]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(n) else 0
+        way = code.ways[np.minimum(np.arange(total) + np.repeat(code.begin[group] - (ends - n), n), len(code.ways) - 1)]
+        last = ends[again >= 0] - 1
         way[last] = 2 * code.slots + again[again >= 0].astype(np.int64)
         slot, bit = way >> 1, way & 1
         of_class = slot < len(code.size)
-        h = np.where(of_class, self.context[0][at][word], self.context[1][at][word])
+        h = np.where(of_class, np.repeat(self.context[0][at], n), np.repeat(self.context[1][at], n))
         h = ((h ^ slot.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - code.pair_slots.bit_length())
         pair = h.astype(np.int64)
         pair[last] = code.pair_slots + 1 + (slot[last] - code.slots)
-        return word, slot, bit, pair
+        return n, slot, bit, pair
 
 
 def blocks_of(place: np.ndarray) -> np.ndarray:
@@ -196,7 +197,7 @@ def slices(size: np.ndarray, most: int = WINDOW) -> Iterator[np.ndarray]:
 
 
 def _so_far(key: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones of each key before each place."""
+    """How often each key has come before each place, and the ones of these."""
     bits = np.uint64(max(1, int(len(key) - 1).bit_length()))
     packed = np.sort(key.astype(np.uint64) << bits | np.arange(len(key), dtype=np.uint64))
     at = (packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
@@ -209,15 +210,24 @@ def _so_far(key: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     rank = np.arange(len(key), dtype=np.int32) - np.repeat(new.astype(np.int32), size)
     ones, all_ = np.empty(len(key), np.float32), np.empty(len(key), np.float32)
     ones[at], all_[at] = before, rank
-    return all_ - ones, ones
+    return all_, ones
 
 
 def _odds(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def _toward(zeros: np.ndarray, ones: np.ndarray, parent: np.ndarray, weight: np.ndarray | float) -> np.ndarray:
-    return np.clip((ones + weight * parent) / (zeros + ones + weight), np.float32(1e-5), np.float32(1 - 1e-5))
+def _toward(total: np.ndarray, ones: np.ndarray, parent: np.ndarray, weight: np.ndarray | float) -> np.ndarray:
+    return np.clip((ones + weight * parent) / (total + weight), np.float32(1e-5), np.float32(1 - 1e-5))
+
+
+def _rows_of(table: np.ndarray) -> np.ndarray:
+    """Rows of two or four floats as one value each, which are taken in one go."""
+    return np.ascontiguousarray(table, np.float32).view(np.complex64 if table.shape[1] == 2 else np.complex128).ravel()
+
+
+def _taken(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.take(rows, at).view(np.float32).reshape(len(at), -1)
 
 
 class Scorer:
@@ -225,11 +235,14 @@ class Scorer:
 
     def __init__(self, code: Code, packed: np.ndarray, pairs: np.ndarray, decode: np.ndarray):
         """Packed counts: (1 + kinds) x slots, and by pair slot, then of words that come again; `decode` gives the counts of a byte."""
-        self.code, self.packed, self.pairs, self.decode = code, packed, pairs, decode.astype(np.float32)
-        self._kinds: dict[int, tuple[np.ndarray, ...]] = {}
+        self.code, self.packed, self.pairs = code, packed, pairs
+        zeros, ones = np.repeat(decode.astype(np.float32), 256), np.tile(decode.astype(np.float32), 256)
+        self._decoded = _rows_of(np.column_stack((zeros + ones, ones)))
+        self._kinds: dict[int, np.ndarray] = {}
 
     def _counts(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return self.decode[v >> 8], self.decode[v & 255]
+        """How often, and the ones of these."""
+        return tuple(_taken(self._decoded, v).T)
 
     def _reached(self, p: np.ndarray) -> np.ndarray:
         """Probability of each node, of its slots' probabilities of a one."""
@@ -247,15 +260,15 @@ class Scorer:
                 level = np.column_stack((level * (1 - q), level * q)).ravel()
         return out
 
-    def _kind(self, kind: int) -> tuple[np.ndarray, ...]:
-        """By slot: log odds of the corpus and of the kind, the kind's probability of a one, that of its node."""
+    def _kind(self, kind: int) -> np.ndarray:
+        """Rows by slot: log odds of the corpus and of the kind, the kind's probability of a one, that of its node."""
         if kind not in self._kinds:
             p = _toward(*self._counts(self.packed[0]), np.float32(0.5), np.float32(0.1))
             q = _toward(*self._counts(self.packed[1 + kind]), p, np.maximum(np.float32(NEAR[0]) * self._reached(p), np.float32(1e-3)))
             again = _toward(*self._counts(self.pairs[self.code.pair_slots + 1 :]), np.float32(0.5), np.float32(1))
             node = np.append(self._reached(q), np.full(AGAIN, 0.1, np.float32))
             p, q = np.append(p, again), np.append(q, again)
-            self._kinds[kind] = np.column_stack((_odds(p), _odds(q))).astype(np.float32), q, np.maximum(node, np.float32(1e-5))
+            self._kinds[kind] = _rows_of(np.column_stack((_odds(p), _odds(q), q, np.maximum(node, np.float32(1e-5)))))
         return self._kinds[kind]
 
     def score(self, number: np.ndarray, size: np.ndarray, kind: int) -> np.ndarray:
@@ -280,20 +293,18 @@ class Scorer:
 
     def _read(self, mixer: Online, words: Words, at: np.ndarray, lane: np.ndarray, block: np.ndarray, kind: int, carry: np.ndarray | None = None) -> None:
         """Words by block, those of a document in their order; `carry`: what the document has had before, by bit and slot."""
-        word, slot, bit, pair = words.bits(at)
-        known, parent, node = self._kind(kind)
-        x = np.empty((len(word), 4), np.float32)
-        x[:, :2] = known[slot]
-        parent, node = parent[slot], node[slot]
-        x[:, 2] = _odds(_toward(*self._counts(np.where(pair <= self.code.pair_slots, self.pairs[pair], 0)), parent, np.float32(NEAR[1]) * node))
-        lanes = lane[word]
-        zeros, ones = _so_far(lanes * (self.code.slots + AGAIN) + slot, bit)
+        n, slot, bit, pair = words.bits(at)
+        x = _taken(self._kind(kind), slot)
+        parent, node = x[:, 2].copy(), x[:, 3].copy()
+        x[:, 2] = _odds(_toward(*self._counts(self.pairs[np.minimum(pair, self.code.pair_slots)]), parent, np.float32(NEAR[1]) * node))
+        lanes = np.repeat(lane, n)
+        total, ones = _so_far(lanes * (self.code.slots + AGAIN) + slot, bit)
         if carry is not None:
-            zeros, ones = zeros + carry[2 * slot], ones + carry[2 * slot + 1]
+            total, ones = total + (carry[2 * slot] + carry[2 * slot + 1]), ones + carry[2 * slot + 1]
             np.add.at(carry, 2 * slot + bit, np.float32(1))
-        x[:, 3] = _odds(_toward(zeros, ones, parent, np.float32(NEAR[2]) * node))
+        x[:, 3] = _odds(_toward(total, ones, parent, np.float32(NEAR[2]) * node))
         even = np.bincount(lane, words.even[at], len(mixer.total))
-        mixer.read(x, slot >= len(self.code.size), bit, lanes, block[word])
+        mixer.read(x, slot >= len(self.code.size), bit, lanes, np.repeat(block, n))
         mixer.total += even
 
 
@@ -315,12 +326,12 @@ class Online:
         unit_, y_, n = lane * GATES + gate, bit.astype(np.float32), len(self.weights)
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(block)], strict=True):
             xs, y, unit = x[a:b], y_[a:b], unit_[a:b]
-            s = np.einsum("ij,ij->i", xs, self.weights[unit])
+            s = np.einsum("ij,ij->i", xs, _taken(_rows_of(self.weights), unit))
             np.clip(s, -7.999, 7.999, out=s)
             place = (s + 8) * np.float32((CELLS - 1) / 16)
-            cell = place.astype(np.int32)
-            far = place - cell
-            cell = cell + unit * CELLS
+            cell = place.astype(np.int64)
+            far = place - cell.astype(np.float32)
+            cell += unit * CELLS
             low = self.map[cell]
             mapped = low + (self.map[cell + 1] - low) * far
             p = squash(s)

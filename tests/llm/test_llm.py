@@ -308,6 +308,31 @@ def test_next_words_are_a_distribution():
         assert np.sum(10 ** (whole - first)) == pytest.approx(1, abs=1e-4)
 
 
+def test_numbers_move_small():
+    rng = np.random.default_rng(3)
+    for most in (3, 200, 60_000, 1 << 20, 1 << 40):
+        x = np.cumsum(rng.integers(0, most, 500))
+        assert np.array_equal(context_mixing._ascending(context_mixing._gaps(x)), x)
+        n = rng.integers(0, most, (500, 2))
+        assert np.array_equal(context_mixing._ints(context_mixing._short(n), n.size).reshape(n.shape), n)
+    assert not len(context_mixing._ascending(context_mixing._gaps(np.zeros(0, np.int64)))) and not len(context_mixing._ints(context_mixing._short(np.zeros(0, np.int64)), 0))
+    assert len(context_mixing._gaps(np.arange(0, 100_000, 100))) == 1001
+
+
+def test_costs_look_at_a_byte_at_once(monkeypatch):
+    """One look at the tables for each place of a word, whatever its bits; the bits' nodes are those one by one."""
+    c = np.arange(256, dtype=np.uint8)
+    node, bit, b = (x.reshape(8, -1) for x in context_mixing.byte_nodes(c))
+    for i, (x, y, k) in enumerate(context_mixing.bit_nodes(c)):
+        assert np.array_equal(node[i], x) and np.array_equal(bit[i], y) and (b[i] == k).all()
+    looks = []
+    m = context_mixing.Mixer(np.zeros(context_mixing.SLOTS), np.zeros(context_mixing.SLOTS))
+    look = m.look
+    monkeypatch.setattr(m, "look", lambda *a: looks.append(1) or look(*a))
+    m.costs(np.frombuffer(b"abcde", np.uint8), np.array([5]))
+    assert len(looks) == 6
+
+
 def test_documents_score_alike_alone_and_together(monkeypatch):
     """In slices, in windows, and with others."""
     scorer, n = small_scorer()
@@ -757,6 +782,7 @@ def test_hashing_a_chunk_takes_little_memory(monkeypatch):
     assert most < 64 << 20
 
 
+
 def test_levels_are_geometric():
     f = repeats.Family()
     rng = np.random.default_rng(7)
