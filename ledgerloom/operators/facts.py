@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .graph import MONEY, keep, total
+from .graph import MONEY, keep, release, total
 
 #: Reasons of unavailable facts.
 MULTI_CURRENCY = "multi_currency_aggregate_undefined"
@@ -164,9 +164,48 @@ def counterparty_counts(edges: DataFrame, *key: str) -> DataFrame:
 
 def roles(edges: DataFrame, *key: str, hub: int = HUB) -> DataFrame:
     """key, node_id, n_senders, n_receivers, role, from distinct counterparties without loops. A hub is told before a pass-through."""
-    i, o = F.col("n_senders"), F.col("n_receivers")
-    role = F.when((i == 0) & (o == 0), "terminal").when(i == 0, "originator").when(o == 0, "beneficiary").when(F.least(i, o) >= hub, "hub").when((i == 1) & (o == 1), "pass_through").otherwise("intermediary")
-    return counterparty_counts(edges, *key).select(*key, "node_id", "n_senders", "n_receivers", role.alias("role"))
+    return counterparty_counts(edges, *key).select(*key, "node_id", "n_senders", "n_receivers", role_of(F.col("n_senders"), F.col("n_receivers"), hub).alias("role"))
+
+
+def role_of(i: Column, o: Column, hub: int = HUB) -> Column:
+    """The role by the numbers of senders and receivers; from one and from `hub` on, larger ones don't matter."""
+    return F.when((i == 0) & (o == 0), "terminal").when(i == 0, "originator").when(o == 0, "beneficiary").when(F.least(i, o) >= hub, "hub").when((i == 1) & (o == 1), "pass_through").otherwise("intermediary")
+
+
+def account_summary(edges: DataFrame, hub: int = HUB) -> DataFrame:
+    """node_id (a number), n_out, n_in, total_out, total_in (tagged), first_ts, last_ts, role, kept: what node_table, account_flow and roles
+    tell of an account.
+
+    The transfers are written once, and either side of them moves once, by account; what moved for one step is let go before the next.
+    Currencies are told apart by 64-bit hashes. Whether there are `hub` counterparties follows where they fall into as many
+    of 63 places by hash, or are no more than the transfers; the few accounts where neither tells are counted exactly.
+    """
+    spark = edges.sparkSession
+    edges = keep(edges.select("src", "dst", "ts", "amount_paid", "payment_currency", "amount_received", "receiving_currency"), spark)
+    release(spark)
+    sides = []
+    for d, a, b, v, c in (("out", "src", "dst", "amount_paid", "payment_currency"), ("in", "dst", "src", "amount_received", "receiving_currency")):
+        e = edges.where(F.col(a).isNotNull()).select(F.col(a).alias("node_id"), F.when(F.col(a) != F.col(b), F.col(b)).alias("other"), "ts", F.col(v).alias("v"), F.col(c).alias("c")).repartition("node_id")
+        code = F.when(F.col("c").isNotNull(), F.xxhash64("c"))
+        place = F.when(F.col("other").isNotNull(), F.expr("shiftleft(1L, CAST(pmod(xxhash64(other), 63) AS INT))"))
+        g = e.groupBy("node_id").agg(F.count("*").alias(f"n_{d}"), F.min("ts").alias(f"first_ts_{d}"), F.max("ts").alias(f"last_ts_{d}"), F.count("other").alias(f"plain_{d}"), F.min("other").alias("a"), F.max("other").alias("b"), F.bit_or(place).alias("places"), F.min(code).alias("lo"), F.max(code).alias("hi"), F.sum(F.col("v").cast(MONEY)).cast("double").alias(f"sum_{d}"))
+        least = F.when(F.col(f"plain_{d}") == 0, 0).when(F.col("a") == F.col("b"), 1).otherwise(F.greatest(F.lit(2), F.bit_count("places")))
+        sides.append(keep(g.select("node_id", f"n_{d}", f"first_ts_{d}", f"last_ts_{d}", f"plain_{d}", f"sum_{d}", (F.col("lo") != F.col("hi")).alias(f"many_{d}"), least.alias(f"least_{d}")), spark))
+        release(spark)
+    z = lambda c: F.coalesce(F.col(c), F.lit(0))
+    why = lambda d: F.when(z(f"n_{d}") == 0, NO_TRANSFERS).when(F.col(f"many_{d}"), MULTI_CURRENCY)
+    o, i = z("least_out"), z("least_in")
+    open_ = (o > 1) & (i > 1) & (F.least(z("plain_out"), z("plain_in")) >= hub) & (F.least(o, i) < hub)
+    told = ["node_id", "n_out", "n_in", "total_out", "total_in", "first_ts", "last_ts"]
+    s = keep(sides[0].join(sides[1], "node_id", "full").select("node_id", z("n_out").alias("n_out"), z("n_in").alias("n_in"), sentinel(why("out"), F.col("sum_out")).alias("total_out"), sentinel(why("in"), F.col("sum_in")).alias("total_in"), F.least("first_ts_out", "first_ts_in").alias("first_ts"), F.greatest("last_ts_out", "last_ts_in").alias("last_ts"), o.alias("o"), i.alias("i"), open_.alias("open")), spark)
+    role = s.select(*told, role_of(F.col("i"), F.col("o"), hub).alias("role"))
+    unsure = s.where("open").select("node_id")
+    if not unsure.take(1):
+        return role
+    ends = edges.select(F.col("src").alias("node_id"), F.col("dst").alias("other"), F.lit(True).alias("out")).union(edges.select("dst", "src", F.lit(False)))
+    own = ends.where("node_id <> other").join(unsure, "node_id", "left_semi").distinct()
+    exact = keep(own.groupBy("node_id").agg(F.count_if("out").alias("_o"), F.count_if(~F.col("out")).alias("_i")), spark)
+    return s.join(exact, "node_id", "left").select(*told, role_of(F.coalesce("_i", "i"), F.coalesce("_o", "o"), hub).alias("role"))
 
 
 def select_focal(edges: DataFrame, seeds: DataFrame, key: str = "case_id") -> DataFrame:

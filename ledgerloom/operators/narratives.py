@@ -6,6 +6,8 @@ field_path is null. Spans are half-open character offsets in the narrative.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ SEGMENT = "struct<section:int,text:string,field_path:string,optional:boolean>"
 SLOT = "struct<field_path:string,start:int,end:int,rendered:string>"
 LEAST_TOKENS, MOST_TOKENS = 80, 400
 UNVERIFIABLE_BUDGET = 0.05
+DUPLICATE = 0.85
 #: Phrases that no narrative may hold, by the class of what they assert.
 FORBIDDEN = (("guilt", "guilty"), ("guilt", "criminal"), ("guilt", "committed fraud"), ("guilt", "money launderer"), ("entity_type", "shell company"), ("entity_type", "casino"), ("completeness", "all transactions"), ("completeness", "no other activity"), ("motive", "in order to hide"), ("motive", "intended to conceal"))
 ACCOUNT = r"\bN\d+\|A\d+\b"
@@ -44,8 +47,8 @@ def assemble(df: DataFrame, segments: str = "segments") -> DataFrame:
     return df.withColumn("_b", built).withColumn("narrative", F.col("_b.text")).withColumn("slots", F.col("_b.slots")).drop("_b")
 
 
-def account_segments(facts: DataFrame, variants: int = 3) -> DataFrame:
-    """case_id, segments: four sections on an account's activity (case_id, n_out, n_in, total_out, total_in, first_ts, last_ts, role; tagged totals).
+def account_segments(facts: DataFrame, variants: int = 3, keep: list[str] | None = None) -> DataFrame:
+    """case_id (or the columns to keep), segments: four sections on an account's activity (case_id, n_out, n_in, total_out, total_in, first_ts, last_ts, role; tagged totals).
 
     The wording of the opening rotates by the case's digest; a total that isn't available is said to be so.
     """
@@ -63,7 +66,7 @@ def account_segments(facts: DataFrame, variants: int = 3) -> DataFrame:
         *money("total_out", "flow.total_out", "It paid "), *money("total_in", "flow.total_in", "It received "),
         segment(3, F.lit("Among its counterparties it acted as ")), segment(3, F.col("role"), "focal.role"), segment(3, F.lit("."), None), segment(3, F.lit(" No conclusion on intent is drawn."), None, True),
     ]
-    return facts.select("case_id", F.array(*parts).alias("segments"))
+    return facts.select(*(keep or ["case_id"]), F.array(*parts).alias("segments"))
 
 
 def bound_length(df: DataFrame, most: int, segments: str = "segments") -> DataFrame:
@@ -81,17 +84,33 @@ def bound_length(df: DataFrame, most: int, segments: str = "segments") -> DataFr
 
 def claims_from_slots(narratives: DataFrame) -> DataFrame:
     """Claims read from the text under each slot, never from the record: case_id, claim_id, field_path, claim_type, number, text, unit."""
-    s = narratives.select("case_id", "narrative", F.posexplode("slots").alias("i", "slot"))
-    span = F.substring("narrative", F.col("slot.start") + 1, F.col("slot.end") - F.col("slot.start"))
-    s = s.select("case_id", F.concat_ws(":", "case_id", F.col("i").cast("string")).alias("claim_id"), F.col("slot.field_path").alias("field_path"), span.alias("span"))
-    kind = F.when(F.col("field_path").isin("flow.n_out", "flow.n_in"), "count").when(F.col("field_path").like("flow.total%"), "money").when(F.col("field_path").like("temporal.%"), "timestamp").otherwise("categorical")
-    number = F.when(kind.isin("count", "money"), F.regexp_replace("span", ",", "").try_cast("double")).when(kind == "timestamp", F.unix_micros(F.try_to_timestamp("span", F.lit("yyyy-MM-dd HH:mm"))) / 1e6)
-    return s.select("case_id", "claim_id", "field_path", kind.alias("claim_type"), number.alias("number"), F.col("span").alias("text"), F.lit(None).cast("string").alias("unit"))
+    s = narratives.select("case_id", F.posexplode(slot_claims()).alias("i", "c"))
+    return s.select("case_id", F.concat_ws(":", "case_id", F.col("i").cast("string")).alias("claim_id"), "c.*")
+
+
+def slot_claims(narrative: str = "narrative", slots: str = "slots") -> Column:
+    """The claims of one text, in the order of its slots: an array of (field_path, claim_type, number, text, unit)."""
+
+    def read(s):
+        return F.struct(s["field_path"].alias("field_path"), F.substring(F.col(narrative), s["start"] + 1, s["end"] - s["start"]).alias("span"))
+
+    def claim(s):
+        path, span = s["field_path"], s["span"]
+        kind = F.when(path.isin("flow.n_out", "flow.n_in"), "count").when(path.like("flow.total%"), "money").when(path.like("temporal.%"), "timestamp").otherwise("categorical")
+        number = F.when(kind.isin("count", "money"), F.regexp_replace(span, ",", "").try_cast("double")).when(kind == "timestamp", F.unix_micros(F.try_to_timestamp(span, F.lit("yyyy-MM-dd HH:mm"))) / 1e6)
+        return F.struct(path.alias("field_path"), kind.alias("claim_type"), number.alias("number"), span.alias("text"), F.lit(None).cast("string").alias("unit"))
+
+    return F.transform(F.transform(slots, read), claim)
+
+
+def named_accounts(narrative: str = "narrative") -> Column:
+    """The different account ids in a text, as an array."""
+    return F.array_distinct(F.regexp_extract_all(narrative, F.lit(ACCOUNT), F.lit(0)))
 
 
 def unlisted_entities(narratives: DataFrame, inventory: DataFrame) -> DataFrame:
     """case_id, entity: account ids in a text that the case's inventory (case_id, entity) lacks."""
-    found = narratives.select("case_id", F.explode(F.array_distinct(F.regexp_extract_all("narrative", F.lit(ACCOUNT), F.lit(0)))).alias("entity"))
+    found = narratives.select("case_id", F.explode(named_accounts()).alias("entity"))
     return found.join(inventory.select("case_id", "entity").distinct(), ["case_id", "entity"], "left_anti")
 
 
@@ -102,6 +121,35 @@ def forbidden_phrases(narratives: DataFrame) -> DataFrame:
     return tx.phrase_hits(narratives.select(F.col("case_id").alias("doc_id"), F.col("narrative").alias("text")), phrases).withColumnRenamed("doc_id", "case_id")
 
 
+def holds_forbidden(narrative: str = "narrative") -> Column:
+    """Whether `forbidden_phrases` finds any in a text."""
+    return reduce(lambda x, y: x | y, [F.contains(F.lower(narrative), F.lit(p)) for _, p in FORBIDDEN])
+
+
+def near_duplicates(narratives: DataFrame, threshold: float = DUPLICATE, bands: int = 16) -> DataFrame:
+    """case_id of narratives (case_id is unique) that a smaller, kept one nearly equals in its five-word shingles.
+
+    Shingles that name an account are counted over all narratives first: of n shingles u that no other one holds, and at
+    least v in every other, leave a likeness of at most (n - u) / (n + v). What can't reach the threshold so is near
+    nothing, whatever else it says; only the rest is searched. So many texts of one wording, each on its own account,
+    aren't compared with one another.
+    """
+    from .graph import keep
+
+    spark = narratives.sparkSession
+    s = narratives.select("case_id", tx.words(F.coalesce("narrative", F.lit(""))).alias("w")).select("case_id", tx.shingles(F.col("w")).alias("s"))
+    named = F.transform(F.filter("s", lambda x: F.contains(x, F.lit("|"))), lambda x: F.xxhash64(x))
+    held = s.select(F.struct("case_id", F.size("s").alias("n")).alias("doc"), F.explode(named).alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("doc").alias("doc"))
+    own = keep(held.where("c = 1").groupBy("doc").agg(F.count("*").alias("u")).select("doc.case_id", "doc.n", "u"), spark)
+    total = narratives.count()
+    some, least = own.agg(F.count("*"), F.min("u")).first()
+    alone = own.where((F.col("n") - F.col("u")) / (F.col("n") + F.lit(least if some == total else 0)) < threshold)
+    if alone.count() == total:
+        return narratives.limit(0).select("case_id")
+    left = narratives.join(alone.select("case_id"), "case_id", "left_anti").select(F.col("case_id").alias("doc_id"), F.col("narrative").alias("text"))
+    return tx.lsh_near_duplicates(keep(left, spark), threshold, bands=bands).select(F.col("b").cast(narratives.schema["case_id"].dataType).alias("case_id"))
+
+
 def salience_in_text(narratives: DataFrame, required: DataFrame) -> DataFrame:
     """case_id, n_required, n_said, share: required values (case_id, field_path, needle) that the lower-cased text holds as they are."""
     j = required.join(narratives.select("case_id", F.lower("narrative").alias("t")), "case_id")
@@ -155,10 +203,16 @@ def gate(narratives: DataFrame, scores: DataFrame, entities: DataFrame, phrases:
     for d, n in ((entities, "_e"), (phrases, "_p"), (identifiers, "_i"), (duplicates, "_d")):
         j = j.join(flag(d, n), "case_id", "left")
     j = j.join(splits.select("case_id", F.col("split").alias("_split")), "case_id", "left").join(graph_counts.select("case_id", F.col("n_nodes").alias("_nodes"), F.col("n_edges").alias("_edges")), "case_id", "left")
+    return j.select("case_id", failed(gate_checks(version)).alias("failed"))
+
+
+def gate_checks(version: str = "1.0.0") -> list[tuple[str, Column]]:
+    """The ten points in order, by name, over a row that holds a record's columns and n_claims, n_contradicted and n_unverifiable; whether it
+    has unlisted entities (_e), forbidden phrases (_p), identifiers (_i) and a duplicate (_d); its frozen _split; the stored graph's _nodes and _edges."""
     tokens = tx.heuristic_tokens(F.col("narrative"))
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     n = F.coalesce("n_claims", F.lit(0))
-    checks = [
+    return [
         ("schema_valid", F.col("narrative").isNotNull() & F.col("slots").isNotNull() & F.col("split").isNotNull()),
         ("graph_ref_resolves", F.coalesce((F.col("_nodes") == F.col("n_nodes")) & (F.col("_edges") == F.col("n_edges")), F.lit(False))),
         ("facts_schema_version", F.col("schema_version") == version),
@@ -170,7 +224,10 @@ def gate(narratives: DataFrame, scores: DataFrame, entities: DataFrame, phrases:
         ("not_duplicate", ~yes("_d")),
         ("split_consistent", F.coalesce(F.col("split") == F.col("_split"), F.lit(False))),
     ]
-    return j.select("case_id", F.array_join(F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks])), ",").alias("failed"))
+
+
+def failed(checks: list[tuple[str, Column]]) -> Column:
+    return F.array_join(F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks])), ",")
 
 
 def serialise(facts: DataFrame, compact: bool = False) -> DataFrame:

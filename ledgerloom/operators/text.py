@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -219,6 +220,11 @@ def identifiers(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return m.select(key, F.explode(kinds).alias("x")).select(key, "x.kind", F.explode("x.found").alias("match"))
 
 
+def holds_identifier(masked_text: Column) -> Column:
+    """Whether `identifiers` finds anything in a text that is masked already (give a column: each kind looks at it)."""
+    return reduce(lambda x, y: x | y, [masked_text.rlike("(?U)" + p) for _, p in IDENTIFIERS])
+
+
 def heuristic_tokens(text: Column) -> Column:
     """Estimated tokens: letters by 3.5 to a token (half to even, at least 1), digits by three, other signs one each."""
     pieces = F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))

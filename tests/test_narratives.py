@@ -98,3 +98,58 @@ def test_the_gate_reads_the_order_lines_once(spark, tiny):
 
     for q in (narrative_queries.narrative_gate, narrative_queries.narrative_verdicts, narrative_queries.narrative_flags):
         assert "lineitem" not in " ".join(q(spark, tiny).inputFiles())
+
+
+def test_accounts_are_summed_side_by_side(spark):
+    """Against the operators that join: loops, one-sided accounts, several currencies, counterparties that are few, repeated or too alike by hash to be told apart."""
+    import random
+
+    from ledgerloom.operators import facts, graph
+
+    rng = random.Random(5)
+    es = [(rng.randrange(12), rng.randrange(12) + 3 * (k % 2), k, rng.randrange(900) / 100, rng.choice("AAR"), rng.randrange(900) / 100, rng.choice("AR")) for k in range(260)]
+    es += [(100, 101, 0, 1.5, "A", 1.5, "A")] * 7 + [(101, 100, 1, 2.5, "R", 2.5, "R")] * 7 + [(200, 200, 2, 1.0, "A", 1.0, "A")] + [(300, 301 + k % 3, k, 1.0, "A", 1.0, None) for k in range(9)]
+    es += [(301 + k % 2, 300, k, 1.0, "A", 1.0, "A") for k in range(9)]
+    e = spark.createDataFrame(es, "src long, dst long, k int, amount_paid double, payment_currency string, amount_received double, receiving_currency string").withColumn("ts", F.expr("timestamp_ntz'2024-01-01 00:00' + make_interval(0,0,0,0,k)"))
+    n = graph.node_table(e).select("node_id", F.col("out_degree").alias("n_out"), F.col("in_degree").alias("n_in"), F.col("first_seen").alias("first_ts"), F.col("last_seen").alias("last_ts"))
+    want = n.join(facts.account_flow(e).select("node_id", "total_out", "total_in"), "node_id").join(facts.roles(e).select("node_id", "role"), "node_id")
+    got = facts.account_summary(e)
+    assert rows(got.select(*want.columns)) == rows(want)
+    assert not {"Join", "src"} & set(facts.account_summary(e.where("src = 100"))._jdf.queryExecution().optimizedPlan().toString().split())
+
+
+def test_verdicts_need_no_join(spark, tiny):
+    """The row's own verdicts are those of the joined claims and facts, and the queries move nothing once the accounts are kept."""
+    from ledgerloom.operators import claims
+    from ledgerloom.plans import narrative_queries as nq
+
+    t = nq.told(spark, tiny).cache()
+    f = t.select("case_id", F.explode(nq.fact_list()).alias("f")).select("case_id", "f.*")
+    want = claims.score_cases(claims.check(nv.claims_from_slots(t), f), f.limit(0).select("case_id", "field_path"))
+    columns = ["case_id", "n_claims", "n_supported", "n_contradicted", "n_unverifiable"]
+    assert rows(nq.scored(t).select(columns)) == rows(want.select(columns))
+    c = "array<struct<field_path:string,claim_type:string,number:double,text:string,unit:string>>, facts array<struct<field_path:string,available:boolean,reason:string,number:double,text:string,unit:string>>"
+    odd = spark.createDataFrame([("c", [("a", "count", 1.0, "1", None), ("b", "count", 2.0, "2", None), ("z", "count", 1.0, "1", None)], [("b", True, None, 3.0, None, None), ("a", True, None, 1.0, None, None)]), ("d", [], [])], f"case_id string, claims {c}")
+    assert rows(claims.count_verdicts(odd, "claims", "facts").select(columns)) == [("c", 3, 1, 1, 1), ("d", 0, 0, 0, 0)]
+    for q in (nq.narrative_verdicts, nq.narrative_claims, nq.narrative_texts):
+        plan = q(spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_gate_finds_near_duplicates(spark, monkeypatch):
+    said = " ".join(f"w{k}" for k in range(90))
+    texts = [(f"N1|A{k}", f"Account N1|A{k} was reviewed. {said}") for k in range(3)] + [("N2|A1", "Account N2|A1 was reviewed. " + " ".join(f"v{k}" for k in range(40)))]
+    d = spark.createDataFrame(texts, "case_id string, narrative string")
+    assert rows(nv.near_duplicates(d)) == [("N1|A1",), ("N1|A2",)]
+    # Short texts of one wording, each on its own account, can't be alike enough: none is searched.
+    monkeypatch.setattr(nv.tx, "lsh_near_duplicates", lambda *a, **k: 1 / 0)
+    short = spark.createDataFrame([(f"N1|A{k}", f"The subject of this review is account N1|A{k}. {said[:150]}") for k in range(9)], "case_id string, narrative string")
+    assert rows(nv.near_duplicates(short)) == []
+
+
+def test_gate_query_looks_for_duplicates(spark, tiny, monkeypatch):
+    from ledgerloom.plans import narrative_queries as nq
+
+    monkeypatch.setattr(nv, "near_duplicates", lambda t: t.orderBy("case_id").limit(1).select("case_id"))
+    got = [r["failed"] for r in nq.narrative_gate(spark, tiny).collect()]
+    assert sum("not_duplicate" in f for f in got) == 1
