@@ -31,6 +31,9 @@ class Case:
         self.ways = distances(self.arcs)
         self.apart = distances(self.arcs | self.arcs.T)
 
+    def n_transfers(self) -> int:
+        return int(self.transfers.sum())
+
     def cycle(self, least: int, most: int) -> int | None:
         """The shortest directed cycle of `least` to `most` accounts: an arc and the shortest way back."""
         back = np.where(self.arcs, self.ways.T, -1)
@@ -103,3 +106,78 @@ class Case:
                 steps += 1
             best = max(best, steps)
         return best
+
+
+class LargeCase:
+    """A case of many accounts by lists of neighbours: what `Case` tells of cycles, colours and layers, in memory that grows with its pairs."""
+
+    def __init__(self, src, dst):
+        names = np.unique(np.concatenate((np.asarray(src, dtype=object), np.asarray(dst, dtype=object))).astype(str))
+        self.names, n = names, len(names)
+        a, b = np.searchsorted(names, np.asarray(src, dtype=str)), np.searchsorted(names, np.asarray(dst, dtype=str))
+        self.pairs, self.times = np.unique(np.stack((a, b))[:, a != b], axis=1, return_counts=True)
+        self.after, self.before = self._lists(*self.pairs), self._lists(*self.pairs[::-1])
+
+    def _lists(self, a, b) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(a, kind="stable")
+        return b[order], np.searchsorted(a[order], np.arange(len(self.names) + 1))
+
+    @staticmethod
+    def _next(front, lists) -> np.ndarray:
+        to, ends = lists
+        size = ends[front + 1] - ends[front]
+        return to[np.repeat(ends[front] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+
+    def _ways(self, start: int, *lists, most: int | None = None) -> np.ndarray:
+        """Least number of steps from one account, -1 where there is no way of at most `most`."""
+        out = np.full(len(self.names), -1, np.int32)
+        front, step = np.array([start]), 0
+        while len(front) and (most is None or step <= most):
+            out[front] = step
+            step += 1
+            near = np.concatenate([self._next(front, x) for x in lists])
+            front = np.unique(near[out[near] < 0])
+        return out
+
+    def n_transfers(self) -> int:
+        return int(self.times.sum())
+
+    def cycle(self, least: int, most: int) -> int | None:
+        best = most + 1
+        for v in range(len(self.names)):
+            into = self.before[0][self.before[1][v] : self.before[1][v + 1]]
+            if len(into) and self.after[1][v] < self.after[1][v + 1]:
+                steps = self._ways(v, self.after, most=best - 2)[into] + 1  # an arc into v, and the shortest way to where it starts
+                found = steps[(steps >= least) & (steps < best)]
+                best = int(found.min()) if len(found) else best
+                if best == least:
+                    break
+        return best if best <= most else None
+
+    def sides(self) -> np.ndarray:
+        odd, seen = np.zeros(len(self.names), bool), np.zeros(len(self.names), bool)
+        for v in range(len(self.names)):
+            if not seen[v]:
+                front, step = np.array([v]), 0
+                while len(front):
+                    seen[front], odd[front] = True, step % 2 == 1
+                    step += 1
+                    near = np.concatenate([self._next(front, x) for x in (self.after, self.before)])
+                    front = np.unique(near[~seen[near]])
+        return odd
+
+    def across(self) -> tuple[int, int, int]:
+        odd = self.sides()
+        other = odd[self.pairs[0]] != odd[self.pairs[1]]
+        return int(self.times[other].sum()), int(other.sum()), int((~other).sum())
+
+    def layers(self, width: int) -> list[int]:
+        n = len(self.names)
+        sources = np.setdiff1d(np.arange(n), self.pairs[1])
+        best: list[int] = []
+        for v in sources if len(sources) else range(n):
+            row = self._ways(v, self.after)
+            sizes = np.bincount(row[row > 0], minlength=2)[1:]
+            own = sizes[: int((np.append(sizes, 0) < width).argmax())].tolist()
+            best = own if len(own) > len(best) else best
+        return best

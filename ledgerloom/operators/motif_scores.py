@@ -16,7 +16,8 @@ TWO_SIDED = (2, 8)
 CYCLE = (3, 6)
 LAYERS = (2, 4)
 LEAST_SIDE = 2
-CYCLE_EDGES = 2_000
+#: Cases of more accounts are looked at by their lists of neighbours instead of tables of all pairs.
+TABLE_ACCOUNTS = 500
 
 
 def saturating(n: Column, floor: int, full: int) -> Column:
@@ -46,17 +47,17 @@ def ordered_scores(edges: DataFrame, key: str) -> DataFrame:
 
     cycle falls from 1 for three accounts to a half for six. bipartite: distinct pairs across a breadth-first colouring over all
     transfers, times the balance of the sides. stack: layers of two accounts or more from the best source. Cases lie one after
-    another in sorted partitions, so many small ones share a batch.
+    another in sorted partitions, so many small ones share a batch; no case is too large for a score.
     """
 
-    from .case_matrices import Case
+    from .case_matrices import Case, LargeCase
 
     def one(name, src, dst):
         if len(set(src)) == 1 or len(set(dst)) == 1:  # all from one account or all to one: no cycle of three, no side of two, no second layer
             return name, 0.0, 0.0, 0.0
-        case = Case(src, dst)
-        total = int(case.transfers.sum())
-        length = case.cycle(*CYCLE) if total <= CYCLE_EDGES else None
+        case = Case(src, dst) if len({*src, *dst}) <= TABLE_ACCOUNTS else LargeCase(src, dst)
+        total = case.n_transfers()
+        length = case.cycle(*CYCLE)
         odd = case.sides()
         large, small = sorted((int(odd.sum()), int((~odd).sum())), reverse=True)
         n = len(case.layers(LAYERS[0]))

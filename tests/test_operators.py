@@ -396,3 +396,21 @@ def test_all_pairs_of_vectors_without_copies(spark, monkeypatch):
         got = f(df)
         assert "Generate" not in got._jdf.queryExecution().toString()
         assert {r[0]: (round(r[1], 9), r[2]) for r in got.collect()} == {c: (round(float(np.mean(np.array(want)[label == c])), 9), int((label == c).sum())) for c in range(3)}
+
+
+def test_large_cases_have_every_score(spark, monkeypatch):
+    """A ring under thousands of transfers scores as one; lists of neighbours tell what the tables tell."""
+    from ledgerloom.operators.case_matrices import Case, LargeCase
+
+    ring = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "a")]
+    assert motif_scores.ordered_scores(edges(spark, ring * 600), "case_id").first()["cycle"] == motif_scores.ordered_scores(edges(spark, ring), "case_id").first()["cycle"] > 0
+    rng = random.Random(3)
+    for k in range(120):
+        n = 2 + k % 14
+        es = [(f"a{rng.randrange(n)}", f"a{rng.randrange(n)}") for _ in range(rng.randrange(1, 2 * n))] + [("a0", "a0")]
+        x, y = Case(*zip(*es, strict=True)), LargeCase(*zip(*es, strict=True))
+        assert x.n_transfers() == y.n_transfers() and (x.sides() == y.sides()).all() and x.across() == y.across() and x.layers(2) == y.layers(2)
+        assert all(x.cycle(a, b) == y.cycle(a, b) for a, b in ((3, 6), (2, 4), (4, 8)))
+    monkeypatch.setattr(motif_scores, "TABLE_ACCOUNTS", 3)
+    long = [(f"n{i}", f"n{(i + 1) % 6}") for i in range(6)]
+    assert motif_scores.ordered_scores(edges(spark, long), "case_id").first()["cycle"] == 0.5
