@@ -414,3 +414,14 @@ def test_large_cases_have_every_score(spark, monkeypatch):
     monkeypatch.setattr(motif_scores, "TABLE_ACCOUNTS", 3)
     long = [(f"n{i}", f"n{(i + 1) % 6}") for i in range(6)]
     assert motif_scores.ordered_scores(edges(spark, long), "case_id").first()["cycle"] == 0.5
+
+
+def test_prune_query_leaves_room_for_unprotected_edges(spark):
+    from ledgerloom.plans import graph_queries
+
+    d = "/root/testdata/sf0.01"
+    got = graph_queries.case_prune(spark, d).groupBy("case_id").agg(F.count("*").alias("n"), F.count_if("is_laundering").alias("k"), F.size(F.array_distinct(F.flatten(F.collect_list(F.array("src", "dst"))))).alias("v")).collect()
+    lines = spark.read.parquet(f"{d}/lineitem.parquet")
+    assert len(got) == lines.select(F.expr("l_orderkey div 1164")).distinct().count()
+    assert sum(r["k"] for r in got) == lines.where("l_orderkey % 97 = 0").count()
+    assert all(r["v"] <= 150 and r["n"] > 2 * r["k"] for r in got) and sum(r["n"] for r in got) < lines.count()
